@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from freshet.llm.quality import ORACLE_OP10, op10_quality_rules
+from freshet.llm.simhash import op7_simhash
+from freshet.llm.topk import ORACLE_OP1, op1_topk_search
+from freshet.llm.warc import ORACLE_OP2, op2_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,9 +18,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_topk_search": lambda spark, d: op1_topk_search(spark, _table(spark, d, "embeddings")),
+        "op2_warc": lambda spark, d: op2_warc(spark, _table(spark, d, "pages")),
+        "op7_simhash": lambda spark, d: op7_simhash(spark, _table(spark, d, "documents")),
         "op10_quality_rules": lambda spark, d: op10_quality_rules(_table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": ORACLE_OP10}
+    return {"op1_topk_search": ORACLE_OP1, "op2_warc": ORACLE_OP2, "op10_quality_rules": ORACLE_OP10}
