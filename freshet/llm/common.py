@@ -101,18 +101,19 @@ def unique_name(suffix: str) -> str:
 # --- blocks -------------------------------------------------------------------------------------------------------
 
 
-def write_block(root: str, batches: list[pa.RecordBatch]) -> str:
-    """Write record batches as one compressed Arrow file below ``root``; returns its URI."""
+def write_block(root: str, batches: list[pa.RecordBatch]) -> int:
+    """Write record batches as one compressed Arrow file below ``root``; returns the block's number, which names the file."""
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
         for b in batches:
             w.write_batch(b)
-    put(uri := f"{root}/{unique_name('.arrow')}", sink.getvalue())
-    return uri
+    block = uuid.uuid4().int >> 65
+    put(f"{root}/{block:016x}.arrow", sink.getvalue())
+    return block
 
 
-def read_block(uri: str) -> pa.Table:
-    with pa.ipc.open_stream(get(uri)) as r:
+def read_block(root: str, block: int) -> pa.Table:
+    with pa.ipc.open_stream(get(f"{root}/{block:016x}.arrow")) as r:
         return r.read_all()
 
 
@@ -137,23 +138,22 @@ def sliced(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Itera
 
 
 def block_pass(
-    docs: DataFrame, root: str, features: Callable[[str, pa.Table], Iterator[pa.RecordBatch]], schema: str
+    docs: DataFrame, root: str, features: Callable[[int, pa.Table], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """One pass over ``docs``: each run of about :data:`BLOCK_BYTES` is written as a block file and handed to ``features``.
+    """One pass over ``docs``: each run of about :data:`BLOCK_BYTES` is written as a block file below ``root`` and handed to ``features``.
 
-    ``features(block_uri, table)`` yields Arrow batches of ``schema``.  The result has side effects, so stage it
+    ``features(block, table)`` yields Arrow batches of ``schema``.  The result has side effects, so stage it
     before using it: only blocks named in staged rows exist for later passes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in sliced(batches):
-            uri = write_block(root, held)
-            yield from features(uri, pa.Table.from_batches(held))
+            yield from features(write_block(root, held), pa.Table.from_batches(held))
 
     return docs.mapInArrow(run, schema)
 
 
-def apply_blocks(decisions: DataFrame, apply: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
+def apply_blocks(decisions: DataFrame, root: str, apply: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
     """Second pass: for each block (column ``block``) read its file and call ``apply(block_table, decisions_of_block)``.
 
     No document text is shuffled; what is shuffled is one short row per decision.  Every block needs at least
@@ -161,7 +161,7 @@ def apply_blocks(decisions: DataFrame, apply: Callable[[pa.Table, pa.Table], pa.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        return apply(read_block(table.column("block")[0].as_py()), table)
+        return apply(read_block(root, table.column("block")[0].as_py()), table)
 
     return decisions.groupBy("block").applyInArrow(run, schema)
 

@@ -10,6 +10,7 @@ from freshet.llm.castore import op3_token_store
 from freshet.llm.packing import op5_packing
 from freshet.llm.quality import ORACLE_OP10, op10_quality_rules
 from freshet.llm.simhash import op7_simhash
+from freshet.llm.suffix import op8_suffix_array
 from freshet.llm.topk import ORACLE_OP1, op1_topk_search
 from freshet.llm.warc import ORACLE_OP2, op2_warc
 
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_store": lambda spark, d: op3_token_store(spark, _table(spark, d, "documents")),
         "op5_packing": lambda spark, d: op5_packing(spark, _table(spark, d, "documents")),
         "op7_simhash": lambda spark, d: op7_simhash(spark, _table(spark, d, "documents")),
+        "op8_suffix_array": lambda spark, d: op8_suffix_array(spark, _table(spark, d, "documents")),
         "op10_quality_rules": lambda spark, d: op10_quality_rules(_table(spark, d, "documents")),
     }
 
