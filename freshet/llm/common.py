@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 8 << 20
 
 _SCRATCH: list[str] = []
+_RESULTS: list[str] = []
 _KEEP_AT_EXIT: list[SparkSession] = []
 
 
@@ -41,10 +42,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder URI below the shared root; :func:`release` or the end of the process deletes it."""
     uri = f"{shared_root(spark)}/freshet-{name}-{uuid.uuid4().hex}"
     _SCRATCH.append(uri)
+    _watch_exit(spark)
+    return uri
+
+
+def delete_at_exit(spark: SparkSession, uri: str) -> None:
+    """Delete a result's folder when the process ends, not before."""
+    _RESULTS.append(uri)
+    _watch_exit(spark)
+
+
+def _watch_exit(spark: SparkSession) -> None:
     if not _KEEP_AT_EXIT:
         _KEEP_AT_EXIT.append(spark)
         atexit.register(_at_exit)
-    return uri
 
 
 def delete(spark: SparkSession, uri: str) -> None:
@@ -66,6 +77,8 @@ def _at_exit() -> None:
         try:
             if spark.sparkContext._jsc is not None:
                 release(spark)
+                for uri in _RESULTS:
+                    delete(spark, uri)
         except Exception:  # the JVM is gone already; nothing is left to delete through
             return
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from freshet.llm.castore import op3_token_store
+from freshet.llm.lines import op4_line_dedup
 from freshet.llm.packing import op5_packing
 from freshet.llm.quality import ORACLE_OP10, op10_quality_rules
 from freshet.llm.simhash import op7_simhash
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_topk_search": lambda spark, d: op1_topk_search(spark, _table(spark, d, "embeddings")),
         "op2_warc": lambda spark, d: op2_warc(spark, _table(spark, d, "pages")),
         "op3_token_store": lambda spark, d: op3_token_store(spark, _table(spark, d, "documents")),
+        "op4_line_dedup": lambda spark, d: op4_line_dedup(spark, _table(spark, d, "documents")),
         "op5_packing": lambda spark, d: op5_packing(spark, _table(spark, d, "documents")),
         "op7_simhash": lambda spark, d: op7_simhash(spark, _table(spark, d, "documents")),
         "op8_suffix_array": lambda spark, d: op8_suffix_array(spark, _table(spark, d, "documents")),

@@ -17,6 +17,7 @@ never name a component unless all its ids are null.  An empty table gives an emp
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -31,6 +32,7 @@ from freshet.llm.components import components
 
 #: Fingerprints in a tile.
 TILE = 4096
+WHITE = " \t\n\x0b\x0c\r"
 _ROWS = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -237,3 +239,43 @@ def op7_simhash(spark: SparkSession, documents: DataFrame) -> DataFrame:
     prints = common.stage(spark, fingerprints(docs, 3, 1, ["doc_id"]), f"{root}/prints")
     groups = near_duplicates(spark, prints, root)
     return prints.join(groups, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+#: Five-word shingles, and votes of 1024 bits, which tell similarities apart to a few hundredths.
+DEDUP_SHINGLE, DEDUP_WORDS = 5, 16
+
+
+def similarity_radius(similarity: float, bits: int) -> int:
+    """Differing bits expected of two shingle sets of that Jaccard similarity (their angle over pi), plus one standard deviation."""
+    cosine = 2 * similarity / (1 + similarity)
+    p = math.acos(min(1.0, cosine)) / math.pi
+    return int(bits * p + math.sqrt(bits * p * (1 - p)))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id (null first; then by fingerprint and place).
+
+    Word five-grams, similarity 0.8 or more, estimated by 1024-bit SimHash; first words are compared tile by tile with a radius
+    four standard deviations wide, whole fingerprints where these are near.  Documents without a word are no duplicates of one another.
+    """
+    root = common.scratch(spark, "near")
+    first = 64 * (p := math.acos(2 * similarity / (1 + similarity)) / math.pi) + 4 * math.sqrt(64 * p * (1 - p))
+
+    def prints(block: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        texts = table.column("text").to_pylist()
+        n = len(texts)
+        fps = [fingerprint(t, DEDUP_SHINGLE, DEDUP_WORDS) if t and t.strip(WHITE) else None for t in texts]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), table.column("doc_id").cast(pa.int64()).combine_chunks(), pa.array(fps, pa.binary())], ["block", "row", "doc_id", "fp"]
+        )
+
+    rows = common.stage(spark, common.block_pass(docs, f"{root}/blocks", prints, "block long, row int, doc_id long, fp binary"), f"{root}/prints")
+    shown = rows.where("fp is not null").withColumn("doc_id", F.struct("doc_id", "block", "row"))
+    groups = near_duplicates(spark, shown, root, DEDUP_WORDS, similarity_radius(similarity, 64 * DEDUP_WORDS), int(first))
+    keep = groups.select(F.col("component_id.block").alias("block"), F.col("component_id.row").alias("row")).distinct()
+    keep = keep.unionByName(rows.where("fp is null").select("block", "row")).unionByName(rows.select("block", F.lit(None).cast("int").alias("row")).distinct())
+
+    def apply(block: pa.Table, mine: pa.Table) -> pa.Table:
+        return block.take(pa.array(sorted(r for r in mine.column("row").to_pylist() if r is not None), pa.int64()))
+
+    return common.apply_blocks(keep, f"{root}/blocks", apply, docs.schema)
