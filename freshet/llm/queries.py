@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from freshet.llm.castore import op3_token_store
 from freshet.llm.lines import op4_line_dedup
+from freshet.llm.mincut import op9_html_mincut
 from freshet.llm.packing import op5_packing
+from freshet.llm.pieces import op6_sentencepiece
 from freshet.llm.quality import ORACLE_OP10, op10_quality_rules
 from freshet.llm.simhash import op7_simhash
 from freshet.llm.suffix import op8_suffix_array
@@ -27,8 +29,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_store": lambda spark, d: op3_token_store(spark, _table(spark, d, "documents")),
         "op4_line_dedup": lambda spark, d: op4_line_dedup(spark, _table(spark, d, "documents")),
         "op5_packing": lambda spark, d: op5_packing(spark, _table(spark, d, "documents")),
+        "op6_sentencepiece": lambda spark, d: op6_sentencepiece(_table(spark, d, "documents")),
         "op7_simhash": lambda spark, d: op7_simhash(spark, _table(spark, d, "documents")),
         "op8_suffix_array": lambda spark, d: op8_suffix_array(spark, _table(spark, d, "documents")),
+        "op9_html_mincut": lambda spark, d: op9_html_mincut(_table(spark, d, "pages")),
         "op10_quality_rules": lambda spark, d: op10_quality_rules(_table(spark, d, "documents")),
     }
 
