@@ -113,6 +113,12 @@ def normalised_zero(scaler: DataFrame) -> DataFrame:
     return scaler.select("feature", (-F.try_divide("center", "scale")).alias("zero"))
 
 
+def with_noise(df: DataFrame, scaler: DataFrame, targets: Iterable[str], sigma: float, seed: int = 0) -> DataFrame:
+    """Label noise on scaled targets, in proportion to the unscaled value: y + (y + mean / std) * N(0, sigma)."""
+    ratio = {r.feature: r.ratio for r in scaler.select("feature", F.try_divide("mean", "std").alias("ratio")).collect()}
+    return df.withColumns({t: F.col(t) + (F.col(t) + F.lit(ratio[t])) * F.randn(seed + i) * F.lit(sigma) for i, t in enumerate(targets)})
+
+
 def save(scaler: DataFrame, path: str) -> None:
     scaler.write.mode("overwrite").parquet(path)
 

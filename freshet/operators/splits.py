@@ -100,3 +100,8 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     v = F.col(column).cast("double")
     at = F.least(F.floor(F.coalesce(F.try_divide((v - F.col("lo")) * bins, F.col("hi") - F.col("lo")), F.lit(0.0))), F.lit(bins - 1))
     return df.where(F.col(column).isNotNull()).join(F.broadcast(bounds)).select(at.cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+
+
+def random_basins(basins: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """n basins drawn by a hash of seed and basin, so a run that is repeated draws the same."""
+    return basins.select(BASIN).distinct().orderBy(F.xxhash64(F.lit(seed), F.col(BASIN)), BASIN).limit(n)

@@ -78,10 +78,42 @@ def _basin_of_file(pattern: str) -> F.Column:
 
 def read_timeseries(spark: SparkSession, root: str, basins: Sequence[str], features: Sequence[str], kind: str = "csv") -> DataFrame:
     """Daily series ``root/timeseries/csv/<sub>/<basin>.csv`` (a date and a column a feature)."""
+    if kind == "netcdf":
+        return read_netcdf(spark, root, basins, features)
     paths = [f"{root}/timeseries/{kind}/{b.partition('_')[0]}/{b}.csv" for b in basins]
     return _read_series(spark, paths, features, r"([^/]+)\.csv$")
 
 
+def read_netcdf(spark: SparkSession, root: str, basins: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """Daily series ``root/timeseries/netcdf/<sub>/<basin>.nc``; needs the netCDF4 package on the executors and files they can open.
+
+    One task opens a group of files; only the wanted variables are read.
+    """
+    import importlib.util
+
+    if importlib.util.find_spec("netCDF4") is None:
+        raise ImportError("reading NetCDF needs the package netCDF4; the CSV and Zarr layouts do not")
+    names = list(features)
+
+    def run(batches):
+        import netCDF4
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for basin, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with netCDF4.Dataset(path) as d:
+                    days = netCDF4.num2date(d["date"][:], d["date"].units, only_use_cftime_datetimes=False, only_use_python_datetimes=True)
+                    cols = [np.ma.filled(d[f][:].astype("float32"), np.nan) for f in names]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([basin] * len(days)), pa.array([x.date() for x in days]), *(pa.array(c, mask=np.isnan(c)) for c in cols)], names=[BASIN, DATE, *names]
+                )
+
+    files = spark.createDataFrame([(b, f"{root}/timeseries/netcdf/{b.partition('_')[0]}/{b}.nc") for b in basins], "basin string, path string")
+    schema = T.StructType([T.StructField(BASIN, T.StringType()), T.StructField(DATE, T.DateType()), *(T.StructField(f, T.FloatType()) for f in names)])
+    return files.repartition(max(1, len(basins) // 16)).mapInArrow(run, schema)
+
+
 def _read_series(spark: SparkSession, paths: Sequence[str], features: Sequence[str], pattern: str) -> DataFrame:
     header = _header(spark, paths[0])
     gone = [f for f in features if f not in header]
