@@ -33,6 +33,15 @@ def test_cache_is_bounded(monkeypatch):
         assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(found[i : i + 20])] == SP.encode([t or "" for t in found[i : i + 20]])
 
 
+def test_a_wrong_word_is_found():
+    own = Pieces(PATH)
+    ids = own.encode(["good bad"], SP)
+    assert own.wrong == set() and own.verified(["good bad"], ids, SP) == ([True], [True])
+    assert own.differing({"▁bad": own.cache["▁good"]}, SP) == {"▁bad"}
+    own.wrong.add("▁bad")
+    assert own.verified(["a bad"], own.encode(["bad a"]), SP)[0] == [False]
+
+
 def varint(n):
     out = b""
     while n > 127:
@@ -81,7 +90,7 @@ def test_operators(spark, documents):
     for i, t in enumerate(found):
         ids = SP.encode(t or "")
         assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        assert got[i].parity
+        assert got[i].parity and got[i].round_trip
     back = decode(encode(documents(found, extra=True), PATH, into="token_ids"), PATH, "token_ids", "back").collect()
     assert {x.doc_id: x.back for x in back} == {i: SP.decode(SP.encode(t or "")) for i, t in enumerate(found)}
     assert op6_sentencepiece(documents(["a"]).limit(0)).collect() == []
