@@ -22,8 +22,20 @@ def calendar(df: DataFrame, start=None, end=None, step: str = "1 day") -> DataFr
 
 
 def densify(df: DataFrame, start=None, end=None, step: str = "1 day") -> DataFrame:
-    """Add the missing dates of each basin as rows of NULLs."""
-    return calendar(df, start, end, step).join(df, [BASIN, DATE], "left")
+    """Add the missing dates of each basin as rows of NULLs, between its first and last date or between fixed bounds.
+
+    Without bounds each row is repeated up to the next one's date: one scan and one exchange by basin, which windows over basins then
+    share.  With bounds the calendar is joined.  Rows that share a date all stay; rows without a basin or date go.
+    """
+    if start is not None or end is not None:
+        return calendar(df, start, end, step).join(df, [BASIN, DATE], "left")
+    kind = df.schema[DATE].dataType
+    by = Window.partitionBy(BASIN).orderBy(DATE)
+    rows = df.where(F.col(BASIN).isNotNull() & F.col(DATE).isNotNull()).withColumn("__next", F.lead(DATE).over(by))
+    last = F.greatest(F.col(DATE), F.coalesce((F.col("__next") - F.expr(f"interval {step}")).cast(kind), F.col(DATE)))
+    rows = rows.withColumn("__date", F.explode(F.sequence(F.col(DATE), last, F.expr(f"interval {step}"))))
+    values = [F.when(F.col("__date") == F.col(DATE), F.col(c)).alias(c) for c in df.columns if c not in (BASIN, DATE)]
+    return rows.select(BASIN, F.col("__date").alias(DATE), *values)
 
 
 def in_periods(periods: Sequence[Period], before: int = 0, after: int = 0, column: str = DATE) -> Column:
