@@ -25,7 +25,7 @@ class Config:
     statics_data_dir: Path | None = None
     dynamics_data_dir: Path | None = None
     targets_data_dir: Path | None = None
-    dataset: str = "multimet"
+    dataset: str = "tables"
     train_basin_file: Path | None = None
     validation_basin_file: Path | None = None
     test_basin_file: Path | None = None

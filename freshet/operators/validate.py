@@ -117,25 +117,25 @@ def masks(
     All window checks share one partitioning and order, so they cost one exchange and one sort.
     """
     if not (statics or hindcast or forecast or targets):
-        raise ValueError("At least one feature list is required to validate samples.")
+        raise ValueError("no features to validate")
     groups = lambda x: [[f] if isinstance(f, str) and method in ("masked_mean", "attention", "unioning") else f for f in x]
     found: dict[str, Column] = {}
     if statics:
         found["statics"] = all_valid(statics)
     if hindcast:
         if seq_length is None:
-            raise ValueError("Sequence length is required when validating hindcast data.")
+            raise ValueError("hindcasts need seq_length")
         found["hindcasts"] = sequence_all(policy(method, groups(hindcast)), seq_length)
     if forecast:
         found["forecasts"] = F.coalesce(lead_policy(method, groups(forecast)), F.lit(False))
         if overlap:
             if min_lead is None:
-                raise ValueError("`min_lead` is required when validating a forecast overlap sequence.")
+                raise ValueError("an overlap needs min_lead")
             first = [f"{f}__lead0" if isinstance(f, str) else [f"{x}__lead0" for x in f] for f in forecast]
             found["forecast_overlap"] = sequence_all(policy(method, groups(first)), overlap, -min_lead)
     if targets and train:
         if predict_last_n is None:
-            raise ValueError("Target sequence length is required when validating target data.")
+            raise ValueError("targets need predict_last_n")
         if skip_zero:
             found["non_zero_targets"] = nonzero(targets)
         found["targets"] = sequence_any(any_valid(targets), predict_last_n, lead_time)
