@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of column data in one block file; one block is the unit of work of a follow-up pass.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 _SCRATCH: list[str] = []
 _RESULTS: list[str] = []

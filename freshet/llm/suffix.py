@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 
 from freshet.llm import common
 
-LENGTH, GRAM = 100, 24
+LENGTH, GRAM = 100, 16
 #: Distinct stretches of one bucket that one task sorts; more are compared by window hashes.
 HOT = 4096
 #: Bytes handed to one refinement.
-SORT_BYTES = 4 << 20
+SORT_BYTES = 1 << 20
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -68,7 +68,7 @@ def slide_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 #: Window starts worked off at a time.
-_PART = 1 << 20
+_PART = 1 << 19
 
 
 def stretches(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,10 +80,9 @@ def stretches(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: in
     if windows <= 0:
         return (np.empty(0, np.uint64), *2 * (np.empty(0, np.int64),))
     width = length - gram + 1
-    crossing = np.zeros(windows + length, np.int32)  # a text's last length - 1 starts have no whole window
-    np.add.at(crossing, np.maximum(ends - length + 1, 0).clip(max=windows), 1)
-    np.add.at(crossing, ends.clip(max=windows), -1)
-    valid = np.cumsum(crossing[:windows]) == 0
+    valid = np.ones(windows, bool)
+    for end in ends.tolist():  # a text's last length - 1 starts have no whole window
+        valid[max(0, end - length + 1) : end] = False
     out_b, out_f, out_l = [], [], []
     for at in range(0, windows, _PART):
         stop = min(windows, at + _PART)
@@ -336,6 +335,9 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, root: str, length: int
     rows = common.stage(spark, common.block_pass(docs, f"{root}/blocks", _first_pass(length, gram), ROW), f"{root}/rows")
     dealt = rows.where("kind = 0").repartition("bucket").sortWithinPartitions("bucket", "content", *PLACE)
     settled = common.stage(spark, dealt.mapInArrow(_buckets, ROW), f"{root}/settled")
+    marks = rows.where("kind > 0").select("block", F.when(F.col("kind") == 1, F.col("row")).alias("row"), "first", "last")
+    known = common.stage(spark, marks, f"{root}/known")
+    common.delete(spark, f"{root}/rows")
     asked = settled.where("kind = 3")
     parts = common.stage(spark, common.apply_blocks(asked, f"{root}/blocks", _contents(length), STRETCH), f"{root}/stretches")
     crowded = asked.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("bucket")
@@ -344,8 +346,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, root: str, length: int
     windows = hot.mapInArrow(_window_hashes(length), "hash binary, doc_id long, tie int, block long, row int, first int")
     place = F.struct(*PLACE)
     least = windows.groupBy("hash").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1")
-    again = windows.join(least, "hash").where(place != F.col("least")).select("block", "row", "first", F.col("first").alias("last"))
-    known = rows.where("kind > 0").select("block", F.when(F.col("kind") == 1, F.col("row")).alias("row"), "first", "last")
+    again = windows.join(least.hint("merge"), "hash").where(place != F.col("least")).select("block", "row", "first", F.col("first").alias("last"))
     return known.unionByName(settled.where("kind = 1").select("block", "row", "first", "last")).unionByName(small).unionByName(again)
 
 
@@ -353,11 +354,10 @@ def removed(spans: pa.Table, sizes: list[int], length: int) -> list[np.ndarray]:
     """For each row of a block, a mask of the bytes that its spans of repeated windows cover."""
     spans = spans.filter(pc.is_valid(spans.column("row")))
     base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    change = np.zeros(base[-1] + 1, np.int64)
+    mask = np.zeros(base[-1], bool)
     row, first, last = (spans.column(c).to_numpy() for c in ("row", "first", "last"))
-    np.add.at(change, base[row] + first, 1)
-    np.add.at(change, base[row] + last + length, -1)
-    mask = np.cumsum(change) > 0
+    for a, b in zip((base[row] + first).tolist(), (base[row] + last + length).tolist(), strict=True):
+        mask[a:b] = True
     return [mask[base[i] : base[i + 1]] for i in range(len(sizes))]
 
 
