@@ -13,6 +13,7 @@ import posixpath
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 #: Bytes of column data in one block file; one block is the unit of work of a follow-up pass.
 BLOCK_BYTES = 4 << 20
 
-_SCRATCH: list[str] = []
+#: Work folder -> who asked for it (None: a caller of an operator).
+_SCRATCH: dict[str, str | None] = {}
+_OWNER: list[str | None] = [None]
 _RESULTS: list[str] = []
 _KEEP_AT_EXIT: list[SparkSession] = []
 
@@ -39,9 +42,9 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder URI below the shared root; :func:`release` or the end of the process deletes it."""
+    """A fresh folder URI below the shared root; its owner's :func:`release` or the end of the process deletes it."""
     uri = f"{shared_root(spark)}/freshet-{name}-{uuid.uuid4().hex}"
-    _SCRATCH.append(uri)
+    _SCRATCH[uri] = _OWNER[-1]
     _watch_exit(spark)
     return uri
 
@@ -62,13 +65,22 @@ def delete(spark: SparkSession, uri: str) -> None:
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(uri)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    if uri in _SCRATCH:
-        _SCRATCH.remove(uri)
+    _SCRATCH.pop(uri, None)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every scratch folder made so far.  Call it only when all results built on them are written."""
-    for uri in list(_SCRATCH):
+@contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Work folders made inside belong to ``owner``, who may release them."""
+    _OWNER.append(owner)
+    try:
+        yield
+    finally:
+        _OWNER.pop()
+
+
+def release(spark: SparkSession, owner: str) -> None:
+    """Delete the work folders of ``owner``, who vouches that all results built on them are written."""
+    for uri in [u for u, o in _SCRATCH.items() if o == owner]:
         delete(spark, uri)
 
 
@@ -76,8 +88,7 @@ def _at_exit() -> None:
     for spark in _KEEP_AT_EXIT:
         try:
             if spark.sparkContext._jsc is not None:
-                release(spark)
-                for uri in _RESULTS:
+                for uri in [*_SCRATCH, *_RESULTS]:
                     delete(spark, uri)
         except Exception:  # the JVM is gone already; nothing is left to delete through
             return
