@@ -177,17 +177,19 @@ def block_pass(
     return docs.mapInArrow(run, schema)
 
 
-def apply_blocks(decisions: DataFrame, root: str, apply: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
+def apply_blocks(decisions: DataFrame, root: str, apply: Callable[[pa.Table, pa.Table], pa.Table], schema, blocks: int) -> DataFrame:
     """Second pass: for each block (column ``block``) read its file and call ``apply(block_table, decisions_of_block)``.
 
-    No document text is shuffled; what is shuffled is one short row per decision.  Every block needs at least
-    one (marker) row in ``decisions``.
+    No document text is shuffled; what is shuffled is one short row per decision.  Every block needs at least one (marker) row in
+    ``decisions``.  ``blocks`` is their number: tasks are made for the bytes of the blocks, about 16 of them each on large inputs,
+    because adaptive execution would coalesce by the size of the short rows.
     """
+    tasks = max(1, blocks // 16, min(blocks, 4 * decisions.sparkSession.sparkContext.defaultParallelism))
 
     def run(table: pa.Table) -> pa.Table:
         return apply(read_block(root, table.column("block")[0].as_py()), table)
 
-    return decisions.groupBy("block").applyInArrow(run, schema)
+    return decisions.repartition(tasks, "block").groupBy("block").applyInArrow(run, schema)
 
 
 def text_column(df: DataFrame, name: str) -> F.Column:

@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from freshet.llm import common
 from freshet.llm.components import components
@@ -81,7 +82,7 @@ def fingerprints(docs: DataFrame, shingle: int, words: int, keep: list[str]) ->
             fps = pa.array([fingerprint(t.as_py(), shingle, words) for t in text], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), fps], [*keep, "fp"])
 
-    schema = docs.select(*keep).schema.add("fp", "binary")
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("fp", T.BinaryType())])
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
@@ -230,7 +231,9 @@ def near_duplicates(
     grouped = found.join(distinct.select(F.col("fp").alias("node"), "first"), "node")
     ids = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
     member = found.join(ids, "component").select(F.col("node").alias("fp"), "component_id")
-    return distinct.join(member, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id"))
+    groups = distinct.join(member, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id"))
+    # staged, so that a join on it reads two plain shuffles and a fingerprint of very many documents is split over tasks
+    return common.stage(spark, groups, f"{root}/groups")
 
 
 def op7_simhash(spark: SparkSession, documents: DataFrame) -> DataFrame:
@@ -278,4 +281,4 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float
     def apply(block: pa.Table, mine: pa.Table) -> pa.Table:
         return block.take(pa.array(sorted(r for r in mine.column("row").to_pylist() if r is not None), pa.int64()))
 
-    return common.apply_blocks(keep, f"{root}/blocks", apply, docs.schema)
+    return common.apply_blocks(keep, f"{root}/blocks", apply, docs.schema, rows.select("block").distinct().count())

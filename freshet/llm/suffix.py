@@ -330,16 +330,17 @@ def _window_hashes(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
-def repeated_spans(spark: SparkSession, docs: DataFrame, root: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(block, row, first, last): window starts of the block files below ``root`` that repeat an earlier window; rows with a null ``row`` mark blocks."""
+def repeated_spans(spark: SparkSession, docs: DataFrame, root: str, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, int]:
+    """(block, row, first, last): window starts of the block files below ``root`` that repeat an earlier window; rows with a null ``row`` mark blocks.  And the number of blocks."""
     rows = common.stage(spark, common.block_pass(docs, f"{root}/blocks", _first_pass(length, gram), ROW), f"{root}/rows")
     dealt = rows.where("kind = 0").repartition("bucket").sortWithinPartitions("bucket", "content", *PLACE)
     settled = common.stage(spark, dealt.mapInArrow(_buckets, ROW), f"{root}/settled")
     marks = rows.where("kind > 0").select("block", F.when(F.col("kind") == 1, F.col("row")).alias("row"), "first", "last")
     known = common.stage(spark, marks, f"{root}/known")
     common.delete(spark, f"{root}/rows")
+    blocks = known.where("row is null").count()
     asked = settled.where("kind = 3")
-    parts = common.stage(spark, common.apply_blocks(asked, f"{root}/blocks", _contents(length), STRETCH), f"{root}/stretches")
+    parts = common.stage(spark, common.apply_blocks(asked, f"{root}/blocks", _contents(length), STRETCH, blocks), f"{root}/stretches")
     crowded = asked.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("bucket")
     small = parts.join(crowded, "bucket", "left_anti").select(parts.columns).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refined(length), SPAN)
     hot = parts.join(crowded, "bucket", "left_semi").select(parts.columns)
@@ -347,7 +348,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, root: str, length: int
     place = F.struct(*PLACE)
     least = windows.groupBy("hash").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1")
     again = windows.join(least.hint("merge"), "hash").where(place != F.col("least")).select("block", "row", "first", F.col("first").alias("last"))
-    return known.unionByName(settled.where("kind = 1").select("block", "row", "first", "last")).unionByName(small).unionByName(again)
+    return known.unionByName(settled.where("kind = 1").select("block", "row", "first", "last")).unionByName(small).unionByName(again), blocks
 
 
 def removed(spans: pa.Table, sizes: list[int], length: int) -> list[np.ndarray]:
@@ -364,7 +365,7 @@ def removed(spans: pa.Table, sizes: list[int], length: int) -> list[np.ndarray]:
 def op8_suffix_array(spark: SparkSession, documents: DataFrame) -> DataFrame:
     root = common.scratch(spark, "suffix")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(documents, "text").alias("text"))
-    spans = repeated_spans(spark, docs, root)
+    spans, blocks = repeated_spans(spark, docs, root)
 
     def apply(block: pa.Table, mine: pa.Table) -> pa.Table:
         texts, _ = _texts(block)
@@ -377,7 +378,7 @@ def op8_suffix_array(spark: SparkSession, documents: DataFrame) -> DataFrame:
         cols = list(zip(*rows, strict=True))
         return pa.table([block.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return common.apply_blocks(spans, f"{root}/blocks", apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return common.apply_blocks(spans, f"{root}/blocks", apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", blocks)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -387,7 +388,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH) ->
     """
     root = common.scratch(spark, "suffix")
     schema = docs.schema
-    spans = repeated_spans(spark, docs, root, length)
+    spans, blocks = repeated_spans(spark, docs, root, length)
     counts = "n_chars" in docs.columns
 
     def apply(block: pa.Table, mine: pa.Table) -> pa.Table:
@@ -412,4 +413,4 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH) ->
             out = out.set_column(at, out.schema.field(at), pa.array(sizes, out.schema.field(at).type))
         return out
 
-    return common.apply_blocks(spans, f"{root}/blocks", apply, schema)
+    return common.apply_blocks(spans, f"{root}/blocks", apply, schema, blocks)
