@@ -2,9 +2,9 @@
 
 Format, all integers little-endian.  A document's ids are cut where a rolling hash of the last :data:`SPAN` ids meets a mask
 (so equal passages give equal chunks wherever they stand), with chunks of :data:`LEAST` to :data:`MOST` ids.  A chunk is named by
-the SHA-256 of its bytes and stored once, in a pack:
+the SHA-256 of its stored bytes (a byte that says how many bytes an id takes, 2 or 4, then the ids) and kept once, in a pack:
 
-* pack:    ``CASPACK1``, count (u32), then for each chunk digest (32 bytes), length in bytes (u32), ids (u32 each)
+* pack:    ``CASPACK1``, count (u32), then for each chunk digest (32 bytes), length in bytes (u32), stored bytes; compressed as a Zstandard frame
 * recipe file: ``CASRECP1``, count (u32), then for each document, in ascending doc_id order: flags (u8, 1: null doc_id), doc_id (i64), ids (u64), chunks (u32),
   Merkle root (32 bytes), then for each chunk its digest (32 bytes) and id count (u32)
 * both end with the SHA-256 of all bytes before it; a recipe file's order among the others is its ``part`` in the manifest.
@@ -39,9 +39,9 @@ from freshet.llm.encode import encode_all
 
 LEAST, MEAN, MOST, SPAN = 64, 256, 1024, 16
 PACK, RECIPE = b"CASPACK1", b"CASRECP1"
-PACK_BYTES = 32 << 20
+PACK_BYTES = 16 << 20
 #: Chunk digests a task remembers in order to hand on a chunk's bytes once.
-SEEN = 1_000_000
+SEEN = 500_000
 
 
 class Corrupt(ValueError):
@@ -117,9 +117,28 @@ def crc_join(left: int, right: int, right_bytes: int) -> int:
 # --- files ----------------------------------------------------------------------------------------------------------
 
 
+def narrow(ids: np.ndarray) -> bytes:
+    """A chunk's stored bytes."""
+    return b"\2" + ids.astype("<u2").tobytes() if ids.max(initial=0) < 1 << 16 else b"\4" + ids.astype("<u4").tobytes()
+
+
+def wide(chunk: bytes) -> bytes:
+    """The ids of stored bytes, 4 bytes each."""
+    return np.frombuffer(chunk, "<u2", offset=1).astype("<u4").tobytes() if chunk[0] == 2 else chunk[1:]
+
+
 def pack_file(chunks: list[tuple[bytes, bytes]]) -> bytes:
-    body = b"".join([PACK, struct.pack("<I", len(chunks)), *(x for d, ids in chunks for x in (d, struct.pack("<I", len(ids)), ids))])
-    return body + hashlib.sha256(body).digest()
+    body = b"".join([PACK, struct.pack("<I", len(chunks)), *(x for d, data in chunks for x in (d, struct.pack("<I", len(data)), data))])
+    return struct.pack("<Q", len(body) + 32) + pa.compress(body + hashlib.sha256(body).digest(), "zstd", asbytes=True)
+
+
+def open_pack(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """Digest and ids of each chunk of a pack file."""
+    try:
+        plain = pa.decompress(data[8:], struct.unpack_from("<Q", data)[0], "zstd", asbytes=True)
+    except (OSError, struct.error) as e:
+        raise Corrupt(f"pack: {e}") from None
+    return read_pack(plain)
 
 
 def _body(data: bytes, magic: bytes) -> memoryview:
@@ -133,10 +152,10 @@ def read_pack(data: bytes) -> Iterator[tuple[bytes, bytes]]:
     (n,), at = struct.unpack_from("<I", body), 4
     for _ in range(n):
         digest, (size,) = bytes(body[at : at + 32]), struct.unpack_from("<I", body, at + 32)
-        ids = bytes(body[at + 36 : at + 36 + size])
-        if hashlib.sha256(ids).digest() != digest:
+        chunk = bytes(body[at + 36 : at + 36 + size])
+        if hashlib.sha256(chunk).digest() != digest:
             raise Corrupt("chunk digest differs")
-        yield digest, ids
+        yield digest, wide(chunk)
         at += 36 + size
 
 
@@ -171,7 +190,7 @@ STAGED = "doc_id long, n_tokens long, root binary, digests binary, sizes binary,
 
 
 def chunked(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """Each document's recipe, and the bytes of those chunks its task had not met before (a byte that says how many bytes an id takes, then the ids)."""
+    """Each document's recipe, and the bytes of those chunks its task had not met before."""
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("digests", pa.binary()), ("sizes", pa.binary()),
          ("fresh", pa.list_(pa.struct([("digest", pa.binary()), ("ids", pa.binary())])))]
@@ -180,14 +199,14 @@ def chunked(docs: DataFrame, path: str, end: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                docs, texts = (batch.column(c).slice(i, 256).to_pylist() for c in (0, 1))
+            for i in range(0, batch.num_rows, 1024):
+                docs, texts = (batch.column(c).slice(i, 1024).to_pylist() for c in (0, 1))
                 rows = []
                 for doc, data in zip(docs, encode_all(texts, path, end), strict=True):
                     ids = np.frombuffer(data, "<u4")
                     digests, sizes, fresh, at = [], [], [], 0
                     for stop in cuts(ids):
-                        chunk = data[4 * at : 4 * stop]
+                        chunk = narrow(ids[at:stop])
                         digest = hashlib.sha256(chunk).digest()
                         digests.append(digest)
                         sizes.append(stop - at)
@@ -195,8 +214,7 @@ def chunked(docs: DataFrame, path: str, end: int) -> DataFrame:
                             if len(seen) >= SEEN:
                                 seen.clear()
                             seen.add(digest)
-                            part = ids[at:stop]
-                            fresh.append({"digest": digest, "ids": b"\2" + part.astype("<u2").tobytes() if part.max() < 1 << 16 else b"\4" + chunk})
+                            fresh.append({"digest": digest, "ids": chunk})
                         at = stop
                     rows.append((doc, len(ids), merkle(digests), b"".join(digests), np.array(sizes, "<u4").tobytes(), fresh))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -214,14 +232,13 @@ def write_packs(staged: DataFrame, root: str) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            common.put(uri := f"{root}/{common.unique_name('.pack')}", zlib.compress(pack_file(held), 1))
+            common.put(uri := f"{root}/{common.unique_name('.pack')}", pack_file(held))
             return pa.record_batch({"file": [uri], "chunks": pa.array([len(held)], pa.int64())})
 
         for batch in batches:
-            for digest, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                wide = np.frombuffer(ids, f"<u{ids[0]}", offset=1).astype("<u4").tobytes()
-                held.append((digest, wide))
-                size += len(wide)
+            for digest, chunk in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.append((digest, chunk))
+                size += len(chunk)
                 if size >= PACK_BYTES:
                     yield flush()
                     held, size = [], 0
@@ -274,7 +291,7 @@ def read_store(packs: DataFrame, recipes: DataFrame) -> DataFrame:
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
-                rows = [(d, len(ids) // 4, zlib.crc32(ids)) for d, ids in read_pack(zlib.decompress(common.get(uri)))]
+                rows = [(d, len(ids) // 4, zlib.crc32(ids)) for d, ids in open_pack(common.get(uri))]
                 d, n, c = zip(*rows, strict=True)
                 yield pa.record_batch({"digest": pa.array(d, pa.binary()), "size": pa.array(n, pa.int32()), "crc": pa.array(c, pa.int64())})
 
@@ -306,7 +323,8 @@ def read_store(packs: DataFrame, recipes: DataFrame) -> DataFrame:
     spread = lambda df: df.repartition(max(1, min(4096, df.count())))
     have = spread(packs.select("file")).mapInArrow(chunks, "digest binary, size int, crc long")
     refs = spread(starts(recipes).select("file", "start")).mapInArrow(references, "doc_id long, start long, n_tokens long, of int, nr int, digest binary, stated int")
-    joined = refs.join(have, "digest", "left")
+    # sizes are unknown to the planner here (a pass over a short file list), so it is told not to broadcast
+    joined = refs.join(have.hint("merge"), "digest", "left")
     # (a document is told from others by where it starts: every one has an end id, so starts differ)
     docs = joined.groupBy("start", "doc_id", "n_tokens", "of").agg(F.collect_list(F.struct("nr", "crc", "size", "stated")).alias("parts"))
     whole = (F.size("parts") == F.col("of")) & F.forall("parts", lambda p: p["size"].eqNullSafe(p["stated"]))
@@ -320,7 +338,7 @@ def restore(packs: DataFrame, recipes: DataFrame) -> DataFrame:
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
-                d, ids = zip(*read_pack(zlib.decompress(common.get(uri))), strict=True)
+                d, ids = zip(*open_pack(common.get(uri)), strict=True)
                 yield pa.record_batch({"digest": pa.array(d, pa.binary()), "ids": pa.array(ids, pa.binary())})
 
     def references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +352,7 @@ def restore(packs: DataFrame, recipes: DataFrame) -> DataFrame:
 
     have = packs.select("file").mapInArrow(chunks, "digest binary, ids binary")
     refs = starts(recipes).select("file", "start").mapInArrow(references, "doc_id long, start long, nr int, digest binary")
-    parts = refs.join(have, "digest").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("nr", "ids"))).alias("parts"))
+    parts = refs.join(have.hint("merge"), "digest").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("nr", "ids"))).alias("parts"))
     return parts.select("doc_id", "start", F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["ids"])).alias("ids"))
 
 
