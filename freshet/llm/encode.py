@@ -11,15 +11,18 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
 _UNIT = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
-#: White space that only some definitions call white space, or that is no unit border.
-_OTHER_SPACE = re.compile(r"[^\S \n\r\t]|[\u180e\u200b\ufeff]")
+_ONE_BLANK = re.compile(r" \S+").fullmatch
+#: White space that is no unit border, or that only some definitions call white space.
+_OTHER_SPACE = [chr(c) for c in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
 
-UNITS = 300_000
-BATCH = 4096
+#: Units that a worker remembers (some 200 bytes each), and units in one call of the library.
+UNITS = 1_600_000
+BATCH = 512
 
 
 @lru_cache(maxsize=4)
@@ -35,41 +38,97 @@ def units(path: str) -> UnitEncoder:
     return UnitEncoder(path)
 
 
+def cut(text: str) -> list[str]:
+    """Units of a text: white space with the word behind it."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\t" in text or "\r" in text or "\0" in text:
+        return _UNIT.findall(text)
+    # single blanks and line ends only: the same cut with string methods
+    return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+
+
+def _other_space(text: str) -> bool:
+    if "\x0b" in text or "\x0c" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return True
+    return not text.isascii() and any(c in text for c in _OTHER_SPACE)
+
+
 class UnitEncoder:
-    """Texts to ids as little-endian unsigned 32-bit bytes; holds at most :data:`UNITS` units."""
+    """Texts to ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
         self.lib = tokenizer(path)
         self.cache: dict[str, bytes] = {}
-        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-
-    def whole(self, text: str) -> bytes:
+        added = self.lib.get_added_tokens_decoder()
+        self.special = [t.content for t in added.values()]
+        if not all("<|" in t for t in self.special):
+            raise ValueError("special tokens are expected to begin with <|")
+        # a special token's string parts the text around it before anything else is done: the units between are encoded as if alone
+        self.border, self.mark = next((i, t.content) for i, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized))
+        #: White space is dropped and words end with tokens of their own; else it belongs to the word behind it.
+        self.blank = self._ids(" ") == b"" and self._ids(" a") == self._ids("a")
+        vocabulary = self.lib.get_vocab(with_added_tokens=False)
+        self.borders = np.zeros(self.lib.get_vocab_size() + 1, bool)
+        for token, i in vocabulary.items():
+            self.borders[i] = token.endswith("</w>") if self.blank else token.startswith("Ġ")
+
+    def _ids(self, text: str) -> bytes:
         return np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        new: dict[str, None] = {}
-        if len(self.cache) > UNITS:
-            self.cache.clear()
-        for text in texts:
-            if _OTHER_SPACE.search(text) or any(s in text for s in self.special):
-                cut.append(None)
+    def _cut(self, text: str) -> list[str] | None:
+        if _other_space(text) or ("<|" in text and any(s in text for s in self.special)):
+            return None
+        return text.split() if self.blank else cut(text)
+
+    def _plain(self, unit: str) -> int:
+        """Border tokens of a unit that can stand next to others without a mark; 0 for one that cannot."""
+        if self.blank:  # a pre-token ends with a token that says so
+            return 1 if unit.isalpha() else 2 if unit[:-1].isalpha() and unit[-1:] in ".,;:!?" else 0
+        return 1 if _ONE_BLANK(unit) else 0  # a unit begins with its blank
+
+    def _learn(self, new: list[str]) -> list[bytes]:
+        found: dict[str, bytes] = {}
+        borders_of = list(map(self._plain, new))
+        marked = [u for u, n in zip(new, borders_of, strict=True) if not n]
+        easy = [u for u, n in zip(new, borders_of, strict=True) if n]
+        easy_counts = [n for n in borders_of if n]
+        for i in range(0, len(easy), BATCH):
+            part, counts = easy[i : i + BATCH], easy_counts[i : i + BATCH]
+            ids = np.array(self.lib.encode_batch_fast([(" " if self.blank else "").join(part)], add_special_tokens=False)[0].ids, "<u4")
+            borders = np.flatnonzero(self.borders[ids])
+            # no unit has fewer borders than is said, so the sum is right only if every one is
+            if len(borders) != sum(counts):
+                marked += part
                 continue
-            parts = _UNIT.findall(text)
-            cut.append(parts)
-            for p in parts:
-                if p not in self.cache:
-                    new[p] = None
-        todo = list(new)
-        for i in range(0, len(todo), BATCH):
-            part = todo[i : i + BATCH]
-            for unit, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[unit] = np.array(e.ids, "<u4").tobytes()
-        known = self.cache.__getitem__
-        return [self.whole(t) if parts is None else b"".join(map(known, parts)) for t, parts in zip(texts, cut, strict=True)]
-
-
-def encode_all(texts: list[str | None], path: str, end: int, chars: int = 1 << 21) -> list[bytes]:
+            ends = 4 * (borders[np.cumsum(counts) - 1] + 1) if self.blank else 4 * np.append(borders[1:], len(ids))
+            raw, at = ids.tobytes(), 0
+            for unit, end in zip(part, ends.tolist(), strict=True):
+                found[unit] = raw[at:end]
+                at = end
+        for i in range(0, len(marked), BATCH):
+            part = marked[i : i + BATCH]
+            ids = np.array(self.lib.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            raw, at = ids.tobytes(), 0
+            for unit, end in zip(part, [*(4 * np.flatnonzero(ids == self.border)).tolist(), len(raw)], strict=True):
+                found[unit] = raw[at:end]
+                at = end + 4
+        return [found[u] for u in new]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        parts = [self._cut(t) for t in texts]
+        # the distinct units of these texts, in a small table of their own; the large one is asked once for each
+        seen = list(set().union(*(p for p in parts if p)))
+        here = dict(zip(seen, map(self.cache.get, seen), strict=True))
+        new = [u for u, ids in here.items() if ids is None]
+        found = dict(zip(new, self._learn(new), strict=True))
+        here |= found
+        if len(self.cache) + len(found) > UNITS:
+            self.cache = dict(islice(self.cache.items(), len(self.cache) // 2, None))  # the older half goes
+        self.cache |= found
+        known = here.__getitem__
+        return [self._ids(t) if p is None else b"".join(map(known, p)) for t, p in zip(texts, parts, strict=True)]
+
+
+def encode_all(texts: list[str | None], path: str, end: int, chars: int = 1 << 18) -> list[bytes]:
     """Ids of each text (null: empty) with the id ``end`` behind them, worked off in groups of about ``chars`` characters."""
     tail = np.array([end], "<u4").tobytes()
     lib, out, held, size = units(path), [], [], 0

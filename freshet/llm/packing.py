@@ -140,7 +140,7 @@ def pack(
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pieces() -> Iterator[Piece]:
             for batch in batches:
-                step = 256
+                step = 1024
                 for i in range(0, batch.num_rows, step):
                     ids, texts = (batch.column(c).slice(i, step).to_pylist() for c in (0, 1))
                     for doc, data in zip(ids, encode_all(texts, path, end), strict=True):

@@ -20,3 +20,17 @@ def test_units_give_the_ids_of_whole_texts(name):
     got = [np.frombuffer(x, "<u4").tolist() for x in encode_all(texts, path, 9, chars=500)]
     for t, w, g in zip(texts, want, got, strict=True):
         assert w == g, repr(t)
+
+
+def test_cache_stays_within_its_bound(monkeypatch):
+    from freshet.llm import encode
+
+    monkeypatch.setattr(encode, "UNITS", 300)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = encode.UnitEncoder(path)
+    r = random.Random(1)
+    for _ in range(40):
+        texts = [" ".join("".join(r.choices("abcdef", k=r.randint(1, 12))) for _ in range(30)) for _ in range(4)]
+        want = [tokenizer(path).encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == want
+        assert len(own.cache) < 600
