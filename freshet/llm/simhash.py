@@ -18,11 +18,12 @@ never name a component unless all its ids are null.  An empty table gives an emp
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,9 +63,11 @@ def _words(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> bytes:
-    """The fingerprint of one text, ``8 * words`` bytes, most significant bit first."""
+def fingerprint(text: str | None, shingle: int = 3, words: int = 1, distinct: bool = False) -> bytes:
+    """The fingerprint of one text, ``8 * words`` bytes, most significant bit first; ``distinct``: repeated shingles vote once."""
     h = shingle_hashes(text or "", shingle)
+    if distinct:
+        h = np.unique(h)
     counts = np.zeros(64 * words, np.int64)
     for i in range(0, len(h), 4080):
         bits = np.unpackbits(_words(h[i : i + 4080], words).astype(">u8").view(np.uint8).reshape(-1, 8 * words), axis=1)
@@ -160,15 +163,13 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, label[at]
 
 
-def compare(a: np.ndarray, b: np.ndarray | None, first_radius: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Forest edges over the rows of ``a`` (and ``b`` behind them) that link fingerprints within ``radius`` bits.
+def near_rows(a: np.ndarray, b: np.ndarray | None, first_radius: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of ``a`` (and ``b`` behind them) whose fingerprints are within ``radius`` bits, some rows of ``a`` at a time.
 
     Fingerprints of several words are compared in full only where their first words differ in at most ``first_radius`` bits.
     """
     other = a if b is None else b
     shift = 0 if b is None else len(a)
-    n = shift + len(other)
-    keep_i, keep_j, size = [], [], 0
     for r in range(0, len(a), _ROWS):
         start = r if b is None else 0
         near = np.bitwise_count(a[r : r + _ROWS, :1] ^ other[None, start:, 0]) <= first_radius
@@ -181,9 +182,17 @@ def compare(a: np.ndarray, b: np.ndarray | None, first_radius: int, radius: int)
             full = np.concatenate([np.bitwise_count(a[i[s : s + 8192]] ^ other[j[s : s + 8192]]).sum(axis=1, dtype=np.int64) for s in range(0, len(i), 8192)]) <= radius
             i, j = i[full], j[full]
         if len(i):
-            keep_i.append(i)
-            keep_j.append(j + shift)
-            size += len(i)
+            yield i, j + shift
+
+
+def compare(a: np.ndarray, b: np.ndarray | None, first_radius: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Forest edges over the rows of ``a`` (and ``b`` behind them) that link fingerprints within ``radius`` bits (see :func:`near_rows`)."""
+    n = len(a) + (0 if b is None else len(b))
+    keep_i, keep_j, size = [], [], 0
+    for i, j in near_rows(a, b, first_radius, radius):
+        keep_i.append(i)
+        keep_j.append(j)
+        size += len(i)
         if size > 1_000_000:
             x, y = forest(n, np.concatenate(keep_i), np.concatenate(keep_j))
             keep_i, keep_j, size = [x], [y], len(x)
@@ -218,9 +227,18 @@ def links(pairs: DataFrame, words: int, first_radius: int, radius: int) -> DataF
 
 
 def near_duplicates(
-    spark: SparkSession, prints: DataFrame, root: str, words: int = 1, radius: int = 2, first_radius: int | None = None
+    spark: SparkSession,
+    prints: DataFrame,
+    root: str,
+    words: int = 1,
+    radius: int = 2,
+    first_radius: int | None = None,
+    check: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """(fp, n, component_id) of every distinct fingerprint of ``prints`` (doc_id, fp): component_id is the smallest doc_id reachable over links."""
+    """(fp, n, component_id) of every distinct fingerprint of ``prints`` (doc_id, fp): component_id is the smallest doc_id reachable over links.
+
+    With ``check``, what the links join are candidates only: it is given (component, fp, first) of them and returns the edges (a, b) that count.
+    """
     distinct = common.stage(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), f"{root}/distinct")
     tiles = common.stage(spark, write_tiles(spark, distinct, words, f"{root}/tiles"), f"{root}/tile-list")
     skip = radius if words == 1 else first_radius if first_radius is not None else 64
@@ -228,6 +246,9 @@ def near_duplicates(
     n_pairs = pairs.count()
     work = pairs.repartition(max(1, min(n_pairs, 8 * spark.sparkContext.defaultParallelism)), "a", "b") if n_pairs else pairs
     found = components(spark, links(work, words, skip, radius), f"{root}/components")
+    if check:
+        asked = found.join(distinct.select(F.col("fp").alias("node"), "first"), "node").select("component", F.col("node").alias("fp"), "first")
+        found = components(spark, check(asked), f"{root}/checked")
     grouped = found.join(distinct.select(F.col("fp").alias("node"), "first"), "node")
     ids = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
     member = found.join(ids, "component").select(F.col("node").alias("fp"), "component_id")
@@ -244,37 +265,158 @@ def op7_simhash(spark: SparkSession, documents: DataFrame) -> DataFrame:
     return prints.join(groups, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+# --- near duplicates held against their texts -----------------------------------------------------------------------
+
 #: Five-word shingles, and votes of 1024 bits, which tell similarities apart to a few hundredths.
 DEDUP_SHINGLE, DEDUP_WORDS = 5, 16
+#: Bytes of shingle sets in a tile (one set may exceed it alone).
+SET_BYTES = 16 << 20
+
+
+def _angle(similarity: float) -> float:
+    """Share of bits that differ between two large shingle sets of that Jaccard similarity: their angle over pi."""
+    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+
+
+def _wide(bits: int, p: float) -> int:
+    return int(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
 
 
 def similarity_radius(similarity: float, bits: int) -> int:
-    """Differing bits expected of two shingle sets of that Jaccard similarity (their angle over pi), plus one standard deviation."""
-    cosine = 2 * similarity / (1 + similarity)
-    p = math.acos(min(1.0, cosine)) / math.pi
-    return int(bits * p + math.sqrt(bits * p * (1 - p)))
+    """Differing bits expected of two shingle sets of that Jaccard similarity, plus four standard deviations.
+
+    Small sets differ more than large ones, as ties vote no: the worst are an even number of shingles and the same with one more.
+    """
+    p = _angle(similarity)
+    if similarity < 1:
+        k = 2 * math.ceil(round(similarity / (1 - similarity) / 2, 9))
+        p = max(p, math.comb(k, k // 2) / 2 ** (k + 1))
+    return _wide(bits, p)
+
+
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """The Jaccard similarity of two sets (sorted, distinct) is at least ``similarity``."""
+    small, large = sorted((len(x), len(y)))
+    if small < similarity * large:
+        return False
+    both = np.sort(np.concatenate([x, y]))
+    common_ = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common_ / (small + large - common_) >= similarity
+
+
+def check_rows(pairs: Iterator[tuple[np.ndarray, np.ndarray]], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Forest of the pairs whose sets are similar; a pair that similar pairs have joined already is not asked for."""
+    label = np.arange(len(sets))
+    out = []
+    for i, j in pairs:
+        apart = label[i] != label[j]
+        for x, y in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
+            if label[x] != label[y] and similar(sets[x], sets[y], similarity):
+                label[label == label[y]] = label[x]
+                out.append((x, y))
+    return out
+
+
+def _set_tiles(asked: DataFrame, root: str) -> DataFrame:
+    """Tile files of (fp, set) in the order of their components; one row (component, tile) for each component in a tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema) as w:
+                for b in held:
+                    w.write_batch(b)
+            common.put(uri := f"{root}/{common.unique_name('.sets')}", sink.getvalue())
+            comps = list(dict.fromkeys(c for b in held for c in b.column(0).to_pylist()))
+            return pa.RecordBatch.from_arrays([pa.array(comps, pa.binary()), pa.array([uri] * len(comps))], ["component", "tile"])
+
+        for batch in batches:
+            for k, n in enumerate(pa.compute.binary_length(batch.column(2)).to_pylist()):
+                if held and (size + n > SET_BYTES or len(held) >= TILE):
+                    yield flush()
+                    held, size = [], 0
+                held.append(batch.slice(k, 1))
+                size += n
+        if held:
+            yield flush()
+
+    ordered = asked.select("component", "fp", "set").repartitionByRange("component", "fp").sortWithinPartitions("component", "fp")
+    return ordered.mapInArrow(run, "component binary, tile string")
+
+
+def checked_links(spark: SparkSession, asked: DataFrame, blocks_root: str, root: str, words: int, first_radius: int, radius: int, similarity: float) -> DataFrame:
+    """Edges (a, b) between candidates ``asked`` (component, fp, first) within ``radius`` whose texts' shingle sets are similar indeed.
+
+    The sets are read from the block files, for candidates only, and put into tiles by component; tiles that share a component are
+    compared pair by pair, so a component of any size is checked in full without being gathered.
+    """
+
+    def sets(block: pa.Table, mine: pa.Table) -> pa.Table:
+        text = block.column("text")
+        made = [np.unique(shingle_hashes(text[r].as_py(), DEDUP_SHINGLE)).tobytes() for r in mine.column("row").to_pylist()]
+        return pa.table({"component": mine.column("component"), "fp": mine.column("fp"), "set": pa.array(made, pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def tile(uri: str) -> tuple[list[bytes], list[np.ndarray]]:
+            with pa.ipc.open_stream(common.get(uri)) as r:
+                t = r.read_all()
+            return t.column("fp").to_pylist(), [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+
+        for batch in batches:
+            last: tuple = ("", None)
+            for x, y in sorted(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if last[0] != x:
+                    last = (x, tile(x))
+                fps, held = last[1]
+                other = None
+                if x != y:
+                    more, others = tile(y)
+                    other = _load(b"".join(more), words)
+                    fps, held = fps + more, held + others
+                mine = _load(b"".join(last[1][0]), words)
+                got = check_rows(near_rows(mine, other, first_radius, radius), held, similarity)
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array([fps[e[k]] for e in got], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    where = asked.select(F.col("first.block").alias("block"), F.col("first.row").alias("row"), "component", "fp")
+    where = common.stage(spark, where, f"{root}/asked")
+    blocks = where.select("block").distinct().count()
+    found = common.apply_blocks(where, blocks_root, sets, "component binary, fp binary, set binary", blocks)
+    found = common.stage(spark, found, f"{root}/sets")
+    tiles = common.stage(spark, _set_tiles(found, f"{root}/set-tiles"), f"{root}/set-tile-list")
+    pairs = tiles.select("component", F.col("tile").alias("a")).join(tiles.select("component", F.col("tile").alias("b")), "component")
+    pairs = common.stage(spark, pairs.where("a <= b").select("a", "b").distinct(), f"{root}/set-pairs")
+    n = pairs.count()
+    work = pairs.repartition(max(1, min(n, 8 * spark.sparkContext.defaultParallelism)), "a", "b") if n else pairs
+    return work.mapInArrow(run, "a binary, b binary")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id (null first; then by fingerprint and place).
 
-    Word five-grams, similarity 0.8 or more, estimated by 1024-bit SimHash; first words are compared tile by tile with a radius
-    four standard deviations wide, whole fingerprints where these are near.  Documents without a word are no duplicates of one another.
+    Near duplicates are texts whose sets of word five-grams have a Jaccard similarity of 0.8 or more.  Candidates are found by 1024-bit SimHash
+    of the distinct shingles: first words are compared tile by tile, whole fingerprints where these are near, both with a radius of four standard
+    deviations beyond what that similarity makes expected.  Each link is then checked on the shingle sets of the two texts, and only links that hold form
+    groups.  Texts with equal fingerprints are taken for equal.  Documents without a word are no duplicates of one another.
     """
     root = common.scratch(spark, "near")
-    first = 64 * (p := math.acos(2 * similarity / (1 + similarity)) / math.pi) + 4 * math.sqrt(64 * p * (1 - p))
+    first, radius = _wide(64, _angle(similarity)), similarity_radius(similarity, 64 * DEDUP_WORDS)
 
     def prints(block: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
         texts = table.column("text").to_pylist()
         n = len(texts)
-        fps = [fingerprint(t, DEDUP_SHINGLE, DEDUP_WORDS) if t and t.strip(WHITE) else None for t in texts]
+        fps = [fingerprint(t, DEDUP_SHINGLE, DEDUP_WORDS, distinct=True) if t and t.strip(WHITE) else None for t in texts]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), table.column("doc_id").cast(pa.int64()).combine_chunks(), pa.array(fps, pa.binary())], ["block", "row", "doc_id", "fp"]
         )
 
     rows = common.stage(spark, common.block_pass(docs, f"{root}/blocks", prints, "block long, row int, doc_id long, fp binary"), f"{root}/prints")
     shown = rows.where("fp is not null").withColumn("doc_id", F.struct("doc_id", "block", "row"))
-    groups = near_duplicates(spark, shown, root, DEDUP_WORDS, similarity_radius(similarity, 64 * DEDUP_WORDS), int(first))
+    check = lambda asked: checked_links(spark, asked, f"{root}/blocks", root, DEDUP_WORDS, first, radius, similarity)
+    groups = near_duplicates(spark, shown, root, DEDUP_WORDS, radius, first, check)
     keep = groups.select(F.col("component_id.block").alias("block"), F.col("component_id.row").alias("row")).distinct()
     keep = keep.unionByName(rows.where("fp is null").select("block", "row")).unionByName(rows.select("block", F.lit(None).cast("int").alias("row")).distinct())
 

@@ -3,6 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from freshet.llm import simhash
 from freshet.llm.simhash import drop_near_duplicates, similarity_radius
 
 
@@ -34,6 +35,36 @@ def test_near_duplicates_by_similarity(spark, documents):
     assert got == set(range(len(texts))) - gone
 
 
+def test_links_are_checked_on_the_texts(spark, documents, monkeypatch):
+    monkeypatch.setattr(simhash, "SET_BYTES", 5000, raising=False)
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefgh", k=5))
+    texts, gone = [], set()
+    for n in (8, 9, 40, 200, 400, 400, 400, 400, 1000, 1000):
+        base = [word() for _ in range(n)]
+        texts.append(" ".join(base))
+        lead = len(texts) - 1
+        for low, high in ((0.8, 0.83), (0.8, 0.83), (0.76, 0.8), (0.72, 0.76)):
+            # words after the text or before it: as many as bring the similarity into the band
+            sizes = [k for k in range(1, n) if low <= (n - 4) / (n - 4 + k) < high]
+            if sizes:
+                k = r.choice(sizes)
+                more = [word() for _ in range(k)]
+                new = base + more if r.random() < 0.5 else more + base
+                assert low <= jaccard(base, new) < high
+                if low >= 0.8:
+                    gone.add(len(texts))
+                texts.append(" ".join(new))
+        assert lead not in gone
+    # a phrase said again and again counts once
+    base, phrase = [word() for _ in range(300)], [word() for _ in range(6)]
+    texts += [" ".join(base + phrase), " ".join(base + phrase * 60)]
+    assert jaccard(base + phrase, base + phrase * 60) > 0.9
+    gone.add(len(texts) - 1)
+    got = {x.doc_id for x in drop_near_duplicates(spark, documents(texts, extra=True)).collect()}
+    assert got == set(range(len(texts))) - gone
+
+
 def test_null_and_repeated_ids(spark, documents):
     t = " ".join(f"word{i}" for i in range(50))
     got = drop_near_duplicates(spark, documents([t, t, t, None, None], [4, 4, None, 1, 1])).collect()
