@@ -2,8 +2,9 @@
 
 A line's tokens are its words; a token with a digit is a variable field.  The tree's first level is the token count, the
 next :data:`DEPTH` levels are the leading tokens (variable fields as ``<*>``); a leaf holds templates.  In a leaf, lines
-are taken in order (most documents first, then by text): a line joins the template that has most tokens in common with it,
-place by place, if that is at least :data:`ALIKE` of them, and places where they differ become ``<*>``; else it founds a template.
+are taken in order (most documents first, then by text): a line joins the template that has most constant tokens in common with it,
+place by place behind the leading ones, if those are more than :data:`ALIKE` of the places there, and places where they differ become
+``<*>``; else it founds a template.  So most places behind the leading tokens are constant in every template of several lines.
 A template found in at least ``min_docs`` documents recurs: its lines are dropped from every document but the first (the smallest
 doc_id) it stands in, so no content is lost altogether.
 
@@ -111,9 +112,10 @@ def templates(lines: list[tuple[bytes, int]]) -> list[int]:
     for i, line in zip(order, coded, strict=True):
         best = -1
         if n:
-            same = (found[:n] == line).sum(axis=1)
+            asked = np.where(line[DEPTH:] == 0, -1, line[DEPTH:])  # variable fields agree with nothing
+            same = (found[:n, DEPTH:] == asked).sum(axis=1)
             best = int(same.argmax())
-            if same[best] < ALIKE * width:
+            if same[best] <= ALIKE * (width - DEPTH):
                 best = -1
         if best < 0:
             found[n] = line

@@ -109,3 +109,12 @@ def test_drop_recurring_keeps_first_and_other_lines(spark, documents):
 def test_templates_generalise():
     got = templates([(b"get file alpha now ok", 3), (b"get file beta now ok", 2), (b"get file gamma now ok", 1), (b"get file x y z", 9)])
     assert got[0] == got[1] == got[2] != got[3]
+
+
+def test_leading_tokens_are_no_agreement(spark, documents):
+    clean = ["very good idea", "red garden house", "matter for experts", "long way home", "question nobody asked", "town by night"]
+    short = ["Ansh.", "Onenly.", "Ster.", "Anea.", "Tion.", "Edst."]
+    texts = [f"This is a {x}\nWas erlytion that. {y}\nPosted in news by {y} and friends" for x, y in zip(clean, short, strict=True)]
+    got = sorted((x.doc_id, x.n_dropped) for x in line_dedup(spark, documents(texts)).collect())
+    assert got == [(0, 0)] + [(i, 1) for i in range(1, 6)]
+    assert len(set(templates([(b"a b c x <*> <*>", 2), (b"a b c y <*> <*>", 1)]))) == 2
