@@ -9,8 +9,9 @@ A template found in at least ``min_docs`` documents recurs: its lines are droppe
 doc_id) it stands in, so no content is lost altogether.
 
 Scale: a task sends one row for each distinct line of its blocks, and only lines of leaves with ``min_docs`` documents
-go on.  A leaf with more than :data:`LEAF` distinct lines is parted by further leading tokens (levels
-:data:`DEEPER`, last the whole line), so no task holds an unbounded leaf.  Documents are read back block by block; no text is shuffled but the
+go on.  A leaf's lines stream through one task in their order; it holds the templates, not the lines.  Beyond :data:`LEAF` templates
+a line is compared only with those that share one of its rarest tokens in place, which loses none that it could join: a leaf's result does
+not depend on its size.  Documents are read back block by block; no text is shuffled but the
 distinct lines of the leaves that enough documents reach.
 
 Defined results: null text has no lines.  Lines of fewer than :data:`MIN_TOKENS` tokens, or mostly of variable
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,9 @@ from pyspark.sql import functions as F
 
 from freshet.llm import common
 
-DEPTH, DEEPER = 3, (6, 12)
+DEPTH = 3
 ALIKE = 0.5
+#: Templates of a leaf that are compared with each line without looking its tokens up.
 LEAF = 2048
 MIN_DOCS = 5
 #: Lines with fewer tokens, or with more variable fields than constant tokens, are too unspecific to be templates.
@@ -43,7 +46,7 @@ WILD = b"<*>"
 _NO_ID = -(1 << 63)
 _DIGIT = re.compile(rb"\d")
 
-LINE = "block long, doc_id long, tie int, row int, line long, leaf0 long, leaf1 long, leaf2 long"
+LINE = "block long, doc_id long, tie int, row int, line long, leaf long"
 _LINE = pa.schema([(x.split()[0], {"int": pa.int32(), "long": pa.int64()}[x.split()[1]]) for x in LINE.split(", ")])
 
 
@@ -61,10 +64,8 @@ def _h(data: bytes) -> int:
     return xxhash.xxh3_64_intdigest(data) - (1 << 63)
 
 
-def leaves(tokens: list[bytes]) -> tuple[int, ...]:
-    """Keys of the leaf at depth :data:`DEPTH` and at each of :data:`DEEPER`."""
-    count = str(len(tokens)).encode()
-    return tuple(_h(b" ".join([count, *tokens[:d]])) for d in (DEPTH, *DEEPER))
+def leaf_key(tokens: list[bytes]) -> int:
+    return _h(b" ".join([str(len(tokens)).encode(), *tokens[:DEPTH]]))
 
 
 def _lines(text: bytes | None) -> list[bytes]:
@@ -76,14 +77,14 @@ def _features(block: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
     texts = table.column("text").cast(pa.binary()).to_pylist()
     ids = table.column("doc_id").cast(pa.int64()).fill_null(_NO_ID).to_pylist()
     known: dict[bytes, tuple] = {}
-    rows: list[tuple] = [(block, *7 * (None,))]
+    rows: list[tuple] = [(block, *5 * (None,))]
     for row, (doc, text) in enumerate(zip(ids, texts, strict=True)):
         tie = xxhash.xxh32_intdigest(text or b"") >> 1
         seen = set()
         for line in dict.fromkeys(_lines(text)):
             if line not in known:
                 tokens = mask(line)
-                known[line] = (_h(b" ".join(tokens)), *leaves(tokens)) if specific(tokens) else ()
+                known[line] = (_h(b" ".join(tokens)), leaf_key(tokens)) if specific(tokens) else ()
             got = known[line]
             if got and got[0] not in seen:
                 seen.add(got[0])
@@ -100,29 +101,64 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _LINE, strict=True)], schema=_LINE)
 
 
+class Leaf:
+    """The templates of one leaf (lines of equal token counts)."""
+
+    def __init__(self, width: int):
+        self.words: dict[bytes, int] = {WILD: 0}
+        self.found = np.empty((16, width), np.int32)
+        self.n = 0
+        self.least = int(ALIKE * (width - DEPTH)) + 1  # constant tokens in common that make a line join
+        self.places: dict[tuple[int, int], array] | None = None  # (place, token) -> templates founded or left with it
+
+    def _index(self, template: int) -> None:
+        for at, word in enumerate(self.found[template, DEPTH:].tolist()):
+            if word:
+                self.places.setdefault((at, word), array("q")).append(template)
+
+    def _rivals(self, line: list[int]) -> np.ndarray | None:
+        """Templates, in order, among which are all that the line could join; None: all there are."""
+        if self.n <= LEAF:
+            return None
+        if self.places is None:
+            self.places = {}
+            for t in range(self.n):
+                self._index(t)
+        # who has ``least`` of the places in common has one of any len - least + 1 of them
+        lists = sorted((self.places.get((at, word), ()) for at, word in enumerate(line[DEPTH:]) if word), key=len)
+        lists = [np.array(x, np.int64) for x in lists[: max(0, len(lists) - self.least + 1)]]
+        return np.unique(np.concatenate(lists)) if lists else np.empty(0, np.int64)
+
+    def place(self, masked: bytes) -> int:
+        """The template that the line joins or founds."""
+        coded = [self.words.setdefault(t, len(self.words)) for t in masked.split(b" ")]
+        line = np.array(coded, np.int32)
+        rivals = self._rivals(coded)
+        held = self.found[: self.n] if rivals is None else self.found[rivals]
+        if len(held):
+            asked = np.where(line[DEPTH:] == 0, -1, line[DEPTH:])  # variable fields agree with nothing
+            same = (held[:, DEPTH:] == asked).sum(axis=1)
+            best = int(same.argmax())
+            if same[best] >= self.least:
+                best = best if rivals is None else int(rivals[best])
+                self.found[best][self.found[best] != line] = 0
+                return best
+        if self.n == len(self.found):
+            self.found = np.concatenate([self.found, np.empty_like(self.found)])
+        self.found[self.n] = line
+        self.n += 1
+        if self.places is not None:
+            self._index(self.n - 1)
+        return self.n - 1
+
+
 def templates(lines: list[tuple[bytes, int]]) -> list[int]:
     """Number of the template of each masked line of one leaf (equal token counts), given with its documents; in the order taken."""
     order = sorted(range(len(lines)), key=lambda i: (-lines[i][1], lines[i][0]))
-    words: dict[bytes, int] = {WILD: 0}
-    coded = np.array([[words.setdefault(t, len(words)) for t in lines[i][0].split(b" ")] for i in order], np.int32)
-    width = coded.shape[1]
-    found = np.empty_like(coded)
-    n = 0
+    leaf = Leaf(lines[0][0].count(b" ") + 1)
     out = [0] * len(lines)
-    for i, line in zip(order, coded, strict=True):
-        best = -1
-        if n:
-            asked = np.where(line[DEPTH:] == 0, -1, line[DEPTH:])  # variable fields agree with nothing
-            same = (found[:n, DEPTH:] == asked).sum(axis=1)
-            best = int(same.argmax())
-            if same[best] <= ALIKE * (width - DEPTH):
-                best = -1
-        if best < 0:
-            found[n] = line
-            best, n = n, n + 1
-        else:
-            found[best][found[best] != line] = 0
-        out[i] = best
+    for i in order:
+        out[i] = leaf.place(lines[i][0])
     return out
 
 
@@ -142,12 +178,16 @@ def _spell(docs: pa.Table, asked: pa.Table) -> pa.Table:
     return pa.table({"leaf": asked.column("leaf"), "line": asked.column("line"), "docs": asked.column("docs"), "masked": masked})
 
 
-def _cluster(table: pa.Table) -> pa.Table:
-    """(leaf, line, template) of the distinct lines of one leaf."""
-    leaf = table.column("leaf")[0].as_py()
-    lines = list(zip(table.column("masked").to_pylist(), table.column("docs").to_pylist(), strict=True))
-    got = templates(lines)
-    return pa.table({"line": table.column("line"), "template": pa.array([_h(b"%d %d" % (leaf, t)) for t in got], pa.int64())})
+def _cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(line, template) of distinct lines, leaf after leaf, each in its order."""
+    key, leaf = None, None
+    for batch in batches:
+        out = []
+        for k, masked in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if k != key:
+                key, leaf = k, Leaf(masked.count(b" ") + 1)
+            out.append(_h(b"%d %d" % (k, leaf.place(masked))))
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.int64())], ["line", "template"])
 
 
 def recurring(spark: SparkSession, docs: DataFrame, root: str, min_docs: int = MIN_DOCS) -> tuple[DataFrame, int]:
@@ -156,18 +196,14 @@ def recurring(spark: SparkSession, docs: DataFrame, root: str, min_docs: int = M
     found = rows.where("row is not null")
     blocks = rows.where("row is null").count()
     # leaves that enough documents reach; a document reaches a leaf once for each of its lines, so this is a superset
-    reached = found.groupBy("leaf0").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf0")
+    reached = found.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
     at = F.min(F.struct("block", "row")).alias("at")
-    distinct = found.groupBy("line", "leaf0", "leaf1", "leaf2").agg(F.count("*").alias("docs"), at)
-    distinct = common.stage(spark, distinct.join(reached, "leaf0", "left_semi"), f"{root}/distinct")
-    crowded = lambda c: distinct.groupBy(c).agg(F.count("*").alias(f"n_{c}")).where(F.col(f"n_{c}") > LEAF)
-    sized = distinct
-    for c in ("leaf0", "leaf1", "leaf2"):
-        sized = sized.join(crowded(c), c, "left")
-    leaf = F.when(F.col("n_leaf0").isNull(), F.col("leaf0")).when(F.col("n_leaf1").isNull(), F.col("leaf1")).when(F.col("n_leaf2").isNull(), F.col("leaf2")).otherwise(F.col("line"))
-    asked = sized.select("at.block", "at.row", "line", leaf.alias("leaf"), "docs")
+    distinct = found.groupBy("line", "leaf").agg(F.count("*").alias("docs"), at)
+    distinct = common.stage(spark, distinct.join(reached, "leaf", "left_semi"), f"{root}/distinct")
+    asked = distinct.select("at.block", "at.row", "line", "leaf", "docs")
     spelt = common.apply_blocks(asked, f"{root}/blocks", _spell, "leaf long, line long, docs long, masked binary", blocks)
-    named = spelt.groupBy("leaf").applyInArrow(_cluster, "line long, template long")
+    ordered = spelt.select("leaf", "line", "masked", "docs").repartition("leaf").sortWithinPartitions("leaf", F.desc("docs"), "masked")
+    named = ordered.mapInArrow(_cluster, "line long, template long")
     named = common.stage(spark, named, f"{root}/templates")
     place = F.struct("doc_id", "tie", "block", "row")
     stood = found.select("line", "block", "doc_id", "tie", "row").join(named, "line")

@@ -118,3 +118,18 @@ def test_leading_tokens_are_no_agreement(spark, documents):
     got = sorted((x.doc_id, x.n_dropped) for x in line_dedup(spark, documents(texts)).collect())
     assert got == [(0, 0)] + [(i, 1) for i in range(1, 6)]
     assert len(set(templates([(b"a b c x <*> <*>", 2), (b"a b c y <*> <*>", 1)]))) == 2
+
+
+def test_result_is_independent_of_leaf_size(spark, documents, monkeypatch):
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    texts = [f"Posted in news by {name(i)} and friends\nThe end of {name(7 * i)} {name(11 * i)} {name(13 * i)} {name(17 * i)}" for i in range(1, 2200)]
+    got = sorted((x.doc_id, x.n_dropped) for x in line_dedup(spark, documents(texts)).collect())
+    assert got == [(i, min(i, 1)) for i in range(len(texts))]
+    r = random.Random(2)
+    made = {b"a b c " + b" ".join(r.choice([b"x", b"y", b"z", b"u", b"v", b"w", b"<*>"]) for _ in range(7)) for _ in range(1500)}
+    given = [(x, r.randint(1, 4)) for x in sorted(made)]
+    whole = templates(given)
+    for size in (0, 3, 40):
+        monkeypatch.setattr(lines, "LEAF", size)
+        assert templates(given) == whole
+    assert 10 < len(set(whole)) < len(given)
