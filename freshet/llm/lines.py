@@ -14,8 +14,9 @@ a line is compared only with those that share one of its rarest tokens in place,
 not depend on its size.  Documents are read back block by block; no text is shuffled but the
 distinct lines of the leaves that enough documents reach.
 
-Defined results: null text has no lines.  Lines of fewer than :data:`MIN_TOKENS` tokens, or mostly of variable
-fields, are never dropped; lines that repeat within one document are one occurrence
+Defined results: null text has no lines; lines without a token stay.  Lines of fewer than :data:`MIN_TOKENS` tokens, or mostly of variable
+fields, are too unspecific to generalise: each is a template of its own exact words, digits included (:func:`line_dedup` leaves them out
+unless asked with ``exact``; the query and the pipeline take them in).  Lines that repeat within one document are one occurrence
 for counting, and all of them stay or go.  Rows with null doc_id count before all others; rows with equal ids are ordered by
 their text's hash, then by their place.
 """
@@ -40,7 +41,7 @@ ALIKE = 0.5
 #: Templates of a leaf that are compared with each line without looking its tokens up.
 LEAF = 2048
 MIN_DOCS = 5
-#: Lines with fewer tokens, or with more variable fields than constant tokens, are too unspecific to be templates.
+#: Lines with fewer tokens, or with more variable fields than constant tokens, are too unspecific to generalise.
 MIN_TOKENS = 4
 WILD = b"<*>"
 _NO_ID = -(1 << 63)
@@ -68,12 +69,23 @@ def leaf_key(tokens: list[bytes]) -> int:
     return _h(b" ".join([str(len(tokens)).encode(), *tokens[:DEPTH]]))
 
 
+def line_key(line: bytes, exact: bool) -> tuple[int, int] | tuple[()]:
+    """Hashes of the masked line and of its leaf; with ``exact``, of an unspecific line's own words twice; else none."""
+    tokens = mask(line)
+    if specific(tokens):
+        return _h(b" ".join(tokens)), leaf_key(tokens)
+    if exact and tokens:
+        h = _h(b"\n" + b" ".join(line.split()))  # no masked line has a line end
+        return h, h
+    return ()
+
+
 def _lines(text: bytes | None) -> list[bytes]:
     return text.split(b"\n") if text else []
 
 
-def _features(block: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """A marker row, and one row for each distinct masked line of each document."""
+def _features(block: int, table: pa.Table, exact: bool) -> Iterator[pa.RecordBatch]:
+    """A marker row, and one row for each distinct masked (or exact) line of each document."""
     texts = table.column("text").cast(pa.binary()).to_pylist()
     ids = table.column("doc_id").cast(pa.int64()).fill_null(_NO_ID).to_pylist()
     known: dict[bytes, tuple] = {}
@@ -83,8 +95,7 @@ def _features(block: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
         seen = set()
         for line in dict.fromkeys(_lines(text)):
             if line not in known:
-                tokens = mask(line)
-                known[line] = (_h(b" ".join(tokens)), leaf_key(tokens)) if specific(tokens) else ()
+                known[line] = line_key(line, exact)
             got = known[line]
             if got and got[0] not in seen:
                 seen.add(got[0])
@@ -190,9 +201,10 @@ def _cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.int64())], ["line", "template"])
 
 
-def recurring(spark: SparkSession, docs: DataFrame, root: str, min_docs: int = MIN_DOCS) -> tuple[DataFrame, int]:
-    """(block, row, line): the masked lines to drop, by their hashes; rows with a null ``row`` mark blocks.  And the number of blocks."""
-    rows = common.stage(spark, common.block_pass(docs, f"{root}/blocks", _features, LINE), f"{root}/lines")
+def recurring(spark: SparkSession, docs: DataFrame, root: str, min_docs: int = MIN_DOCS, exact: bool = True) -> tuple[DataFrame, int]:
+    """(block, row, line): the lines to drop, by their keys; rows with a null ``row`` mark blocks.  And the number of blocks."""
+    features = lambda block, table: _features(block, table, exact)
+    rows = common.stage(spark, common.block_pass(docs, f"{root}/blocks", features, LINE), f"{root}/lines")
     found = rows.where("row is not null")
     blocks = rows.where("row is null").count()
     # leaves that enough documents reach; a document reaches a leaf once for each of its lines, so this is a superset
@@ -200,10 +212,11 @@ def recurring(spark: SparkSession, docs: DataFrame, root: str, min_docs: int = M
     at = F.min(F.struct("block", "row")).alias("at")
     distinct = found.groupBy("line", "leaf").agg(F.count("*").alias("docs"), at)
     distinct = common.stage(spark, distinct.join(reached, "leaf", "left_semi"), f"{root}/distinct")
-    asked = distinct.select("at.block", "at.row", "line", "leaf", "docs")
+    alone = distinct.where("leaf = line").select("line", F.col("line").alias("template"))
+    asked = distinct.where("leaf <> line").select("at.block", "at.row", "line", "leaf", "docs")
     spelt = common.apply_blocks(asked, f"{root}/blocks", _spell, "leaf long, line long, docs long, masked binary", blocks)
     ordered = spelt.select("leaf", "line", "masked", "docs").repartition("leaf").sortWithinPartitions("leaf", F.desc("docs"), "masked")
-    named = ordered.mapInArrow(_cluster, "line long, template long")
+    named = ordered.mapInArrow(_cluster, "line long, template long").unionByName(alone)
     named = common.stage(spark, named, f"{root}/templates")
     place = F.struct("doc_id", "tie", "block", "row")
     stood = found.select("line", "block", "doc_id", "tie", "row").join(named, "line")
@@ -217,7 +230,7 @@ def recurring(spark: SparkSession, docs: DataFrame, root: str, min_docs: int = M
     return rows.where("row is null").select("block", "row", "line").unionByName(dropped.select("block", "row", "line")), blocks
 
 
-def _kept(texts: list[bytes | None], mine: pa.Table) -> Iterator[tuple[list[bytes], int]]:
+def _kept(texts: list[bytes | None], mine: pa.Table, exact: bool = True) -> Iterator[tuple[list[bytes], int]]:
     """For each document of a block, the lines that stay and how many go."""
     gone: dict[int, set[int]] = {}
     for row, line in zip(mine.column("row").to_pylist(), mine.column("line").to_pylist(), strict=True):
@@ -228,22 +241,25 @@ def _kept(texts: list[bytes | None], mine: pa.Table) -> Iterator[tuple[list[byte
         if row not in gone:
             yield lines, 0
             continue
-        stay = [x for x in lines if not (t := mask(x)) or _h(b" ".join(t)) not in gone[row]]
+        stay = [x for x in lines if not (key := line_key(x, exact)) or key[0] not in gone[row]]
         yield stay, len(lines) - len(stay)
 
 
-def line_dedup(spark: SparkSession, documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, n_lines, n_dropped and the SHA-256 of the lines that stay, joined by line ends, of every document."""
+def line_dedup(spark: SparkSession, documents: DataFrame, min_docs: int = MIN_DOCS, exact: bool = False) -> DataFrame:
+    """doc_id, n_lines, n_dropped and the SHA-256 of the lines that stay, joined by line ends, of every document.
+
+    ``exact``: lines too unspecific to generalise recur too, by their exact words.
+    """
     root = common.scratch(spark, "lines")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def apply(block: pa.Table, mine: pa.Table) -> pa.Table:
         texts = block.column("text").cast(pa.binary()).to_pylist()
-        rows = [(len(stay) + n, n, hashlib.sha256(b"\n".join(stay)).hexdigest()) for stay, n in _kept(texts, mine)]
+        rows = [(len(stay) + n, n, hashlib.sha256(b"\n".join(stay)).hexdigest()) for stay, n in _kept(texts, mine, exact)]
         cols = list(zip(*rows, strict=True))
         return pa.table([block.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2])], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    lines, blocks = recurring(spark, docs, root, min_docs)
+    lines, blocks = recurring(spark, docs, root, min_docs, exact)
     return common.apply_blocks(lines, f"{root}/blocks", apply, "doc_id long, n_lines long, n_dropped long, kept_sha256 string", blocks)
 
 
@@ -276,4 +292,4 @@ def drop_recurring(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOC
 
 
 def op4_line_dedup(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    return line_dedup(spark, documents)
+    return line_dedup(spark, documents, exact=True)

@@ -4,7 +4,7 @@ import random
 import pytest
 
 from freshet.llm import common, lines
-from freshet.llm.lines import drop_recurring, line_dedup, templates
+from freshet.llm.lines import drop_recurring, line_dedup, op4_line_dedup, templates
 
 
 def brute(rows, min_docs):
@@ -133,3 +133,13 @@ def test_result_is_independent_of_leaf_size(spark, documents, monkeypatch):
         monkeypatch.setattr(lines, "LEAF", size)
         assert templates(given) == whole
     assert 10 < len(set(whole)) < len(given)
+
+
+def test_short_and_numeric_lines_recur_by_their_words(spark, documents):
+    again = ["All rights reserved.", "Tel. 0123 456 789", "12 13 14 15", "\u7248\u6743\u6240\u6709\u4e0d\u5f97\u8f6c\u8f7d"]
+    own = lambda i: [f"Tel. 0123 456 7{i}", f"Only {chr(97 + i) * 5}.", "", " "]
+    texts = ["\n".join(own(i) + again) for i in range(6)] + ["Read more\nAll  rights reserved."] + ["Read more"] * 3
+    got = sorted((x.doc_id, x.n_lines, x.n_dropped) for x in op4_line_dedup(spark, documents(texts)).collect())
+    assert got == [(0, 8, 0)] + [(i, 8, 4) for i in range(1, 6)] + [(6, 2, 1)] + [(i, 1, 0) for i in range(7, 10)]
+    kept = {x.doc_id: x.text for x in drop_recurring(spark, documents(texts)).collect()}
+    assert kept[0] == texts[0] and kept[3] == "\n".join(own(3)) and kept[6] == "Read more"
