@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from freshet.llm import common
 from freshet.llm.lines import drop_recurring
 from freshet.llm.packing import pack
-from freshet.llm.quality import judge
+from freshet.llm.quality import RULES, judge
 from freshet.llm.simhash import drop_near_duplicates
 from freshet.llm.suffix import drop_repeats
 
@@ -34,9 +34,13 @@ def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callabl
     return run
 
 
+#: The rules of op10 without its limit of words: a long text is judged by the same ratios as all others.
+PIPELINE_RULES = tuple(r for r in RULES if r[0] != "not one endless text")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return judge(docs, into="__quality").where("__quality.kept").select(*docs.columns)
+    return judge(docs, into="__quality", rules=PIPELINE_RULES).where("__quality.kept").select(*docs.columns)
 
 
 @_stage

@@ -76,6 +76,12 @@ def test_radius_grows_with_distance():
     assert similarity_radius(1.0, 1024) == 0 and similarity_radius(0.8, 1024) < similarity_radius(0.7, 1024)
 
 
+def test_long_texts_stay(spark, documents):
+    long = " ".join(f"the w{i % 999_983}" for i in range(500_001))
+    got = corpus_pipeline.quality_rules(spark, documents([long, "### " * 40]), "").collect()
+    assert [x.doc_id for x in got] == [0]
+
+
 @pytest.fixture
 def corpus(spark, tmp_path):
     r = random.Random(3)
