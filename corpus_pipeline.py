@@ -10,12 +10,13 @@ from collections.abc import Callable
 from functools import wraps
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from freshet.llm import common
 from freshet.llm.lines import drop_recurring
 from freshet.llm.packing import pack
-from freshet.llm.quality import RULES, judge
+from freshet.llm.quality import RULES, compile_rules, judge
 from freshet.llm.simhash import drop_near_duplicates
 from freshet.llm.suffix import drop_repeats
 
@@ -35,12 +36,24 @@ def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callabl
 
 
 #: The rules of op10 without its limit of words: a long text is judged by the same ratios as all others.
-PIPELINE_RULES = tuple(r for r in RULES if r[0] != "not one endless text")
+PIPELINE_RULES = tuple(r for r in RULES if r[0] not in ("not one endless text", "some stop words"))
+#: The rule that only texts in a language with stop words are judged by, and these languages.
+STOP_RULE = tuple(r for r in RULES if r[0] == "some stop words")
+STOP_LANGUAGES = ("en", "fr", "es", "de")
+
+
+def _stops_judged(docs: DataFrame) -> Column:
+    """The text's language is one with stop words, or not given."""
+    if "lang" not in docs.columns:
+        return F.lit(True)
+    lang = F.lower(F.substring_index(F.regexp_replace(F.btrim(F.coalesce(docs["lang"], F.lit(""))), "_", "-"), "-", 1))
+    return lang.isin("", *STOP_LANGUAGES)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return judge(docs, into="__quality", rules=PIPELINE_RULES).where("__quality.kept").select(*docs.columns)
+    stops = ~_stops_judged(docs) | compile_rules(STOP_RULE, "__quality")
+    return judge(docs, into="__quality", rules=PIPELINE_RULES).where(F.col("__quality.kept") & stops).select(*docs.columns)
 
 
 @_stage

@@ -82,6 +82,15 @@ def test_long_texts_stay(spark, documents):
     assert [x.doc_id for x in got] == [0]
 
 
+def test_stop_words_are_asked_of_their_languages_only(spark):
+    polish = "Wczoraj wieczorem dzieci bawiły się nad rzeką, gdy nagle zaczął padać deszcz; wszyscy szybko wrócili więc przed zmrokiem razem domu, gdzie czekała ciepła kolacja."
+    langs = ["pl", "en", "en-GB", None, "DE_at", " "]
+    rows = [(i, polish, lang, "s", len(polish)) for i, lang in enumerate(langs)] + [(9, "### $$$ %%%" * 30, "pl", "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.quality_rules(spark, docs, "")
+    assert got.columns == docs.columns and [x.doc_id for x in got.collect()] == [0]
+
+
 @pytest.fixture
 def corpus(spark, tmp_path):
     r = random.Random(3)
