@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select option button canvas audio video xmp noframes".split())
+RAW = frozenset("script style textarea title template iframe svg select option button canvas audio video xmp noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -175,7 +175,7 @@ def blocks(page: str) -> list[Block]:
             if m[3].rstrip().endswith("/") and tag in ("svg", "iframe", "canvas"):
                 continue
             texts.append(" ")
-            if end is None and tag in ("option", "noscript", "button", "select", "template", "object"):
+            if end is None and tag in ("option", "button", "select", "template"):
                 continue
             at = end.end() if end else n
             continue

@@ -89,3 +89,8 @@ def test_operator(spark):
     got = sorted((tuple(x) for x in op9_html_mincut(pages).collect()), key=repr)
     assert got == sorted([(1, "u", "Some text is here.", 18)] * 2 + [(None, None, "", 0), (2, "v", "", 0)], key=repr)
     assert op9_html_mincut(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("tag", ["math", "object", "noscript"])
+def test_formulas_and_fallback_text_stay(tag):
+    assert extract(f"<article><p>We know that <{tag}><i>x equals y</i></{tag}> holds here.</p></article>") == "We know that x equals y holds here."
