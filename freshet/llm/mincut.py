@@ -1,15 +1,21 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into blocks (runs of text no block element interrupts).  A linear classifier over a block's length, links,
-punctuation, element and the names of its ancestors gives log-odds of being content; these are the capacities to the two
-terminals.  Neighbouring blocks, and the next blocks under the same parent, are joined by smoothness edges that weaken with
-their distance in the DOM.  The cut of least capacity labels the blocks; what stays on the content side, in page order, is the text.
+A page is cut into blocks (runs of text no block element interrupts).  A logistic classifier over a block's own text (length, links,
+sentences) gives log-odds of being content, within :data:`CLIP`; what its element and the names of its ancestors say is added.  These are the
+capacities to the two terminals.  Neighbouring blocks, and the next blocks under the same parent, are joined by smoothness edges that
+weaken with their distance in the DOM, and further across the border of page furniture.  The cut of least capacity labels the blocks: a line of one word, or one that is
+all link, stays where its neighbours are the article.  What stays on the content side, in page order, is the text.
+
+The classifier is fitted to the pages at hand by weak labels: of the first :data:`FIT_PAGES` pages of at most :data:`FIT_BYTES` bytes, up to
+:data:`FIT_BLOCKS` blocks each, those in an article or main element are examples of content, those in navigation, footers and the like are not.  The fit is
+drawn towards :data:`PRIOR`, which is the classifier where there are no examples of both kinds.
 
 A block whose terminal outweighs all its edges is on that side of some minimum cut, so it is settled first and its edges become its
 neighbours' terminal capacity; max-flow (shortest augmenting paths) runs on what is left.  Both steps are exact.
 
 Defined results: null or empty html gives the empty text.  Malformed markup is read leniently, as browsers do: unclosed and
-misnested elements, missing ends, stray angle brackets (kept as text), unterminated scripts (run to the page's end).  Any white space,
+misnested elements, missing ends, stray angle brackets (kept as text), unterminated scripts (run to the page's end).  A tag with an unclosed quote
+ends at its first angle bracket.  Reading takes time in proportion to the page, however its markup is broken.  Any white space,
 no-break spaces included, counts as white space.  Repeated rows are rows of their own; extra columns are ignored.
 """
 
@@ -17,10 +23,11 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,26 +43,41 @@ CLOSES_P = BLOCK - {"body", "html", "head"}
 #: Elements that end an open one of the same group.
 ALIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 
-# Names that tell page furniture, as parts of class, id and role values.
-FURNITURE = frozenset(
-    "ad ads advert advertisement adverts adsense banner billboard breadcrumb breadcrumbs byline captcha comment comments commentlist consent cookie cookies copyright "
-    "dialog disclaimer disqus feedback footer gdpr header login masthead menu meta modal nav navbar navigation newsletter notice notification pagination pager paywall "
-    "popup privacy promo promoted promotion rail recommended related replies reply respond rss search share sharing sidebar signup skip social sponsor sponsored "
-    "subscribe subscription tags teaser toc toolbar topbar trending warning widget widgets contentinfo complementary".split()
+# First or last parts of class, id and role values that tell what reads like prose but is none of the article; that
+# often name page furniture; that often name the article.
+STRONG = frozenset(
+    "ad ads advert advertisement adverts adsense banner captcha comment comments commentlist consent cookie cookies copyright disqus footer gdpr login masthead "
+    "modal nav navbar navigation newsletter pagination pager paywall popup promo promoted promotion reply replies respond sidebar signup sponsor sponsored subscribe subscription contentinfo".split()
+)
+MILD = frozenset(
+    "billboard breadcrumb breadcrumbs byline complementary dialog disclaimer feedback header menu meta notice notification privacy rail recommended related rss search share sharing skip "
+    "social tags teaser toc toolbar topbar trending warning widget widgets".split()
 )
 CONTENT = frozenset("article articlebody body content entry main maincontent page post story text".split())
+#: Elements that hold furniture wherever they stand.
+FURNITURE = frozenset("nav footer aside form dialog menu search fieldset".split())
 
-#: Log-odds of the classifier.
+#: What elements and names add to the log-odds.
 WEIGHTS = {
-    "bias": -0.6, "word": 0.10, "most words": 4.0, "sentence": 0.8, "links": -5.0,
-    "in article": 3.0, "in main": 2.0, "content name": 1.0, "furniture element": -9.0, "furniture name": -7.0, "page header": -7.0,
-    "p": 0.8, "heading": 0.6, "item": -0.4,
+    "strong name": -7.0, "mild name": -2.5, "content name": 1.0, "furniture element": -6.0, "page header": -4.0, "in article": 1.0, "in main": 1.0,
+    "beside the article": -3.5, "p": 0.4, "heading": 0.6, "item": -0.4,
 }
-SMOOTH, FAR = 1.0, 0.35
-
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: Bounds of the sum of what names and elements on the way to a block add, and of what its text adds.
+NAMED = (-9.0, 2.0)
+CLIP = 2.5
+#: The classifier's weights before it has seen pages: constant, logarithm of the words, share of linked characters, end of a sentence.
+PRIOR = (-1.7, 0.9, -4.5, 0.8)
+#: Examples that one of the prior's weights counts for.
+BELIEF = 200.0
+FIT_PAGES, FIT_BYTES, FIT_BLOCKS = 256, 1 << 18, 64
+SMOOTH, FAR, BORDER = 1.0, 0.35, 0.1
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_ATTRIBUTES = re.compile(r"((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+_PART = re.compile(r"[A-Z]*[a-z]+|[A-Z]+|\d+")
+#: Failed searches for the end of a tag that heeds quotes, of a page.
+FAILURES = 8
 
 
 @dataclass(slots=True)
@@ -64,9 +86,9 @@ class Element:
     parent: Element | None
     depth: int
     serial: int
-    content: float = 0.0
+    named: float = 0.0
     furniture: bool = False
-    in_article: bool = False
+    container: str = ""  # the article or main element it is in
 
 
 @dataclass(slots=True)
@@ -78,33 +100,42 @@ class Block:
     edges: dict[int, float] = field(default_factory=dict)
 
 
-def _names(attributes: str) -> set[str]:
-    parts: set[str] = set()
+def _named(attributes: str) -> tuple[float, float]:
+    """What the class, id and role values of an element speak against content, and for it: first and last parts in full, others not."""
+    against = pro = 0.0
     for m in _NAME.finditer(attributes):
-        value = m[1] or m[2] or m[3] or ""
-        for word in re.split(r"[\s_:/.-]+", value):
-            parts.add(word.lower())
-            if not word.islower():
-                parts.update(x.lower() for x in _PART.findall(word))
-    return parts
+        for value in (m[1] or m[2] or m[3] or "").split():
+            parts = [x.lower() for x in _PART.findall(value)]
+            ends = {parts[0], parts[-1]} if parts else set()
+            named = WEIGHTS["strong name"] if ends & STRONG else WEIGHTS["mild name"] if ends & MILD else 0.0
+            if ends & CONTENT:
+                pro = WEIGHTS["content name"]
+                if parts[-1] in CONTENT:  # the last part says what it is: a widget-post is a post
+                    named = 0.0
+            against = min(against, named)
+    if pro and against == WEIGHTS["mild name"]:
+        against /= 2  # names that speak for both sides
+    return against, pro
 
 
 def _open(tag: str, attributes: str, parent: Element | None, serial: int) -> Element:
     e = Element(tag, parent, parent.depth + 1 if parent else 0, serial)
     if parent:
-        e.content, e.furniture, e.in_article = parent.content, parent.furniture, parent.in_article
-    names = _names(attributes) if "=" in attributes else set()
-    if tag == "article":
-        e.content = max(e.content, WEIGHTS["in article"])
-        e.in_article = True
-    elif tag == "main" or "main" in names:
-        e.content = max(e.content, WEIGHTS["in main"])
-    elif names & CONTENT:
-        e.content = max(e.content, WEIGHTS["content name"])
-    if tag in ("nav", "footer", "aside", "form", "dialog", "menu", "search", "fieldset") or (tag == "header" and not e.in_article):
-        e.furniture = True
-    elif names & FURNITURE and tag not in ("html", "body", "article") or tag == "article" and names & {"comment", "reply"}:
-        e.furniture = not (tag in ("p", "h1", "header", "section") and e.in_article and names <= {"header", "meta", "notice", "warning"})
+        e.named, e.furniture, e.container = parent.named, parent.furniture, parent.container
+    against, pro = _named(attributes) if "=" in attributes and tag not in ("html", "body") else (0.0, 0.0)
+    strong = against <= WEIGHTS["strong name"]
+    if against and not strong and e.container:
+        against /= 2  # within the article, doubtful names say less
+    if tag in FURNITURE:
+        against += WEIGHTS["furniture element"]
+        strong = True
+    elif tag == "header" and not e.container:
+        against += WEIGHTS["page header"]
+        strong = True
+    if tag in ("article", "main") and not strong and not e.furniture:
+        e.container = tag
+    e.furniture |= strong
+    e.named = min(NAMED[1], max(NAMED[0], e.named + against + pro))
     return e
 
 
@@ -112,23 +143,25 @@ def blocks(page: str) -> list[Block]:
     """Text blocks of a page in page order, with the element each stands in."""
     root = Element("#page", None, 0, 0)
     stack = [root]
+    at_of: dict[str, list[int]] = defaultdict(list)  # where in the stack the open elements of each tag are
+    in_blocks = [0]  # where in the stack the block elements are
     out: list[Block] = []
     texts: list[str] = []
-    linked = 0
-    in_link = False
-    serial = 0
-    head = False
+    linked = serial = 0
+    in_link = head = False
+    endless: set[str] = set()
+    failures = 0
+    last_end = page.rfind(">")
 
     def flush() -> None:
         nonlocal linked
         if texts:
             text = " ".join("".join(texts).split())
             if text:
-                at = next((e for e in reversed(stack) if e.tag in BLOCK or e.parent is None), root)
-                deepest = stack[-1]
-                if deepest.furniture and not at.furniture:
-                    at = deepest
-                out.append(Block(at, text, min(linked, len(text))))
+                e = stack[in_blocks[-1]]
+                if stack[-1].furniture and not e.furniture:
+                    e = stack[-1]
+                out.append(Block(e, text, min(linked, len(text))))
             texts.clear()
         linked = 0
 
@@ -141,60 +174,88 @@ def blocks(page: str) -> list[Block]:
         if in_link:
             linked += len(text.strip())
 
+    def close(to: int) -> None:
+        for e in reversed(stack[to:]):
+            at_of[e.tag].pop()
+            if e.tag in BLOCK:
+                in_blocks.pop()
+        del stack[to:]
+
+    def innermost(*tags: str) -> int:
+        return max((at_of[t][-1] for t in tags if at_of[t]), default=0)
+
     at, n = 0, len(page)
     while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
+        begin = page.find("<", at)
+        if begin < 0:
             add(page[at:])
             break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
+        if begin > at:
+            add(page[at:begin])
+        at = begin
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = end + 3 if end >= 0 else n
             continue
-        tag = name.lower()
+        if page.startswith(("<!", "<?"), at) and at < last_end:
+            at = page.find(">", at) + 1
+            continue
+        m = _TAG.match(page, at) if at < last_end else None
+        if m is None:
+            add("<")
+            at += 1
+            continue
+        whole = _ATTRIBUTES.match(page, m.end()) if failures < FAILURES else None
+        if whole is None:
+            failures += 1
+            stop = page.find(">", m.end())
+            attributes, at = page[m.end() : stop], stop + 1
+        else:
+            attributes, at = whole[1], whole.end()
+        tag = m[2].lower()
         if m[1]:  # an end tag
             if tag == "a":
                 in_link = False
             if tag in ("p", "br"):
                 flush() if tag == "p" else texts.append(" ")
-            hit = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if not hit:
+            if not at_of[tag]:
                 continue
-            if tag not in BLOCK and any(e.tag in BLOCK for e in stack[hit + 1 :]):
+            hit = at_of[tag][-1]
+            if tag not in BLOCK and in_blocks[-1] > hit:
                 continue  # a formatting element does not close the blocks within it
             if tag in BLOCK:
                 flush()
-            del stack[hit:]
+            close(hit)
             if tag == "head":
                 head = False
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if m[3].rstrip().endswith("/") and tag in ("svg", "iframe", "canvas"):
+            if attributes.rstrip().endswith("/") and tag in ("svg", "iframe", "canvas"):
                 continue
             texts.append(" ")
-            if end is None and tag in ("option", "button", "select", "template"):
-                continue
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if end is None:
+                endless.add(tag)
+                if tag in ("option", "button", "select", "template"):
+                    continue
             at = end.end() if end else n
             continue
         if tag in VOID:
             if tag == "hr":
                 flush()
-            else:
-                texts.append(" " if tag in ("br", "img", "input", "wbr") and tag != "wbr" else "")
+            elif tag in ("br", "img", "input"):
+                texts.append(" ")
             continue
         if tag in BLOCK:
             flush()
             if tag in CLOSES_P:
-                hit = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p" or stack[i].tag in ("td", "th", "li", "div", "article", "section", "body")), 0)
+                hit = innermost("p", "td", "th", "li", "div", "article", "section", "body")
                 if hit and stack[hit].tag == "p":
-                    del stack[hit:]
+                    close(hit)
             if tag in ALIKE:
-                hit = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in ALIKE[tag] or stack[i].tag in ("ul", "ol", "dl", "table", "menu")), 0)
+                hit = innermost(*ALIKE[tag], "ul", "ol", "dl", "table", "menu")
                 if hit and stack[hit].tag in ALIKE[tag]:
-                    del stack[hit:]
+                    close(hit)
             if tag == "head":
                 head = True
             if tag == "body":
@@ -202,21 +263,26 @@ def blocks(page: str) -> list[Block]:
         elif tag == "a":
             in_link = True
         serial += 1
-        stack.append(_open(tag, m[3], stack[-1], serial))
+        at_of[tag].append(len(stack))
+        if tag in BLOCK:
+            in_blocks.append(len(stack))
+        stack.append(_open(tag, attributes, stack[-1], serial))
     flush()
     return out
 
 
-def classify(b: Block) -> float:
-    """Log-odds that a block is content."""
+def features(b: Block) -> tuple[float, float, float, float]:
+    """What the classifier sees of a block: its text alone."""
+    ends = b.text[-1] in ".!?:;\"”»)…" or ". " in b.text
+    return 1.0, float(np.log1p(b.text.count(" ") + 1)), b.linked / len(b.text), float(ends)
+
+
+def classify(b: Block, weights: tuple[float, ...] = PRIOR) -> float:
+    """Log-odds that a block is content, of its text, element and names."""
     e, w = b.element, WEIGHTS
-    words = b.text.count(" ") + 1
-    score = w["bias"] + e.content + min(w["most words"], w["word"] * words)
-    if b.text[-1] in ".!?:;\"”»)…" or ". " in b.text:
-        score += w["sentence"]
-    score += w["links"] * b.linked / len(b.text)
-    if e.furniture:
-        score += w["furniture element"]
+    score = max(-CLIP, min(CLIP, sum(x * y for x, y in zip(weights, features(b), strict=True)))) + e.named
+    if e.container:
+        score += w["in article"] if e.container == "article" else w["in main"]
     if e.tag == "p":
         score += w["p"]
     elif e.tag in ("h1", "h2", "h3", "h4"):
@@ -226,6 +292,42 @@ def classify(b: Block) -> float:
     return score
 
 
+def scores(found: list[Block], weights: tuple[float, ...] = PRIOR) -> list[float]:
+    """Log-odds of all blocks of a page: beside an article or main element that holds most of the page's plain text, little else is content."""
+    plain = [0 if b.element.furniture else len(b.text) - b.linked for b in found]
+    inside = sum(n for n, b in zip(plain, found, strict=True) if b.element.container)
+    apart = WEIGHTS["beside the article"] if inside and 2 * inside >= sum(plain) else 0.0
+    return [classify(b, weights) + (0.0 if b.element.container else apart) for b in found]
+
+
+def examples(page: str, most: int = FIT_BLOCKS) -> list[tuple[tuple[float, ...], bool]]:
+    """Features and weak label of up to ``most`` blocks of a page, evenly spread: elements tell what is content, names and texts do not."""
+    found = [(features(b), not b.element.furniture) for b in blocks(page) if b.element.furniture or b.element.container]
+    return found[:: max(1, -(-len(found) // most))]
+
+
+def fit(seen: list[tuple[tuple[float, ...], bool]]) -> tuple[float, ...]:
+    """Weights of a logistic classifier, drawn towards the prior; both kinds count alike, and of each kind mostly linked blocks and plain ones."""
+    prior = np.array(PRIOR)
+    y = np.array([label for _, label in seen], float)
+    if not len(y) or y.min() == y.max():
+        return PRIOR
+    x = np.array([f for f, _ in seen])
+    strata = 2 * (y > 0) + (x[:, 2] > 0.5)
+    counts = np.bincount(strata, minlength=4)
+    kinds = np.maximum(1, [(counts[0] > 0) + (counts[1] > 0), 0, (counts[2] > 0) + (counts[3] > 0)])
+    each = 0.5 * len(y) / (kinds[2 * (y > 0)] * counts[strata])
+    w = prior.copy()
+    for _ in range(30):  # Newton steps
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (each * (p - y)) + BELIEF * (w - prior)
+        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + BELIEF * np.eye(len(w)), slope)
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return tuple(w.round(6).tolist())
+
+
 def _steps(a: Element, b: Element) -> int:
     """Edges between two elements in the DOM."""
     n = 0
@@ -239,13 +341,15 @@ def _steps(a: Element, b: Element) -> int:
 
 
 def connect(found: list[Block]) -> None:
-    """Smoothness edges: page neighbours, and the next block under the same parent; none between furniture and the rest."""
+    """Smoothness edges: page neighbours, and the next block under the same parent; weaker between furniture and the rest."""
     last: dict[int, int] = {}
     for i, b in enumerate(found):
         parent = b.element.parent.serial if b.element.parent else -1
         for j, weight in ((i - 1, SMOOTH), (last.get(parent, -1), FAR)):
-            if j >= 0 and found[j].element.furniture == b.element.furniture:
+            if j >= 0:
                 w = weight / max(1, _steps(found[j].element, b.element) - 1)
+                if found[j].element.furniture != b.element.furniture or found[j].element.container != b.element.container:
+                    w *= BORDER
                 b.edges[j] = b.edges.get(j, 0.0) + w
                 found[j].edges[i] = found[j].edges.get(i, 0.0) + w
         last[parent] = i
@@ -276,40 +380,47 @@ def cut(scores: list[float], edges: list[dict[int, float]]) -> list[bool]:
 
 
 def max_flow(score: dict[int, float], edges: dict[int, dict[int, float]]) -> set[int]:
-    """Nodes on the sink side of the cut that leaves most nodes at the source; positive scores are capacities from it, negative ones to the sink."""
-    source, sink = -1, -2
-    cap: dict[int, dict[int, float]] = {source: {}, sink: {}}
-    for i, e in edges.items():
-        cap.setdefault(i, {}).update(e)
-    for i, s in score.items():
-        a, b = (source, i) if s > 0 else (i, sink)
-        cap[a][b] = cap[a].get(b, 0.0) + abs(s)
-        cap[b].setdefault(a, 0.0)
+    """Nodes on the sink side of the cut that leaves most nodes at the source; positive scores are capacities from it, negative ones to the sink.
+
+    Flow is sent along shortest residual paths, from one node with capacity left from the source after another: once a node has no path to the sink, no
+    flow from other nodes gives it one.
+    """
     tiny = 1e-9
-    while True:
-        came = {source: source}
-        queue = deque([source])
-        while queue and sink not in came:
-            a = queue.popleft()
-            for b, c in cap[a].items():
-                if c > tiny and b not in came:
-                    came[b] = a
-                    queue.append(b)
-        if sink not in came:
-            break
-        path, b = [], sink
-        while b != source:
-            path.append((came[b], b))
-            b = came[b]
-        flow = min(cap[a][b] for a, b in path)
-        for a, b in path:
-            cap[a][b] -= flow
-            cap[b][a] = cap[b].get(a, 0.0) + flow
+    cap = {i: dict(e) for i, e in edges.items()}
+    out = {i: max(0.0, -s) for i, s in score.items()}
+    dead: set[int] = set()  # without a path to the sink
+    for start, s in score.items():
+        left = s
+        while left > tiny and start not in dead:
+            came, queue, end = {start: start}, deque([start]), None
+            while queue:
+                a = queue.popleft()
+                if out[a] > tiny:
+                    end = a
+                    break
+                for b, c in cap[a].items():
+                    if c > tiny and b not in came and b not in dead:
+                        came[b] = a
+                        queue.append(b)
+            if end is None:
+                dead.update(came)
+                break
+            path, b = [], end
+            while b != start:
+                path.append((came[b], b))
+                b = came[b]
+            flow = min([left, out[end], *(cap[a][b] for a, b in path)])
+            left -= flow
+            out[end] -= flow
+            for a, b in path:
+                cap[a][b] -= flow
+                cap[b][a] = cap[b].get(a, 0.0) + flow
     # what can still reach the sink is on its side; all else is content
-    side, queue = {sink}, deque([sink])
+    side = {i for i, c in out.items() if c > tiny}
+    queue = deque(side)
     into: dict[int, list[int]] = {}
-    for a, out in cap.items():
-        for b, c in out.items():
+    for a, to in cap.items():
+        for b, c in to.items():
             if c > tiny:
                 into.setdefault(b, []).append(a)
     while queue:
@@ -320,27 +431,39 @@ def max_flow(score: dict[int, float], edges: dict[int, dict[int, float]]) -> set
     return side
 
 
-def extract(page: str | None) -> str:
+def label(page: str, weights: tuple[float, ...] = PRIOR) -> tuple[list[Block], list[float], list[bool]]:
+    """The blocks of a page, their log-odds and their labels by the minimum cut."""
+    found = blocks(page)
+    connect(found)
+    costs = scores(found, weights)
+    return found, costs, cut(costs, [b.edges for b in found])
+
+
+def extract(page: str | None, weights: tuple[float, ...] = PRIOR) -> str:
     """The main text of a page: its content blocks, joined by blank lines."""
     if not page:
         return ""
-    found = blocks(page)
-    if not found:
-        return ""
-    connect(found)
-    labels = cut([classify(b) for b in found], [b.edges for b in found])
+    found, _, labels = label(page, weights)
     return "\n\n".join(b.text for b, keep in zip(found, labels, strict=True) if keep)
 
 
+def fit_to(pages: DataFrame) -> tuple[float, ...]:
+    """The classifier fitted to a bounded sample of ``pages`` (column html), read from as few partitions as give it."""
+    sample = pages.select("html").where(F.octet_length("html") <= FIT_BYTES).take(FIT_PAGES)
+    return fit([x for row in sample for x in examples(row["html"])])
+
+
 def op9_html_mincut(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
 
+    weights = fit_to(pages)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                texts = [extract(x.as_py()) for x in part.column(2)]
+                texts = [extract(x.as_py(), weights) for x in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.mapInArrow(run, "page_id long, url string, text string, n_chars long")

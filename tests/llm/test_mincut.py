@@ -1,9 +1,10 @@
 import itertools
 import random
+import time
 
 import pytest
 
-from freshet.llm.mincut import blocks, cut, extract, op9_html_mincut
+from freshet.llm.mincut import PRIOR, blocks, connect, cut, examples, extract, fit, label, op9_html_mincut, scores
 
 FILL = "the of and to in is that it was for on with as by at from".split()
 
@@ -94,3 +95,61 @@ def test_operator(spark):
 @pytest.mark.parametrize("tag", ["math", "object", "noscript"])
 def test_formulas_and_fallback_text_stay(tag):
     assert extract(f"<article><p>We know that <{tag}><i>x equals y</i></{tag}> holds here.</p></article>") == "We know that x equals y holds here."
+
+
+@pytest.mark.parametrize(
+    ("html", "kept", "gone"),
+    [
+        ("<body><article><div class='widget-post'><p>This is the prose of the post, long enough to be read by all.</p></div></article>", "prose of the post", "~"),
+        ("<article><p>First prose of the page is here for all.</p><p class='related'>This one is related to the story and goes on for long enough.</p></article>", "related to the story", "~"),
+        ("<body><div class='content-ad-free'><h1>Title</h1><p>This is the prose of the page, and it is long enough.</p><p>Short.</p></div>", "Short.", "~"),
+        ("<body><div class='story search-results-study'><h1>Title</h1><p>This is the prose of the study, and it is long enough.</p></div>", "Title", "~"),
+        ("<body><div><p>We use cookies to make the page better, as you know.</p></div><article><h1>Title</h1><p>This is the prose, and it is long enough to be the main text of this page.</p></article>", "Title", "cookies"),
+        ("<body><article><p>This is the prose of the page, long enough to be read by all.</p></article><section class='post-comments'><article><p>I think that this is the best page that I have ever read in my life.</p></article></section>", "prose", "think"),
+    ],
+)
+def test_names_are_weighed(html, kept, gone):
+    assert kept in extract(html) and gone not in extract(html)
+
+
+def test_cut_changes_what_the_classifier_says():
+    page = (
+        "<body><div><a href=1>Home</a> <a href=2>News</a></div><div><h1>Head line</h1><p>This is the prose of the page and it is long enough to be the main text.</p>"
+        "<p>No</p><p>And some more prose that goes on with the text of the page, as it should.</p><p><a href=x>a link</a></p>"
+        "<p>And yet more prose that ends the text of the page, as it should.</p></div><div><a href=3>Privacy</a></div>"
+    )
+    found, costs, labels = label(page)
+    assert [b.text for b, c, keep in zip(found, costs, labels) if keep and c < 0] == ["Head line", "No", "a link"]
+    assert [b.text for b, keep in zip(found, labels) if not keep] == ["Home News", "Privacy"]
+
+
+def test_query_has_the_least_energy(spark):
+    r = random.Random(6)
+    words = lambda n: " ".join("".join(r.choices("abcdef", k=4)) for _ in range(n))
+    pages, kinds = [], ["<p>{}.</p>", "<p>{}</p>", "<div><a href=x>{}</a></div>", "<li>{}", "<h2>{}</h2>", "<div class='related'>{}</div>", "<article><p>{}.</p></article>", "<footer>{}</footer>", "<div class=post>{}</div>"]
+    for _ in range(60):
+        pages.append("<body>" + "".join(r.choice(kinds).format(words(r.choice([1, 1, 2, 4, 12]))) for _ in range(r.randint(1, 9))))
+    table = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").selectExpr("page_id", "'u' AS url", "html").coalesce(1)
+    got = {x.page_id: x.text for x in op9_html_mincut(table).collect()}
+    weights = fit([x for p in pages for x in examples(p)])
+    assert weights != PRIOR
+    changed = 0
+    for i, p in enumerate(pages):
+        found = blocks(p)
+        connect(found)
+        costs, edges = scores(found, weights), [b.edges for b in found]
+        best = min(itertools.product([True, False], repeat=len(found)), key=lambda x: round(energy(costs, edges, x), 9))
+        mine = [b.text in got[i].split("\n\n") for b in found]
+        assert energy(costs, edges, mine) == pytest.approx(energy(costs, edges, best))
+        changed += any((c >= 0) != keep for c, keep in zip(costs, mine))
+    assert changed > 5
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<a " * 20000, '<p class="x' + "<a " * 20000, '<a ">" ' * 10000, "<option>" * 8000, "<b>" * 10000 + "</i>" * 10000, "<i>" + "<div>" * 6000 + "</i>" * 7500, "<b>" * 5000 + "x<hr>" * 9000, "<p>x y z" * 8000, "<p>a b c d e f g h i.<p>x" * 5000],
+)
+def test_broken_markup_takes_time_in_proportion(html):
+    began = time.process_time()
+    extract(html)
+    assert time.process_time() - began < 1.5
