@@ -2,7 +2,8 @@
 
 The dimensions of a vector are its terms and floor(scale * component) its weight.  A shard keeps one posting
 list a dimension: the weights of its vectors in vector order (a dense list, so the list position is the vector),
-with the largest and smallest weight of every run of :data:`RUN` vectors.  For one query and one run each term has
+with the largest and smallest weight of every run of :data:`RUN` vectors (the first run is short: it is scored in full, and
+its k-th best is the threshold that the others start with).  For one query and one run each term has
 a bound, the most it can add to a score.  Terms in ascending order of their bounds whose sum stays below the
 threshold (the k-th best score so far) are *non-essential*: a vector that gains nothing from the others cannot
 enter the result.  The essential lists are traversed in full; the non-essential ones are probed, highest bound
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from freshet.llm import common
 
-#: Vectors in one shard file, in one run with bounds of its own, and queries in one query file.
-SHARD, RUN = 32_768, 4_096
+#: Vectors in one shard file, in one run with bounds of its own, and in the first run.
+SHARD, RUN, SEED = 32_768, 1_024, 128
 #: Shard files, and query files, that one task pairs up.
 SHARDS_A_TASK, QUERIES_A_TASK = 16, 16
 PROBE = 8
@@ -102,7 +104,8 @@ class Postings:
 
     def __init__(self, ids: np.ndarray, weights: np.ndarray):
         self.ids, self.n = ids, len(ids)
-        self.starts = np.arange(0, self.n, RUN)
+        self.starts = np.array([0, *range(min(SEED, RUN), self.n, RUN)])
+        self.ends = np.append(self.starts[1:], self.n)
         self.most = np.maximum.reduceat(weights, self.starts, axis=1).astype(np.float64)
         self.least = np.minimum.reduceat(weights, self.starts, axis=1).astype(np.float64)
         self.peak = np.abs(weights.astype(np.int64)).max(axis=1, initial=0)
@@ -115,8 +118,19 @@ class Postings:
         return self._as[kind]
 
 
-def search(p: Postings, query_id: int, q: np.ndarray, best: list[tuple[int, int]], k: int) -> list[tuple[int, int]]:
+@dataclass
+class Work:
+    """What searches have done: (vector, term) pairs looked at and all there were, vectors dropped before their last term, runs left out."""
+
+    looked: int = 0
+    all: int = 0
+    dropped: int = 0
+    skipped: int = 0
+
+
+def search(p: Postings, query_id: int, q: np.ndarray, best: list[tuple[int, int]], k: int, work: Work | None = None) -> list[tuple[int, int]]:
     """The k best (score, vec_id) of ``best`` and the shard, by MaxScore."""
+    work = work or Work()
     dims = min(len(q), len(p.raw))
     q = q[:dims].astype(np.int64)
     total = int((np.abs(q) * p.peak[:dims]).sum())
@@ -125,12 +139,15 @@ def search(p: Postings, query_id: int, q: np.ndarray, best: list[tuple[int, int]
     qf = q.astype(np.float64)[:, None]
     bounds = np.maximum(qf * p.most[:dims], qf * p.least[:dims])
     reach = bounds.sum(axis=0) if dims else np.zeros(len(p.starts))
-    for r in np.argsort(-reach, kind="stable"):
+    work.all += dims * p.n
+    # without a threshold the short run is the first; the others come by falling reach
+    runs = np.argsort(-reach, kind="stable") if len(best) == k else np.concatenate([[0], 1 + np.argsort(-reach[1:], kind="stable")])
+    for nr, r in enumerate(runs):
         theta = best[-1][0] if len(best) == k else None
         if theta is not None and reach[r] < theta:
-            break  # runs come by falling reach: no later one can compete
-        lo = int(p.starts[r])
-        hi = min(p.n, lo + RUN)
+            work.skipped += len(runs) - nr
+            break  # no later one can compete
+        lo, hi = int(p.starts[r]), int(p.ends[r])
         order = np.argsort(-bounds[:, r], kind="stable")
         rest = np.concatenate([np.cumsum(bounds[order, r][::-1])[::-1], [0.0]])
         # essential: the fewest strongest terms that leave the others short of the threshold
@@ -140,8 +157,10 @@ def search(p: Postings, query_id: int, q: np.ndarray, best: list[tuple[int, int]
             score += w[d] * lists[d, lo:hi]
         alive = np.flatnonzero(score + rest[m] >= theta) if theta is not None else np.arange(hi - lo)
         score = score[alive]
+        work.looked += m * (hi - lo)
         for i in range(m, dims, PROBE):
             terms = order[i : i + PROBE]
+            work.looked += len(terms) * len(alive)
             for d in terms:
                 score = score + w[d] * lists[d, lo + alive]
             competitive = score + rest[min(dims, i + PROBE)] >= theta
@@ -149,6 +168,7 @@ def search(p: Postings, query_id: int, q: np.ndarray, best: list[tuple[int, int]
                 alive, score = alive[competitive], score[competitive]
             if not len(alive):
                 break
+        work.dropped += hi - lo - len(alive)
         if not len(alive):
             continue
         ids = p.ids[lo + alive]
@@ -176,13 +196,17 @@ def top_k(
     root = common.scratch(spark, "topk")
     manifest = common.stage(spark, write_shards(vectors, f"{root}/files", scale, query_every, id_col, vec_col), f"{root}/manifest")
     shards = max(1, manifest.count())
-    groups, blocks = -(-shards // SHARDS_A_TASK), -(-shards // QUERIES_A_TASK)
-    hashed = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
-    left = manifest.select(hashed("shard", groups).alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.col("shard").alias("file"), F.lit(True).alias("is_shard"))
-    right = manifest.where("queries is not null").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), hashed("queries", blocks).alias("b"), F.col("queries").alias("file"), F.lit(False).alias("is_shard"))
-
-    def pair(table: pa.Table) -> pa.Table:
-        files = list(zip(table.column("file").to_pylist(), table.column("is_shard").to_pylist(), strict=True))
+    groups = -(-shards // SHARDS_A_TASK)
+    # thresholds carry over within a group of shards, so cores are filled by parting the queries first
+    cores = spark.sparkContext.defaultParallelism
+    blocks = max(-(-shards // QUERIES_A_TASK), min(shards, -(-2 * cores // groups)))
+    numbered = manifest.withColumn("nr", F.row_number().over(Window.orderBy("shard")) - 1)  # a short row a file
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = numbered.select((F.col("nr") % groups).alias("g"), every(blocks).alias("b"), F.col("shard").alias("file"), F.lit(True).alias("is_shard"))
+    right = numbered.where("queries is not null").select(every(groups).alias("g"), (F.col("nr") % blocks).alias("b"), F.col("queries").alias("file"), F.lit(False).alias("is_shard"))
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = [x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
         asked = [_read(f) for f, is_shard in sorted(files) if not is_shard]
         best: dict[tuple[int, int], list] = {}
         for f, is_shard in sorted(files):
@@ -193,9 +217,11 @@ def top_k(
                         best[a, j] = search(p, query, weights[j], best.get((a, j), []), k)
         rows = [(int(asked[a][0][j]), vec, score) for (a, j), found in best.items() for score, vec in found]
         cols = list(zip(*rows, strict=True)) or [(), (), ()]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), cols, strict=True)})
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
 
-    found = left.unionByName(right).groupBy("g", "b").applyInArrow(pair, "query_id long, vec_id long, score long")
+    # one task a pair of groups: rows are told where to go, and adaptive execution, which goes by their bytes, leaves them there
+    dealt = left.unionByName(right).repartitionById(groups * blocks, (F.col("g") * blocks + F.col("b")).cast("int"))
+    found = dealt.select("file", "is_shard").mapInArrow(pair, "query_id long, vec_id long, score long")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -37,3 +37,24 @@ def test_few_and_none(spark):
     assert top_k(spark, spark.createDataFrame([(0, [1.0])], schema)).collect() == []
     got = top_k(spark, spark.createDataFrame([(0, [1.0]), (1, [2.0])], schema)).collect()
     assert [tuple(x) for x in got] == [(0, 1, 1, 256 * 512)]
+
+
+def test_terms_and_vectors_are_pruned():
+    r = topk.np.random.default_rng(3)
+    x = r.normal(size=(2000, 64))
+    weights = topk.np.floor(256 * x / topk.np.linalg.norm(x, axis=1)[:, None]).astype(topk.np.int32)
+    p, work = topk.Postings(topk.np.arange(2000), topk.np.ascontiguousarray(weights.T)), topk.Work()
+    scores = weights.astype(int) @ weights.T.astype(int)
+    for q in range(0, 2000, 50):
+        got = topk.search(p, q, weights[q], [], 5, work)
+        assert got == sorted(((int(s), i) for i, s in enumerate(scores[q]) if i != q), key=lambda x: (-x[0], x[1]))[:5]
+    # of all pairs of a vector and a term, not all are looked at, though one shard holds all vectors
+    assert work.looked < 0.9 * work.all and work.dropped > 0.5 * 40 * 2000
+
+
+def test_runs_that_cannot_compete_are_left_out():
+    weights = topk.np.full((8, 4000), 1, topk.np.int32)
+    weights[:, :200] = 100
+    p, work = topk.Postings(topk.np.arange(4000), weights), topk.Work()
+    got = topk.search(p, 0, weights[:, 0], [], 5, work)
+    assert got == [(80_000, i) for i in range(1, 6)] and work.skipped == len(p.starts) - 2
