@@ -9,6 +9,7 @@ attempt never leaves a half-written file in a result.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import posixpath
 import tempfile
 import uuid
@@ -23,6 +24,10 @@ from pyspark.sql import functions as F
 #: Bytes of column data in one block file; one block is the unit of work of a follow-up pass.
 BLOCK_BYTES = 4 << 20
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Work folder -> who asked for it (None: a caller of an operator).
 _SCRATCH: dict[str, str | None] = {}
 _OWNER: list[str | None] = [None]
@@ -95,8 +100,16 @@ def _at_exit() -> None:
 
 
 def stage(spark: SparkSession, df: DataFrame, uri: str) -> DataFrame:
-    """Write ``df`` once below the shared folder and read it back: lineage ends at reliable files, and every consumer sees the same rows."""
-    df.write.option("compression", "zstd").parquet(uri)
+    """Write ``df`` once below the shared folder and read it back: lineage ends at reliable files, and every consumer sees the same rows.
+
+    Its shuffle files go when it is written, where Spark knows the setting: nothing reads them again.
+    """
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(uri)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(uri)
 
 
@@ -122,6 +135,13 @@ def unique_name(suffix: str) -> str:
     return f"{uuid.uuid4().hex}{suffix}"
 
 
+def trim() -> None:
+    """Give memory that is free back to the system: workers outlive their tasks, and share an executor's memory with those that come."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 # --- blocks -------------------------------------------------------------------------------------------------------
 
 
@@ -173,6 +193,7 @@ def block_pass(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in sliced(batches):
             yield from features(write_block(root, held), pa.Table.from_batches(held))
+        trim()
 
     return docs.mapInArrow(run, schema)
 
@@ -187,7 +208,10 @@ def apply_blocks(decisions: DataFrame, root: str, apply: Callable[[pa.Table, pa.
     tasks = max(1, blocks // 16, min(blocks, 4 * decisions.sparkSession.sparkContext.defaultParallelism))
 
     def run(table: pa.Table) -> pa.Table:
-        return apply(read_block(root, table.column("block")[0].as_py()), table)
+        try:
+            return apply(read_block(root, table.column("block")[0].as_py()), table)
+        finally:
+            trim()
 
     return decisions.repartition(tasks, "block").groupBy("block").applyInArrow(run, schema)
 

@@ -5,16 +5,22 @@ A suffix array of the whole corpus would hold a row a byte.  Only suffixes in th
 
 1. *Sampled q-gram buckets.*  Of the q-grams in a window of ``length`` bytes the one with the least hash stands for the window
    (a minimiser: equal windows have equal ones at equal offsets).  A run of windows with the same minimiser is a *stretch*; its bucket is
-   the minimiser's hash.  Stretches of one block with equal bucket and equal bytes (by 128 bits of hash) are merged at once, all but the first
-   being repeats, so a passage that a third of all documents share costs one row a block.
-2. *Buckets over all blocks.*  Short rows (hashes, place) are dealt by bucket.  Buckets with one stretch end there.  Stretches equal to an
-   earlier one are repeats in full.  Distinct stretches of one bucket go on; only they can share some windows and not others.
-3. *Bucket-pointer refinement.*  Their bytes are read back from the block files and dealt by bucket.  The suffixes that start their windows
-   are sorted to depth ``length``: first by q-grams of 8 bytes; then every bucket with more than one suffix is refined by the bucket
+   the minimiser's hash.
+2. *Refinement of buckets to whole stretches.*  Every later offset of a stretch (a step of 8 bytes) has the identifier of its own bucket, at first its 8
+   bytes; a round joins the identifiers of neighbouring offsets, so the next one reuses them at twice the depth, until one identifier names
+   the stretch.  Identifiers are 64-bit names, not ranks, since they have to agree over tasks.  Sorting a block's stretches on
+   (bucket, identifier) puts equal ones next to each other; their bytes are compared, all but the first being repeats, so a passage
+   that a third of all documents share costs one row a block.
+3. *Buckets over all blocks.*  Short rows (bucket, identifier, place) are dealt by bucket and sorted in the same way; equal ones of two
+   blocks are told by bucket and identifier, 128 bits.  Buckets with one stretch end there; the distinct stretches of the others may still share some windows.
+4. *Refinement of buckets to windows.*  The bytes of these are read back from the block files and dealt by bucket.  The suffixes that start
+   their windows are sorted to depth ``length``: first by q-grams of 8 bytes; then every bucket with more than one suffix is refined by the bucket
    identifiers of the suffixes at later offsets (8, 16, 32 ... and last so that the depths add up to ``length``), each round
    reusing the identifiers the round before updated.  Suffixes left in one bucket share ``length`` bytes; all but the earliest are
-   repeats.  A bucket of more than :data:`HOT` stretches is not sorted in one task: its windows are dealt on by their 128-bit hashes, which are aggregated.
-4. Repeats are applied block by block to the documents read back.
+   repeats.  A bucket of more than :data:`HOT` distinct stretches is parted first: windows that hold the minimiser at nearby offsets share more
+   bytes than it, and the identifier of these is the bucket of their part, for which steps 3 and 4 are done again, with ever
+   longer shared bytes while a bucket is too large.
+5. Repeats are applied block by block to the documents read back.
 
 Defined results: null texts are empty.  Matches never cross documents.  The order is (doc_id with null first, then the text's hash, then
 the row): rows with equal ids and texts are copies of one another, one of which is the earliest.
@@ -34,9 +40,9 @@ from pyspark.sql import functions as F
 
 from freshet.llm import common
 
-LENGTH, GRAM = 100, 16
-#: Distinct stretches of one bucket that one task sorts; more are compared by window hashes.
-HOT = 4096
+LENGTH, GRAM = 100, 24
+#: Distinct stretches of one bucket that one task sorts; larger buckets are parted, each time into so many parts.
+HOT, PARTS = 4096, 4
 #: Bytes handed to one refinement.
 SORT_BYTES = 1 << 20
 
@@ -145,6 +151,40 @@ def refine(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.nda
     return pointer[starts]
 
 
+def _words(raw: bytes, first: np.ndarray, size: np.ndarray, columns: int) -> np.ndarray:
+    """The 8 bytes at each step of 8 from ``first``; the last 8 bytes again and again beyond a stretch's end."""
+    words = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
+    at = first[:, None] + np.minimum(8 * np.arange(columns)[None, :], (size - 8)[:, None])
+    return words[at]
+
+
+def identify(raw: bytes, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit identifiers of the stretches of ``size`` bytes at ``first``: those of later offsets joined to twice the depth, round after round."""
+    out = np.empty(len(first), np.uint64)
+    for i in range(0, len(first), 16_384):
+        part = slice(i, i + 16_384)
+        columns = 1 << max(0, int(-(-size[part].max() // 8) - 1).bit_length())
+        x = _words(raw, first[part], size[part], columns)
+        x[:, 0] ^= size[part].astype(np.uint64) * _ODD[2]
+        while x.shape[1] > 1:
+            x = x[:, 0::2] * _ODD[0] + (x[:, 1::2] ^ (x[:, 1::2] >> np.uint64(31))) * _ODD[1]
+            x ^= x >> np.uint64(29)
+            x *= _ODD[3]
+            x ^= x >> np.uint64(32)
+        out[part] = x[:, 0]
+    return out
+
+
+def equal_bytes(raw: bytes, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the stretches of ``size`` bytes at ``a`` and at ``b`` are equal."""
+    out = np.empty(len(a), bool)
+    for i in range(0, len(a), 16_384):
+        part = slice(i, i + 16_384)
+        columns = int(-(-size[part].max() // 8))
+        out[part] = (_words(raw, a[part], size[part], columns) == _words(raw, b[part], size[part], columns)).all(axis=1)
+    return out
+
+
 # --- first pass -----------------------------------------------------------------------------------------------------
 
 #: kind 0: a stretch that may repeat; 1: a span known to repeat; 2: the block's marker; 3: a stretch to compare.
@@ -179,8 +219,8 @@ def _first_pass(length: int, gram: int) -> Callable[[int, pa.Table], Iterator[pa
         bucket, first, last = stretches(np.frombuffer(joined, np.uint8), ends, length, gram)
         if not len(bucket):
             return
-        hashed = xxhash.xxh3_64_intdigest
-        content = np.fromiter((hashed(joined[i : j + length]) for i, j in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(first)).view(np.int64)
+        begins, size = first, last - first + length
+        content = identify(joined, first, size).view(np.int64)
         bucket = bucket.view(np.int64)
         row = np.searchsorted(ends, first, "right")
         begin = np.concatenate([[0], ends[:-1]])[row]
@@ -189,6 +229,12 @@ def _first_pass(length: int, gram: int) -> Callable[[int, pa.Table], Iterator[pa
         order = np.lexsort((first, row, tie, doc, content, bucket))
         b, c = bucket[order], content[order]
         again = np.concatenate([[False], (b[1:] == b[:-1]) & (c[1:] == c[:-1])])
+        # sorted next to an equal identifier; the bytes decide, and one that differs gets another identifier
+        mate = order[np.flatnonzero(again) - 1]
+        same = (size[order[again]] == size[mate]) & equal_bytes(joined, begins[order[again]], begins[mate], np.minimum(size[order[again]], size[mate]))
+        for k in order[again][~same].tolist():
+            content[k] ^= np.int64(xxhash.xxh3_64_intdigest(joined[begins[k] : begins[k] + size[k]]) >> 1)
+        again[np.flatnonzero(again)[~same]] = False
         at = np.sort(order[~again])
         yield from _batches(0, {"bucket": bucket[at], "content": content[at], "doc_id": doc[at], "tie": tie[at], "block": np.full(len(at), block), "row": row[at], "first": first[at], "last": last[at]})
         if again.any():
@@ -314,41 +360,53 @@ def _refined(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
-def _window_hashes(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """One row a window of the stretches: its 128-bit hash and its place."""
+def _parted(length: int, gram: int, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The asked stretches cut by where their windows hold the minimiser, each part with the bucket of the bytes that all its windows share."""
+    width = length - gram + 1  # places of the minimiser in a window
+    borders = [-(-width * i // parts) for i in range(parts + 1)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*PLACE, "bytes")]
-            out: list[tuple] = []
-            for doc, tie, block, row, first, data in zip(*cols, strict=True):
-                out += [(xxhash.xxh3_128_digest(data[i : i + length]), doc, tie, block, row, first + i) for i in range(len(data) - length + 1)]
-            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-            for i in range(0, len(out), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 20_000], strict=True), kinds, strict=True)], ["hash", *PLACE])
+    def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        texts, _ = _texts(docs)
+        rows = []
+        for doc, tie, block, row, first, last in zip(*(asked.column(c).to_pylist() for c in (*PLACE, "last")), strict=True):
+            text = texts[row]
+            hashes = gram_hashes(np.frombuffer(text[last : last + length], np.uint8), gram)
+            pivot = last + int(((hashes & ~np.uint64(0xFFFFFF)) | np.arange(len(hashes), dtype=np.uint64)).argmin())
+            for i in range(parts):
+                near, far = max(borders[i], pivot - last), min(borders[i + 1] - 1, pivot - first)
+                if near <= far:
+                    shared = text[pivot - borders[i] : pivot - borders[i + 1] + 1 + length]
+                    bucket, content = xxhash.xxh3_64_intdigest(shared, i), xxhash.xxh3_64_intdigest(text[pivot - far : pivot - near + length])
+                    rows.append((0, bucket - (1 << 63), content - (1 << 63), doc, tie, block, row, pivot - far, pivot - near))
+        return pa.table([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)), _ROW, strict=True)], schema=_ROW)
 
     return run
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, root: str, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, int]:
     """(block, row, first, last): window starts of the block files below ``root`` that repeat an earlier window; rows with a null ``row`` mark blocks.  And the number of blocks."""
-    rows = common.stage(spark, common.block_pass(docs, f"{root}/blocks", _first_pass(length, gram), ROW), f"{root}/rows")
-    dealt = rows.where("kind = 0").repartition("bucket").sortWithinPartitions("bucket", "content", *PLACE)
-    settled = common.stage(spark, dealt.mapInArrow(_buckets, ROW), f"{root}/settled")
+    files = f"{root}/blocks"
+    rows = common.stage(spark, common.block_pass(docs, files, _first_pass(length, gram), ROW), f"{root}/rows")
     marks = rows.where("kind > 0").select("block", F.when(F.col("kind") == 1, F.col("row")).alias("row"), "first", "last")
-    known = common.stage(spark, marks, f"{root}/known")
-    common.delete(spark, f"{root}/rows")
-    blocks = known.where("row is null").count()
-    asked = settled.where("kind = 3")
-    parts = common.stage(spark, common.apply_blocks(asked, f"{root}/blocks", _contents(length), STRETCH, blocks), f"{root}/stretches")
-    crowded = asked.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("bucket")
-    small = parts.join(crowded, "bucket", "left_anti").select(parts.columns).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refined(length), SPAN)
-    hot = parts.join(crowded, "bucket", "left_semi").select(parts.columns)
-    windows = hot.mapInArrow(_window_hashes(length), "hash binary, doc_id long, tie int, block long, row int, first int")
-    place = F.struct(*PLACE)
-    least = windows.groupBy("hash").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1")
-    again = windows.join(least.hint("merge"), "hash").where(place != F.col("least")).select("block", "row", "first", F.col("first").alias("last"))
-    return known.unionByName(settled.where("kind = 1").select("block", "row", "first", "last")).unionByName(small).unionByName(again), blocks
+    spans = common.stage(spark, marks, f"{root}/known")
+    blocks = spans.where("row is null").count()
+    level, parts = 0, 1
+    while True:
+        dealt = rows.where("kind = 0").repartition("bucket").sortWithinPartitions("bucket", "content", *PLACE)
+        settled = common.stage(spark, dealt.mapInArrow(_buckets, ROW), f"{root}/settled-{level}")
+        common.delete(spark, f"{root}/rows" if not level else f"{root}/rows-{level}")
+        spans = spans.unionByName(settled.where("kind = 1").select("block", "row", "first", "last"))
+        asked = settled.where("kind = 3")
+        crowded = common.stage(spark, asked.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("bucket"), f"{root}/crowded-{level}")
+        some = not crowded.isEmpty()
+        small = asked.join(crowded, "bucket", "left_anti") if some else asked
+        read = common.apply_blocks(small.select("bucket", *PLACE, "last"), files, _contents(length), STRETCH, blocks)
+        spans = spans.unionByName(read.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refined(length), SPAN))
+        if not some:
+            return spans, blocks
+        level, parts = level + 1, parts * PARTS
+        hot = asked.join(crowded, "bucket", "left_semi").select(*PLACE, "last")
+        rows = common.stage(spark, common.apply_blocks(hot, files, _parted(length, gram, min(parts, length - gram + 1)), ROW, blocks), f"{root}/rows-{level}")
 
 
 def removed(spans: pa.Table, sizes: list[int], length: int) -> list[np.ndarray]:

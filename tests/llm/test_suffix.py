@@ -58,7 +58,7 @@ def corpus(n=60):
     return texts
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
+@pytest.mark.parametrize("hot", [4096, 3, 1])
 def test_matches_brute_force(spark, documents, monkeypatch, hot):
     monkeypatch.setattr(suffix, "HOT", hot)
     monkeypatch.setattr(common, "BLOCK_BYTES", 6000)
