@@ -121,13 +121,13 @@ def put(uri: str, data: bytes | pa.Buffer) -> None:
     """Write one object; its name must be attempt-unique."""
     fs, path = fs_path(uri)
     fs.create_dir(posixpath.dirname(path), recursive=True)
-    with fs.open_output_stream(path) as out:
+    with fs.open_output_stream(path, compression=None) as out:  # names do not say how to compress
         out.write(data)
 
 
 def get(uri: str) -> bytes:
     fs, path = fs_path(uri)
-    with fs.open_input_stream(path) as f:
+    with fs.open_input_stream(path, compression=None) as f:
         return f.read()
 
 

@@ -4,10 +4,11 @@ Writer: one gzip member a record (WARC/1.1), files of bounded size below a folde
 least ``min_bytes`` bytes, that with the smallest page_id is a ``response``, the others are ``revisit`` records that
 name it; smaller payloads are all responses.
 
-Salvage reader: reads member after member.  Where a member fails a check (gzip frame, version line, header block,
+Salvage reader: reads member after member from a seekable file, with one record and a window of bytes in memory.  Where a member fails a check (gzip frame, version line, header block,
 Content-Length, block digest), it logs the bytes from the member's start on as quarantined and searches for the next byte position at
 which a whole valid member (or, in uncompressed files, a version line with a valid record) begins; reading goes on
-there, so later records are recovered.
+there, so later records are recovered.  :func:`op2_warc` stores the gaps as a quarantine table and fails if there is one, if records are missing, or if a revisit
+states another length or digest than the record it refers to: what it returns is whole.
 
 Defined results: null html is an empty payload; null urls are written as an empty target; repeated page_ids give one record each
 (rows that share the smallest id of equal payloads are all responses).  Rows with a null page_id can be no other record's target
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,8 +32,11 @@ from pyspark.sql import functions as F
 from freshet.llm import common
 
 VERSION = b"WARC/1.1"
+#: Uncompressed bytes of the records of one archive.
 FILE_BYTES = 64 << 20
 MAGIC = b"\x1f\x8b\x08"
+#: Characters of payloads in one batch of rows.
+_BATCH = 8 << 20
 #: A record's block is checked against this header by the reader; the payload digest covers the full page.
 BLOCK_DIGEST = "WARC-Block-Digest"
 
@@ -92,14 +97,47 @@ class Invalid(Exception):
     pass
 
 
-def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+#: Bytes read from a file at a time, and the longest header block.
+_STEP, _HEADERS = 1 << 16, 1 << 20
+
+
+class Window:
+    """Bytes of a seekable file by their place, with the stretch read last in memory."""
+
+    def __init__(self, file, size: int):
+        self.file, self.size = file, size
+        self.begin, self.held = 0, b""
+
+    def get(self, at: int, n: int) -> bytes:
+        n = max(0, min(n, self.size - at))
+        if not (self.begin <= at and at + n <= self.begin + len(self.held)):
+            self.file.seek(at)
+            self.begin, self.held = at, self.file.read(max(n, min(_STEP, self.size - at)))
+        return self.held[at - self.begin : at - self.begin + n]
+
+    def find(self, mark: bytes, at: int) -> int:
+        """The first place of ``mark`` from ``at`` on; -1 if there is none."""
+        while at < self.size:
+            got = self.get(at, _STEP)
+            hit = got.find(mark)
+            if hit >= 0:
+                return at + hit
+            at += max(1, len(got) - len(mark) + 1)
+        return -1
+
+
+def parse(data: bytes | Window, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the record that begins at ``at``; :class:`Invalid` if any check fails."""
-    if data[at : at + 5] != b"WARC/":
+    file = data if isinstance(data, Window) else Window(io.BytesIO(data), len(data))
+    if file.get(at, 5) != b"WARC/":
         raise Invalid("no version line")
-    end = data.find(b"\r\n\r\n", at)
-    if end < 0:
-        raise Invalid("no end of headers")
-    lines = data[at:end].split(b"\r\n")
+    head, n = b"", _STEP // 16
+    while b"\r\n\r\n" not in head:
+        if len(head) >= min(_HEADERS, file.size - at):
+            raise Invalid("no end of headers")
+        head, n = file.get(at, n), 2 * n
+    end = at + head.find(b"\r\n\r\n")
+    lines = head[: end - at].split(b"\r\n")
     if not re.fullmatch(rb"WARC/\d+\.\d+", lines[0]):
         raise Invalid("version line is damaged")
     headers: dict[str, str] = {}
@@ -116,21 +154,22 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
         raise Invalid("no content length")
     start = end + 4
     stop = start + int(length)
-    if data[stop : stop + 4] != b"\r\n\r\n":
+    if file.get(stop, 4) != b"\r\n\r\n":
         raise Invalid("record does not end where its length says")
-    block = data[start:stop]
+    block = file.get(start, stop - start)
     if headers.get(BLOCK_DIGEST, f"sha1:{digest32(block)}") != f"sha1:{digest32(block)}":
         raise Invalid("block digest differs")
     return headers, block, stop + 4
 
 
-def salvage(data: bytes) -> Salvaged:
-    """Every valid record of an archive, and the byte gaps between them."""
-    found = Salvaged()
-    zipped = data[:2] == MAGIC[:2] or (VERSION[:5] != data[:5] and MAGIC in data)
+def stream(file, size: int) -> Iterator[Record | tuple[int, int, str]]:
+    """The valid records of a seekable archive of ``size`` bytes in its order, and (offset, length, reason) of every gap between them."""
+    data = Window(file, size)
+    begin = data.get(0, 5)
+    zipped = begin[:2] == MAGIC[:2] or (begin != VERSION[:5] and data.find(MAGIC, 0) >= 0)
     mark = MAGIC if zipped else b"WARC/"
     at, bad, reason = 0, None, ""
-    while at < len(data):
+    while at < size:
         try:
             if zipped:
                 body, end = _read_member(data, at)
@@ -147,32 +186,35 @@ def salvage(data: bytes) -> Salvaged:
                 break
             continue
         if bad is not None:
-            found.gaps.append((bad, at - bad, reason))
+            yield bad, at - bad, reason
             bad = None
-        found.records.append(Record(headers, block, at, end - at))
+        yield Record(headers, block, at, end - at)
         at = end
     if bad is not None:
-        found.gaps.append((bad, len(data) - bad, reason))
-    return found
+        yield bad, size - bad, reason
 
 
-#: Compressed bytes handed to zlib at first; doubled until the member ends, so a small member costs no pass over the file.
-_STEP = 1 << 16
+def salvage(data: bytes) -> Salvaged:
+    """Every valid record of an archive in memory, and the byte gaps between them."""
+    found = Salvaged()
+    for x in stream(io.BytesIO(data), len(data)):
+        found.records.append(x) if isinstance(x, Record) else found.gaps.append(x)
+    return found
 
 
-def _read_member(data: bytes, at: int) -> tuple[bytes, int]:
+def _read_member(data: Window, at: int) -> tuple[bytes, int]:
+    """The plain bytes of the gzip member at ``at``, and its end."""
     z, out, i = zlib.decompressobj(31), [], at
-    step = _STEP
     try:
-        while not z.eof and i < len(data):
-            out.append(z.decompress(data[i : i + step]))
-            i += step
-            step *= 2
+        while not z.eof and i < data.size:
+            got = data.get(i, _STEP)
+            out.append(z.decompress(got))
+            i += len(got)
     except zlib.error as e:
         raise Invalid(f"gzip: {e}") from None
     if not z.eof:
         raise Invalid("gzip: member is cut off")
-    return b"".join(out), min(i, len(data)) - len(z.unused_data)
+    return b"".join(out), i - len(z.unused_data)
 
 
 # --- Spark --------------------------------------------------------------------------------------------------------
@@ -193,7 +235,7 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, root: str, min_bytes: int = 0) -> DataFrame:
-    """Write the archives; one row a file: file, records, bytes.  Stage the result before reading."""
+    """Write the archives; one row a file: file, records, (uncompressed) bytes.  Stage the result before reading."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -209,9 +251,9 @@ def write_archives(pages: DataFrame, root: str, min_bytes: int = 0) -> DataFrame
                 page_id, url, html, sha1, first_id, refer = (x.as_py() for x in row)
                 payload = html.encode("utf-8")
                 digest = base64.b32encode(bytes.fromhex(sha1)).decode("ascii")
-                data = member(record("revisit" if refer else "response", page_id, url, payload, digest, len(payload), first_id))
-                held.append(data)
-                size += len(data)
+                plain = record("revisit" if refer else "response", page_id, url, payload, digest, len(payload), first_id)
+                held.append(member(plain))
+                size += len(plain)
                 if size >= FILE_BYTES:
                     yield flush()
                     held, size = [], 0
@@ -237,22 +279,26 @@ def read_archives(files: DataFrame, payloads: bool = True) -> DataFrame:
     """
 
     def rows(uri: str) -> Iterator[dict]:
-        got = salvage(common.get(uri))
-        gaps = list(got.gaps)
-        for r in got.records:
+        fs, path = common.fs_path(uri)
+        with fs.open_input_file(path) as f:
+            yield from found(uri, stream(f, f.size()))
+
+    def found(uri: str, read: Iterator[Record | tuple[int, int, str]]) -> Iterator[dict]:
+        for r in read:
+            if not isinstance(r, Record):
+                yield dict(zip(("file", "offset", "length", "gap"), (uri, *r), strict=True))
+                continue
             h = r.headers
             stated = h.get("WARC-Payload-Digest", "").removeprefix("sha1:")
             kind = h.get("WARC-Type")
             if kind == "response" and digest32(r.block) != stated:
-                gaps.append((r.offset, r.length, "payload digest differs"))
+                yield {"file": uri, "offset": r.offset, "length": r.length, "gap": "payload digest differs"}
                 continue
             yield {
                 "page_id": _id(h.get("WARC-Record-ID")), "payload_bytes": len(r.block) if kind == "response" else int(h.get("X-Payload-Length", "0")), "payload_digest": stated,
                 "record_type": kind, "refers_to": _id(h.get("WARC-Refers-To")), "url": h.get("WARC-Target-URI"),
                 "payload": r.block.decode("utf-8", "replace") if payloads and kind == "response" else None, "file": uri, "offset": r.offset, "length": r.length, "gap": None,
             }
-        for offset, length, reason in gaps:
-            yield {"file": uri, "offset": offset, "length": length, "gap": reason}
 
     names = [x.split()[0] for x in READ_SCHEMA.split(", ")]
     types = [pa.int64() if x.endswith("long") else pa.string() for x in READ_SCHEMA.split(", ")]
@@ -262,23 +308,48 @@ def read_archives(files: DataFrame, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for uri in batch.column(batch.schema.get_field_index("file")).to_pylist():
                 held: list[dict] = []
+                size = 0
                 for row in rows(uri):
                     held.append(row)
-                    if len(held) >= 2000:
+                    size += len(row.get("payload") or "")
+                    if len(held) >= 2000 or size >= _BATCH:
                         yield pa.RecordBatch.from_pylist(held, schema)
-                        held = []
+                        held, size = [], 0
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema)
 
     return files.select("file").mapInArrow(run, READ_SCHEMA)
 
 
+class Damaged(ValueError):
+    """Archives do not hold what was written to them."""
+
+
+def unmatched(read: DataFrame) -> DataFrame:
+    """Revisits of ``read`` (see :func:`read_archives`) whose length or digest no record that they refer to has, as (refers_to, payload_digest, payload_bytes)."""
+    what = ("payload_digest", "payload_bytes")
+    asked = read.where("record_type = 'revisit'").select("refers_to", *what).distinct()
+    return asked.join(read.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), *what), ["refers_to", *what], "left_anti")
+
+
 def op2_warc(spark: SparkSession, pages: DataFrame) -> DataFrame:
     root = common.scratch(spark, "warc")
     manifest = common.stage(spark, write_archives(pages, f"{root}/archives"), f"{root}/manifest")
-    n = max(1, manifest.count())
-    read = read_archives(manifest.repartition(min(n, 4096)), payloads=False)
-    return read.where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    files, records = manifest.agg(F.count("*"), F.coalesce(F.sum("records"), F.lit(0))).first()
+    return checked(spark, read_archives(manifest.repartition(max(1, min(files, 4096))), payloads=False), records, root)
+
+
+def checked(spark: SparkSession, read: DataFrame, records: int, root: str) -> DataFrame:
+    """The records of ``read``, staged below ``root`` with its quarantine table; :class:`Damaged` unless there are ``records`` of them and all agree."""
+    found = common.stage(spark, read.drop("url", "payload"), f"{root}/read")
+    gaps = found.where("gap is not null").select("file", "offset", "length", "gap")
+    n, lost = found.agg(F.count_if(F.col("gap").isNull()), F.count("gap")).first()
+    if n != records or lost:
+        common.stage(spark, gaps, f"{root}/quarantine")
+        raise Damaged(f"{records} records were written, {n} read; {lost} gaps are listed in {root}/quarantine")
+    if not unmatched(found).isEmpty():
+        raise Damaged("a revisit states another length or digest than the record it refers to")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE_OP2 = """

@@ -1,7 +1,12 @@
+import gzip
 import hashlib
+import io
+import tracemalloc
 
-from freshet.llm import common
-from freshet.llm.warc import digest32, member, op2_warc, parse, read_archives, record, salvage, write_archives
+import pytest
+
+from freshet.llm import common, warc
+from freshet.llm.warc import Damaged, checked, digest32, member, op2_warc, parse, read_archives, record, salvage, stream, unmatched, write_archives
 
 
 def archive(n=6):
@@ -69,3 +74,62 @@ def test_empty_table(spark):
 def test_parse_headers():
     h, block, end = parse(record("revisit", 4, "u", b"abc", digest32(b"abc"), 3, 2))
     assert h["WARC-Refers-To"].endswith(":2>") and block == b"" and h["WARC-Payload-Digest"] == "sha1:" + __import__("base64").b32encode(hashlib.sha1(b"abc").digest()).decode()
+
+
+def staged(spark, pages, root):
+    manifest = common.stage(spark, write_archives(pages, f"{root}/archives"), f"{root}/manifest")
+    return manifest, sum(x.records for x in manifest.collect())
+
+
+def test_a_damaged_archive_fails_and_is_quarantined(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    pages = spark.createDataFrame([(i, "u", f"<p>{i % 7}</p>" * 50) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    manifest, n = staged(spark, pages, root)
+    assert checked(spark, read_archives(manifest), n, f"{root}/a").count() == 40
+    path = manifest.first().file.removeprefix("file://")
+    with gzip.open(path) as f:  # one member a record, as other readers expect it
+        assert f.read(8) == b"WARC/1.1"
+    with open(path, "r+b") as f:
+        f.seek(600)
+        f.write(b"\0\0\0\0")
+    with pytest.raises(Damaged, match="40 records were written"):
+        checked(spark, read_archives(manifest), n, f"{root}/b")
+    gap = spark.read.parquet(f"{root}/b/quarantine").collect()
+    assert len(gap) == 1 and gap[0].offset <= 600 < gap[0].offset + gap[0].length
+    with open(path, "wb") as f:  # whole, but one record less
+        f.write(member(record("response", 1, "u", b"x", digest32(b"x"), 1, None)))
+    with pytest.raises(Damaged, match="1 read"):
+        checked(spark, read_archives(manifest), n, f"{root}/c")
+
+
+def test_revisits_are_held_against_their_records(spark, tmp_path):
+    ok, wrong = digest32(b"abc"), digest32(b"abd")
+    for k, (digest, size, refers) in enumerate([(ok, 3, 1), (wrong, 3, 1), (ok, 4, 1), (ok, 3, 9)]):
+        path = f"file://{tmp_path}/{k}.warc.gz"
+        common.put(path, member(record("response", 1, "u", b"abc", ok, 3, None)) + member(record("revisit", 2, "u", b"", digest, size, refers)))
+        read = read_archives(spark.createDataFrame([(path,)], "file string"))
+        assert unmatched(read).count() == (k > 0)
+
+
+def test_records_are_read_one_at_a_time(monkeypatch):
+    monkeypatch.setattr(warc, "_STEP", 64)
+    parts = archive(40)
+    parts[7] = parts[7][:-9]
+    data = b"".join(parts)
+    got = list(stream(io.BytesIO(data), len(data)))
+    assert [x.offset for x in got if isinstance(x, warc.Record)] == [sum(map(len, parts[:i])) for i in range(40) if i != 7]
+    plain = b"".join(record("response", i, "u", b"WARC/1.1 " * 50 + b"%d" % i, digest32(b"WARC/1.1 " * 50 + b"%d" % i), 4, None) for i in range(9))
+    assert [x.headers["WARC-Type"] for x in stream(io.BytesIO(b"junk" + plain), len(plain) + 4) if isinstance(x, warc.Record)] == ["response"] * 9
+
+
+def test_memory_does_not_grow_with_the_archive(tmp_path):
+    html = b"<p>one line of a page like many others</p>\n" * 6000  # 260 kB, 1 kB when compressed
+    one = member(record("response", 1, "u", html, digest32(html), len(html), None))
+    with open(tmp_path / "a", "wb") as f:
+        f.write(one * 400)
+    tracemalloc.start()
+    with open(tmp_path / "a", "rb") as f:
+        assert sum(1 for _ in stream(f, len(one) * 400)) == 400
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * len(html)
