@@ -6,13 +6,11 @@ Everything here is built from higher-order functions, so it stays in the JVM; sa
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 QUANTILES = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 _EDGE = 1e-6
@@ -133,24 +131,66 @@ def draw(rng: np.random.Generator, mu, b, tau, pi, n: int, negative: str = "none
     return out
 
 
-def sample(df: DataFrame, n: int, seed: int = 0, into: str = "samples", negative: str = "none", zero: float = 0.0, retries: int = 5, columns: Sequence[str] = ("mu", "b", "tau", "pi")) -> DataFrame:
-    """``df`` with an array of n draws a row.  Each batch is seeded by its parameters, so a task that runs again draws the same."""
-    import zlib
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            at = [batch.column(batch.schema.get_field_index(c)) for c in columns]
-            arrays = [np.array(x.to_pylist(), float) for x in at]
-            mark = zlib.crc32(b"".join(np.ascontiguousarray(x).tobytes() for x in arrays))
-            drawn = draw(np.random.default_rng([seed, mark]), *arrays, n, negative, zero, retries)
-            offsets = pa.array(np.arange(batch.num_rows + 1) * n, pa.int32())
-            values = pa.array(np.where(np.isnan(drawn), 0.0, drawn).ravel(), mask=np.isnan(drawn).ravel())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, values)], names=[*batch.schema.names, into])
-
-    schema = T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.DoubleType()))])
-    return df.mapInArrow(run, schema)
+def uniform(seed: int, *marks: Column) -> Column:
+    """A number between 0 and 1 for each value of the marks: 52 bits of the MD5 hash of seed and marks, so it depends on nothing else."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[m.cast("string") for m in marks])
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def component_draw(u: Column, v: Column, mixture: Column) -> Column:
+    """The draw of a mixture that two uniform numbers make: ``u`` picks the component, ``v`` its value."""
+
+    def value(c: Column) -> Column:
+        tau = F.least(F.greatest(c["tau"], F.lit(_EDGE)), F.lit(1 - _EDGE))
+        return _let(F.struct(v.alias("v"), c["mu"].alias("mu"), c["b"].alias("b"), tau.alias("tau")), inverse)
+
+    def inverse(x: Column) -> Column:
+        v, mu, b, tau = x["v"], x["mu"], x["b"], x["tau"]
+        return F.when(v < tau, mu + b / (1 - tau) * F.ln(v / tau)).otherwise(mu - b / tau * F.ln((1 - v) / (1 - tau)))
+
+    def picked(x: Column) -> Column:
+        # components whose cumulative weight lies below u are passed over
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+        step = lambda a, c: F.struct((a["sum"] + c["pi"]).alias("sum"), (a["n"] + (x > a["sum"] + c["pi"]).cast("int")).alias("n"))
+        return F.get(mixture, F.least(F.aggregate(mixture, start, step, lambda a: a["n"]), F.size(mixture) - 1))
+
+    return _let(_let(u * _sum(F.transform(mixture, lambda c: c["pi"])), picked), value)
+
+
+def sample(
+    df: DataFrame, n: int, seed: int = 0, into: str = "samples", negative: str = "none", zero: float = 0.0, retries: int = 5, columns: Sequence[str] = ("mu", "b", "tau", "pi"), keys: Sequence[str] = ()
+) -> DataFrame:
+    """``df`` with an array of n draws a row, in column expressions.
+
+    A draw depends on the seed, the row's ``keys`` (without any: its parameters) and its number alone, not on how rows are partitioned.  Draws
+    below ``zero`` are kept, set to it, or drawn again up to ``retries`` times and then set to it; a row with a missing parameter has NULL draws.
+    """
+    if negative not in NEGATIVE:
+        raise NotImplementedError(f"negative handling {negative!r}")
+    mixture = components(*columns)
+    mark = F.concat_ws(":", *[F.col(k).cast("string") for k in keys]) if keys else F.to_json(F.struct(*columns))
+    lost = F.exists(mixture, lambda c: F.greatest(*[F.coalesce(F.isnan(c[x]) | c[x].isNull(), F.lit(True)) for x in ("mu", "b", "tau", "pi")]))
+
+    def draws(row: Column) -> Column:
+        def once(i: Column, turn: Column) -> Column:
+            return component_draw(uniform(seed, row["mark"], i, turn, F.lit("u")), uniform(seed, row["mark"], i, turn, F.lit("v")), row["mixture"])
+
+        def one(i: Column) -> Column:
+            first = once(i, F.lit(0))
+            if negative == "truncate" and retries:
+                first = F.aggregate(F.sequence(F.lit(1), F.lit(retries)), first, lambda x, turn: F.when(x < zero, once(i, turn)).otherwise(x))
+            return first if negative == "none" else F.greatest(first, F.lit(zero))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one)
+
+    none = F.array_repeat(F.lit(None).cast("double"), n)
+    drawn = _let(F.struct(mark.alias("mark"), mixture.alias("mixture")), draws)
+    return df.withColumn(into, F.when(F.coalesce(lost, F.lit(True)), none).otherwise(drawn))
 
 
 # --- ensembles ------------------------------------------------------------------------------------------------------

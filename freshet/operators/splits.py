@@ -105,3 +105,18 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 def random_basins(basins: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n basins drawn by a hash of seed and basin, so a run that is repeated draws the same."""
     return basins.select(BASIN).distinct().orderBy(F.xxhash64(F.lit(seed), F.col(BASIN)), BASIN).limit(n)
+
+
+def common_basins(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.select(BASIN).intersect(b.select(BASIN))
+
+
+def basins_without(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct basins of ``a`` that ``b`` has not."""
+    return a.select(BASIN).subtract(b.select(BASIN))
+
+
+def union_dates(spark: SparkSession, periods: Sequence[tuple]) -> DataFrame:
+    """Distinct dates of some periods (both ends included), which may overlap."""
+    rows = F.array(*[F.struct(F.lit(a).cast("date").alias("a"), F.lit(b).cast("date").alias("b")) for a, b in periods])
+    return spark.range(1).select(F.inline(rows)).select(F.explode(F.sequence("a", "b")).alias("date")).distinct()

@@ -25,7 +25,7 @@ def union_features(
         if feature == mask or feature not in obs | fc:
             continue
         if mask not in obs | fc:
-            raise ValueError(f"Masking feature {mask} not in dataset.")
+            raise ValueError(f"no column {mask!r} to fill {feature!r} from")
         if feature in obs:
             (same_obs if mask in obs else from_fc)[feature] = mask
         else:

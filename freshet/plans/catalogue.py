@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from freshet import schema
 from freshet.functions import cmal, losses, metrics
 from freshet.operators import align, scaler, sequences, splits, validate
 from freshet.operators.union import union_features
@@ -108,20 +109,17 @@ def _sets(spark, d):
 
 @_query("set_intersect", " INTERSECT ".join(_SETS))
 def _(spark, d):
-    a, b = _sets(spark, d)
-    return a.intersect(b)
+    return splits.common_basins(*_sets(spark, d))
 
 
 @_query("set_difference", " EXCEPT ".join(_SETS))
 def _(spark, d):
-    a, b = _sets(spark, d)
-    return a.subtract(b)
+    return splits.basins_without(*_sets(spark, d))
 
 
 @_query("set_union_dates", "SELECT DISTINCT unnest(generate_series(s, e, INTERVAL 1 DAY))::DATE AS date FROM (VALUES (DATE '1996-01-01', DATE '1996-03-31'), (DATE '1996-03-01', DATE '1996-05-15')) t(s, e)")
 def _(spark, d):
-    dates = lambda a, b: spark.range(1).select(F.explode(F.sequence(F.lit(a).cast("date"), F.lit(b).cast("date"))).alias("date"))
-    return dates("1996-01-01", "1996-03-31").union(dates("1996-03-01", "1996-05-15")).distinct()
+    return splits.union_dates(spark, [("1996-01-01", "1996-03-31"), ("1996-03-01", "1996-05-15")])
 
 
 @_query("forecast_melt", f"{sql('lines', 'lead')} SELECT k.basin, k.date, l AS lead_time, obs AS value FROM (SELECT DISTINCT basin, date FROM lead_flow) k CROSS JOIN (SELECT unnest(range(1, 8))::INTEGER AS l) LEFT JOIN lead_flow f ON f.basin = k.basin AND f.date = k.date AND f.lead_time = l")
@@ -137,8 +135,8 @@ def _(spark, d):
 
 @_query("product_bands", "SELECT upper(split_part(f, '_', 1)) AS product, string_agg(DISTINCT f, ',' ORDER BY f) AS bands FROM (SELECT lower(c_mktsegment) || '_' || c_nationkey AS f FROM customer) GROUP BY 1")
 def _(spark, d):
-    f = views.table(spark, d, "customer").select(F.concat(F.lower("c_mktsegment"), F.lit("_"), F.col("c_nationkey").cast("string")).alias("f"))
-    return f.groupBy(F.upper(F.split_part("f", F.lit("_"), F.lit(1))).alias("product")).agg(F.array_join(F.array_sort(F.collect_set("f")), ",").alias("bands"))
+    f = views.table(spark, d, "customer").select(F.concat(F.lower("c_mktsegment"), F.lit("_"), F.col("c_nationkey").cast("string")).alias("feature"))
+    return schema.band_table(f).select("product", F.array_join("bands", ",").alias("bands"))
 
 
 @_query("shift_positions", f"{_DENSE} SELECT basin, date, lag(obs, 3) OVER w AS back, lead(obs, 2) OVER w AS ahead FROM dense WINDOW w AS (PARTITION BY basin ORDER BY date)")
@@ -146,7 +144,11 @@ def _(spark, d):
     return align.shift(align.shift(_dense(spark, d), "obs", 3, "back"), "obs", -2, "ahead").select("basin", "date", "back", "ahead")
 
 
-@_query("expand_lead_times", f"{_DENSE} SELECT d.basin, d.date, l AS lead_time, m.obs FROM dense d CROSS JOIN (SELECT unnest([1, 2, 3])::INTEGER AS l) LEFT JOIN dense m ON m.basin = d.basin AND m.date = d.date + l")
+@_query(
+    "expand_lead_times",
+    f"""{_DENSE}, a AS (SELECT basin, date, [lead(obs, 1) OVER w, lead(obs, 2) OVER w, lead(obs, 3) OVER w] AS v FROM dense WINDOW w AS (PARTITION BY basin ORDER BY date))
+    SELECT basin, date, unnest([1, 2, 3])::INTEGER AS lead_time, unnest(v) AS obs FROM a""",
+)
 def _(spark, d):
     return align.expand_lead_times(_dense(spark, d).select("basin", "date", "obs"), "obs", [1, 2, 3])
 
@@ -407,13 +409,67 @@ def flagship(spark, d):
     return _round(table.select("basin", "lead_time", "n_pairs", *[F.col(f"`{m}`").alias(m.replace("-", "_")) for m in (*metrics.MOMENTS, *metrics.CURVES)]), *_FLAGSHIP, digits=5)
 
 
-@_query("all_metrics_by_basin")
+def _peaks(name: str, x: str, apart: int, height: str = "true") -> str:
+    """The peaks (basin, i, x) of a column of ``series``: middles of plateaus between a rise and a fall, high enough, the highest first at their distance."""
+    return f"""{name}_n AS (SELECT basin, i, {x} AS x, CASE WHEN {x} = lag({x}) OVER (PARTITION BY basin ORDER BY i) THEN 0 ELSE 1 END AS fresh FROM series),
+    {name}_r AS (SELECT basin, run, min(i) AS s, max(i) AS e, any_value(x) AS x FROM (SELECT *, sum(fresh) OVER (PARTITION BY basin ORDER BY i) AS run FROM {name}_n) GROUP BY basin, run),
+    {name}_m AS (SELECT basin, (s + e) // 2 AS i, x FROM (SELECT *, lag(x) OVER w AS before, lead(x) OVER w AS after FROM {name}_r WINDOW w AS (PARTITION BY basin ORDER BY run)) JOIN levels USING (basin) WHERE x > before AND x > after AND {height}),
+    {name}_g(basin, rest, kept) AS (SELECT basin, list({{'i': i, 'x': x}} ORDER BY x DESC, i DESC), list_filter([i::BIGINT], lambda k: false) FROM {name}_m GROUP BY basin, list_filter([i::BIGINT], lambda k: false)
+      UNION ALL SELECT basin, list_filter(rest, lambda p: abs(p.i - rest[1].i) >= {apart}), list_append(kept, rest[1].i::BIGINT) FROM {name}_g WHERE len(rest) > 0),
+    {name} AS (SELECT basin, i, series.{x} AS x FROM (SELECT basin, unnest(kept) AS i FROM {name}_g WHERE len(rest) = 0) JOIN series USING (basin, i))"""
+
+
+_SERIES = f"""{_DENSE.replace('WITH ', 'WITH RECURSIVE ', 1)}, series AS (SELECT basin, date, obs, sim, row_number() OVER (PARTITION BY basin ORDER BY date) - 1 AS i FROM dense WHERE obs IS NOT NULL AND sim IS NOT NULL),
+    levels AS (SELECT basin, stddev_pop(obs) AS std, quantile_cont(obs, 0.8) AS high_obs, quantile_cont(sim, 0.8) AS high_sim FROM series GROUP BY basin)"""
+#: Peaks at a distance of 100 steps, of which the prominence is at least the deviation.
+_PROMINENT = f"""{_peaks('far', 'obs', 100)},
+    sides AS (SELECT p.basin, p.i, any_value(p.x) AS x, coalesce(max(t.i) FILTER (WHERE t.i < p.i AND t.obs > p.x), -1) AS l, coalesce(min(t.i) FILTER (WHERE t.i > p.i AND t.obs > p.x), 1000000000) AS r FROM far p JOIN series t USING (basin) GROUP BY p.basin, p.i),
+    prominent AS (SELECT p.basin, p.i FROM sides p JOIN series t USING (basin) JOIN levels z USING (basin) GROUP BY p.basin, p.i
+      HAVING any_value(p.x) - greatest(min(t.obs) FILTER (WHERE t.i > p.l AND t.i <= p.i), min(t.obs) FILTER (WHERE t.i < p.r AND t.i >= p.i)) >= any_value(z.std))"""
+
+
+def _around(name: str, peaks: str, w: int) -> str:
+    """Peaks whose window of ``w`` steps on both sides lies in the series and spans no gap, with the date of the simulation's greatest value there."""
+    return f"""{name} AS (SELECT p.basin, p.i, max(t.date) FILTER (WHERE t.i = p.i) AS date, first(t.date ORDER BY t.sim DESC, t.i) AS top,
+      max(t.sim) FILTER (WHERE t.i = p.i) AS here, max(t.sim) FILTER (WHERE t.i = p.i - 1) AS before, max(t.sim) FILTER (WHERE t.i = p.i + 1) AS after
+      FROM {peaks} p JOIN series t ON t.basin = p.basin AND t.i BETWEEN p.i - {w} AND p.i + {w} GROUP BY p.basin, p.i HAVING count(*) = {2 * w + 1} AND max(t.date) - min(t.date) = {2 * w})"""
+
+
+_PEAK_SQL = {
+    "Peak-Timing": (
+        f"{_around('timed', 'prominent', 3)}, peak_timing AS (SELECT basin, avg(abs(CASE WHEN here > before AND here > after THEN 0 ELSE date - top END)) AS v FROM timed GROUP BY basin)",
+        "peak_timing",
+    ),
+    "Missed-Peaks": (
+        f"""{_peaks('high_o', 'obs', 30, 'x >= high_obs')}, {_peaks('high_s', 'sim', 30, 'x >= high_sim')}, {_around('met', 'high_o', 1)},
+    lost AS (SELECT basin, count(*) AS n FROM met m WHERE NOT EXISTS (SELECT 1 FROM high_s s WHERE s.basin = m.basin AND abs(s.i - m.i) <= 1) GROUP BY basin),
+    missed_peaks AS (SELECT basin, coalesce(coalesce(lost.n, 0) / nullif(o.n, 0), 0) AS v FROM levels LEFT JOIN (SELECT basin, count(*) AS n FROM high_o GROUP BY basin) o USING (basin) LEFT JOIN lost USING (basin))""",
+        "missed_peaks",
+    ),
+    "Peak-MAPE": (
+        "peak_mape AS (SELECT basin, CASE WHEN min(abs(obs)) > 0 THEN sum(abs((sim - obs) / obs)) / count(*) * 100 END AS v FROM prominent JOIN series USING (basin, i) GROUP BY basin)",
+        "peak_mape",
+    ),
+}
+
+
+@_query(
+    "all_metrics_by_basin",
+    f"{_SERIES}, {_mom('dense', 'basin')}, {_curve('dense', 'basin')}, {_PROMINENT}, {', '.join(x for x, _ in _PEAK_SQL.values())} SELECT basin, mom.n AS n_pairs, "
+    + ", ".join(f'round({s}, 5) AS "{m}"' for m, s in _MOMENTS.items())
+    + ", round(FHV, 5) AS FHV, round(FMS, 5) AS FMS, round(FLV, 5) AS FLV, "
+    + ", ".join(f'round({t}.v, 5) AS "{m}"' for m, (_, t) in _PEAK_SQL.items())
+    + " FROM mom JOIN fhv USING (basin) JOIN fms USING (basin) JOIN flv USING (basin) "
+    + " ".join(f"LEFT JOIN {t} USING (basin)" for _, t in _PEAK_SQL.values()),
+)
 def _(spark, d):
-    return evaluation.skill(_dense(spark, d), ["basin"])
+    table = evaluation.skill(_dense(spark, d), ["basin"])
+    return table.select(*[c if c in ("basin", "n_pairs") else F.round(F.col(f"`{c}`"), 5).alias(c) for c in table.columns])
 
 
-for _metric in metrics.PEAKS:
-    QUERIES[_metric.lower().replace("-", "_")] = lambda spark, d, m=_metric: metrics.evaluate(_dense(spark, d), ["basin"], [m]).select("basin", F.col(f"`{m}`").alias(m.lower().replace("-", "_")))
+for _metric, (_with, _table) in _PEAK_SQL.items():
+    QUERIES[_table] = lambda spark, d, m=_metric, k=_table: _round(metrics.evaluate(_dense(spark, d), ["basin"], [m]).select("basin", F.col(f"`{m}`").alias(k)), k)
+    ORACLES[_table] = f"{_SERIES}, {_PROMINENT + ', ' if _metric != 'Missed-Peaks' else ''}{_with} SELECT basin, round(v, 6) AS {_table} FROM levels LEFT JOIN {_table} USING (basin)"
 
 
 # --- reports --------------------------------------------------------------------------------------------------------
@@ -453,9 +509,9 @@ def _(spark, d):
     return _round(evaluation.validation_loss(rows, by=["lead_time"]), "loss")
 
 
-@_query("skill_threshold", f"{_SKILL} SELECT basin, lead_time, round(NSE, 6) AS NSE FROM skill WHERE NSE > -0.2")
+@_query("skill_threshold", f"{_SKILL} SELECT basin, lead_time, round(NSE, 6) AS NSE FROM skill WHERE NSE > -1.9")
 def _(spark, d):
-    return _round(evaluation.above(_skill(spark, d), "NSE", -0.2).select("basin", "lead_time", "NSE"), "NSE")
+    return _round(evaluation.above(_skill(spark, d), "NSE", -1.9).select("basin", "lead_time", "NSE"), "NSE")
 
 
 @_query(
@@ -554,14 +610,41 @@ def _(spark, d):
     return _round(m.select("vec_id", *[cmal.quantile(q, F.col("m")).alias(n) for q, n in ((0.1, "q10"), (0.5, "q50"), (0.9, "q90"))]), "q10", "q50", "q90", digits=5)
 
 
-@_query("cmal_predictions")
+_NINE = [(i / 10, f"n{i}") for i in range(1, 10)]
+
+
+@_query(
+    "cmal_predictions",
+    f"{_MIX}, {', '.join(_newton(q, n + '_') for q, n in _NINE)}, mean AS (SELECT vec_id, sum(pi * (mu + b * (1 - 2 * tau) / (tau * (1 - tau)))) AS k FROM c GROUP BY vec_id) "
+    + " UNION ALL ".join(f"SELECT vec_id, {i} AS pos, round(k, 5) AS value FROM {t}" for i, t in enumerate(["mean", *[f"{n}_10" for _, n in _NINE]])),
+)
+def _(spark, d):
+    m = views.mixtures(spark, d).select("vec_id", cmal.components().alias("m")).select("vec_id", F.posexplode(cmal.predictions(F.col("m"))).alias("pos", "value"))
+    return _round(m, "value", digits=5)
+
+
+def _uniform(turn: str, which: str) -> str:
+    return f"((('0x' || substr(md5('7:' || vec_id || ':' || i || ':{turn}:{which}'), 1, 13))::BIGINT)::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE"
+
+
+def _drawn(turn: int) -> str:
+    return f"""(SELECT vec_id, i, CASE WHEN v < t THEN m + s / (1 - t) * ln(v / t) ELSE m - s / t * ln((1 - v) / (1 - t)) END AS x FROM
+      (SELECT vec_id, i, v, mu[k] AS m, b[k] AS s, tau[k] AS t FROM (SELECT *, {_uniform(str(turn), 'v')} AS v, 1 + (u > pi[1])::INTEGER + (u > pi[1] + pi[2])::INTEGER AS k FROM (SELECT *, {_uniform(str(turn), 'u')} AS u FROM each_draw))))"""
+
+
+_DRAWS = f"WITH {views.SQL['mix']}, each_draw AS (SELECT vec_id, mu, b, tau, pi, unnest(range(20)) AS i FROM mix)"
+
+
+@_query("cmal_sampling", f"{_DRAWS} SELECT vec_id, i AS pos, round(greatest(x, 0), 5) AS value FROM {_drawn(0)}")
 def _(spark, d):
-    return views.mixtures(spark, d).select("vec_id", cmal.components().alias("m")).select("vec_id", cmal.predictions(F.col("m")).alias("predictions"))
+    drawn = cmal.sample(views.mixtures(spark, d), 20, seed=7, negative="clip", keys=["vec_id"])
+    return _round(drawn.select("vec_id", F.posexplode("samples").alias("pos", "value")).withColumn("pos", F.col("pos").cast("long")), "value", digits=5)
 
 
-@_query("cmal_sampling")
+@_query("cmal_truncated_sampling", f"{_DRAWS} SELECT vec_id, i AS pos, round(CASE WHEN a.x >= 0 THEN a.x WHEN b.x >= 0 THEN b.x WHEN c.x >= 0 THEN c.x ELSE 0 END, 5) AS value FROM {_drawn(0)} a JOIN {_drawn(1)} b USING (vec_id, i) JOIN {_drawn(2)} c USING (vec_id, i)")
 def _(spark, d):
-    return cmal.sample(views.mixtures(spark, d), 20, seed=7, negative="clip").select("vec_id", "samples")
+    drawn = cmal.sample(views.mixtures(spark, d), 20, seed=7, negative="truncate", retries=2, keys=["vec_id"])
+    return _round(drawn.select("vec_id", F.posexplode("samples").alias("pos", "value")).withColumn("pos", F.col("pos").cast("long")), "value", digits=5)
 
 
 # --- losses ---------------------------------------------------------------------------------------------------------
@@ -613,9 +696,16 @@ def _basins(spark, d):
     return views.table(spark, d, "nation").select(F.col("n_nationkey").alias("basin"), F.col("n_regionkey").alias("region"))
 
 
-@_query("kfold", "SELECT n_nationkey AS basin, s::INTEGER AS split, CASE WHEN n_nationkey % 5 = s THEN 'test' ELSE 'train' END AS role FROM nation CROSS JOIN range(5) t(s)")
+@_query("kfold", "SELECT n_nationkey AS basin, 5 AS splits, 1 AS tests, 4 AS trains FROM nation")
+def _(spark, d):
+    rows = splits.fold_rows(splits.kfold(_basins(spark, d), 5), 5)
+    return rows.groupBy("basin").agg(F.count_distinct("split").alias("splits"), F.count_if(F.col("role") == "test").alias("tests"), F.count_if(F.col("role") == "train").alias("trains"))
+
+
+@_query("kfold_even", "SELECT s::INTEGER AS split, (n // 5 + (s < n % 5)::INTEGER)::BIGINT AS tests FROM range(5) t(s), (SELECT count(*) AS n FROM nation)")
 def _(spark, d):
-    return splits.fold_rows(splits.kfold(_basins(spark, d), 5, key=F.col("basin")), 5)
+    rows = splits.fold_rows(splits.kfold_even(_basins(spark, d), 5), 5)
+    return rows.groupBy("split").agg(F.count_if(F.col("role") == "test").alias("tests"))
 
 
 @_query("leave_group_out", "SELECT r AS left_out, n_nationkey AS basin, CASE WHEN n_regionkey = r THEN 'test' ELSE 'train' END AS role FROM nation CROSS JOIN (SELECT DISTINCT n_regionkey AS r FROM nation)")
@@ -623,9 +713,10 @@ def _(spark, d):
     return splits.leave_group_out(_basins(spark, d), F.col("region"))
 
 
-@_query("gauged", "SELECT n_nationkey AS basin FROM nation WHERE n_regionkey IN (0, 3)")
+@_query("gauged", "SELECT n_regionkey || '_' || n_nationkey AS basin FROM nation WHERE n_regionkey IN (0, 3)")
 def _(spark, d):
-    return _basins(spark, d).where(F.col("region").isin(0, 3)).select("basin")
+    named = _basins(spark, d).select(F.concat_ws("_", F.col("region").cast("string"), F.col("basin").cast("string")).alias("basin"))
+    return splits.gauged(named, ["0", "3"])
 
 
 @_query("dev_sample", "SELECT n_regionkey AS grp, n_nationkey AS basin FROM nation QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY (n_nationkey * 7) % 11, n_nationkey) <= 3")

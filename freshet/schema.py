@@ -103,3 +103,10 @@ def product_bands(features: Iterable[str]) -> dict[str, list[str]]:
     for f in features:
         found.setdefault(product(f), []).append(f)
     return found
+
+
+def band_table(features: DataFrame, column: str = "feature") -> DataFrame:
+    """(product, bands): sorted features of each product, for a table of feature names."""
+    name = F.upper(F.split_part(column, F.lit("_"), F.lit(1)))
+    name = F.when(name == "ERA5LAND", "ERA5_LAND").otherwise(name)
+    return features.select(name.alias("product"), column).groupBy("product").agg(F.array_sort(F.collect_set(column)).alias("bands"))

@@ -21,29 +21,30 @@ def forecasts(spark, values, names=("fc",), leads=(1, 2, 3), start=date(2000, 1,
 
 
 def test_union_same_dims(series):
-    df = series({"A": [[1.0, N, 3.0], [N, 20.0, N]], "B": [[4.0, 5.0, N], [40.0, N, 60.0]]}, names=("f", "m"))
+    df = series({"P": [[N, 0.5, N, 2.25], [7.0, 8.0, N, 9.0]], "Q": [[N, N, 1.75, N], [0.0, N, 3.5, 6.0]]}, names=("f", "m"))
     got = union_features(df, None, {"f": "m"})[0].orderBy("basin", "date").collect()
-    assert [r.f for r in got] == [1, 20, 3, 4, 5, 60] and [r.m for r in got] == [N, 20, N, 40, N, 60]
+    assert [r.f for r in got] == [7, 0.5, N, 2.25, 0, N, 1.75, 6] and [r.m for r in got] == [7, 8, N, 9, 0, N, 3.5, 6]
 
 
 def test_union_lead_from_obs(spark, series):
-    fc = forecasts(spark, {"A": {1: [N, 20, 30], 2: [40, 50, 60]}})
-    obs = series({"A": [1.0, 2.0]}, date(2000, 1, 1), names=("obs",))
+    fc = forecasts(spark, {"Q": {3: [0.25, N, N], 4: [N, 6.5, N]}})
+    obs = series({"Q": [11.0, 12.0, 13.0, 14.0, 15.0]}, date(2000, 1, 1), names=("obs",))
     got = union_features(obs, fc, {"fc": "obs"})[1].orderBy("date", "lead_time").collect()
-    assert [r.fc for r in got] == [2, 20, 30, 40, 50, 60]
+    assert [r.fc for r in got] == [0.25, 15, N, 15, 6.5, N]
 
 
 def test_union_obs_from_lead(spark, series):
-    fc = forecasts(spark, {"A": {1: [100, 101, 102], 2: [200, 201, 202], 3: [300, 301, 302]}})
-    obs = series({"A": [10.0, N, 20.0]}, date(2000, 1, 1), names=("obs",))
-    assert [r.obs for r in union_features(obs, fc, {"obs": "fc"})[0].orderBy("date").collect()] == [10, 100, 20]
+    fc = forecasts(spark, {"P": {1: [1.5, 2.5, 3.5], 3: [4.5, 5.5, 6.5]}, "Q": {2: [8.5, N, N]}})
+    obs = series({"P": [N, N, 0.75, N, N], "Q": [N, N, N, 2.0]}, date(2000, 1, 1), names=("obs",))
+    got = union_features(obs, fc, {"obs": "fc"})[0].orderBy("basin", "date").collect()
+    assert [r.obs for r in got] == [N, 1.5, 0.75, 4.5, N, N, N, 8.5, 2]
 
 
 def test_union_passes_over_and_fails(series):
     df = series({"A": [1.0, N]}, names=("f",))
     for mapping in ({}, {"f": "f"}, {"absent": "f"}):
         assert [r.f for r in union_features(df, None, mapping)[0].orderBy("date").collect()] == [1, N]
-    with pytest.raises(ValueError, match="Masking feature x not in dataset."):
+    with pytest.raises(ValueError, match="no column 'x' to fill 'f' from"):
         union_features(df, None, {"f": "x"})
 
 
