@@ -24,20 +24,25 @@ def windows(dense: DataFrame, features: Sequence[str], first: int, last: int, va
 
     Only windows that lie inside the series, and (``valid``) rows whose flag is true.  ``dense`` has a row a day, so places are offsets.
     """
-    row = F.struct(F.col(DATE).alias("d"), F.col(valid).alias("v") if valid else F.lit(True).alias("v"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(features)])
-    n = last - first + 1
+    return frames(dense, [(features, first, last, names or features)], valid, (first, last) if dates else None)
+
+
+def frames(dense: DataFrame, wanted: Sequence[tuple[Sequence[str], int, int, Sequence[str]]], valid: str | None = None, dates: tuple[int, int] | None = None) -> DataFrame:
+    """As :func:`windows` for several frames, each (features, first, last, names), from one gathering of the series; all frames must lie inside it."""
+    columns = list(dict.fromkeys(f for features, *_ in wanted for f in features))
+    place = {f: f"f{i}" for i, f in enumerate(columns)}
+    row = F.struct(F.col(DATE).alias("d"), F.col(valid).alias("v") if valid else F.lit(True).alias("v"), *[F.col(f).alias(n) for f, n in place.items()])
     series = dense.groupBy(BASIN).agg(F.array_sort(F.collect_list(row)).alias("s"))
-    size = F.size("s")
-    lo, hi = F.lit(1 - min(first, 0)), size - max(last, 0)
+    spans = [(first, last) for _, first, last, _ in wanted] + ([dates] if dates else [])
+    lo, hi = F.lit(1 - min(0, *(a for a, _ in spans))), F.size("s") - max(0, *(b for _, b in spans))
     places = F.filter(F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>")), lambda p: F.get(F.col("s"), p - 1)["v"])
-    cut = lambda p: F.slice(F.col("s"), p + first, F.lit(n))
-    names = list(names or features)
+    cut = lambda p, a, b: F.slice(F.col("s"), p + a, F.lit(b - a + 1))
     made = F.transform(
         places,
         lambda p: F.struct(
             F.get(F.col("s"), p - 1)["d"].alias(DATE),
-            *([_field(cut(p), "d").alias("dates")] if dates else []),
-            *[_field(cut(p), f"f{i}").alias(n) for i, n in enumerate(names)],
+            *([_field(cut(p, *dates), "d").alias("dates")] if dates else []),
+            *[_field(cut(p, a, b), place[f]).alias(n) for features, a, b, names in wanted for f, n in zip(features, names, strict=True)],
         ),
     )
     return series.select(BASIN, F.inline(made))
@@ -92,6 +97,11 @@ def basin_batches(samples: DataFrame, size: int) -> DataFrame:
     return samples.withColumn("batch", F.floor(k / size).cast("long"))
 
 
+def limit_batches(batches: DataFrame, n: int) -> DataFrame:
+    """The first n batches of each basin (all, if n is 0)."""
+    return batches.where(F.col("batch") < n) if n > 0 else batches
+
+
 def per_basin_std(dense: DataFrame, targets: Sequence[str]) -> DataFrame:
     """Population deviation of each (scaled) target over a basin's dates."""
     return dense.groupBy(BASIN).agg(*[F.stddev_pop(F.col(t).cast("double")).alias(t) for t in targets])

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from freshet.config import Config
 from freshet.operators import align, scaler, sequences, validate
 from freshet.operators.union import union_features
-from freshet.schema import BASIN, DATE, LEAD
+from freshet.schema import BASIN, DATE
+from freshet.sources import registry
 
 
 @dataclass
@@ -26,9 +27,15 @@ class Prepared:
     samples: DataFrame
 
 
-def prepare(spark: SparkSession, cfg: Config, tables: tuple[DataFrame | None, DataFrame, DataFrame | None], which: str = "train", fitted: DataFrame | None = None) -> Prepared:
-    """Samples of one period; the scaler is fitted on training data only and must be given otherwise."""
-    statics, dynamics, forecasts = tables
+def prepare(
+    spark: SparkSession, cfg: Config, tables: tuple[DataFrame | None, DataFrame, DataFrame | None] | None = None, which: str = "train", fitted: DataFrame | None = None, work: str | None = None
+) -> Prepared:
+    """Samples of one period; the scaler is fitted on training data only and must be given otherwise.
+
+    Without ``tables`` the configuration's data set is loaded.  ``work``, a folder that all executors share, takes the cropped and
+    filled tables, so that the sources are read once and not again by each step.
+    """
+    statics, dynamics, forecasts = tables if tables is not None else registry.load(spark, cfg)
     train = which == "train"
     if not train and fitted is None:
         raise ValueError("evaluation needs the scaler of the training run")
@@ -39,6 +46,9 @@ def prepare(spark: SparkSession, cfg: Config, tables: tuple[DataFrame | None, Da
         forecasts = align.lead_slice(align.crop(forecasts, periods, *halo), max(cfg.lead_time, 1))
     if cfg.union_mapping:
         dynamics, forecasts = union_features(dynamics, forecasts, cfg.union_mapping)
+    if work is not None:
+        dynamics = _staged(spark, dynamics, f"{work}/{which}-dynamics")
+        forecasts = _staged(spark, forecasts, f"{work}/{which}-forecasts") if forecasts is not None else None
 
     has = lambda df, names: [f for f in names if df is not None and f in df.columns]
     static, hind, fore, targets = (cfg.features(x) for x in ("static_attributes", "hindcast_inputs", "forecast_inputs", "target_variables"))
@@ -61,8 +71,7 @@ def prepare(spark: SparkSession, cfg: Config, tables: tuple[DataFrame | None, Da
         dense = align.broadcast_static(dense, scaler.scale(statics, known, static).select(BASIN, *static))
     if of_fc:
         forecasts = scaler.scale(forecasts, known, of_fc)
-        n = forecasts.agg(F.count_distinct(LEAD)).first()[0]
-        dense = dense.join(validate.over_leads(forecasts, of_fc, n), [BASIN, DATE], "left")
+        dense = dense.join(validate.over_leads(forecasts, of_fc, max(cfg.lead_time, 1)), [BASIN, DATE], "left")
         if cfg.forecast_overlap:
             dense = dense.join(validate.first_lead(forecasts, of_fc), [BASIN, DATE], "left")
         checks["forecast"] = of_fc
@@ -73,12 +82,17 @@ def prepare(spark: SparkSession, cfg: Config, tables: tuple[DataFrame | None, Da
     return Prepared(dense, forecasts, fitted, valid, validate.sample_index(valid))
 
 
+def _staged(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def sequences_of(cfg: Config, p: Prepared) -> DataFrame:
     """A row a sample: hindcast and target arrays, and forecast arrays where there are forecasts."""
     hind = [f for f in cfg.features("hindcast_inputs") if f in p.dense.columns]
     targets = cfg.features("target_variables")
-    out = sequences.hindcast(p.valid, hind, cfg.seq_length, "valid")
-    out = out.join(sequences.windows(p.valid, targets, cfg.lead_time - cfg.seq_length + 1, cfg.lead_time, "valid", names=[f"y_{t}" for t in targets]), [BASIN, DATE])
+    of_targets = (targets, cfg.lead_time - cfg.seq_length + 1, cfg.lead_time, [f"y_{t}" for t in targets])
+    out = sequences.frames(p.valid, [(hind, 1 - cfg.seq_length, 0, hind), of_targets], "valid")
     fore = [f for f in cfg.features("forecast_inputs") if p.forecasts is not None and f in p.forecasts.columns]
     if fore:
         out = out.join(sequences.forecast(p.forecasts, fore).select(BASIN, DATE, *[F.col(f).alias(f"x_{f}") for f in fore]), [BASIN, DATE])

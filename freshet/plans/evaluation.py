@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.functions.cmal import reduce_samples
@@ -17,9 +17,33 @@ def clip(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.withColumns({c: F.when(F.col(c) < 0, F.lit(0.0)).otherwise(F.col(c)) for c in columns})
 
 
-def evaluation_step(df: DataFrame, last_n: int) -> DataFrame:
-    """The first of the last n steps of each issue date (time steps count 0 .. n-1 within them)."""
-    return df.where(F.col("time_step") == F.lit(0)) if last_n else df
+def evaluation_step(df: DataFrame, last_n: int, steps: int | None = None) -> DataFrame:
+    """The first of the last ``last_n`` of the stored ``steps`` (as many, if not given) of each issue date; time steps count from 0."""
+    return df.where(F.col("time_step") == F.lit((steps or last_n) - last_n)) if last_n else df
+
+
+def pair_steps(sim: DataFrame, obs: DataFrame, keys: Sequence[str] = (BASIN, DATE, "time_step")) -> DataFrame:
+    """Simulations and observations of the basins that both have, by date and step; a side without a value is NULL."""
+    both = sim.select(BASIN).distinct().join(obs.select(BASIN).distinct(), BASIN)
+    paired = sim.select(*keys, "sim").join(obs.select(*keys, "obs"), list(keys), "full_outer")
+    return paired.join(both, BASIN, "left_semi").select(*keys, "obs", "sim")
+
+
+def skill_bars(table: DataFrame, metric: str, train: DataFrame, test: DataFrame, lead: int | None = 0) -> DataFrame:
+    """(rank, basin, metric, class) of each basin's skill at one lead time, from the least; class is train, test or other."""
+    from freshet.operators.splits import classify
+
+    rows = table if lead is None or "lead_time" not in table.columns else table.where(F.col("lead_time") == lead)
+    named = rows.select(BASIN, metric).join(classify(rows.select(BASIN).distinct(), train, test), BASIN)
+    order = Window.orderBy(F.col(metric).asc_nulls_last(), BASIN)  # a row a basin
+    return named.select(F.row_number().over(order).alias("rank"), BASIN, metric, "class")
+
+
+def basins_per_product(dynamics: DataFrame, products: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(product, basins): basins for which a product has any value of its bands, in one pass."""
+    there = [F.max(F.greatest(*[F.col(c).isNotNull().cast("int") for c in (*bands, bands[0])])).alias(p) for p, bands in products.items()]
+    have = dynamics.groupBy(BASIN).agg(*there)
+    return have.agg(*[F.coalesce(F.sum(p), F.lit(0)).alias(p) for p in products]).unpivot([], list(products), "product", "basins")
 
 
 def reduce_ensemble(df: DataFrame, how: str = "mean") -> DataFrame:
@@ -70,19 +94,14 @@ def compare(base: DataFrame, other: DataFrame, metrics: Sequence[str], keys: Seq
 
 
 def without_observations(dense: DataFrame, periods: Sequence[tuple], obs: str = "obs") -> DataFrame:
-    """Basins that have no observation in some period."""
-    out = None
-    for start, end in periods:
-        inside = F.col(DATE).between(F.lit(start).cast("date"), F.lit(end).cast("date"))
-        one = dense.groupBy(BASIN).agg(F.count(F.when(inside, F.col(obs))).alias("n")).where("n = 0").select(BASIN)
-        out = one if out is None else out.unionByName(one)
-    return out.distinct()
+    """Basins that have no observation in some period: one pass with a conditional count a period."""
+    inside = [F.col(DATE).between(F.lit(start).cast("date"), F.lit(end).cast("date")) for start, end in periods]
+    counts = dense.groupBy(BASIN).agg(*[F.count(F.when(x, F.col(obs))).alias(f"n{i}") for i, x in enumerate(inside)])
+    return counts.where(F.least(*[F.col(f"n{i}") for i in range(len(periods))], F.lit(1)) == 0).select(BASIN)
 
 
 def null_runs(dense: DataFrame, column: str = "obs") -> DataFrame:
     """(basin, start, end, length) of each run of days without a value."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy(BASIN).orderBy(DATE)
     marked = dense.withColumn("__there", F.count(column).over(order)).where(F.col(column).isNull())
     return marked.groupBy(BASIN, "__there").agg(F.min(DATE).alias("start_date"), F.max(DATE).alias("end_date"), F.count("*").alias("n_days")).drop("__there")

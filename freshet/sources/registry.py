@@ -22,10 +22,22 @@ def register(name: str, source: Source) -> None:
 
 
 def get(name: str) -> Source:
+    _own()
     if name.lower() not in _SOURCES:
         raise NotImplementedError(f"no data set {name!r}; there are {sorted(_SOURCES)}")
     return _SOURCES[name.lower()]
 
 
+def _own() -> None:
+    """The data sets that come with the package register themselves."""
+    import freshet.sources.datasets  # noqa: F401
+
+
+def load(spark: SparkSession, cfg: Config) -> Tables:
+    """The tables of the configuration's data set."""
+    return get(cfg.dataset)(spark, cfg)
+
+
 def names() -> list[str]:
+    _own()
     return sorted(_SOURCES)

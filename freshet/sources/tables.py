@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freshet.operators.align import melt_leads, merge_no_conflict
+from freshet.operators.align import melt_leads, merge_no_conflict, require_basins, select_basins
 from freshet.schema import BASIN, DATE, LEAD, nan_to_null
 
 
@@ -29,7 +30,24 @@ def _files(spark: SparkSession, pattern: str) -> list[str]:
 
 
 def _header(spark: SparkSession, path: str) -> list[str]:
-    return spark.read.text(path).limit(1).collect()[0][0].lstrip("﻿").split(",")
+    """Column names of a CSV file: its first line, read through Spark's own file systems without a job."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at), "UTF-8"))
+    try:
+        return (reader.readLine() or "").lstrip("\ufeff").split(",")
+    finally:
+        reader.close()
+
+
+def _by_header(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files of equal columns together, so that each kind is one scan."""
+    with ThreadPoolExecutor(16) as pool:
+        headers = pool.map(lambda p: tuple(_header(spark, p)), paths)
+        found: dict[tuple[str, ...], list[str]] = {}
+        for path, header in zip(paths, headers, strict=True):
+            found.setdefault(header, []).append(path)
+    return found
 
 
 def read_attributes(spark: SparkSession, root: str, basins: Sequence[str], features: Sequence[str], subdataset: str | None = None) -> DataFrame:
@@ -65,11 +83,9 @@ def read_attributes(spark: SparkSession, root: str, basins: Sequence[str], featu
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    out = out.where(F.col(BASIN).isin(basins))
-    gone = set(basins) - {r[0] for r in out.select(BASIN).collect()}
-    if gone:
-        raise ValueError(f"basins without attributes: {sorted(gone)}")
-    return out
+    asked = spark.createDataFrame([(b,) for b in basins], f"{BASIN} string")
+    require_basins(asked, out)
+    return select_basins(out, asked)
 
 
 def _basin_of_file(pattern: str) -> F.Column:
@@ -115,14 +131,19 @@ def read_netcdf(spark: SparkSession, root: str, basins: Sequence[str], features:
 
 
 def _read_series(spark: SparkSession, paths: Sequence[str], features: Sequence[str], pattern: str) -> DataFrame:
-    header = _header(spark, paths[0])
-    gone = [f for f in features if f not in header]
-    if gone:
-        raise KeyError(f"features not in {paths[0]}: {gone}")
-    schema = T.StructType([T.StructField(c, T.DateType() if c == DATE else T.FloatType() if c in features else T.StringType()) for c in header])
-    # columns are matched by name in every file, also where their order differs
-    raw = spark.read.csv(list(paths), schema=schema, header=True, enforceSchema=False)
-    return nan_to_null(raw.select(_basin_of_file(pattern).alias(BASIN), DATE, *features))
+    """Series files; columns are found by name, whatever their order in a file."""
+    out = None
+    for header, files in _by_header(spark, paths).items():
+        gone = [f for f in features if f not in header]
+        if gone:
+            raise KeyError(f"features not in {files[0]}: {gone}")
+        schema = T.StructType([T.StructField(c, T.DateType() if c == DATE else T.FloatType() if c in features else T.StringType()) for c in header])
+        raw = spark.read.csv(files, schema=schema, header=True, enforceSchema=False)
+        one = nan_to_null(raw.select(_basin_of_file(pattern).alias(BASIN), DATE, *features))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no files to read")
+    return out
 
 
 def read_hindcasts(spark: SparkSession, root: str, basins: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -132,20 +153,15 @@ def read_hindcasts(spark: SparkSession, root: str, basins: Sequence[str], featur
 
 def read_forecasts(spark: SparkSession, root: str, basins: Sequence[str], feature: str) -> DataFrame:
     """Forecasts of one feature: ``{feature}_{basin}.csv`` (issue date, a column a lead day), else ``{basin}.csv`` with lead time 0, else an error."""
-    wide, plain = [], []
-    for b in basins:
-        own = _files(spark, f"{root}/{feature}_{b}.csv")
-        if own:
-            wide.append(own[0])
-        elif spare := _files(spark, f"{root}/{b}.csv"):
-            plain.append(spare[0])
-        else:
-            raise ValueError(f"no forecasts of {feature} for {b}")
+    there = {p.rpartition("/")[2]: p for p in _files(spark, f"{root}/*.csv")}
+    own = {b: there.get(f"{feature}_{b}.csv") for b in basins}
+    spare = {b: there.get(f"{b}.csv") for b in basins if own[b] is None}
+    gone = [b for b, p in spare.items() if p is None]
+    if gone:
+        raise ValueError(f"no forecasts of {feature} for {gone[:20]}")
+    wide, plain = [p for p in own.values() if p], list(spare.values())
     parts = []
-    by_header: dict[tuple, list[str]] = {}
-    for p in wide:
-        by_header.setdefault(tuple(_header(spark, p)), []).append(p)
-    for header, paths in by_header.items():
+    for header, paths in _by_header(spark, wide).items():
         leads = [c for c in header if c != DATE]
         table = _read_series(spark, paths, leads, rf"{re.escape(feature)}_([^/]+)\.csv$")
         parts.append(melt_leads(table, feature, leads))
@@ -183,8 +199,9 @@ def read_results(spark: SparkSession, run: str, period: str = "test", epoch: int
     return spark.read.parquet(f"{found[epoch if epoch is not None else max(found)]}/results")
 
 
-def write_metrics(metrics: DataFrame, path: str) -> None:
-    metrics.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_metrics(metrics: DataFrame, path: str, append: bool = False) -> None:
+    """Metrics as CSV with a header; ``append`` adds to what is there."""
+    metrics.coalesce(1).write.mode("append" if append else "overwrite").option("header", True).csv(path)
 
 
 def read_metrics(spark: SparkSession, path: str, keys: Sequence[str] = ("basin",), metrics: Sequence[str] = ()) -> DataFrame:

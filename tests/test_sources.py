@@ -164,3 +164,70 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     q.stop()
     key = lambda r: (str(r.window.start), r.n_pairs, round(r.NSE, 9))
     assert sorted(map(key, spark.table("skill").collect())) == sorted(map(key, windowed_skill(df).collect()))
+
+
+def csv_layout(root):
+    basins = ["aa_1", "aa_2", "bb_7"]
+    for b in basins:
+        sub = b.partition("_")[0]
+        rows = [(f"2000-01-{d:02d}", d + 0.5, d % 4, d * 2.0) for d in range(1, 31)]
+        swap = b == "aa_2"  # columns in another order
+        head = "date,q,p,r" if not swap else "date,r,p,q"
+        write(root / f"timeseries/csv/{sub}/{b}.csv", head + "\n" + "".join(f"{d},{q if not swap else r},{p},{r if not swap else q}\n" for d, q, p, r in rows))
+        write(root / f"timeseries/csv/{sub}/f_{b}.csv", "date,1,2,3\n" + "".join(f"{d},{i},{i + 1},{i + 2}\n" for i, (d, *_) in enumerate(rows)))
+    write(root / "attributes/aa/x.csv", "gauge_id,area\naa_1,1\naa_2,4\n")
+    write(root / "attributes/bb/x.csv", "gauge_id,area\nbb_7,9\n")
+    write(root / "basins.txt", "\n".join(basins))
+    return {
+        "data_dir": f"file://{root}", "train_basin_file": f"file://{root}/basins.txt", "static_attributes": ["area"], "hindcast_inputs": ["p"], "forecast_inputs": ["f"], "target_variables": ["q"],
+        "union_mapping": {"p": "r"}, "seq_length": 4, "lead_time": 2, "train_start_date": "05/01/2000", "train_end_date": "20/01/2000",
+    }
+
+
+def test_tables_of_a_configuration(spark, tmp_path):
+    cfg = config.from_dict(csv_layout(tmp_path))
+    cfg.data_dir = cfg.statics_data_dir = cfg.dynamics_data_dir = cfg.targets_data_dir = f"file://{tmp_path}"
+    cfg.train_basin_file = f"file://{tmp_path}/basins.txt"
+    statics, dynamics, forecasts = registry.load(spark, cfg)
+    assert {r.basin: r.area for r in statics.collect()} == {"aa_1": 1, "aa_2": 4, "bb_7": 9}
+    assert {(r.basin, r.p, r.r, r.q) for r in dynamics.where("date = DATE '2000-01-03'").collect()} == {(b, 3, 6, 3.5) for b in ("aa_1", "aa_2", "bb_7")}
+    assert sorted(r.lead_time for r in forecasts.where("basin = 'bb_7' AND date = DATE '2000-01-03'").collect()) == [1, 2]
+    out = dataset.prepare(spark, cfg, work=f"file://{tmp_path}/work")
+    assert {(r.basin, r.date.day) for r in out.samples.collect()} == {(b, d) for b in ("aa_1", "aa_2", "bb_7") for d in range(5, 21)}
+    assert {len(x.p) for x in dataset.sequences_of(cfg, out).collect()} == {4}
+
+
+def test_products_of_a_configuration(spark, tmp_path):
+    raw = csv_layout(tmp_path) | {"dataset": "zarr", "hindcast_inputs": ["era5land_p", "hres_t"], "forecast_inputs": ["hres_t"], "union_mapping": {}}
+    cfg = config.from_dict(raw)
+    cfg.data_dir = cfg.statics_data_dir = cfg.targets_data_dir = f"file://{tmp_path}"
+    cfg.dynamics_data_dir, cfg.train_basin_file = str(tmp_path), f"file://{tmp_path}/basins.txt"
+    names, days = np.array(["aa_1", "aa_2", "bb_7", "cc_1"]), np.arange(30)
+    for product, leads in (("ERA5_LAND", None), ("HRES", np.array([0, 1, 2, 3]) * 86_400 * 10**9)):
+        root = tmp_path / product / "timeseries.zarr"
+        shape, dims = ((4, 30), ("basin", "date")) if leads is None else ((4, 30, 4), ("basin", "date", "lead_time"))
+        zarr_array(root, "era5land_p" if leads is None else "hres_t", np.arange(np.prod(shape), dtype="float32").reshape(shape), (2, 10, 4)[: len(shape)], dims)
+        zarr_array(root, "basin", names, (4,), ("basin",), codec=None)
+        zarr_array(root, "date", days, (30,), ("date",), units="days since 2000-01-01")
+        if leads is not None:
+            zarr_array(root, "lead_time", leads, (4,), ("lead_time",))
+    _, dynamics, forecasts = registry.load(spark, cfg)
+    at = {(r.basin, r.date.day): r for r in dynamics.collect()}
+    assert set(b for b, _ in at) == {"aa_1", "aa_2", "bb_7"} and (at["aa_2", 3].era5land_p, at["aa_2", 3].hres_t, at["aa_2", 3].q) == (32, 128, 3.5)
+    assert sorted((r.lead_time, r.hres_t) for r in forecasts.where("basin = 'aa_2' AND date = DATE '2000-01-03'").collect()) == [(0, 128), (1, 129), (2, 130)]
+    cfg.forecast_inputs = ["era5land_p"]
+    with pytest.raises(ValueError, match="lead times"):
+        registry.load(spark, cfg)
+
+
+def test_steps_bars_and_products(spark):
+    rows = spark.createDataFrame([("A", date(2020, 1, 1), s, float(s)) for s in range(5)] + [("B", date(2020, 1, 1), 0, 9.0)], "basin string, date date, time_step int, sim double")
+    assert [r.time_step for r in evaluation.evaluation_step(rows, 2, 5).collect()] == [3] and {r.time_step for r in evaluation.evaluation_step(rows, 2).collect()} == {0}
+    obs = spark.createDataFrame([("A", date(2020, 1, 1), 0, 1.0), ("A", date(2020, 1, 2), 0, 2.0), ("C", date(2020, 1, 1), 0, 1.0)], "basin string, date date, time_step int, obs double")
+    got = {(r.date.day, r.time_step): (r.obs, r.sim) for r in evaluation.pair_steps(rows, obs).collect()}
+    assert got == {(1, 0): (1, 0), (2, 0): (2, None)} | {(1, s): (None, s) for s in range(1, 5)}
+    table = spark.createDataFrame([("A", 0, 0.5), ("B", 0, 0.1), ("C", 0, None), ("A", 1, 0.9)], "basin string, lead_time int, NSE double")
+    one = lambda b: spark.createDataFrame([(b,)], "basin string")
+    assert [tuple(r) for r in evaluation.skill_bars(table, "NSE", one("A"), one("B")).orderBy("rank").collect()] == [(1, "B", 0.1, "test"), (2, "A", 0.5, "train"), (3, "C", None, "other")]
+    wide = spark.createDataFrame([("A", 1.0, None, None), ("A", None, None, 2.0), ("B", None, None, None)], "basin string, x_a double, x_b double, y_a double")
+    assert {r["product"]: r.basins for r in evaluation.basins_per_product(wide, {"X": ["x_a", "x_b"], "Y": ["y_a"], "Z": ["x_b"]}).collect()} == {"X": 1, "Y": 1, "Z": 0}
