@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.llm import common
-from freshet.llm.encode import encode_all
+from freshet.llm.encode import encode_all, forget
 
 SIZE, OPEN = 1024, 16
 #: Left-over windows that one partition packs in a merge round.
@@ -140,13 +140,14 @@ def pack(
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pieces() -> Iterator[Piece]:
             for batch in batches:
-                step = 1024
+                step = 2048
                 for i in range(0, batch.num_rows, step):
-                    ids, texts = (batch.column(c).slice(i, step).to_pylist() for c in (0, 1))
-                    for doc, data in zip(ids, encode_all(texts, path, end), strict=True):
+                    ids, texts = (batch.column(c).slice(i, step) for c in (0, 1))
+                    for doc, data in zip(ids.to_pylist(), encode_all(texts, path, end), strict=True):
                         yield doc, 0, len(data) // 4, data
 
         yield from _stream(pieces(), 0, size, most, last=False)
+        forget(path)
 
     def again(turn: int, last: bool) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
