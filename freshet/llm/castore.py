@@ -35,11 +35,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from freshet.llm import common
-from freshet.llm.encode import encode_all
+from freshet.llm.encode import encode_all, forget
 
 LEAST, MEAN, MOST, SPAN = 64, 256, 1024, 16
 PACK, RECIPE = b"CASPACK1", b"CASRECP1"
 PACK_BYTES = 16 << 20
+#: Documents encoded at a time, and bytes of ids cut into chunks at a time (or one longer document).
+ROWS, GROUP = 2048, 8 << 20
 #: Chunk digests a task remembers in order to hand on a chunk's bytes once.
 SEEN = 500_000
 
@@ -48,28 +50,38 @@ class Corrupt(ValueError):
     """A stored file, chunk or recipe does not match its digest."""
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places behind which a chunk may end: where the rolling hash of the last :data:`SPAN` ids meets the mask.
+
+    Streams may stand one behind another, since no chunk ends within :data:`LEAST` ids of a stream's start.
+    """
     h = ids.astype(np.uint64)
     h = (h + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     # rolling sum over SPAN positions, each rotated by its distance: doubling the span log2(SPAN) times
     roll, width = h, 1
     while width < SPAN:
-        shifted = np.zeros_like(roll)
-        shifted[width:] = roll[:-width]
-        roll = roll + ((shifted << np.uint64(width)) | (shifted >> np.uint64(64 - width)))
+        shifted = (roll << np.uint64(width)) | (roll >> np.uint64(64 - width))
+        roll = roll.copy()
+        roll[width:] += shifted[:-width]
         width *= 2
-    marks = np.flatnonzero(((roll * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)) % np.uint64(MEAN - LEAST) == 0) + 1
+    return np.flatnonzero(((roll * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)) % np.uint64(MEAN - LEAST) == 0) + 1
+
+
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one id stream."""
+    return chunk_ends(len(ids), marks(ids).tolist() if len(ids) > LEAST else [])
+
+
+def chunk_ends(n: int, found: list[int]) -> list[int]:
+    """Ends of the chunks of a stream of ``n`` ids with these marks."""
+    if n <= LEAST:
+        return [n] if n else []
     out, at, k = [], 0, 0
-    marks = marks.tolist()
     while n - at > LEAST:
-        while k < len(marks) and marks[k] < at + LEAST:
+        while k < len(found) and found[k] < at + LEAST:
             k += 1
-        end = min(marks[k] if k < len(marks) else n, at + MOST, n)
+        end = min(found[k] if k < len(found) else n, at + MOST, n)
         out.append(end)
         at = end
     if at < n:
@@ -191,33 +203,60 @@ STAGED = "doc_id long, n_tokens long, root binary, digests binary, sizes binary,
 
 def chunked(docs: DataFrame, path: str, end: int) -> DataFrame:
     """Each document's recipe, and the bytes of those chunks its task had not met before."""
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("digests", pa.binary()), ("sizes", pa.binary()),
-         ("fresh", pa.list_(pa.struct([("digest", pa.binary()), ("ids", pa.binary())])))]
-    )
+    names = ["doc_id", "n_tokens", "root", "digests", "sizes", "fresh"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                docs, texts = (batch.column(c).slice(i, 1024).to_pylist() for c in (0, 1))
-                rows = []
-                for doc, data in zip(docs, encode_all(texts, path, end), strict=True):
-                    ids = np.frombuffer(data, "<u4")
-                    digests, sizes, fresh, at = [], [], [], 0
-                    for stop in cuts(ids):
-                        chunk = narrow(ids[at:stop])
-                        digest = hashlib.sha256(chunk).digest()
-                        digests.append(digest)
-                        sizes.append(stop - at)
-                        if digest not in seen:
-                            if len(seen) >= SEEN:
-                                seen.clear()
-                            seen.add(digest)
-                            fresh.append({"digest": digest, "ids": chunk})
-                        at = stop
-                    rows.append((doc, len(ids), merkle(digests), b"".join(digests), np.array(sizes, "<u4").tobytes(), fresh))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            for i in range(0, batch.num_rows, ROWS):
+                docs, texts = (batch.column(c).slice(i, ROWS) for c in (0, 1))
+                yield from chunks(docs, encode_all(texts, path, end), seen)
+        forget(path)
+
+    def chunks(docs: pa.Array, data: list[bytes], seen: set[bytes]) -> Iterator[pa.RecordBatch]:
+        """Recipes of encoded documents, some at a time."""
+        at = 0
+        while at < len(data):
+            stop, size = at, 0
+            while stop < len(data) and size < GROUP:
+                size += len(data[stop])
+                stop += 1
+            yield recipes(docs.slice(at, stop - at), data[at:stop], seen)
+            at = stop
+
+    def recipes(docs: pa.Array, data: list[bytes], seen: set[bytes]) -> pa.RecordBatch:
+        ids = np.frombuffer(b"".join(data), "<u4")
+        ends = np.cumsum([len(x) // 4 for x in data])
+        short = ids.max(initial=0) < 1 << 16
+        raw, width, head = (ids.astype("<u2").tobytes(), 2, b"\2") if short else (b"", 0, b"")
+        found = marks(ids)
+        of = np.searchsorted(found, ends, "right").tolist()
+        hashed = hashlib.sha256
+        roots, all_digests, all_sizes, fresh_digests, fresh_ids, fresh_ends = [], [], [], [], [], [0]
+        begin = low = 0
+        for end_, high in zip(ends.tolist(), of, strict=True):
+            digests, sizes, a = [], [], 0
+            for b in chunk_ends(end_ - begin, (found[low:high] - begin).tolist()):
+                chunk = head + raw[width * (begin + a) : width * (begin + b)] if short else narrow(ids[begin + a : begin + b])
+                digest = hashed(chunk).digest()
+                digests.append(digest)
+                sizes.append(b - a)
+                if digest not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(digest)
+                    fresh_digests.append(digest)
+                    fresh_ids.append(chunk)
+                a = b
+            roots.append(merkle(digests))
+            all_digests.append(b"".join(digests))
+            all_sizes.append(struct.pack(f"<{len(sizes)}I", *sizes))
+            fresh_ends.append(len(fresh_ids))
+            begin, low = end_, high
+        fresh = pa.StructArray.from_arrays([pa.array(fresh_digests, pa.binary()), pa.array(fresh_ids, pa.binary())], ["digest", "ids"])
+        totals = pa.array(np.diff(ends, prepend=0), pa.int64())
+        cols = [docs, totals, pa.array(roots, pa.binary()), pa.array(all_digests, pa.binary()), pa.array(all_sizes, pa.binary()), pa.ListArray.from_arrays(pa.array(fresh_ends, pa.int32()), fresh)]
+        return pa.RecordBatch.from_arrays(cols, names)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs, "text").alias("text"))
     return docs.mapInArrow(run, STAGED)
