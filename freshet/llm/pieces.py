@@ -1,13 +1,13 @@
 """SentencePiece encoding and decoding with the tokenizers library as backend.
 
 The model file is parsed here (a protobuf reader of the few fields that matter), and the tokenizer rebuilt from it: the normaliser
-(precompiled character map, removal of extra spaces, dummy prefix), the metaspace marker, the pieces with their scores (a unigram
-model, or the merges that a BPE model's scores imply) and byte fallback.  :func:`parity` holds it against the sentencepiece
-library itself.
+(precompiled character map, removal of extra spaces, dummy prefix, the metaspace marker), the pieces with their scores (a unigram
+model, or the merges that a BPE model's scores imply) and byte fallback.  It takes raw texts.  Parity is verified on whole texts: every text's ids
+are held against those of the sentencepiece library itself.
 
 Speed: no piece of such a vocabulary has a marker behind another character (checked when the model is built), so no merge crosses
-the start of a run of markers, and a text's ids are those of its words one after another.  Words are remembered and encoded in batches by
-the library's own threads.  A model whose pieces do cross words is encoded text by text.
+the start of a run of markers, and a text's ids are those of its words one after another.  Words are remembered within a bound of bytes and encoded in
+batches by the library's own threads.  A model whose pieces do cross words is encoded text by text, in batches too.
 
 Defined results: null is the empty text, which has no ids; ids decode to the normalised text, with control pieces left out
 and bytes that are no UTF-8 as replacement characters.
@@ -19,23 +19,25 @@ import os
 import re
 import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from freshet.llm import common
+from freshet.llm.encode import Memory, grouped, split
 
 #: Fixed values of the model format: model types and piece types.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 MARK = "▁"
-WORDS = 600_000
 #: Words encoded in one text.
 RUN = 64
 
@@ -144,10 +146,9 @@ def merges(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
     return [(x[3], x[4]) for x in made]
 
 
-def rebuild(m: Model):
-    """The tokenizers-library tokenizer of a model; it takes texts that :func:`normalise` has marked."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-    from tokenizers import AddedToken, Tokenizer, decoders, models
+def rebuild(m: Model, raw: bool = True):
+    """The tokenizers-library tokenizer of a model; it takes raw texts, or, without ``raw``, texts that are normalised and marked."""
+    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
     if m.kind == BPE:
         vocab = {p: i for i, (p, _, _) in enumerate(m.pieces)}
@@ -155,6 +156,13 @@ def rebuild(m: Model):
     else:
         model = models.Unigram([(p, s) for p, s, _ in m.pieces], unk_id=m.unk, byte_fallback=m.byte_fallback)
     t = Tokenizer(model)
+    if raw:
+        chain = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
+        if m.squeeze:
+            chain += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex("^ | $"), "")]
+        if m.dummy_prefix:
+            chain.append(normalizers.Prepend(MARK))
+        t.normalizer = normalizers.Sequence([*chain, normalizers.Replace(" ", MARK)])
     special = [AddedToken(p, normalized=False, special=kind == CONTROL) for p, _, kind in m.pieces if kind in (CONTROL, USER_DEFINED)]
     if special:
         t.add_tokens([x for x in special if not x.special])
@@ -165,53 +173,58 @@ def rebuild(m: Model):
     return t
 
 
-class Pieces:
+@contextmanager
+def threads() -> Iterator[None]:
+    """The library's own threads are on inside, whatever other operators in this worker have set."""
+    before = os.environ.get("TOKENIZERS_PARALLELISM")
+    os.environ.setdefault("RAYON_NUM_THREADS", str(max(2, int(os.environ.get("OMP_NUM_THREADS") or 2))))
+    os.environ["TOKENIZERS_PARALLELISM"] = "true"
+    try:
+        yield
+    finally:
+        if before is None:
+            del os.environ["TOKENIZERS_PARALLELISM"]
+        else:
+            os.environ["TOKENIZERS_PARALLELISM"] = before
+
+
+class Pieces(Memory):
     """Encoder and decoder of one model file."""
 
     def __init__(self, path: str):
+        super().__init__()
         with open(path, "rb") as f:
             self.model = parse(f.read())
-        self.lib = rebuild(self.model)
+        self.lib, self.marked = rebuild(self.model), rebuild(self.model, raw=False)
         crossing = re.compile(f"[^{MARK}]{MARK}")
-        self.by_word = self.model.kind == BPE and not any(crossing.search(p) for p, _, _ in self.model.pieces)
-        self.plain = not any(kind == USER_DEFINED for _, _, kind in self.model.pieces)
+        user_defined = any(kind == USER_DEFINED for _, _, kind in self.model.pieces)
+        self.by_word = self.model.kind == BPE and not user_defined and not any(crossing.search(p) for p, _, _ in self.model.pieces)
         self.control = {i for i, (_, _, kind) in enumerate(self.model.pieces) if kind == CONTROL}
-        self.chars = None
-        if self.model.charsmap:
-            from tokenizers import normalizers
-
-            self.chars = normalizers.Precompiled(self.model.charsmap)
-        self.cache: dict[str, bytes] = {}
-        #: Words of the cache that were not verified, or failed.
-        self.wrong: set[str] = set()
-        self._word = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        spelled = [b"" if kind == CONTROL else bytes([int(p[3:-1], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
+        sizes = np.array([len(x) for x in spelled], np.int64)
+        #: Bytes of all pieces, one behind another, where each begins, and their sizes.
+        self.spelled = np.frombuffer(b"".join(spelled), np.uint8), np.cumsum(sizes) - sizes, sizes
         self.begins = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
 
     def normalise(self, text: str) -> str:
         """The text as the model sees it: mapped characters, spaces squeezed, marked."""
-        m = self.model
-        if self.chars is not None:
-            text = self.chars.normalize_str(text)
-        if m.squeeze:
-            text = re.sub(" {2,}", " ", text).strip(" ")
-        if not text:
-            return ""
-        return (MARK if m.dummy_prefix else "") + text.replace(" ", MARK)
+        return self.lib.normalizer.normalize_str(text) if text else ""
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _ids(self, lib, texts: list[str]) -> list[bytes]:
         out = []
         for i in range(0, len(texts), 4096):
-            out += [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
+            out += [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
         return out
 
-    def _word_ids(self, words: list[str]) -> list[bytes]:
+    def _learn(self, units: list[bytes]) -> list[bytes]:
         """Ids of single words.  Words of one leading marker are encoded many in a text; each has one piece that begins with a marker, its first."""
+        words = [u.decode().replace(" ", MARK) for u in units]
         plain = [w for w in words if simple(w)]
         texts = [plain[i : i + RUN] for i in range(0, len(plain), RUN)]
         found: dict[str, bytes] = {}
         for i in range(0, len(texts), 256):
             group = texts[i : i + 256]
-            for run, e in zip(group, self.lib.encode_batch_fast(["".join(r) for r in group], add_special_tokens=False), strict=True):
+            for run, e in zip(group, self.marked.encode_batch_fast(["".join(r) for r in group], add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, "<u4")
                 starts = np.flatnonzero(self.begins[ids])
                 if len(starts) == len(run):
@@ -221,63 +234,62 @@ class Pieces:
                         found[word] = raw[at:end]
                         at = end
         rest = [w for w in words if w not in found]
-        found.update(zip(rest, self._ids(rest), strict=True))
+        found.update(zip(rest, self._ids(self.marked, rest), strict=True))
         return [found[w] for w in words]
 
-    def _cut(self, marked: str) -> list[str]:
-        if MARK + MARK in marked or "\0" in marked:
-            return self._word.findall(marked)
-        first, *rest = marked.replace(MARK, "\0" + MARK).split("\0")
-        return [first, *rest] if first else rest
-
-    def encode(self, texts: list[str | None], verify=None) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers.  ``verify`` (the library's processor): every new word is held against it."""
-        marked = [self.normalise(t or "") for t in texts]
-        if not (self.by_word and self.plain):
-            return self._ids(marked)
-        parts = [self._cut(t) for t in marked]
-        seen = list(set().union(*parts))
-        here = dict(zip(seen, map(self.cache.get, seen), strict=True))
-        new = [w for w, ids in here.items() if ids is None]
-        found = dict(zip(new, self._word_ids(new), strict=True))
-        here |= found
-        if len(self.cache) + len(found) > WORDS:
-            self.cache.clear()
-            self.wrong.clear()
-        if verify is not None:
-            self.wrong |= self.differing(found, verify)
-        self.cache |= found
-        known = here.__getitem__
-        return [b"".join(map(known, p)) for p in parts]
-
-    def differing(self, words: dict[str, bytes], sp) -> set[str]:
-        """Those of the words that the sentencepiece library encodes otherwise or that do not decode to themselves, and those that cannot be asked for alone."""
-        asked = [w for w in words if simple(w)]
-        out = set(words).difference(asked)
-        for i in range(0, len(asked), 8192):
-            part = asked[i : i + 8192]
-            ids = [words[w] for w in part]
-            theirs = sp.encode([w[1:] for w in part], num_threads=1)
-            back = self.decode(ids)
-            out.update(w for w, a, b, c in zip(part, ids, theirs, back, strict=True) if np.array(b, "<u4").tobytes() != a or c != w[1:])
-        return out
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        with threads():
+            if not self.by_word:
+                return self._ids(self.lib, [t or "" for t in texts])
+            # normalised texts, the marker as a blank
+            if self.model.charsmap or self.model.squeeze:
+                column = pa.array([self.normalise(t or "") for t in texts], pa.string())
+            else:
+                column = pc.fill_null(pa.array(texts, pa.string()), "")
+                if self.model.dummy_prefix:
+                    column = pc.if_else(pc.equal(column, ""), "", pc.binary_join_element_wise(" ", column, ""))
+            column = pc.replace_substring(column, MARK, " ")
+            out: list[bytes] = []
+            for data, begins in grouped(column, CHARS):
+                space = data == 32
+                start = space.copy()
+                start[1:] &= ~space[:-1]
+                start[begins[begins < len(data)]] = True
+                at = np.flatnonzero(start)
+                out += split(*self.spell(data, at, np.searchsorted(at, begins)))
+            return out
 
     def verified(self, texts: list[str | None], ids: list[bytes], sp) -> tuple[list[bool], list[bool]]:
-        """Parity and round trip of each text that :meth:`encode` was given with ``verify``: by its words, where they were verified alone, else as a whole."""
-        parity, whole = [True] * len(texts), [True] * len(texts)
-        for k, text in enumerate(texts):
-            marked = self.normalise(text or "")
-            if self.by_word and self.plain and self.model.dummy_prefix and self.wrong.isdisjoint(self._cut(marked)):
-                continue
-            theirs = sp.encode(text or "")
-            parity[k] = np.array(theirs, "<u4").tobytes() == ids[k]
-            back = self.decode([ids[k]])[0]
-            whole[k] = back == sp.decode(theirs) and back.replace(MARK, " ") == marked.replace(MARK, " ")[self.model.dummy_prefix :]
+        """Of each whole text: whether the sentencepiece library gives the same ids, and whether they decode to the normalised text."""
+        theirs = sp.encode([t or "" for t in texts], num_threads=1)
+        parity = [np.array(a, "<u4").tobytes() == b for a, b in zip(theirs, ids, strict=True)]
+        whole = [back.replace(MARK, " ") == self.plain(t or "") for back, t in zip(self.decode(ids), texts, strict=True)]
         return parity, whole
 
+    def plain(self, text: str) -> str:
+        """The normalised text with blanks for markers, without the dummy prefix."""
+        if self.model.charsmap or self.model.squeeze:
+            text = self.normalise(text)[len(MARK) if self.model.dummy_prefix else 0 :]
+        return text.replace(MARK, " ")
+
     def decode(self, ids: list[bytes]) -> list[str]:
-        lists = [[i for i in np.frombuffer(x, "<u4").tolist() if i not in self.control] for x in ids]
-        return self.lib.decode_batch(lists, skip_special_tokens=False)
+        """Texts of ids: the bytes of their pieces; where these are no UTF-8, what the library makes of them."""
+        lists = [np.frombuffer(x, "<u4") for x in ids]
+        flat = np.concatenate([*lists, np.empty(0, "<u4")])
+        table, begin, size = self.spelled
+        n = size[flat]
+        until = np.cumsum(n)
+        raw = table[np.repeat(begin[flat] - (until - n), n) + np.arange(until[-1] if len(until) else 0)].tobytes()
+        ends = np.append(0, until)[np.cumsum([0, *map(len, lists)])].tolist()
+        out, strip = [], self.model.dummy_prefix
+        for x, a, b in zip(lists, ends[:-1], ends[1:], strict=True):
+            try:
+                text = raw[a:b].decode("utf-8")
+                out.append(text[1:] if strip and text[:1] == " " else text)
+            except UnicodeDecodeError:
+                out.append(self.lib.decode([i for i in x.tolist() if i not in self.control], skip_special_tokens=False))
+        return out
 
 
 def simple(word: str) -> bool:
@@ -285,7 +297,7 @@ def simple(word: str) -> bool:
     return len(word) > 1 and word[0] == MARK and MARK not in word[1:] and " " not in word
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def pieces(path: str) -> Pieces:
     return Pieces(path)
 
@@ -357,7 +369,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
 def op6_sentencepiece(documents: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 of every document, whether its ids decode to its normalised text, and whether the sentencepiece library gives the same ids.
 
-    Every distinct word of a worker's texts is held against the library once, every text with a part that cannot be asked for alone as a whole.
+    Every whole text is encoded by the library too, and compared.
     """
     import zlib
 
@@ -373,12 +385,13 @@ def op6_sentencepiece(documents: DataFrame, path: str | None = None) -> DataFram
         for batch in batches:
             for at, held in _groups(batch.column(1)):
                 own = pieces(path)
-                ids = own.encode(held, sp)
+                ids = own.encode(held)
                 same, whole = own.verified(held, ids, sp)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(held)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(whole), pa.array(same)],
                     names=["doc_id", "n_tokens", "ids_crc32", "round_trip", "parity"],
                 )
+        pieces(path).rest()
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(documents, "text").alias("text"))
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean, parity boolean")

@@ -1,3 +1,4 @@
+import os
 import random
 import struct
 import zlib
@@ -7,8 +8,8 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
-from freshet.llm import pieces as pieces_module
-from freshet.llm.pieces import BPE, UNIGRAM, Pieces, Unsupported, decode, encode, merges, op6_sentencepiece, parity, parse, pieces
+from freshet.llm import encode as encode_module
+from freshet.llm.pieces import BPE, UNIGRAM, Pieces, Unsupported, decode, encode, merges, op6_sentencepiece, parity, parse, pieces, rebuild, threads
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 SP = sentencepiece.SentencePieceProcessor(model_file=PATH)
@@ -25,21 +26,44 @@ def test_parity_with_the_library():
     assert [found[i] for i in parity(PATH, found)] == []
 
 
+def test_the_rebuilt_tokenizer_takes_raw_texts():
+    lib, found = rebuild(parse(open(PATH, "rb").read())), [t for t in texts(800) if t is not None]
+    assert [e.ids for e in lib.encode_batch(found, add_special_tokens=False)] == SP.encode(found)
+
+
 def test_cache_is_bounded(monkeypatch):
-    monkeypatch.setattr(pieces_module, "WORDS", 50)
+    monkeypatch.setattr(encode_module, "UNITS", 50)
     own = Pieces(PATH)
     found = texts(300)
     for i in range(0, len(found), 20):
         assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(found[i : i + 20])] == SP.encode([t or "" for t in found[i : i + 20]])
+        assert len(own.cache) + len(own.young) <= 50
 
 
-def test_a_wrong_word_is_found():
+def test_a_wrong_text_is_found():
     own = Pieces(PATH)
-    ids = own.encode(["good bad"], SP)
-    assert own.wrong == set() and own.verified(["good bad"], ids, SP) == ([True], [True])
-    assert own.differing({"▁bad": own.cache["▁good"]}, SP) == {"▁bad"}
-    own.wrong.add("▁bad")
-    assert own.verified(["a bad"], own.encode(["bad a"]), SP)[0] == [False]
+    good = ["good bad", "a bad", "the same words", None]
+    ids = own.encode(good)
+    assert own.verified(good, ids, SP) == ([True] * 4, [True] * 4)
+    # right words in a wrong order, another cut of the same text, a word too many
+    other = np.array([SP.piece_to_id(p) for p in ["▁", "a", "▁", "bad"]], "<u4").tobytes()
+    wrong = [own.encode(["bad good"])[0], other, ids[2] + ids[1], ids[0]]
+    assert own.verified(good, wrong, SP) == ([False] * 4, [False, True, False, False])
+
+
+def test_decoding_is_the_libraries():
+    own, r = Pieces(PATH), random.Random(4)
+    lists = [[r.randrange(SP.get_piece_size()) for _ in range(r.randint(0, 12))] for _ in range(500)] + [[r.randrange(3, 259) for _ in range(6)] for _ in range(300)]
+    got = own.decode([np.array(x, "<u4").tobytes() for x in lists])
+    assert got == [own.lib.decode([i for i in x if i not in own.control], skip_special_tokens=False) for x in lists]
+
+
+def test_threads_are_on_inside_whatever_was_set(monkeypatch):
+    for value in ("false", None):
+        monkeypatch.setenv("TOKENIZERS_PARALLELISM", value) if value else monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+        with threads():
+            assert os.environ["TOKENIZERS_PARALLELISM"] == "true"
+        assert os.environ.get("TOKENIZERS_PARALLELISM") == value
 
 
 def varint(n):
@@ -73,6 +97,10 @@ def test_small_models(tmp_path, kind, squeeze):
     r = random.Random(2)
     found = ["", "abc", "  a  b ", "dé"] + ["".join(r.choices("abc é🙂", k=r.randint(1, 20))) for _ in range(400)]
     assert [found[i] for i in parity(path, found)] == []
+    ids = Pieces(path).encode(found)
+    own = rebuild(parse(open(path, "rb").read()))
+    assert [e.ids for e in own.encode_batch(found, add_special_tokens=False)] == [np.frombuffer(x, "<u4").tolist() for x in ids]
+    assert all(map(all, Pieces(path).verified(found, ids, sentencepiece.SentencePieceProcessor(model_file=path))))
 
 
 def test_parse():
