@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import posixpath
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,9 +37,11 @@ _KEEP_AT_EXIT: list[SparkSession] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """URI of the folder all executors share, as the session names it; a temporary one only where it is unset (tests)."""
+    """URI of the folder all executors share, as the session names it; a temporary one where it is unset in local mode (tests), else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='freshet-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     if "://" not in root and not root.startswith("file:"):

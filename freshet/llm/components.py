@@ -23,9 +23,11 @@ def components(spark: SparkSession, edges: DataFrame, root: str) -> DataFrame:
     turn = 0
     while True:
         turn += 1
-        large = _star(_both(e), larger=True)
-        small = _star(large.select(F.greatest("a", "b").alias("n"), F.least("a", "b").alias("o")), larger=False)
+        large = common.stage(spark, _star(spark, _both(e), f"{root}/least-{turn}a", larger=True), f"{root}/large-{turn}")
+        small = _star(spark, large.select(F.greatest("a", "b").alias("n"), F.least("a", "b").alias("o")), f"{root}/least-{turn}b", larger=False)
         new = common.stage(spark, small, f"{root}/edges-{turn}")
+        for done in (f"least-{turn}a", f"least-{turn}b", f"large-{turn}"):
+            common.delete(spark, f"{root}/{done}")
         # a star forest is a fixpoint: no centre is itself a leaf
         moving = new.join(new.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count()
         if turn > 1:
@@ -42,9 +44,12 @@ def _both(e: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("n"), F.col("b").alias("o")).unionByName(e.select(F.col("b").alias("n"), F.col("a").alias("o")))
 
 
-def _star(neighbours: DataFrame, larger: bool) -> DataFrame:
-    """Edges (a, b), a < b, from each neighbour o of n (all larger than n; else all smaller, and n itself) to the least of n and its neighbours."""
-    least = neighbours.groupBy("n").agg(F.min("o").alias("m")).withColumn("m", F.least("n", "m"))
+def _star(spark: SparkSession, neighbours: DataFrame, uri: str, larger: bool) -> DataFrame:
+    """Edges (a, b), a < b, from each neighbour o of n (all larger than n; else all smaller, and n itself) to the least of n and its neighbours.
+
+    The minima are staged at ``uri``: the join then reads two plain shuffles, and a centre of very many neighbours is split over tasks.
+    """
+    least = common.stage(spark, neighbours.groupBy("n").agg(F.min("o").alias("m")).withColumn("m", F.least("n", "m")), uri)
     joined = neighbours.join(least, "n")
     if larger:
         linked = joined.where("o > n").select(F.col("m").alias("a"), F.col("o").alias("b"))

@@ -81,9 +81,17 @@ def repeated_words(words: Column) -> Column:
     return F.when(n < WINDOW, F.lit(0).cast("long")).otherwise(_bound(hashes, lambda h: _bound(windows(h), covered)))
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def with_measures(docs: DataFrame, text: str = "text", into: str = "quality") -> DataFrame:
     """``docs`` with one struct column of counts and ratios."""
-    words, trimmed = f"__{into}_words", f"__{into}_text"
+    words, trimmed = spare(docs, "words"), spare(docs, "text")
     docs = docs.withColumn(trimmed, F.coalesce(F.col(text).cast("string"), F.lit("")))
     body = F.btrim(F.col(trimmed), F.lit(WHITE))
     docs = docs.withColumn(

@@ -129,3 +129,26 @@ def test_run_packs_what_is_left(spark, corpus):
         by.setdefault(x.doc_id, []).append((x.start, x.length, x.doc_tokens))
     for pieces in by.values():
         assert sum(n for _, n, _ in pieces) == pieces[0][2]
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").collect() == []
+
+
+def test_run_with_clashing_names_nulls_and_repeats(spark, tmp_path):
+    r = random.Random(12)
+    fill = "the of and to in is that it was for".split()
+    prose = lambda n: " ".join(r.choice(fill) if r.random() < 0.4 else "".join(r.choices("abcdefghijk", k=6)) for _ in range(n))
+    texts = [prose(60) for _ in range(6)]
+    rows = [(0, texts[0], "en", "s", 1), (None, texts[1], None, None, None), (1, None, "en", "s", 0), (2, texts[2], "en", "s", 1), (2, texts[2], "en", "s", 1), (3, texts[3], "en", "s", 1), (3, texts[4], "en", "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("quality", "words", "block", "row", "fp", "line", "ids", "start", "offset", "kind", "bucket", "component", "first", "n"):
+        df = df.withColumn(c, df["source"])
+    df.write.parquet(f"file://{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and {x.n for x in out.collect()} <= {"s", None}
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    assert sorted({(x.doc_id, x.doc_tokens) for x in got}, key=str) and sorted(str(x.doc_id) for x in got if x.start == 0) == ["0", "2", "3", "3", "None"]
