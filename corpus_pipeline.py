@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame; it is written
 as Parquet and read again as the next one's docs.  All but the last return the columns of documents.
+
+Defined results, of every stage: null and blank texts fail the quality rules, so later stages of :func:`run` see none; called alone, they keep such
+rows and pack them as their end id.  Repeated rows and ids are documents of their own; near duplicates of one another are judged by text,
+the smallest id stays (null first).  Other columns, whatever their names, pass through all stages but the last.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import functions as F
 from freshet.llm import common
 from freshet.llm.lines import drop_recurring
 from freshet.llm.packing import pack
-from freshet.llm.quality import RULES, compile_rules, judge
+from freshet.llm.quality import RULES, compile_rules, judge, spare
 from freshet.llm.simhash import drop_near_duplicates
 from freshet.llm.suffix import drop_repeats
 
@@ -52,8 +56,9 @@ def _stops_judged(docs: DataFrame) -> Column:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    stops = ~_stops_judged(docs) | compile_rules(STOP_RULE, "__quality")
-    return judge(docs, into="__quality", rules=PIPELINE_RULES).where(F.col("__quality.kept") & stops).select(*docs.columns)
+    into = spare(docs, "quality")
+    stops = ~_stops_judged(docs) | compile_rules(STOP_RULE, into)
+    return judge(docs, into=into, rules=PIPELINE_RULES).where(F.col(f"{into}.kept") & stops).select(*docs.columns)
 
 
 @_stage
