@@ -130,3 +130,23 @@ def melt_leads(df: DataFrame, feature: str, leads: Sequence[str]) -> DataFrame:
 
 def lead_slice(df: DataFrame, last: int, first: int = 1) -> DataFrame:
     return df.where(F.col(LEAD).between(first, last))
+
+
+def outer_concat(tables: Sequence[DataFrame]) -> DataFrame:
+    """Rows of several tables one after another; columns that one lacks are NULL there."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
+def concat_override(tables: Sequence[DataFrame], keys: Sequence[str] = (BASIN, DATE)) -> DataFrame:
+    """One row a key: that of the first table that has it."""
+    ranked = outer_concat([t.withColumn("__rank", F.lit(i)) for i, t in enumerate(tables)])
+    values = [c for c in ranked.columns if c not in (*keys, "__rank")]
+    return ranked.groupBy(*keys).agg(F.min_by(F.struct(*values), "__rank").alias("__first")).select(*keys, "__first.*")
+
+
+def by_basin(df: DataFrame) -> DataFrame:
+    """Each basin's rows together and in the order of dates."""
+    return df.repartition(BASIN).sortWithinPartitions(BASIN, DATE)

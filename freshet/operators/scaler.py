@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from freshet.schema import SCALER
@@ -39,17 +39,43 @@ def choice(custom: Mapping[str, Mapping[str, str]] | None, feature: str) -> tupl
     return center, scale
 
 
-def fit(df: DataFrame, features: Iterable[str], custom: Mapping[str, Mapping[str, str]] | None = None) -> DataFrame:
+def exact_median(df: DataFrame, feature: str, work: str) -> float | None:
+    """The median of a feature of any number of distinct values, which a single aggregate would hold in one task.
+
+    Values are counted and written in ranges below ``work``; the counts of the ranges tell which one or two hold the middle, and only these are read.
+    """
+    spark = df.sparkSession
+    v = F.col(feature).cast("double").alias("v")
+    counts = df.select(v).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
+    counts.repartitionByRange("v").sortWithinPartitions("v").withColumn("part", F.spark_partition_id()).write.mode("overwrite").parquet(work)
+    table = spark.read.parquet(work)
+    parts = sorted((r.part, r.n) for r in table.groupBy("part").agg(F.sum("n").alias("n")).collect())  # a row a partition
+    total = sum(n for _, n in parts)
+    found = []
+    for rank in {(total - 1) // 2, total // 2} if total else ():
+        before = 0
+        for part, n in parts:
+            if rank < before + n:
+                until = F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+                found.append(table.where(F.col("part") == part).withColumn("until", until).where(F.col("until") > rank - before).agg(F.min("v")).first()[0])
+                break
+            before += n
+    return sum(found) / len(found) if found else None
+
+
+def fit(df: DataFrame, features: Iterable[str], custom: Mapping[str, Mapping[str, str]] | None = None, work: str | None = None) -> DataFrame:
     """(feature, center, scale, mean, std) of one table, from one pass with only the needed aggregates; one row a feature.
 
-    Fit each table by itself, before joining: statics count once a basin, forecasts once a lead time.
+    Fit each table by itself, before joining: statics count once a basin, forecasts once a lead time.  A median is an aggregate that holds all
+    distinct values; for large tables name a shared folder ``work``, and it is found by :func:`exact_median`.
     """
     features = list(features)
     aggregates, rows = {}, []
     for f in features:
         center, scale = choice(custom, f)
         for name in {"mean", "std", center, scale} - {"none"}:
-            aggregates[f"{f}\0{name}"] = statistic(name, f)
+            large = name == "median" and work is not None
+            aggregates[f"{f}\0{name}"] = F.max(F.lit(exact_median(df, f, f"{work}/median-{f}")).cast("double")) if large else statistic(name, f)
         take = lambda n, f=f: F.col(f"`{f}\0{n}`")
         rows.append(
             F.struct(

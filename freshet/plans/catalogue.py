@@ -305,6 +305,11 @@ def _(spark, d):
     return _folded(sequences.hindcast(_valid(spark, d), ["obs"], 30, "valid"))
 
 
+@_query("hindcast_seq_year", f"{_DENSE} {_fold_sql('dense', -364, 0)}")
+def _(spark, d):
+    return _folded(sequences.hindcast(_dense(spark, d), ["obs"], 365))
+
+
 @_query("hindcast_lead_seq", f"{_DENSE} {_fold_sql('dense', -10, -1)}")
 def _(spark, d):
     return _folded(sequences.hindcast_of_forecasts(_dense(spark, d), ["obs"], 10))

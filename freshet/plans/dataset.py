@@ -55,11 +55,11 @@ def prepare(
     of_dyn = has(dynamics, [*hind, *targets])
     of_fc = has(forecasts, fore)
     if fitted is None:
-        parts = [scaler.fit(dynamics, dict.fromkeys(of_dyn), cfg.custom_normalization)]
+        parts = [scaler.fit(dynamics, dict.fromkeys(of_dyn), cfg.custom_normalization, work)]
         if statics is not None and static:
-            parts.append(scaler.fit(statics, static, cfg.custom_normalization))
+            parts.append(scaler.fit(statics, static, cfg.custom_normalization, work))
         if of_fc:
-            parts.append(scaler.fit(forecasts, of_fc, cfg.custom_normalization))
+            parts.append(scaler.fit(forecasts, of_fc, cfg.custom_normalization, work))
         fitted = parts[0]
         for p in parts[1:]:
             fitted = fitted.unionByName(p)

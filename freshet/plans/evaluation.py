@@ -55,6 +55,11 @@ def skill(results: DataFrame, keys: Sequence[str] = (BASIN, "lead_time"), metric
     return evaluate(clip(results, ["sim"]) if clipped else results, keys, metrics)
 
 
+def undefined(results: DataFrame, keys: Sequence[str] = (BASIN,)) -> DataFrame:
+    """Groups whose observations or simulations are all missing; their metrics are NULL, which this names."""
+    return results.groupBy(*keys).agg(F.count("obs").alias("n_obs"), F.count("sim").alias("n_sim")).where("n_obs = 0 OR n_sim = 0")
+
+
 def targets_skill(results: DataFrame, targets: Mapping[str, Iterable[str]] | Sequence[str], keys: Sequence[str] = (BASIN,)) -> DataFrame:
     """Wide table for several targets (columns ``<target>_obs``, ``<target>_sim``), metrics named ``<target>_<metric>`` if there is more than one."""
     named = targets if isinstance(targets, Mapping) else {t: available() for t in targets}

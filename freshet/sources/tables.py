@@ -10,12 +10,14 @@ import re
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from freshet.operators.align import melt_leads, merge_no_conflict, require_basins, select_basins
 from freshet.schema import BASIN, DATE, LEAD, nan_to_null
+from freshet.sources import zarr3
 
 
 def subdatasets(basins: Iterable[str]) -> list[str]:
@@ -35,7 +37,7 @@ def _header(spark: SparkSession, path: str) -> list[str]:
     at = jvm.org.apache.hadoop.fs.Path(path)
     reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at), "UTF-8"))
     try:
-        return (reader.readLine() or "").lstrip("\ufeff").split(",")
+        return [c.strip().strip('"') for c in (reader.readLine() or "").lstrip("\ufeff").split(",")]
     finally:
         reader.close()
 
@@ -66,7 +68,7 @@ def read_attributes(spark: SparkSession, root: str, basins: Sequence[str], featu
             raise FileNotFoundError(f"no attributes of subdataset {sub!r} below {root}")
         table = None
         for f in files:
-            header = _header(spark, f)
+            header = _header(spark, next(iter(_files(spark, f"{f}/part-*")), f))  # a file, or a folder of parts
             keep = [c for c in header if c in features]
             if not keep:
                 continue
@@ -186,17 +188,59 @@ def write_basins(df: DataFrame, path: str) -> None:
     df.select(BASIN).coalesce(1).sortWithinPartitions(BASIN).write.mode("overwrite").text(path)
 
 
-def write_results(results: DataFrame, path: str) -> None:
-    """Results by basin; an earlier store of the same run is replaced."""
+def write_results(results: DataFrame, path: str, kind: str = "parquet") -> None:
+    """Results by basin, as Parquet or (``zarr``) as one array a variable over basin, date and time step; an earlier store of the same run is replaced."""
+    if kind == "zarr":
+        dims = [BASIN, DATE, *(["time_step"] if "time_step" in results.columns else [])]
+        zarr3.write(results, path, dims, [f.name for f in results.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))])
+        return
     results.repartition(BASIN).write.mode("overwrite").partitionBy(BASIN).parquet(path)
 
 
 def read_results(spark: SparkSession, run: str, period: str = "test", epoch: int | None = None) -> DataFrame:
-    """Results of a run's given or newest epoch."""
+    """Results of a run's given or newest epoch, of either kind."""
     found = {int(m[1]): p for p in _files(spark, f"{run}/{period}/model_epoch*") if (m := re.search(r"model_epoch(\d+)$", p))}
     if not found or (epoch is not None and epoch not in found):
         raise FileNotFoundError(f"no results of {period} in {run}")
-    return spark.read.parquet(f"{found[epoch if epoch is not None else max(found)]}/results")
+    path = found[epoch if epoch is not None else max(found)]
+    if _files(spark, f"{path}/results.zarr/zarr.json"):
+        zarr3.register(spark)
+        return spark.read.format("zarr3").load(f"{path}/results.zarr")
+    return spark.read.parquet(f"{path}/results")
+
+
+def _write_csv(df: DataFrame, name) -> None:
+    """One CSV file for each basin, written by the task that has it; ``name(basin)`` is its path."""
+
+    def run(table: pa.Table) -> pa.Table:
+        import pyarrow.csv as pc
+        import pyarrow.fs as pafs
+
+        basin = table.column(BASIN)[0].as_py()
+        fs, path = pafs.FileSystem.from_uri(name(basin))
+        fs.create_dir(path.rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(path, compression=None) as out:
+            pc.write_csv(table.drop_columns([BASIN]).sort_by(DATE), out, pc.WriteOptions(quoting_style="none"))
+        return pa.table({"rows": pa.array([table.num_rows], pa.int64())})
+
+    df.groupBy(BASIN).applyInArrow(run, "rows long").write.format("noop").mode("overwrite").save()
+
+
+def write_timeseries(series: DataFrame, root: str) -> None:
+    """(basin, date, a column a feature) as ``root/timeseries/csv/<sub>/<basin>.csv``; ``root`` is a URI all executors can write to."""
+    _write_csv(series, lambda b: f"{root}/timeseries/csv/{b.partition('_')[0]}/{b}.csv")
+
+
+def write_forecasts(wide: DataFrame, root: str, feature: str) -> None:
+    """Wide forecasts of one feature (basin, date, a column a lead day) as ``root/{feature}_{basin}.csv``."""
+    _write_csv(wide, lambda b: f"{root}/{feature}_{b}.csv")
+
+
+def write_attributes(statics: DataFrame, root: str, name: str = "attributes") -> None:
+    """Static attributes as one CSV file for each subdataset, ``root/attributes/<sub>/<name>.csv`` (a folder, as Spark writes them)."""
+    for sub in subdatasets(r[0] for r in statics.select(BASIN).distinct().collect()):
+        rows = statics.where(F.col(BASIN).startswith(f"{sub}_")).withColumnRenamed(BASIN, "gauge_id").coalesce(1)
+        rows.write.mode("overwrite").option("header", True).csv(f"{root}/attributes/{sub}/{name}.csv")
 
 
 def write_metrics(metrics: DataFrame, path: str, append: bool = False) -> None:

@@ -3,7 +3,7 @@
 A store is a folder with one sub-folder an array, each with a ``zarr.json`` and chunks ``c/i/j/...``.  Arrays that share dimensions
 become columns of one table with a row a cell; coordinate arrays (one dimension of their own name) give the key columns.  One partition reads
 the chunks at one place of the chunk grid, so a chunk is read once; a list of basins (option ``basins``, comma-separated) prunes
-partitions before anything is read.  Codecs: bytes, zstd, gzip, transpose and crc32c are understood (sharding is not).
+partitions before anything is read.  Codecs: bytes, zstd, gzip, transpose and crc32c are understood (sharding is not).  :func:`write` makes such a store.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from __future__ import annotations
 import gzip
 import itertools
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from datetime import date
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,10 @@ from pyspark.sql.types import StructType
 
 
 def _fs(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path.replace("gs:/", "gs://").replace("gs:///", "gs://") if path.startswith("gs:") else path if "://" in path else f"file://{path}")
+    if "://" not in path:  # a plain path, or a scheme with one slash as Hadoop and path objects write it
+        scheme, colon, rest = path.partition(":")
+        path = f"{scheme}://{rest if scheme == 'file' else rest.lstrip('/')}" if colon and "/" not in scheme else f"file://{path}"
+    return pafs.FileSystem.from_uri(path)
 
 
 class Array:
@@ -190,5 +194,76 @@ class Zarr3Reader(DataSourceReader):
         yield from table.to_batches(max_chunksize=65_536)
 
 
+# --- writing --------------------------------------------------------------------------------------------------------
+
+
+def _meta(shape: Sequence[int], chunks: Sequence[int], kind, dims: Sequence[str], fill, **attributes) -> bytes:
+    meta = {
+        "zarr_format": 3, "node_type": "array", "shape": list(shape), "data_type": kind, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": list(chunks)}},
+        "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": fill,
+        "codecs": [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "zstd", "configuration": {"level": 3, "checksum": False}}], "dimension_names": list(dims), "attributes": attributes,
+    }
+    return json.dumps(meta).encode()
+
+
+def _save(fs: pafs.FileSystem, path: str, data: bytes) -> None:
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(path, compression=None) as out:
+        out.write(data)
+
+
+def _write_coordinate(fs: pafs.FileSystem, root: str, name: str, values: list) -> None:
+    """A coordinate array of strings, dates or whole numbers, in one chunk."""
+    import zstandard
+
+    attributes: dict = {}
+    if values and isinstance(values[0], str):
+        data = np.array(values)
+        kind, fill = {"name": "fixed_length_utf32", "configuration": {"length_bytes": data.dtype.itemsize}}, ""
+    else:
+        if values and isinstance(values[0], date):
+            attributes = {"units": f"days since {values[0].isoformat()}"}
+            values = [(v - values[0]).days for v in values]
+        data, kind, fill = np.array(values, "<i8"), "int64", 0
+    _save(fs, f"{root}/{name}/zarr.json", _meta(data.shape, data.shape, kind, [name], fill, **attributes))
+    _save(fs, f"{root}/{name}/c/0", zstandard.compress(np.ascontiguousarray(data).tobytes()))
+
+
+def write(df, path: str, dims: Sequence[str], variables: Sequence[str]) -> None:
+    """``df`` (a row a cell: the columns ``dims``, then ``variables``) as a store of float32 arrays, one chunk a value of the first dimension.
+
+    A store that is there is replaced.  Cells without a row, and NULLs, are NaN.  Coordinates (names of basins, dates, steps) are gathered on the
+    driver; values are written where they are, a task a basin, so memory holds one basin's array.
+    """
+    from pyspark.sql import functions as F
+
+    fs, root = _fs(path)
+    if fs.get_file_info(root).type == pafs.FileType.Directory:
+        fs.delete_dir(root)
+    coordinates = {d: sorted(r[0] for r in df.select(d).distinct().collect() if r[0] is not None) for d in dims}
+    shape = [len(c) for c in coordinates.values()]
+    _save(fs, f"{root}/zarr.json", json.dumps({"zarr_format": 3, "node_type": "group", "attributes": {}}).encode())
+    for d, values in coordinates.items():
+        _write_coordinate(fs, root, d, values)
+    for v in variables:
+        _save(fs, f"{root}/{v}/zarr.json", _meta(shape, [1, *shape[1:]], "float32", dims, "NaN"))
+    places = [{v: i for i, v in enumerate(c)} for c in coordinates.values()]
+
+    def run(table: pa.Table) -> pa.Table:
+        import zstandard
+
+        fs, root = _fs(path)
+        at = [np.array([p[v] for v in table.column(d).to_pylist()], np.int64) for d, p in zip(dims, places, strict=True)]
+        for v in variables:
+            out = np.full(shape[1:], np.nan, "<f4")
+            out[tuple(at[1:])] = table.column(v).cast(pa.float32()).fill_null(np.nan).to_numpy()
+            key = "/".join(map(str, [at[0][0], *[0] * (len(dims) - 1)]))
+            _save(fs, f"{root}/{v}/c/{key}", zstandard.compress(out.tobytes()))
+        return pa.table({"cells": pa.array([table.num_rows], pa.int64())})
+
+    rows = df.select(*dims, *variables).where(F.greatest(*[F.col(d).isNull() for d in dims], F.lit(False)) == F.lit(False))
+    rows.groupBy(dims[0]).applyInArrow(run, "cells long").write.format("noop").mode("overwrite").save()
+
+
 def register(spark) -> None:
     spark.dataSource.register(Zarr3)
