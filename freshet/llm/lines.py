@@ -11,7 +11,8 @@ doc_id) it stands in, so no content is lost altogether.
 Scale: a task sends one row for each distinct line of its blocks, and only lines of leaves with ``min_docs`` documents
 go on.  A leaf's lines stream through one task in their order; it holds the templates, not the lines.  Beyond :data:`LEAF` templates
 a line is compared only with those that share one of its rarest tokens in place, which loses none that it could join: a leaf's result does
-not depend on its size.  Documents are read back block by block; no text is shuffled but the
+not depend on its size.  Of a leaf with more than :data:`CROWD` distinct lines, only those go to its task that share enough tokens in place with other
+lines to join one (which is found by counting, without the task); the others are templates of their own, as they would be there.  Documents are read back block by block; no text is shuffled but the
 distinct lines of the leaves that enough documents reach.
 
 Defined results: null text has no lines; lines without a token stay.  Lines of fewer than :data:`MIN_TOKENS` tokens, or mostly of variable
@@ -38,6 +39,8 @@ from freshet.llm import common
 
 DEPTH = 3
 ALIKE = 0.5
+#: Distinct lines of a leaf from which on those that can join none of the others are sorted out before a task takes the leaf.
+CROWD = 20_000
 #: Templates of a leaf that are compared with each line without looking its tokens up.
 LEAF = 2048
 MIN_DOCS = 5
@@ -47,6 +50,7 @@ WILD = b"<*>"
 _NO_ID = -(1 << 63)
 _DIGIT = re.compile(rb"\d")
 
+SPELT = "leaf long, line long, docs long, masked binary"
 LINE = "block long, doc_id long, tie int, row int, line long, leaf long"
 _LINE = pa.schema([(x.split()[0], {"int": pa.int32(), "long": pa.int64()}[x.split()[1]]) for x in LINE.split(", ")])
 
@@ -201,6 +205,25 @@ def _cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.int64())], ["line", "template"])
 
 
+def _parted(spark: SparkSession, spelt: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """Lines of crowded leaves: those that may join a template with another line, and (line, template) of those that cannot.
+
+    A line joins a template by constant tokens in place that the template's first line has too.  So a line of which fewer tokens in place
+    than that takes are found in other lines of its leaf neither joins nor is joined, whatever the order: it is a template of its own.
+    """
+    lines = common.stage(spark, spelt, f"{root}/crowded-lines")
+    tokens = F.split(F.col("masked").cast("string"), " ")
+    least = F.floor(ALIKE * (F.size(tokens) - DEPTH)).cast("int") + 1
+    places = lines.select("leaf", "line", least.alias("least"), F.posexplode(F.slice(tokens, DEPTH + 1, F.size(tokens))).alias("at", "token"))
+    places = places.where(F.col("token") != WILD.decode()).select("leaf", "line", "least", "at", F.xxhash64("token").alias("word"))
+    # staged, so that the join reads two plain shuffles and a frequent word of a crowded leaf is split over tasks
+    shared = common.stage(spark, places.groupBy("leaf", "at", "word").agg(F.count("*").alias("n")).where("n > 1").drop("n"), f"{root}/shared")
+    met = places.join(shared, ["leaf", "at", "word"]).groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("least").alias("least"))
+    met = common.stage(spark, met.where("n >= least").select("leaf", "line"), f"{root}/joining")
+    single = lines.join(met, ["leaf", "line"], "left_anti").select("line", F.col("line").alias("template"))
+    return lines.join(met, ["leaf", "line"], "left_semi").select(spelt.columns), single
+
+
 def recurring(spark: SparkSession, docs: DataFrame, root: str, min_docs: int = MIN_DOCS, exact: bool = True) -> tuple[DataFrame, int]:
     """(block, row, line): the lines to drop, by their keys; rows with a null ``row`` mark blocks.  And the number of blocks."""
     features = lambda block, table: _features(block, table, exact)
@@ -214,8 +237,15 @@ def recurring(spark: SparkSession, docs: DataFrame, root: str, min_docs: int = M
     distinct = common.stage(spark, distinct.join(reached, "leaf", "left_semi"), f"{root}/distinct")
     alone = distinct.where("leaf = line").select("line", F.col("line").alias("template"))
     asked = distinct.where("leaf <> line").select("at.block", "at.row", "line", "leaf", "docs")
-    spelt = common.apply_blocks(asked, f"{root}/blocks", _spell, "leaf long, line long, docs long, masked binary", blocks)
-    ordered = spelt.select("leaf", "line", "masked", "docs").repartition("leaf").sortWithinPartitions("leaf", F.desc("docs"), "masked")
+    spell = lambda df: common.apply_blocks(df, f"{root}/blocks", _spell, SPELT, blocks)
+    crowded = common.stage(spark, asked.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("leaf"), f"{root}/crowded")
+    if crowded.isEmpty():
+        lines = spell(asked)
+    else:
+        joining, single = _parted(spark, spell(asked.join(crowded, "leaf", "left_semi").select(asked.columns)), root)
+        lines = spell(asked.join(crowded, "leaf", "left_anti").select(asked.columns)).unionByName(joining)
+        alone = alone.unionByName(single)
+    ordered = lines.select("leaf", "line", "masked", "docs").repartition("leaf").sortWithinPartitions("leaf", F.desc("docs"), "masked")
     named = ordered.mapInArrow(_cluster, "line long, template long").unionByName(alone)
     named = common.stage(spark, named, f"{root}/templates")
     place = F.struct("doc_id", "tie", "block", "row")

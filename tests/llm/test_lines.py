@@ -31,8 +31,8 @@ def brute(rows, min_docs):
         found = []
         for m in sorted(leaf, key=lambda m: (-count[m], m.encode())):
             w = m.split(" ")
-            scores = [sum(a == b for a, b in zip(w, t)) for t, _ in found]
-            if scores and max(scores) >= lines.ALIKE * len(w):
+            scores = [sum(a == b != "<*>" for a, b in zip(w[lines.DEPTH :], t[lines.DEPTH :])) for t, _ in found]
+            if scores and max(scores) > lines.ALIKE * (len(w) - lines.DEPTH):
                 t, members = found[scores.index(max(scores))]
                 for i, x in enumerate(w):
                     if t[i] != x:
@@ -72,10 +72,13 @@ def corpus(n=80):
     return made
 
 
-@pytest.mark.parametrize("min_docs", [2, 5])
-def test_matches_brute_force(spark, documents, monkeypatch, min_docs):
+@pytest.mark.parametrize(("min_docs", "crowd"), [(2, 20_000), (5, 20_000), (2, 0), (5, 6)])
+def test_matches_brute_force(spark, documents, monkeypatch, min_docs, crowd):
+    monkeypatch.setattr(lines, "CROWD", crowd)
     monkeypatch.setattr(common.sliced, "__defaults__", (3000,))
     texts = corpus()
+    r = random.Random(8)  # leaves of many lines, some alike
+    texts += ["\n".join("a b c " + " ".join(r.choice("uvwxyz") for _ in range(r.choice([3, 5]))) for _ in range(4)) for _ in range(40)]
     ids = list(range(len(texts)))
     random.Random(1).shuffle(ids)
     ids[6] = None
