@@ -193,6 +193,20 @@ def sample(
     return df.withColumn(into, F.when(F.coalesce(lost, F.lit(True)), none).otherwise(drawn))
 
 
+#: Heads whose predictions are points of a mixture: drawn, or the mean and the nine deciles.
+HEADS = ("cmal", "cmal_deterministic")
+
+
+def points(df: DataFrame, head: str, n: int, into: str = "samples", columns: Sequence[str] = ("mu", "b", "tau", "pi"), **how) -> DataFrame:
+    """``df`` with point predictions as the head gives them; ``how`` goes to :func:`sample`."""
+    head = head.lower()
+    if head not in HEADS:
+        raise NotImplementedError(f"no point predictions for head {head!r}; there are {HEADS}")
+    if head == "cmal":
+        return sample(df, n, into=into, columns=columns, **how)
+    return df.withColumn(into, _let(components(*columns), predictions))
+
+
 # --- ensembles ------------------------------------------------------------------------------------------------------
 
 

@@ -39,6 +39,15 @@ def overlap(hindcast: Column, forecast: Column) -> Column:
 
 
 LOSSES = {"mse": mse, "rmse": rmse, "nse": nse}
+REGULARISERS = {"forecast_overlap": overlap}
+
+
+def by_name(name: str):
+    """A loss or regulariser by its name in a configuration."""
+    known = {**LOSSES, "cmalloss": cmal, "cmal": cmal, **REGULARISERS}
+    if name.lower() not in known:
+        raise NotImplementedError(f"no loss {name!r}; there are {sorted(known)}")
+    return known[name.lower()]
 
 
 def total(df: DataFrame, targets: Sequence[tuple[str, str]], loss: str = "mse", weights: Sequence[float] | None = None, std: Mapping[str, str] | None = None, regularisers: Mapping[str, tuple[float, Column]] | None = None) -> DataFrame:

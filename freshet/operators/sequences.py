@@ -6,7 +6,7 @@ gathered once, sorted, and only the valid samples slice it: one exchange, and th
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,6 +89,11 @@ def last_n(column: str, n: int):
     return F.slice(column, -n, n)
 
 
+def steps_of(predict_last_n: int | Mapping[str, int], frequency: str | None, frequencies: Sequence[str]) -> int:
+    """The last steps that are predicted at a frequency; without one, at the first in use."""
+    return predict_last_n if isinstance(predict_last_n, int) else predict_last_n[frequency or frequencies[0]]
+
+
 def basin_batches(samples: DataFrame, size: int) -> DataFrame:
     """``samples`` with a batch number for each basin: batches never mix basins, the remainder is a batch of its own."""
     from pyspark.sql import Window

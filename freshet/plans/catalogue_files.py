@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet import config, schema
-from freshet.functions import frequency, metrics
+from freshet.functions import cmal, frequency, metrics, schedules
 from freshet.operators import align, scaler, sequences, splits
 from freshet.plans import evaluation, views
 from freshet.plans.catalogue import _DENSE, _MOMENTS, _SKILL, _basins, _dense, _mom, _query, _round, _skill
@@ -263,3 +263,29 @@ def _(spark, d):
 def _(spark, d):
     rows = [(config.experiment_name(t, {"seed": 3}), config.substitute({"label": ["L"]}, {"L": "lead 7"})["label"][0]) for t in ("run {seed} x", "a/b-c.d")]
     return _rows(spark, "name string, label string", rows)
+
+
+@_query("head_points", f"WITH {views.SQL['mix']} SELECT vec_id, 20 AS drawn, 10 AS fixed FROM mix")
+def _(spark, d):
+    m = views.mixtures(spark, d)
+    both = cmal.points(cmal.points(m, "CMAL", 20, "a", keys=["vec_id"]), "cmal_deterministic", 0, "b")
+    count = lambda c: F.size(F.filter(c, lambda x: x.isNotNull()))
+    return both.select("vec_id", count("a").alias("drawn"), count("b").alias("fixed"))
+
+
+_LOSS = [9.0, 5.0, 5.0, 6.0, 4.0, 4.0, 4.0, 4.0]
+
+
+@_query(
+    "learning_rates",
+    _values([("ConstantLR", i, 0.01) for i in range(1, 9)] + [("StepLR", i, 0.01 * 0.5 ** (i // 3)) for i in range(1, 9)] + [("ReduceLROnPlateau", i, 0.01 if i < 8 else 0.005) for i in range(1, 9)], "strategy", "epoch", "rate"),
+)
+def _(spark, d):
+    names = ("ConstantLR", "StepLR", "ReduceLROnPlateau")
+    rows = [(n, i, r) for n in names for i, r in enumerate(schedules.learning_rates(n, 0.01, _LOSS, 0.5, 3 if n == "StepLR" else 2), 1)]
+    return _rows(spark, "strategy string, epoch int, rate double", rows)
+
+
+@_query("last_steps", _values([("1D", 3), ("1h", 24), ("", 3)], "freq", "n"))
+def _(spark, d):
+    return _rows(spark, "freq string, n int", [(f, sequences.steps_of({"1D": 3, "1h": 24}, f or None, ["1D", "1h"])) for f in ("1D", "1h", "")])

@@ -221,3 +221,24 @@ def test_handoff_and_predict(spark):
     assert len(got) == 7 and all(got[i] == pytest.approx(want["y_hat"][i].ravel()) for i in range(7)) and len(got[0]) == 5
     assert want["y_hindcast_overlap"].shape == want["y_forecast_overlap"].shape == (7, 2, 1)
     assert models.get_model("Handoff_forecast_LSTM") is models.Handoff and models.positional_encoding(3, 4).shape == (3, 4)
+
+
+def test_losses_by_name_and_rates():
+    from freshet.functions import losses, schedules
+    from freshet.operators.sequences import steps_of
+
+    assert losses.by_name("NSE") is losses.nse and losses.by_name("CMALLoss") is losses.cmal and losses.by_name("forecast_overlap") is losses.overlap
+    with pytest.raises(NotImplementedError):
+        losses.by_name("other")
+    assert schedules.learning_rates("ReduceLROnPlateau", 1.0, [3, 2, 2, 2, 1, 1, 1, 1], 0.1, 1) == pytest.approx([1, 1, 1, 0.1, 0.1, 0.1, 0.01, 0.01])
+    with pytest.raises(ValueError):
+        schedules.learning_rates("Cosine", 1.0, [])
+    assert steps_of(4, None, []) == 4 and steps_of({"1D": 2, "1h": 7}, "1h", ["1D"]) == 7
+
+
+def test_points_of_a_head(spark):
+    m = spark.createDataFrame([([1.0], [0.5], [0.4], [1.0]), ([None], [0.5], [0.4], [1.0])], "mu array<double>, b array<double>, tau array<double>, pi array<double>")
+    got = cmal.points(m, "cmal", 5).collect()
+    assert None not in got[0].samples and got[1].samples == [None] * 5
+    with pytest.raises(NotImplementedError):
+        cmal.points(m, "regression", 5)
