@@ -154,6 +154,15 @@ def judge(docs: DataFrame, text: str = "text", into: str = "quality", rules=tupl
     )
 
 
+def rows_where(judged: DataFrame, keep: Column, columns: list[str]) -> DataFrame:
+    """``columns`` of the rows where ``keep``, an expression over measures, is true.
+
+    Rows are dropped by a generator: a filter would be pushed below the projections, and the measures computed again for each mention of one.
+    """
+    cols = [F.col(f"`{c}`") for c in columns]
+    return judged.select(*cols, F.explode(F.when(keep, F.array(F.lit(True)))).alias(spare(judged, "keep"))).select(*cols)
+
+
 def op10_quality_rules(docs: DataFrame) -> DataFrame:
     q = F.col("quality")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -152,3 +152,34 @@ def test_run_with_clashing_names_nulls_and_repeats(spark, tmp_path):
         assert out.columns == docs.columns and {x.n for x in out.collect()} <= {"s", None}
     got = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
     assert sorted({(x.doc_id, x.doc_tokens) for x in got}, key=str) and sorted(str(x.doc_id) for x in got if x.start == 0) == ["0", "2", "3", "3", "None"]
+
+
+def test_near_duplicates_of_documents_match_brute_force(spark):
+    """Every pair of similarity 0.8 or more on the given documents, by an index of the rarest shingles that such a pair must share."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    sets = [set(simhash.shingle_hashes(t or "", 5).tolist()) for _, t in rows]
+    often = {}
+    for s in sets:
+        for h in s:
+            often[h] = often.get(h, 0) + 1
+    parent, index, pairs = list(range(len(rows))), {}, 0
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for i, s in enumerate(sets):
+        rare = sorted(s, key=lambda h: (often[h], h))[: len(s) - -(-4 * len(s) // 5) + 1]
+        near = {j for h in rare for j in index.get(h, ())}
+        for h in rare:
+            index.setdefault(h, []).append(i)
+        for j in near:
+            both = len(s & sets[j])
+            if both >= 0.8 * (len(s) + len(sets[j]) - both):
+                pairs += 1
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    want = {rows[i][0] for i in range(len(rows)) if find(i) == i}
+    assert pairs > 50 and {r.doc_id for r in drop_near_duplicates(spark, docs).collect()} == want
