@@ -26,13 +26,26 @@ def local_maxima(x: np.ndarray) -> np.ndarray:
     return (start[high] + stop[high]) // 2
 
 
-def prominence(x: np.ndarray, peak: int) -> float:
-    """Height above the higher of the two lowest points reached before a higher value, or the edge, on each side."""
-    def base(side: np.ndarray) -> float:
-        above = np.flatnonzero(side > x[peak])
-        return side[: above[0]].min() if len(above) else side.min()
+def _bases(x: np.ndarray) -> np.ndarray:
+    """The lowest value since the last higher one, up to each place itself; one pass with the falling values still in sight."""
+    out = np.empty(len(x))
+    sight: list[tuple[float, float]] = []  # (value, lowest since the one before)
+    for i, v in enumerate(x.tolist()):
+        low = v
+        while sight and sight[-1][0] <= v:
+            low = min(low, sight.pop()[1])
+        sight.append((v, low))
+        out[i] = low
+    return out
+
+
+def prominences(x: np.ndarray) -> np.ndarray:
+    """Height of each place above the higher of the two lowest points reached before a higher value, or the edge, on each side."""
+    return x - np.maximum(_bases(x), _bases(x[::-1])[::-1])
 
-    return x[peak] - max(base(x[peak::-1]), base(x[peak:]))
+
+def prominence(x: np.ndarray, peak: int) -> float:
+    return float(prominences(x)[peak])
 
 
 def find_peaks(x: np.ndarray, distance: float | None = None, height: float | None = None, least_prominence: float | None = None) -> np.ndarray:
@@ -45,12 +58,12 @@ def find_peaks(x: np.ndarray, distance: float | None = None, height: float | Non
         keep = np.ones(len(peaks), bool)
         for i in np.argsort(x[peaks], kind="stable")[::-1]:
             if keep[i]:
-                near = np.abs(peaks - peaks[i]) < apart
-                near[i] = False
-                keep[near] = False
+                lo, hi = np.searchsorted(peaks, [peaks[i] - apart + 1, peaks[i] + apart])
+                keep[lo:hi] = False
+                keep[i] = True
         peaks = peaks[keep]
     if least_prominence is not None:
-        peaks = np.array([p for p in peaks if prominence(x, p) >= least_prominence], np.int64)
+        peaks = peaks[prominences(x)[peaks] >= least_prominence] if len(peaks) else peaks
     return peaks
 
 
