@@ -52,9 +52,18 @@ def test_terms_and_vectors_are_pruned():
     assert work.looked < 0.9 * work.all and work.dropped > 0.5 * 40 * 2000
 
 
-def test_runs_that_cannot_compete_are_left_out():
+def test_runs_that_cannot_compete_are_left_out(monkeypatch):
+    monkeypatch.setattr(topk, "RUN", 512)
+    monkeypatch.setattr(topk, "SEED", 128)
     weights = topk.np.full((8, 4000), 1, topk.np.int32)
     weights[:, :200] = 100
     p, work = topk.Postings(topk.np.arange(4000), weights), topk.Work()
     got = topk.search(p, 0, weights[:, 0], [], 5, work)
     assert got == [(80_000, i) for i in range(1, 6)] and work.skipped == len(p.starts) - 2
+
+
+def test_very_long_vectors(spark):
+    r = topk.np.random.default_rng(1)
+    rows = [(i, r.normal(size=6000).tolist()) for i in (0, 1, 2, 50)]
+    got = [(x.query_id, x.rank, x.vec_id, x.score) for x in top_k(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    assert sorted(got) == brute(rows)

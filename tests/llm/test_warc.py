@@ -133,3 +133,11 @@ def test_memory_does_not_grow_with_the_archive(tmp_path):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 10 * len(html)
+
+
+def test_very_long_pages(spark):
+    long = "<p>" + "é word " * 600_000
+    pages = spark.createDataFrame([(1, "u", long), (2, "u", long), (3, "u", "")], "page_id long, url string, html string")
+    got = {x.page_id: (x.payload_bytes, x.record_type, x.refers_to) for x in op2_warc(spark, pages).collect()}
+    n = len(long.encode())
+    assert got == {1: (n, "response", None), 2: (n, "revisit", 1), 3: (0, "response", None)}
