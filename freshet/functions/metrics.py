@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOMENTS = ("NSE", "MSE", "RMSE", "KGE", "Alpha-NSE", "Pearson-r", "Beta-KGE", "Beta-NSE")
@@ -113,8 +113,50 @@ def flv(low: float = 0.3) -> Column:
     return F.when(n > 0, -F.try_divide(s - o, o + _TINY) * 100)
 
 
+def _ranked(pairs: DataFrame, keys: Sequence[str], column: str, work: str) -> DataFrame:
+    """(keys, v, n, before, total): distinct values of a column with their numbers, and how many of the group are larger.
+
+    Values are counted, written in ranges below ``work``, and numbered range by range, so no task holds a group.
+    """
+    spark = pairs.sparkSession
+    counts = pairs.groupBy(*keys, F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    order = [*keys, F.desc("v")]
+    counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).write.mode("overwrite").parquet(work)
+    table = spark.read.parquet(work)
+    sums = table.groupBy(*keys, "part").agg(F.sum("n").alias("here"))  # a row a group and range
+    earlier = F.sum("here").over(Window.partitionBy(*keys).orderBy("part")) - F.col("here")
+    sums = sums.select(*keys, "part", earlier.alias("earlier"), F.sum("here").over(Window.partitionBy(*keys)).alias("total"))
+    inside = F.sum("n").over(Window.partitionBy(*keys, "part").orderBy(F.desc("v"))) - F.col("n")
+    return table.withColumn("inside", inside).join(sums, [*keys, "part"]).select(*keys, "v", "n", (F.col("earlier") + F.col("inside")).alias("before"), "total")
+
+
+def pooled_curves(df: DataFrame, keys: Sequence[str], work: str, obs: str = "obs", sim: str = "sim") -> DataFrame:
+    """FHV, FMS and FLV of groups of any size (all basins of a lead time, say), which :func:`evaluate` would gather in one row each."""
+    pairs = df.select(*keys, F.col(obs).cast("double").alias("o"), F.col(sim).cast("double").alias("s")).where("o IS NOT NULL AND s IS NOT NULL")
+    n, before, after, v = F.col("total"), F.col("before"), F.col("before") + F.col("n"), F.col("v")
+    share = lambda q: F.bround(F.lit(q) * n).cast("long")
+    low = F.when(share(0.3) == 0, n).otherwise(share(0.3))
+    sides = []
+    for column, log in (("o", _log_obs), ("s", _log_sim)):
+        among = lambda a, b: F.greatest(F.lit(0), F.least(after, b) - F.greatest(before, a))
+        at = lambda k, x: F.max(F.when((before <= k) & (k < after), x))
+        sides.append(
+            _ranked(pairs, keys, column, f"{work}/{column}").groupBy(*keys).agg(
+                F.sum(v * among(F.lit(0), share(0.02))).alias(f"{column}_high"), F.max(share(0.02)).alias("k"),
+                (at(share(0.2), log(v)) - at(share(0.7), log(v))).alias(f"{column}_slope"),
+                (F.sum(log(v) * among(n - low, n)) - F.max(low) * at(n - 1, log(v))).alias(f"{column}_low"),
+            )
+        )
+    both = sides[0].join(sides[1].drop("k"), list(keys))
+    bias = lambda name, tiny: F.try_divide(F.col(f"s_{name}") - F.col(f"o_{name}"), F.col(f"o_{name}") + tiny) * 100
+    return both.select(*keys, F.when(F.col("k") > 0, bias("high", 0.0)).alias("FHV"), bias("slope", _TINY).alias("FMS"), (-bias("low", _TINY)).alias("FLV"))
+
+
 def evaluate(df: DataFrame, keys: Sequence[str], metrics: str | Iterable[str] = "all", obs: str = "obs", sim: str = "sim", date: str = "date", resolution: str = "1D") -> DataFrame:
-    """One row of metrics a group.  Moment and curve metrics share one aggregation; peak metrics, if asked for, add a grouped pass."""
+    """One row of metrics a group.  Moment and curve metrics share one aggregation; peak metrics, if asked for, add a grouped pass.
+
+    Curve and peak metrics gather a group's series, as fits a basin's; for curves of larger groups there is :func:`pooled_curves`.
+    """
     wanted = resolve(metrics)
     o, s = F.col(obs).cast("double"), F.col(sim).cast("double")
     parts = moments(o, s) | (curves(o, s) if set(wanted) & set(CURVES) else {})

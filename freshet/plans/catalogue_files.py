@@ -9,7 +9,7 @@ from freshet import config, schema
 from freshet.functions import cmal, frequency, metrics, schedules
 from freshet.operators import align, scaler, sequences, splits
 from freshet.plans import evaluation, views
-from freshet.plans.catalogue import _DENSE, _MOMENTS, _SKILL, _basins, _dense, _mom, _query, _round, _skill
+from freshet.plans.catalogue import _DENSE, _MOMENTS, _SKILL, _basins, _curve, _dense, _mom, _query, _round, _skill
 from freshet.plans.views import sql
 from freshet.sources import tables, zarr3
 from freshet.sources.work import folder
@@ -228,6 +228,11 @@ def _(spark, d):
     return z.agg((F.abs(F.avg("z")) < 0.4 / F.sqrt(F.count("z"))).alias("centred"), (F.abs(F.stddev_pop("z") - 0.1) < 0.02).alias("spread"))
 
 
+@_query("pooled_curves", f"{sql('lines', 'lead')}, {_curve('lead_flow', 'lead_time')} SELECT lead_time, round(FHV, 5) AS FHV, round(FMS, 5) AS FMS, round(FLV, 5) AS FLV FROM fhv JOIN fms USING (lead_time) JOIN flv USING (lead_time)")
+def _(spark, d):
+    return _round(metrics.pooled_curves(views.lead_flow(spark, d), ["lead_time"], folder(spark, "curves")), "FHV", "FMS", "FLV", digits=5)
+
+
 # --- helpers --------------------------------------------------------------------------------------------------------
 
 _FACTORS = [("1D", "1h", 24.0), ("1h", "1D", 1 / 24), ("W", "1D", 7.0), ("YE", "QE", 4.0), ("3h", "30min", 6.0)]
