@@ -68,7 +68,7 @@ CLIP = 2.5
 #: The classifier's weights before it has seen pages: constant, logarithm of the words, share of linked characters, end of a sentence.
 PRIOR = (-1.7, 0.9, -4.5, 0.8)
 #: Examples that one of the prior's weights counts for.
-BELIEF = 200.0
+BELIEF = 1000.0
 FIT_PAGES, FIT_BYTES, FIT_BLOCKS = 256, 1 << 18, 64
 SMOOTH, FAR, BORDER = 1.0, 0.35, 0.1
 
