@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from freshet.llm import common
 from freshet.llm.lines import drop_recurring
 from freshet.llm.packing import pack
-from freshet.llm.quality import RULES, compile_rules, judge, spare
+from freshet.llm.quality import RULES, compile_rules, judge, rows_where, spare
 from freshet.llm.simhash import drop_near_duplicates
 from freshet.llm.suffix import drop_repeats
 
@@ -58,7 +58,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality rules keep."""
     into = spare(docs, "quality")
     stops = ~_stops_judged(docs) | compile_rules(STOP_RULE, into)
-    return judge(docs, into=into, rules=PIPELINE_RULES).where(F.col(f"{into}.kept") & stops).select(*docs.columns)
+    return rows_where(judge(docs, into=into, rules=PIPELINE_RULES), F.col(f"{into}.kept") & stops, docs.columns)
 
 
 @_stage
