@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from freshet.llm import common
 
 #: Vectors in one shard file, in one run with bounds of its own, and in the first run.
-SHARD, RUN, SEED = 32_768, 1_024, 128
+SHARD, RUN, SEED = 32_768, 8_192, 256
 #: Shard files, and query files, that one task pairs up.
 SHARDS_A_TASK, QUERIES_A_TASK = 16, 16
 PROBE = 8
