@@ -16,6 +16,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -25,9 +26,14 @@ from pyspark.sql import functions as F
 #: Bytes of column data in one block file; one block is the unit of work of a follow-up pass.
 BLOCK_BYTES = 4 << 20
 
-_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+_LIBC = ctypes.CDLL(None)
+_TRIM, _MALLOPT = getattr(_LIBC, "malloc_trim", None), getattr(_LIBC, "mallopt", None)
+#: Fixed values of the C library: the parameters for what is given back when the heap's top is free, and what gets pages of its own.
+_TRIM_THRESHOLD, _MMAP_THRESHOLD = -1, -3
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What holds while a staged table is written.  A batch of rows stands in the JVM, on its way and in Python at the same time.
+_STAGING = {_CLEANUP: "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 #: Work folder -> who asked for it (None: a caller of an operator).
 _SCRATCH: dict[str, str | None] = {}
@@ -105,14 +111,16 @@ def _at_exit() -> None:
 def stage(spark: SparkSession, df: DataFrame, uri: str) -> DataFrame:
     """Write ``df`` once below the shared folder and read it back: lineage ends at reliable files, and every consumer sees the same rows.
 
-    Its shuffle files go when it is written, where Spark knows the setting: nothing reads them again.
+    Its shuffle files go when it is written, where Spark knows the setting: nothing reads them again.  Batches for Python are kept small.
     """
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in _STAGING}
+    for k, v in _STAGING.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(uri)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(uri)
 
 
@@ -145,6 +153,26 @@ def trim() -> None:
         _TRIM(0)
 
 
+#: What gives back what encoders remember, for workers that go on to other work.
+FORGET: list[Callable[[], None]] = []
+
+
+def make_room() -> None:
+    """At the start of work that encodes nothing: what encoders of earlier tasks left in this worker goes."""
+    lean()
+    for forget in FORGET:
+        forget()
+
+
+@lru_cache(maxsize=1)
+def lean() -> None:
+    """Large buffers of this worker go back to the system as soon as they are free, instead of staying in a pool."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    if _MALLOPT is not None:
+        _MALLOPT(_MMAP_THRESHOLD, 2 << 20)
+        _MALLOPT(_TRIM_THRESHOLD, 8 << 20)
+
+
 # --- blocks -------------------------------------------------------------------------------------------------------
 
 
@@ -194,9 +222,10 @@ def block_pass(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for held in sliced(batches):
             yield from features(write_block(root, held), pa.Table.from_batches(held))
-        trim()
+            trim()
 
     return docs.mapInArrow(run, schema)
 
@@ -211,6 +240,7 @@ def apply_blocks(decisions: DataFrame, root: str, apply: Callable[[pa.Table, pa.
     tasks = max(1, blocks // 16, min(blocks, 4 * decisions.sparkSession.sparkContext.defaultParallelism))
 
     def run(table: pa.Table) -> pa.Table:
+        make_room()
         try:
             return apply(read_block(root, table.column("block")[0].as_py()), table)
         finally:

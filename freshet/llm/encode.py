@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from freshet.llm.common import trim
+from freshet.llm.common import FORGET, trim
 
 #: White space that is no unit border, or that only some definitions call white space; and what every special token begins with.
 _WHOLE = "[\x0b\x0c\x1c-\x1f\u0085\u00a0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]|<\\|"
@@ -53,6 +53,16 @@ def units(path: str) -> UnitEncoder:
     return UnitEncoder(path)
 
 
+def _clear() -> None:
+    if units.cache_info().currsize or tokenizer.cache_info().currsize:
+        units.cache_clear()
+        tokenizer.cache_clear()
+        trim()
+
+
+FORGET.append(_clear)
+
+
 def cut(data: np.ndarray, begins: np.ndarray, blank: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of the units of the texts in ``data`` that begin at ``begins``, where each unit begins in them, and the first unit of each text.
 

@@ -138,6 +138,7 @@ def pack(
     root = root or common.scratch(spark, "packing")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.lean()
         def pieces() -> Iterator[Piece]:
             for batch in batches:
                 step = 2048

@@ -74,7 +74,7 @@ def slide_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 #: Window starts worked off at a time.
-_PART = 1 << 19
+_PART = 1 << 17
 
 
 def stretches(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
