@@ -206,7 +206,6 @@ def chunked(docs: DataFrame, path: str, end: int) -> DataFrame:
     names = ["doc_id", "n_tokens", "root", "digests", "sizes", "fresh"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.lean()
         seen: set[bytes] = set()
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
