@@ -12,6 +12,7 @@ from freshet.llm.mincut import op9_html_mincut
 from freshet.llm.packing import op5_packing
 from freshet.llm.pieces import op6_sentencepiece
 from freshet.llm.quality import ORACLE_OP10, op10_quality_rules
+from freshet.llm.runs import op11_periodic_runs
 from freshet.llm.simhash import op7_simhash
 from freshet.llm.suffix import op8_suffix_array
 from freshet.llm.topk import ORACLE_OP1, op1_topk_search
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_array": lambda spark, d: op8_suffix_array(spark, _table(spark, d, "documents")),
         "op9_html_mincut": lambda spark, d: op9_html_mincut(_table(spark, d, "pages")),
         "op10_quality_rules": lambda spark, d: op10_quality_rules(_table(spark, d, "documents")),
+        "op11_periodic_runs": lambda spark, d: op11_periodic_runs(_table(spark, d, "documents")),
     }
 
 
