@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from freshet.llm.castore import op3_token_store
+from freshet.llm.forest import op12_lsh_forest
 from freshet.llm.lines import op4_line_dedup
 from freshet.llm.mincut import op9_html_mincut
 from freshet.llm.packing import op5_packing
@@ -36,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_html_mincut": lambda spark, d: op9_html_mincut(_table(spark, d, "pages")),
         "op10_quality_rules": lambda spark, d: op10_quality_rules(_table(spark, d, "documents")),
         "op11_periodic_runs": lambda spark, d: op11_periodic_runs(_table(spark, d, "documents")),
+        "op12_lsh_forest": lambda spark, d: op12_lsh_forest(spark, _table(spark, d, "documents")),
     }
 
 

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 12)}
+    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 13)}
     assert set(queries.queries()) <= set(names) and "pipeline" in names and set(queries.oracle_sql()) <= set(__spark_entry__.oracle_sql())
 
 
