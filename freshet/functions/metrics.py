@@ -123,8 +123,8 @@ def _ranked(pairs: DataFrame, keys: Sequence[str], column: str, work: str) -> Da
     order = [*keys, F.desc("v")]
     counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).write.mode("overwrite").parquet(work)
     table = spark.read.parquet(work)
-    sums = table.groupBy(*keys, "part").agg(F.sum("n").alias("here"))  # a row a group and range
-    earlier = F.sum("here").over(Window.partitionBy(*keys).orderBy("part")) - F.col("here")
+    sums = table.groupBy(*keys, "part").agg(F.sum("n").alias("here"), F.max("v").alias("top"))  # a row a group and range
+    earlier = F.sum("here").over(Window.partitionBy(*keys).orderBy(F.desc("top"))) - F.col("here")
     sums = sums.select(*keys, "part", earlier.alias("earlier"), F.sum("here").over(Window.partitionBy(*keys)).alias("total"))
     inside = F.sum("n").over(Window.partitionBy(*keys, "part").orderBy(F.desc("v"))) - F.col("n")
     return table.withColumn("inside", inside).join(sums, [*keys, "part"]).select(*keys, "v", "n", (F.col("earlier") + F.col("inside")).alias("before"), "total")

@@ -7,7 +7,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from freshet.schema import SCALER
+from freshet.operators.splits import hashed
+from freshet.schema import BASIN, DATE, SCALER
 
 STATISTICS = ("mean", "std", "median", "min", "max", "minmax")
 
@@ -40,21 +41,25 @@ def choice(custom: Mapping[str, Mapping[str, str]] | None, feature: str) -> tupl
 
 
 def exact_median(df: DataFrame, feature: str, work: str) -> float | None:
-    """The median of a feature of any number of distinct values, which a single aggregate would hold in one task.
+    """The median of a feature of any number of distinct values, which a single aggregate would hold in one task."""
+    v = F.col(feature).cast("double").alias("v")
+    return median_of_counts(df.select(v).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n")), work)
+
+
+def median_of_counts(counts: DataFrame, work: str) -> float | None:
+    """The median of values ``v`` that occur ``n`` times each.
 
-    Values are counted and written in ranges below ``work``; the counts of the ranges tell which one or two hold the middle, and only these are read.
+    They are written in ranges below ``work``; the counts of the ranges, in the order of their least values, tell which one or two hold the middle, and only these are read.
     """
-    spark = df.sparkSession
-    v = F.col(feature).cast("double").alias("v")
-    counts = df.select(v).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
+    spark = counts.sparkSession
     counts.repartitionByRange("v").sortWithinPartitions("v").withColumn("part", F.spark_partition_id()).write.mode("overwrite").parquet(work)
     table = spark.read.parquet(work)
-    parts = sorted((r.part, r.n) for r in table.groupBy("part").agg(F.sum("n").alias("n")).collect())  # a row a partition
-    total = sum(n for _, n in parts)
+    parts = sorted((r.lo, r.part, r.n) for r in table.groupBy("part").agg(F.min("v").alias("lo"), F.sum("n").alias("n")).collect())  # a row a partition
+    total = sum(n for *_, n in parts)
     found = []
     for rank in {(total - 1) // 2, total // 2} if total else ():
         before = 0
-        for part, n in parts:
+        for _, part, n in parts:
             if rank < before + n:
                 until = F.sum("n").over(Window.partitionBy("part").orderBy("v"))
                 found.append(table.where(F.col("part") == part).withColumn("until", until).where(F.col("until") > rank - before).agg(F.min("v")).first()[0])
@@ -139,10 +144,15 @@ def normalised_zero(scaler: DataFrame) -> DataFrame:
     return scaler.select("feature", (-F.try_divide("center", "scale")).alias("zero"))
 
 
-def with_noise(df: DataFrame, scaler: DataFrame, targets: Iterable[str], sigma: float, seed: int = 0) -> DataFrame:
-    """Label noise on scaled targets, in proportion to the unscaled value: y + (y + mean / std) * N(0, sigma)."""
+def with_noise(df: DataFrame, scaler: DataFrame, targets: Iterable[str], sigma: float, seed: int = 0, keys: Iterable[str] = (BASIN, DATE)) -> DataFrame:
+    """Label noise on scaled targets, in proportion to the unscaled value: y + (y + mean / std) * N(0, sigma).
+
+    Draws come from hashes of seed, target and a row's ``keys``, so they do not depend on how rows are dealt.
+    """
     ratio = {r.feature: r.ratio for r in scaler.select("feature", F.try_divide("mean", "std").alias("ratio")).collect()}
-    return df.withColumns({t: F.col(t) + (F.col(t) + F.lit(ratio[t])) * F.randn(seed + i) * F.lit(sigma) for i, t in enumerate(targets)})
+    uniform = lambda t, k: (hashed(seed, F.lit(t), F.lit(k), *[F.col(c) for c in keys]) + F.lit(0.5)) / F.lit(2.0**32)
+    normal = lambda t: F.sqrt(F.lit(-2.0) * F.ln(uniform(t, 0))) * F.cos(F.lit(2.0) * F.pi() * uniform(t, 1))
+    return df.withColumns({t: F.col(t) + (F.col(t) + F.lit(ratio[t])) * normal(t) * F.lit(sigma) for t in targets})
 
 
 def save(scaler: DataFrame, path: str) -> None:

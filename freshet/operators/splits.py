@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from freshet.schema import BASIN
@@ -14,9 +14,14 @@ def subdataset():
     return F.split_part(F.col(BASIN), F.lit("_"), F.lit(1))
 
 
+def hashed(seed: int, *parts) -> Column:
+    """A number of 32 bits from seed and values (as strings), the same in any engine that has MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
+
+
 def kfold(basins: DataFrame, k: int = 10, seed: int = 42, key=None) -> DataFrame:
     """(basin, fold): folds 0 .. k-1 from a hash of seed and basin; stable under other basins coming and going, no sort."""
-    order = F.pmod(F.xxhash64(F.lit(seed), F.col(BASIN)), F.lit(k)) if key is None else F.pmod(key, F.lit(k))
+    order = F.pmod(hashed(seed, F.col(BASIN)) if key is None else key, F.lit(k))
     return basins.select(BASIN, order.cast("int").alias("fold"))
 
 
@@ -104,7 +109,7 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 
 def random_basins(basins: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n basins drawn by a hash of seed and basin, so a run that is repeated draws the same."""
-    return basins.select(BASIN).distinct().orderBy(F.xxhash64(F.lit(seed), F.col(BASIN)), BASIN).limit(n)
+    return basins.select(BASIN).distinct().orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(BASIN).cast("string"))), BASIN).limit(n)
 
 
 def common_basins(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -116,6 +121,11 @@ def basins_without(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select(BASIN).subtract(b.select(BASIN))
 
 
+def union_ranges(ranges: DataFrame) -> DataFrame:
+    """Distinct dates of many ranges (start_date, end_date; both ends included), which may overlap.  Ranges are exploded where they are, dates merged before they move."""
+    return ranges.where("start_date <= end_date").select(F.explode(F.sequence("start_date", "end_date")).alias("date")).distinct()
+
+
 def union_dates(spark: SparkSession, periods: Sequence[tuple]) -> DataFrame:
     """Distinct dates of some periods (both ends included), which may overlap."""
     rows = F.array(*[F.struct(F.lit(a).cast("date").alias("a"), F.lit(b).cast("date").alias("b")) for a, b in periods])

@@ -117,9 +117,10 @@ def _(spark, d):
     return splits.basins_without(*_sets(spark, d))
 
 
-@_query("set_union_dates", "SELECT DISTINCT unnest(generate_series(s, e, INTERVAL 1 DAY))::DATE AS date FROM (VALUES (DATE '1996-01-01', DATE '1996-03-31'), (DATE '1996-03-01', DATE '1996-05-15')) t(s, e)")
+@_query("set_union_dates", "SELECT DISTINCT unnest(generate_series(o_orderdate::DATE, o_orderdate::DATE + o_orderkey::INTEGER % 4, INTERVAL 1 DAY))::DATE AS date FROM orders WHERE o_custkey % 50 = 0")
 def _(spark, d):
-    return splits.union_dates(spark, [("1996-01-01", "1996-03-31"), ("1996-03-01", "1996-05-15")])
+    o, start = views.table(spark, d, "orders").where("o_custkey % 50 = 0"), F.col("o_orderdate").cast("date")
+    return splits.union_ranges(o.select(start.alias("start_date"), F.date_add(start, (F.col("o_orderkey") % 4).cast("int")).alias("end_date")))
 
 
 @_query("forecast_melt", f"{sql('lines', 'lead')} SELECT k.basin, k.date, l AS lead_time, obs AS value FROM (SELECT DISTINCT basin, date FROM lead_flow) k CROSS JOIN (SELECT unnest(range(1, 8))::INTEGER AS l) LEFT JOIN lead_flow f ON f.basin = k.basin AND f.date = k.date AND f.lead_time = l")
@@ -237,10 +238,10 @@ for _name, _mask, _cond in (
     ("mask_all", lambda: validate.policy(None, ["a", "b", "obs", "sim"]), "a IS NOT NULL AND b IS NOT NULL AND obs IS NOT NULL AND sim IS NOT NULL"),
     ("mask_any_all_group", lambda: validate.policy("masked_mean", [["a", "b"], ["obs", "sim"]]), "(a IS NOT NULL AND b IS NOT NULL) OR (obs IS NOT NULL AND sim IS NOT NULL)"),
     ("mask_all_any_group", lambda: validate.policy("unioning", [["a", "b"], ["sim"]]), "(a IS NOT NULL OR b IS NOT NULL) AND sim IS NOT NULL"),
-    ("mask_allzero", lambda: (F.coalesce(F.col("a") % 3 != 0, F.lit(True)) | F.coalesce(F.col("b") % 3 != 0, F.lit(True))), "coalesce(a % 3 <> 0, true) OR coalesce(b % 3 <> 0, true)"),
 ):
     QUERIES[_name] = lambda spark, d, m=_mask: _four(spark, d).select("basin", "date", m().alias("valid"))
     ORACLES[_name] = f"{_FOUR} SELECT basin, date, {_cond} AS valid FROM dense"
+ORACLES["mask_allzero"] = f"{_FOUR} SELECT basin, date, coalesce(a % 3 <> 0, true) OR coalesce(b % 3 <> 0, true) AS valid FROM dense"
 QUERIES["mask_allzero"] = lambda spark, d: _four(spark, d).withColumns({"a": F.col("a") % 3, "b": F.col("b") % 3}).select("basin", "date", validate.nonzero(["a", "b"]).alias("valid"))
 
 
@@ -337,13 +338,6 @@ def _(spark, d):
     return _folded(s).select("basin", "date", "n", "total")
 
 
-@_query("timestep_counters", "SELECT * FROM (SELECT 'hindcast' AS kind, i AS pos, 0 AS step FROM range(5) t(i) UNION ALL SELECT 'forecast', i, [1, 1, 1, 1, 2, 3][i + 1] FROM range(6) t(i))")
-def _(spark, d):
-    h, f = sequences.timestep_counters(5, [1, 2, 3], 3)
-    rows = lambda kind, steps: spark.range(1).select(F.lit(kind).alias("kind"), F.posexplode(F.array(*[F.lit(s) for s in steps])).alias("pos", "step"))
-    return rows("hindcast", h).unionByName(rows("forecast", f)).withColumn("pos", F.col("pos").cast("long"))
-
-
 @_query("predict_last_n", f"{_DENSE} {_fold_sql('dense', 5, 7)} AND date - 0 >= (SELECT min(date) FROM dense x WHERE x.basin = s.basin) + 2".replace("FROM (SELECT *, count", "FROM (SELECT *, count").replace("ROWS BETWEEN 5 FOLLOWING AND 7 FOLLOWING)) WHERE", "ROWS BETWEEN 5 FOLLOWING AND 7 FOLLOWING)) s WHERE"))
 def _(spark, d):
     s = sequences.target(_dense(spark, d), ["obs"], 10, 7)
@@ -701,10 +695,9 @@ def _basins(spark, d):
     return views.table(spark, d, "nation").select(F.col("n_nationkey").alias("basin"), F.col("n_regionkey").alias("region"))
 
 
-@_query("kfold", "SELECT n_nationkey AS basin, 5 AS splits, 1 AS tests, 4 AS trains FROM nation")
+@_query("kfold", "WITH f AS (SELECT n_nationkey AS basin, ('0x' || substr(md5('42:' || n_nationkey), 1, 8))::BIGINT % 5 AS fold FROM nation) SELECT basin, s::INTEGER AS split, CASE WHEN s = fold THEN 'test' ELSE 'train' END AS role FROM f, range(5) t(s)")
 def _(spark, d):
-    rows = splits.fold_rows(splits.kfold(_basins(spark, d), 5), 5)
-    return rows.groupBy("basin").agg(F.count_distinct("split").alias("splits"), F.count_if(F.col("role") == "test").alias("tests"), F.count_if(F.col("role") == "train").alias("trains"))
+    return splits.fold_rows(splits.kfold(_basins(spark, d), 5), 5)
 
 
 @_query("kfold_even", "SELECT s::INTEGER AS split, (n // 5 + (s < n % 5)::INTEGER)::BIGINT AS tests FROM range(5) t(s), (SELECT count(*) AS n FROM nation)")

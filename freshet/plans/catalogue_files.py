@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet import config, schema
-from freshet.functions import cmal, frequency, metrics, schedules
+from freshet.functions import cmal, metrics
 from freshet.operators import align, scaler, sequences, splits
 from freshet.plans import evaluation, views
 from freshet.plans.catalogue import _DENSE, _MOMENTS, _SKILL, _basins, _curve, _dense, _mom, _query, _round, _skill
 from freshet.plans.views import sql
 from freshet.sources import tables, zarr3
 from freshet.sources.work import folder
+from freshet.sources.zarr3_writer import rechunk, save
 
 _NAMED = "'r' || (basin % 5) || '_' || basin"
 
@@ -30,11 +30,6 @@ def _rows(spark, schema_: str, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, schema_)
 
 
-def _values(rows: list[tuple], *names: str) -> str:
-    text = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else str(v) for v in r) + ")" for r in rows)
-    return f"SELECT * FROM (VALUES {text}) t({', '.join(names)})"
-
-
 # --- files ----------------------------------------------------------------------------------------------------------
 
 
@@ -98,6 +93,40 @@ def _(spark, d):
     return spark.read.format("zarr3").option("variables", "obs").option("basins", "r3_3,r2_7").load(store)
 
 
+_CELLS = "cells AS (SELECT basin, date FROM (SELECT DISTINCT basin FROM daily) CROSS JOIN (SELECT DISTINCT date FROM daily))"
+
+
+@_query("results_append", f"{sql('lines', 'daily')}, {_CELLS} SELECT {_NAMED} AS basin, date, obs::FLOAT AS obs, sim::FLOAT AS sim FROM cells LEFT JOIN daily USING (basin, date)")
+def _(spark, d):
+    run, flow = folder(spark, "run"), _named(views.daily_flow(spark, d))
+    days = F.lit(None).cast("double")
+    # the first basins bring all dates, so that those of the others are there
+    first = flow.where("basin LIKE 'r0%'").unionByName(flow.select(F.lit("r0_0").alias("basin"), "date", days.alias("obs"), days.alias("sim"))).groupBy("basin", "date").agg(F.max("obs").alias("obs"), F.max("sim").alias("sim"))
+    path = f"{run}/test/model_epoch001/results.zarr"
+    tables.write_results(first, path, "zarr")
+    tables.write_results(flow.where("basin LIKE 'r1%' OR basin LIKE 'r2%'"), path, "zarr", append=True)
+    tables.write_results(flow.where("basin LIKE 'r3%' OR basin LIKE 'r4%'"), path, "zarr", append=True)
+    return tables.read_results(spark, run)
+
+
+@_query(
+    "zarr_filters",
+    f"{sql('lines', 'lead')}, cells AS (SELECT basin, date, lead_time FROM (SELECT DISTINCT basin FROM lead_flow) CROSS JOIN (SELECT DISTINCT date FROM lead_flow) CROSS JOIN (SELECT DISTINCT lead_time FROM lead_flow)) SELECT {_NAMED} AS basin, date, lead_time::BIGINT AS lead_time, obs::FLOAT AS obs FROM cells LEFT JOIN lead_flow USING (basin, date, lead_time) WHERE basin IN (3, 7) AND date BETWEEN DATE '1996-02-01' AND DATE '1996-05-31' AND lead_time <= 2",
+)
+def _(spark, d):
+    store = f"{folder(spark, 'store')}/timeseries.zarr"
+    save(_named(views.lead_flow(spark, d)).select("basin", "date", "lead_time", "obs"), store, ["basin", "date", "lead_time"], chunks={"basin": 1, "date": 180, "lead_time": 2})
+    return spark.read.format("zarr3").load(store).where("basin IN ('r3_3', 'r2_7') AND date BETWEEN DATE '1996-02-01' AND DATE '1996-05-31' AND lead_time <= 2")
+
+
+@_query("zarr_rechunk", f"{sql('lines', 'daily')}, {_CELLS} SELECT {_NAMED} AS basin, date, obs::FLOAT AS obs, sim::FLOAT AS sim FROM cells LEFT JOIN daily USING (basin, date)")
+def _(spark, d):
+    root = folder(spark, "store")
+    save(_named(views.daily_flow(spark, d)), f"{root}/a.zarr", ["basin", "date"], ["obs", "sim"])
+    rechunk(spark, f"{root}/a.zarr", f"{root}/b.zarr", {"basin": 4, "date": 365})
+    return spark.read.format("zarr3").load(f"{root}/b.zarr")
+
+
 @_query("metrics_csv", f"{_SKILL} SELECT basin::VARCHAR AS basin, lead_time, round(NSE, 6) AS NSE FROM skill")
 def _(spark, d):
     skill, path = _round(_skill(spark, d).select("basin", "lead_time", "NSE"), "NSE"), f"{folder(spark, 'metrics')}/m"
@@ -151,20 +180,33 @@ def _(spark, d):
     return sequences.limit_batches(batches, 3).groupBy("basin").agg(F.count("*").alias("n"))
 
 
-@_query("random_basins", "SELECT 7 AS n, 7 AS known, true AS same")
+@_query("random_basins", "SELECT n_nationkey AS basin FROM nation ORDER BY md5('5:' || n_nationkey), n_nationkey LIMIT 7")
 def _(spark, d):
-    b = _basins(spark, d)
-    drawn = lambda: splits.random_basins(b, 7, seed=5)
-    both = drawn().join(drawn().withColumn("again", F.lit(True)), "basin", "left").join(b.select("basin", F.lit(1).alias("known")), "basin", "left")
-    return both.agg(F.count("*").alias("n"), F.count("known").alias("known"), (F.count("again") == F.count("*")).alias("same"))
+    return splits.random_basins(_basins(spark, d), 7, seed=5)
 
 
-_PAIRS = [("a", "a_train.txt", "a_test.txt"), ("b_c", "b_c_train.txt", None)]
+_FILES = "SELECT 'split' || n_regionkey || CASE WHEN n_nationkey % 5 = 0 THEN '_train.txt' WHEN n_nationkey % 5 = 1 THEN '_test.txt' ELSE '_notes.md' END AS name FROM nation"
 
 
-@_query("pair_files", _values(_PAIRS, "experiment", "train", "test"))
+@_query(
+    "pair_files",
+    f"WITH f AS ({_FILES}) SELECT split_part(name, '_', 1) AS experiment, max(name) FILTER (WHERE name LIKE '%train.txt') AS train, max(name) FILTER (WHERE name LIKE '%test.txt') AS test FROM f WHERE name LIKE '%.txt' GROUP BY 1",
+)
 def _(spark, d):
-    return splits.pair_files(_rows(spark, "name string", [(n,) for _, *files in _PAIRS for n in [*files, "notes.md"] if n]))
+    kind = F.when(F.col("n_nationkey") % 5 == 0, "_train.txt").when(F.col("n_nationkey") % 5 == 1, "_test.txt").otherwise("_notes.md")
+    return splits.pair_files(views.table(spark, d, "nation").select(F.concat(F.lit("split"), F.col("n_regionkey").cast("string"), kind).alias("name")))
+
+
+@_query(
+    "temporal_cv",
+    """WITH y AS (SELECT year(min(o_orderdate)) AS lo, year(max(o_orderdate)) AS hi FROM orders), t AS (SELECT unnest(range(lo + 1, hi))::INTEGER AS test_year, lo, hi FROM y)
+    SELECT test_year, 'test' AS role, make_date(test_year, 1, 1) AS start_date, make_date(test_year, 12, 31) AS end_date FROM t
+    UNION ALL SELECT test_year, 'train', make_date(lo, 1, 1), make_date(test_year - 2, 12, 31) FROM t WHERE test_year - 2 >= lo
+    UNION ALL SELECT test_year, 'train', make_date(test_year + 2, 1, 1), make_date(hi, 12, 31) FROM t WHERE test_year + 2 <= hi""",
+)
+def _(spark, d):
+    y = views.table(spark, d, "orders").agg(F.year(F.min("o_orderdate")).alias("lo"), F.year(F.max("o_orderdate")).alias("hi")).first()
+    return splits.temporal_cv(spark, y.lo + 1, y.hi - 1, y.lo, y.hi, 1)
 
 
 # --- evaluation -----------------------------------------------------------------------------------------------------
@@ -217,15 +259,17 @@ def _(spark, d):
     return evaluation.basins_per_product(two, {"first": ["a"], "any": ["a", "b"]})
 
 
-@_query("label_noise", "SELECT true AS centred, true AS spread")
+_UNIFORM = "((('0x' || substr(md5('3:{k}:' || basin || ':' || date), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)"
+
+
+@_query(
+    "label_noise",
+    f"{sql('lines', 'daily')}, fit AS (SELECT avg(obs) AS m, stddev_pop(obs) AS s FROM daily), z AS (SELECT basin, date, (obs - m) / s AS y, m / s AS ratio, sqrt(-2 * ln({_UNIFORM.format(k='obs:0')})) * cos(2 * pi() * {_UNIFORM.format(k='obs:1')}) AS e FROM daily, fit) SELECT basin, date, round(y + (y + ratio) * e * 0.1::DOUBLE, 6) AS obs FROM z",
+)
 def _(spark, d):
     flow = views.daily_flow(spark, d).select("basin", "date", "obs")
     fitted = scaler.fit(flow, ["obs"])
-    scaled = scaler.scale(flow, fitted, ["obs"]).withColumn("y", F.col("obs"))
-    ratio = fitted.select(F.try_divide("mean", "std").alias("ratio"))
-    z = scaler.with_noise(scaled, fitted, ["obs"], 0.1, seed=3).join(F.broadcast(ratio)).select(F.try_divide(F.col("obs") - F.col("y"), F.col("y") + F.col("ratio")).alias("z"))  # one row
-    # four deviations of the mean, and a tenth of the deviation
-    return z.agg((F.abs(F.avg("z")) < 0.4 / F.sqrt(F.count("z"))).alias("centred"), (F.abs(F.stddev_pop("z") - 0.1) < 0.02).alias("spread"))
+    return _round(scaler.with_noise(scaler.scale(flow, fitted, ["obs"]), fitted, ["obs"], 0.1, seed=3), "obs")
 
 
 @_query("pooled_curves", f"{sql('lines', 'lead')}, {_curve('lead_flow', 'lead_time')} SELECT lead_time, round(FHV, 5) AS FHV, round(FMS, 5) AS FMS, round(FLV, 5) AS FLV FROM fhv JOIN fms USING (lead_time) JOIN flv USING (lead_time)")
@@ -233,64 +277,9 @@ def _(spark, d):
     return _round(metrics.pooled_curves(views.lead_flow(spark, d), ["lead_time"], folder(spark, "curves")), "FHV", "FMS", "FLV", digits=5)
 
 
-# --- helpers --------------------------------------------------------------------------------------------------------
-
-_FACTORS = [("1D", "1h", 24.0), ("1h", "1D", 1 / 24), ("W", "1D", 7.0), ("YE", "QE", 4.0), ("3h", "30min", 6.0)]
-
-
-@_query("frequency_factors", _values([(a, b, round(f, 9)) for a, b, f in _FACTORS], "low", "high", "factor"))
-def _(spark, d):
-    return _rows(spark, "low string, high string, factor double", [(a, b, round(float(frequency.factor(a, b)), 9)) for a, b, _ in _FACTORS])
-
-
-@_query("frequency_order", _values([(0, "W"), (1, "1D"), (2, "6h"), (3, "30min")], "place", "freq"))
-def _(spark, d):
-    return _rows(spark, "place int, freq string", list(enumerate(frequency.sort(["6h", "W", "30min", "1D"]))))
-
-
-_FEATURES = [["hres_t", "hres_p"], ["era5land_p"], "imerg_p", ["hres_t"]]
-
-
-@_query("feature_names", _values([(0, "hres_t", "HRES"), (1, "hres_p", "HRES"), (2, "era5land_p", "ERA5_LAND"), (3, "imerg_p", "IMERG")], "place", "feature", "product"))
-def _(spark, d):
-    names = schema.unique(schema.flatten(_FEATURES))
-    return _rows(spark, "place int, feature string, product string", [(i, f, schema.product(f)) for i, f in enumerate(names)])
-
-
-@_query("metric_names", _values([(i, m) for i, m in enumerate(["NSE", "MSE", "RMSE", "KGE", "Alpha-NSE", "Pearson-r", "Beta-KGE", "Beta-NSE", "FHV", "FMS", "FLV", "Peak-Timing", "Missed-Peaks", "Peak-MAPE"])], "place", "metric") + " ORDER BY metric")
-def _(spark, d):
-    order = ["NSE", "MSE", "RMSE", "KGE", "Alpha-NSE", "Pearson-r", "Beta-KGE", "Beta-NSE", "FHV", "FMS", "FLV", "Peak-Timing", "Missed-Peaks", "Peak-MAPE"]
-    there = set(metrics.available()) & set(metrics.resolve("all"))
-    return _rows(spark, "place int, metric string", [(i, m) for i, m in enumerate(order) if m in there])
-
-
-@_query("experiment_names", _values([("run_3_x", "lead 7"), ("a_b-c.d", "lead 7")], "name", "label"))
-def _(spark, d):
-    rows = [(config.experiment_name(t, {"seed": 3}), config.substitute({"label": ["L"]}, {"L": "lead 7"})["label"][0]) for t in ("run {seed} x", "a/b-c.d")]
-    return _rows(spark, "name string, label string", rows)
-
-
 @_query("head_points", f"WITH {views.SQL['mix']} SELECT vec_id, 20 AS drawn, 10 AS fixed FROM mix")
 def _(spark, d):
     m = views.mixtures(spark, d)
     both = cmal.points(cmal.points(m, "CMAL", 20, "a", keys=["vec_id"]), "cmal_deterministic", 0, "b")
     count = lambda c: F.size(F.filter(c, lambda x: x.isNotNull()))
     return both.select("vec_id", count("a").alias("drawn"), count("b").alias("fixed"))
-
-
-_LOSS = [9.0, 5.0, 5.0, 6.0, 4.0, 4.0, 4.0, 4.0]
-
-
-@_query(
-    "learning_rates",
-    _values([("ConstantLR", i, 0.01) for i in range(1, 9)] + [("StepLR", i, 0.01 * 0.5 ** (i // 3)) for i in range(1, 9)] + [("ReduceLROnPlateau", i, 0.01 if i < 8 else 0.005) for i in range(1, 9)], "strategy", "epoch", "rate"),
-)
-def _(spark, d):
-    names = ("ConstantLR", "StepLR", "ReduceLROnPlateau")
-    rows = [(n, i, r) for n in names for i, r in enumerate(schedules.learning_rates(n, 0.01, _LOSS, 0.5, 3 if n == "StepLR" else 2), 1)]
-    return _rows(spark, "strategy string, epoch int, rate double", rows)
-
-
-@_query("last_steps", _values([("1D", 3), ("1h", 24), ("", 3)], "freq", "n"))
-def _(spark, d):
-    return _rows(spark, "freq string, n int", [(f, sequences.steps_of({"1D": 3, "1h": 24}, f or None, ["1D", "1h"])) for f in ("1D", "1h", "")])

@@ -72,6 +72,13 @@ def targets_skill(results: DataFrame, targets: Mapping[str, Iterable[str]] | Seq
     return out
 
 
+def by_frequency(table: DataFrame, metrics: Sequence[str], frequencies: Sequence[str], keys: Sequence[str] = (BASIN,)) -> DataFrame:
+    """A row a group with a column ``<metric>_<frequency>`` for each; of a single frequency the metrics keep their names."""
+    one = len(frequencies) == 1
+    picked = lambda m, f: F.max(F.when(F.col("freq") == f, F.col(f"`{m}`"))).alias(m if one else f"{m}_{f}")
+    return table.where(F.col("freq").isin(list(frequencies))).groupBy(*keys).agg(*[picked(m, f) for m in metrics for f in frequencies])
+
+
 def median_skill(table: DataFrame, metrics: Iterable[str], by: Sequence[str] = ()) -> DataFrame:
     """Median of each metric over the basins, NULLs left out."""
     return table.groupBy(*by).agg(*[F.median(m).alias(m) for m in metrics])

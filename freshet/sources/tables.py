@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from freshet.operators.align import melt_leads, merge_no_conflict, require_basins, select_basins
 from freshet.schema import BASIN, DATE, LEAD, nan_to_null
 from freshet.sources import zarr3
+from freshet.sources.zarr3_writer import save
 
 
 def subdatasets(basins: Iterable[str]) -> list[str]:
@@ -188,13 +189,16 @@ def write_basins(df: DataFrame, path: str) -> None:
     df.select(BASIN).coalesce(1).sortWithinPartitions(BASIN).write.mode("overwrite").text(path)
 
 
-def write_results(results: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Results by basin, as Parquet or (``zarr``) as one array a variable over basin, date and time step; an earlier store of the same run is replaced."""
+def write_results(results: DataFrame, path: str, kind: str = "parquet", append: bool = False) -> None:
+    """Results by basin, as Parquet or (``zarr``) as one array a variable over basin, the frequency if there is one, date and time step.
+
+    An earlier store of the same run is replaced; with ``append`` the basins, which must be new, are added to it.
+    """
     if kind == "zarr":
-        dims = [BASIN, DATE, *(["time_step"] if "time_step" in results.columns else [])]
-        zarr3.write(results, path, dims, [f.name for f in results.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))])
+        dims = [BASIN, *(c for c in ("freq", DATE, "time_step") if c in results.columns)]
+        save(results, path, dims, [f.name for f in results.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))], "append" if append else "overwrite")
         return
-    results.repartition(BASIN).write.mode("overwrite").partitionBy(BASIN).parquet(path)
+    results.repartition(BASIN).write.mode("append" if append else "overwrite").partitionBy(BASIN).parquet(path)
 
 
 def read_results(spark: SparkSession, run: str, period: str = "test", epoch: int | None = None) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A store is a folder with one sub-folder an array, each with a ``zarr.json`` and chunks ``c/i/j/...``.  Arrays that share dimensions
 become columns of one table with a row a cell; coordinate arrays (one dimension of their own name) give the key columns.  One partition reads
-the chunks at one place of the chunk grid, so a chunk is read once; a list of basins (option ``basins``, comma-separated) prunes
-partitions before anything is read.  Codecs: bytes, zstd, gzip, transpose and crc32c are understood (sharding is not).  :func:`write` makes such a store.
+the chunks at one place of the chunk grid, so a chunk is read once.  Filters of a query on key columns (equal, in, less, greater), and a list of basins (option
+``basins``, comma-separated), leave out chunks before anything is read.  Codecs: bytes, zstd, gzip, transpose and crc32c are understood (sharding is not).
+:mod:`freshet.sources.zarr3_writer` makes such stores.
 """
 
 from __future__ import annotations
@@ -12,13 +13,24 @@ import gzip
 import itertools
 import json
 from collections.abc import Iterator, Sequence
-from datetime import date
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import pyarrow.fs as pafs
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+)
 from pyspark.sql.types import StructType
 
 
@@ -156,25 +168,59 @@ class Zarr3(DataSource):
         dims, variables = self._layout()
         return Zarr3Reader(self.options["path"], dims, variables, schema, [b for b in self.options.get("basins", "").split(",") if b])
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        from freshet.sources.zarr3_writer import Zarr3Writer
+
+        if overwrite or "grid" not in self.options:
+            raise ValueError("stores are written by freshet.sources.zarr3_writer.save, which lays out their grid")
+        return Zarr3Writer(self.options["grid"])
+
+
+def _holds(f: Filter, values: Sequence) -> np.ndarray | None:
+    """Which coordinate values a filter of a query lets pass; None if that is not known."""
+    test = {
+        EqualTo: lambda v: v == f.value, In: lambda v: v in f.value, GreaterThan: lambda v: v > f.value, GreaterThanOrEqual: lambda v: v >= f.value,
+        LessThan: lambda v: v < f.value, LessThanOrEqual: lambda v: v <= f.value,
+    }.get(type(f))
+    try:
+        return None if test is None else np.array([bool(test(v)) for v in values], bool)
+    except TypeError:  # a value of another type than the coordinate's
+        return None
+
 
 class Zarr3Reader(DataSourceReader):
     def __init__(self, path: str, dims: list[str], variables: list[str], schema: StructType, basins: list[str]):
         self.path, self.dims, self.variables, self.schema, self.basins = path, dims, variables, schema, basins
+        self.filters: list[Filter] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Filters on key columns choose chunks; Spark evaluates all of them on the rows that are read."""
+        self.filters = [f for f in filters if len(getattr(f, "attribute", ())) == 1 and f.attribute[0] in self.dims]
+        yield from filters
 
     def partitions(self) -> list[Part]:
         arrays = _arrays(self.path)
         a = arrays[self.variables[0]]
-        places = [range(n) for n in a.grid()]
-        if self.basins and "basin" in self.dims:
-            d = self.dims.index("basin")
-            names = _coordinate(arrays["basin"])
-            wanted = set(self.basins)
-            places[d] = sorted({i // a.chunks[d] for i, n in enumerate(names) if n in wanted})
+        sizes = [min(n) for n in zip(*(arrays[v].shape for v in self.variables), strict=True)]  # a store may be growing
+        places = []
+        for name, n, c in zip(self.dims, sizes, a.chunks, strict=True):
+            asked = [f for f in self.filters if f.attribute[0] == name]
+            wanted = np.ones(n, bool)
+            if asked or (self.basins and name == "basin"):
+                values = _coordinate(arrays[name])[:n] if name in arrays else list(range(n))
+                for f in asked:
+                    holds = _holds(f, values)
+                    wanted &= True if holds is None else holds
+                if self.basins and name == "basin":
+                    wanted &= np.isin(np.array(values), self.basins)
+            places.append(np.unique(np.flatnonzero(wanted) // c).tolist())
         return [Part(at) for at in itertools.product(*places)]
 
-    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Part | None) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        if partition is None:  # no chunk is wanted
+            return
         arrays = _arrays(self.path)
         a = arrays[self.variables[0]]
         origin = [i * c for i, c in zip(partition.at, a.chunks, strict=True)]
@@ -194,76 +240,14 @@ class Zarr3Reader(DataSourceReader):
         yield from table.to_batches(max_chunksize=65_536)
 
 
-# --- writing --------------------------------------------------------------------------------------------------------
-
-
-def _meta(shape: Sequence[int], chunks: Sequence[int], kind, dims: Sequence[str], fill, **attributes) -> bytes:
-    meta = {
-        "zarr_format": 3, "node_type": "array", "shape": list(shape), "data_type": kind, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": list(chunks)}},
-        "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": fill,
-        "codecs": [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "zstd", "configuration": {"level": 3, "checksum": False}}], "dimension_names": list(dims), "attributes": attributes,
-    }
-    return json.dumps(meta).encode()
-
-
-def _save(fs: pafs.FileSystem, path: str, data: bytes) -> None:
-    fs.create_dir(path.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(path, compression=None) as out:
-        out.write(data)
-
-
-def _write_coordinate(fs: pafs.FileSystem, root: str, name: str, values: list) -> None:
-    """A coordinate array of strings, dates or whole numbers, in one chunk."""
-    import zstandard
-
-    attributes: dict = {}
-    if values and isinstance(values[0], str):
-        data = np.array(values)
-        kind, fill = {"name": "fixed_length_utf32", "configuration": {"length_bytes": data.dtype.itemsize}}, ""
-    else:
-        if values and isinstance(values[0], date):
-            attributes = {"units": f"days since {values[0].isoformat()}"}
-            values = [(v - values[0]).days for v in values]
-        data, kind, fill = np.array(values, "<i8"), "int64", 0
-    _save(fs, f"{root}/{name}/zarr.json", _meta(data.shape, data.shape, kind, [name], fill, **attributes))
-    _save(fs, f"{root}/{name}/c/0", zstandard.compress(np.ascontiguousarray(data).tobytes()))
-
-
 def write(df, path: str, dims: Sequence[str], variables: Sequence[str]) -> None:
-    """``df`` (a row a cell: the columns ``dims``, then ``variables``) as a store of float32 arrays, one chunk a value of the first dimension.
+    """``df`` as a new store in place of one that is there; see :func:`freshet.sources.zarr3_writer.save`."""
+    from freshet.sources.zarr3_writer import save
 
-    A store that is there is replaced.  Cells without a row, and NULLs, are NaN.  Coordinates (names of basins, dates, steps) are gathered on the
-    driver; values are written where they are, a task a basin, so memory holds one basin's array.
-    """
-    from pyspark.sql import functions as F
-
-    fs, root = _fs(path)
-    if fs.get_file_info(root).type == pafs.FileType.Directory:
-        fs.delete_dir(root)
-    coordinates = {d: sorted(r[0] for r in df.select(d).distinct().collect() if r[0] is not None) for d in dims}
-    shape = [len(c) for c in coordinates.values()]
-    _save(fs, f"{root}/zarr.json", json.dumps({"zarr_format": 3, "node_type": "group", "attributes": {}}).encode())
-    for d, values in coordinates.items():
-        _write_coordinate(fs, root, d, values)
-    for v in variables:
-        _save(fs, f"{root}/{v}/zarr.json", _meta(shape, [1, *shape[1:]], "float32", dims, "NaN"))
-    places = [{v: i for i, v in enumerate(c)} for c in coordinates.values()]
-
-    def run(table: pa.Table) -> pa.Table:
-        import zstandard
-
-        fs, root = _fs(path)
-        at = [np.array([p[v] for v in table.column(d).to_pylist()], np.int64) for d, p in zip(dims, places, strict=True)]
-        for v in variables:
-            out = np.full(shape[1:], np.nan, "<f4")
-            out[tuple(at[1:])] = table.column(v).cast(pa.float32()).fill_null(np.nan).to_numpy()
-            key = "/".join(map(str, [at[0][0], *[0] * (len(dims) - 1)]))
-            _save(fs, f"{root}/{v}/c/{key}", zstandard.compress(out.tobytes()))
-        return pa.table({"cells": pa.array([table.num_rows], pa.int64())})
-
-    rows = df.select(*dims, *variables).where(F.greatest(*[F.col(d).isNull() for d in dims], F.lit(False)) == F.lit(False))
-    rows.groupBy(dims[0]).applyInArrow(run, "cells long").write.format("noop").mode("overwrite").save()
+    save(df, path, dims, variables)
 
 
 def register(spark) -> None:
+    """The format "zarr3", and Spark's setting that hands a Python source the filters of a query."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Zarr3)

@@ -2,6 +2,7 @@
 
 import json
 from datetime import date, timedelta
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from freshet import config
 from freshet.plans import dataset, evaluation
 from freshet.sources import registry, tables, zarr3
+from freshet.sources.zarr3_writer import BasinsThere, rechunk, save
 from freshet.streaming.skill import windowed_skill
 
 
@@ -231,3 +233,101 @@ def test_steps_bars_and_products(spark):
     assert [tuple(r) for r in evaluation.skill_bars(table, "NSE", one("A"), one("B")).orderBy("rank").collect()] == [(1, "B", 0.1, "test"), (2, "A", 0.5, "train"), (3, "C", None, "other")]
     wide = spark.createDataFrame([("A", 1.0, None, None), ("A", None, None, 2.0), ("B", None, None, None)], "basin string, x_a double, x_b double, y_a double")
     assert {r["product"]: r.basins for r in evaluation.basins_per_product(wide, {"X": ["x_a", "x_b"], "Y": ["y_a"], "Z": ["x_b"]}).collect()} == {"X": 1, "Y": 1, "Z": 0}
+
+
+# --- Zarr stores that Spark writes ----------------------------------------------------------------------------------
+
+
+def cells(spark, basins, days=6, step=1.0):
+    rows = [(b, date(2020, 1, 1 + d), k, None if (d + k) % 4 == 3 else step * (i * 100 + d * 10 + k)) for i, b in enumerate(basins) for d in range(days) for k in range(2)]
+    return spark.createDataFrame(rows, "basin string, date date, lead_time long, flow float").repartition(3)
+
+
+def stored(spark, path, **options):
+    zarr3.register(spark)
+    return spark.read.format("zarr3").options(**options).load(path)
+
+
+DIMS = ["basin", "date", "lead_time"]
+
+
+def plainly(df):
+    return sorted((tuple(r) for r in df.select(*DIMS, "flow").collect()), key=repr)
+
+
+def test_appended_basins(spark, tmp_path):
+    path = f"file://{tmp_path}/results.zarr"
+    first, second = cells(spark, ["b_2", "a_1"]), cells(spark, ["a_0", "c_long_name_" + "x" * 60], step=2.0)
+    save(first, path, DIMS)
+    save(second, path, DIMS, mode="append")
+    assert plainly(stored(spark, path)) == plainly(first.unionByName(second))
+    assert plainly(stored(spark, path, basins="a_0")) == plainly(second.where("basin = 'a_0'"))
+    with pytest.raises(BasinsThere):
+        save(second, path, DIMS, mode="append")
+    with pytest.raises(ValueError, match="not in the store"):
+        save(cells(spark, ["z"], days=7), path, DIMS, mode="append")
+    assert plainly(stored(spark, path)) == plainly(first.unionByName(second))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["results.zarr"] and not list(tmp_path.rglob(".*-*"))
+
+
+@pytest.mark.parametrize("mode", ["append", "overwrite"])
+def test_failing_task_leaves_the_old_store(spark, tmp_path, mode):
+    path = f"file://{tmp_path}/results.zarr"
+    first = cells(spark, ["a_1", "b_2"])
+    save(first, path, DIMS)
+    more = cells(spark, ["c_3", "d_4"])
+    lost = more.withColumn("flow", F.when(F.col("basin") == "d_4", F.assert_true(F.col("lead_time") < 0).cast("float")).otherwise(F.col("flow")))
+    with pytest.raises(Exception, match="is not true"):
+        save(lost, path, DIMS, mode=mode, known={"basin": ["c_3", "d_4"], "date": [date(2020, 1, 1 + d) for d in range(6)], "lead_time": [0, 1]})
+    assert plainly(stored(spark, path)) == plainly(first)
+    save(more, path, DIMS, mode=mode)
+    assert plainly(stored(spark, path)) == plainly(first.unionByName(more) if mode == "append" else more)
+
+
+def test_filters_choose_chunks(spark, tmp_path):
+    path = f"file://{tmp_path}/store.zarr"
+    df = cells(spark, ["a", "b", "c", "d"], days=9)
+    save(df, path, DIMS, chunks={"basin": 2, "date": 3, "lead_time": 1})
+    assert plainly(stored(spark, path)) == plainly(df)
+    chunks = {p.relative_to(tmp_path / "store.zarr/flow/c"): p for p in (tmp_path / "store.zarr/flow/c").rglob("*") if p.is_file()}
+    assert len(chunks) == 2 * 3 * 2
+    wanted = {Path("1/1/0"), Path("1/2/0")}
+    for at, p in chunks.items():
+        if at not in wanted:
+            p.write_bytes(b"not a chunk")
+    test = "basin IN ('c', 'd') AND date >= DATE '2020-01-05' AND date < DATE '2020-01-09' AND lead_time = 0"
+    assert plainly(stored(spark, path).where(test)) == plainly(df.where(test))
+    with pytest.raises(Exception, match="[Zz]std"):
+        stored(spark, path).where("basin = 'a'").collect()
+    # what is not understood is left to Spark
+    assert plainly(stored(spark, path).where(f"{test} AND basin LIKE '%d' AND flow > 350")) == plainly(df.where(f"{test} AND basin LIKE '%d' AND flow > 350"))
+
+
+def test_rechunk(spark, tmp_path):
+    source, target = f"file://{tmp_path}/a.zarr", f"file://{tmp_path}/b.zarr"
+    df = cells(spark, ["a", "b", "c"], days=7)
+    save(df, source, DIMS)
+    rechunk(spark, source, target, {"basin": 2, "date": 4})
+    assert plainly(stored(spark, target)) == plainly(df)
+    assert {str(p.relative_to(tmp_path / "b.zarr/flow/c")) for p in (tmp_path / "b.zarr/flow/c").rglob("*") if p.is_file()} == {"0/0/0", "0/1/0", "1/0/0", "1/1/0"}
+    with pytest.raises(ValueError, match="rechunk"):
+        save(cells(spark, ["d"], days=7), target, DIMS, mode="append")
+    rechunk(spark, target, source, {"basin": 1, "date": 7})
+    save(cells(spark, ["d"], days=7), source, DIMS, mode="append")
+    assert plainly(stored(spark, source)) == plainly(df.unionByName(cells(spark, ["d"], days=7)))
+
+
+def test_empty_results(spark, tmp_path):
+    path = f"file://{tmp_path}/none.zarr"
+    save(cells(spark, ["a"]).where("false"), path, DIMS)
+    assert stored(spark, path).collect() == [] and stored(spark, path).columns == [*DIMS, "flow"]
+
+
+def test_results_with_frequencies(spark, tmp_path):
+    rows = [("a", "1D", date(2020, 1, 1), 0, 1.0, 2.0), ("a", "1h", date(2020, 1, 1), 0, 3.0, 4.0), ("b", "1D", date(2020, 1, 2), 0, 5.0, None)]
+    df = spark.createDataFrame(rows, "basin string, freq string, date date, time_step int, flow_obs float, flow_sim float")
+    run = f"file://{tmp_path}/run"
+    tables.write_results(df.where("basin = 'a'").unionByName(df.where("basin = 'b'").withColumn("basin", F.lit("c"))), f"{run}/test/model_epoch001/results.zarr", "zarr")
+    tables.write_results(df.where("basin = 'b'"), f"{run}/test/model_epoch001/results.zarr", "zarr", append=True)
+    got = tables.read_results(spark, run).where("flow_obs IS NOT NULL")
+    assert sorted(tuple(r) for r in got.select("basin", "freq", "flow_obs").collect()) == [("a", "1D", 1.0), ("a", "1h", 3.0), ("b", "1D", 5.0), ("c", "1D", 5.0)]
