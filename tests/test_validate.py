@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from freshet.operators import validate
 
 N = None
-VAR1 = {"A": [1, 2, N, 4, 5], "B": [6, 7, 8, 9, 10], "C": [11, N, 13, 14, 15]}
-VAR2 = {"A": [1, 2, 3, 4, 5], "B": [N, 7, 8, 9, 10], "C": [11, 12, 13, 14, 15]}
+RAIN = {"upper": [N, 0, 7, 7, 3], "middle": [2, 2, N, 8, N], "lower": [9, 1, 0, 5, 6]}
+SNOW = {"upper": [4, 0, 0, N, 1], "middle": [3, 6, 2, 0, N], "lower": [8, 8, N, 2, 2]}
 
 
 def table(series, *names, **groups):
@@ -29,30 +29,34 @@ T, X = True, False
 
 @pytest.mark.parametrize(
     ("method", "want"),
-    [("input_replacing", {"A": [T] * 5, "B": [T] * 5, "C": [T] * 5}), (None, {"A": [T, T, X, T, T], "B": [X, T, T, T, T], "C": [T, X, T, T, T]})],
+    [
+        ("input_replacing", {"upper": [T] * 5, "middle": [T, T, T, T, X], "lower": [T] * 5}),
+        (None, {"upper": [X, T, T, X, T], "middle": [T, T, X, T, X], "lower": [T, T, X, T, T]}),
+    ],
 )
 def test_policies_without_leads(series, method, want):
-    df = table(series, "var1", "var2", var1=VAR1, var2=VAR2)
-    assert by_basin(df.withColumn("valid", validate.policy(method, ["var1", "var2"]))) == want
+    df = table(series, "rain", "snow", rain=RAIN, snow=SNOW)
+    assert by_basin(df.withColumn("valid", validate.policy(method, ["rain", "snow"]))) == want
 
 
 def test_policies_with_leads(spark):
-    start = date(2020, 1, 1)
+    start = date(2021, 6, 1)
+    lost = {("x", 0, 3), ("x", 2, 0), ("y", 1, 0), ("y", 1, 1), ("y", 1, 2), ("y", 1, 3)}  # basin, day, lead time without rain
     rows = []
-    for basin in "AB":
-        for d in range(5):
-            for lead in range(3):
-                v = None if (basin, d, lead) == ("A", 1, 1) or (basin, d) == ("B", 4) else float(d + lead)
-                w = None if (basin, d) == ("B", 4) else 1.0
-                rows.append((basin, start + timedelta(days=d), lead, v, w))
-    fc = spark.createDataFrame(rows, "basin string, date date, lead_time int, var1 double, var2 double")
-    folded = validate.over_leads(fc, ["var1", "var2"], 3)
-    some = by_basin(folded.withColumn("valid", validate.lead_policy("input_replacing", ["var1", "var2"])))
-    full = by_basin(folded.withColumn("valid", validate.lead_policy(None, ["var1", "var2"])))
-    assert some == {"A": [T] * 5, "B": [T, T, T, T, X]}
-    assert full == {"A": [T, X, T, T, T], "B": [T, T, T, T, X]}
-    absent = validate.over_leads(fc.where("not (basin = 'A' and date = '2020-01-03' and lead_time = 2)"), ["var1"], 3)
-    assert by_basin(absent.withColumn("valid", validate.lead_policy(None, ["var1"])))["A"] == [T, X, X, T, T]
+    for basin in "xy":
+        for d in range(4):
+            for lead in range(4):
+                rain = None if (basin, d, lead) in lost else 0.5 * d + lead
+                wind = None if (basin, d) == ("y", 1) or (basin, d, lead) == ("y", 3, 2) else 3.0
+                rows.append((basin, start + timedelta(days=d), lead, rain, wind))
+    fc = spark.createDataFrame(rows, "basin string, date date, lead_time int, rain double, wind double")
+    folded = validate.over_leads(fc, ["rain", "wind"], 4)
+    some = by_basin(folded.withColumn("valid", validate.lead_policy("input_replacing", ["rain", "wind"])))
+    full = by_basin(folded.withColumn("valid", validate.lead_policy(None, ["rain", "wind"])))
+    assert some == {"x": [T] * 4, "y": [T, X, T, T]}
+    assert full == {"x": [X, T, X, T], "y": [T, X, T, X]}
+    absent = validate.over_leads(fc.where("not (basin = 'x' and date = '2021-06-04' and lead_time = 1)"), ["rain"], 4)
+    assert by_basin(absent.withColumn("valid", validate.lead_policy(None, ["rain"])))["x"] == [X, T, X, X]
 
 
 @pytest.mark.parametrize(
