@@ -1,14 +1,14 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into blocks (runs of text no block element interrupts).  A logistic classifier over a block's own text (length, links,
-sentences) gives log-odds of being content, within :data:`CLIP`; what its element and the names of its ancestors say is added.  These are the
-capacities to the two terminals.  Neighbouring blocks, and the next blocks under the same parent, are joined by smoothness edges that
-weaken with their distance in the DOM, and further across the border of page furniture.  The cut of least capacity labels the blocks: a line of one word, or one that is
-all link, stays where its neighbours are the article.  What stays on the content side, in page order, is the text.
+A page is cut into blocks (runs of text no block element interrupts).  A logistic classifier gives each the log-odds of being content.  It sees the block's text (length, links,
+sentences, words of notices, whether it is short and stands among links) and its marks: what its element is, and whether class, id and role values on the way to it name furniture or content; all with
+weights that are learned.  The log-odds, text and marks each within bounds, are the capacities to the two terminals.  Neighbouring blocks, and the next blocks under the same parent, are
+joined by smoothness edges that weaken with their distance in the DOM, and further across the border of page furniture; items of one list or table hold together more.  The cut of least
+capacity labels the blocks: a short line, or one that is all link, stays where its neighbours are the article.  What stays on the content side, in page order, is the text.
 
-The classifier is fitted to the pages at hand by weak labels: of the first :data:`FIT_PAGES` pages of at most :data:`FIT_BYTES` bytes, up to
-:data:`FIT_BLOCKS` blocks each, those in an article or main element are examples of content, those in navigation, footers and the like are not.  The fit is
-drawn towards :data:`PRIOR`, which is the classifier where there are no examples of both kinds.
+The classifier is fitted to the pages at hand by weak labels: of :data:`FIT_PAGES` pages drawn by a hash of their ids (those of at most :data:`FIT_BYTES` bytes), up to :data:`FIT_BLOCKS`
+blocks each, those in an article or main element are examples of content, those in navigation, footers and the like are not.  Every example counts twice, with its marks and with none, so
+texts are learned to be told where pages do not mark them.  The fit is drawn towards :data:`PRIOR`, which is the classifier where there are no examples of both kinds.
 
 A block whose terminal outweighs all its edges is on that side of some minimum cut, so it is settled first and its edges become its
 neighbours' terminal capacity; max-flow (shortest augmenting paths) runs on what is left.  Both steps are exact.
@@ -43,8 +43,8 @@ CLOSES_P = BLOCK - {"body", "html", "head"}
 #: Elements that end an open one of the same group.
 ALIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 
-# First or last parts of class, id and role values that tell what reads like prose but is none of the article; that
-# often name page furniture; that often name the article.
+# Parts of class, id and role values that tell what reads like prose but is none of the article; that
+# often name page furniture; that often name the article; that only say that the part before them is boxed.
 STRONG = frozenset(
     "ad ads advert advertisement adverts adsense banner captcha comment comments commentlist consent cookie cookies copyright disqus footer gdpr login masthead "
     "modal nav navbar navigation newsletter pagination pager paywall popup promo promoted promotion reply replies respond sidebar signup sponsor sponsored subscribe subscription contentinfo".split()
@@ -54,23 +54,26 @@ MILD = frozenset(
     "social tags teaser toc toolbar topbar trending warning widget widgets".split()
 )
 CONTENT = frozenset("article articlebody body content entry main maincontent page post story text".split())
+BOXED = frozenset("area bar block body bottom box button col column container content form frame group holder inner item items left link links list main message right row section slot text thread top unit wrap wrapper zone".split())
 #: Elements that hold furniture wherever they stand.
 FURNITURE = frozenset("nav footer aside form dialog menu search fieldset".split())
-
-#: What elements and names add to the log-odds.
-WEIGHTS = {
-    "strong name": -7.0, "mild name": -2.5, "content name": 1.0, "furniture element": -6.0, "page header": -4.0, "in article": 1.0, "in main": 1.0,
-    "beside the article": -3.5, "p": 0.4, "heading": 0.6, "item": -0.4,
-}
-#: Bounds of the sum of what names and elements on the way to a block add, and of what its text adds.
-NAMED = (-9.0, 2.0)
-CLIP = 2.5
-#: The classifier's weights before it has seen pages: constant, logarithm of the words, share of linked characters, end of a sentence.
-PRIOR = (-1.7, 0.9, -4.5, 0.8)
+# Words of notices, and what ends a sentence.
+NOTICE = frozenset("advertisement consent cookie cookies copyright disclaimer login newsletter password privacy reserved signup sponsored subscribe subscribed subscriber subscribers terms unsubscribe".split())
+ENDS = ".!?:;\"”»)…"
+
+#: What the classifier sees of a block, its weights before it has seen pages, and where the marks begin.
+FEATURES = (
+    "constant", "log words", "linked share", "ends a sentence", "notice words", "short among links",
+    "strong name", "named after", "mild name", "content name", "furniture element", "page header", "in article", "in main", "beside the article", "p", "heading", "item",
+)
+PRIOR = (-1.7, 0.9, -4.5, 0.8, -5.0, -0.8, -8.0, -0.8, -2.5, 1.0, -7.0, -4.0, 3.0, 2.0, -3.5, 0.4, 0.8, 0.2)
+MARKS = 6
+#: Bounds of what a block's text adds, and its marks.
+TEXT_BOUND, MARK_BOUND = (-2.5, 4.0), (-9.0, 9.0)
 #: Examples that one of the prior's weights counts for.
-BELIEF = 1000.0
+BELIEF = 100.0
 FIT_PAGES, FIT_BYTES, FIT_BLOCKS = 256, 1 << 18, 64
-SMOOTH, FAR, BORDER = 1.0, 0.35, 0.1
+SMOOTH, FAR, BORDER, TOGETHER = 1.0, 0.35, 0.1, 1.5
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _ATTRIBUTES = re.compile(r"((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
@@ -86,7 +89,12 @@ class Element:
     parent: Element | None
     depth: int
     serial: int
-    named: float = 0.0
+    strong: float = 0.0
+    after: float = 0.0
+    mild: float = 0.0
+    pro: float = 0.0
+    apart: float = 0.0  # a furniture element is on the way
+    header: float = 0.0
     furniture: bool = False
     container: str = ""  # the article or main element it is in
 
@@ -100,42 +108,49 @@ class Block:
     edges: dict[int, float] = field(default_factory=dict)
 
 
-def _named(attributes: str) -> tuple[float, float]:
-    """What the class, id and role values of an element speak against content, and for it: first and last parts in full, others not."""
-    against = pro = 0.0
+def _named(attributes: str) -> tuple[float, float, float, float]:
+    """What the class, id and role values of an element say: (strong, named after, mild, content), 0 or 1 each, doubtful ones a half.
+
+    The last part of a name tells what it is, if it does not just say that the first is boxed: a comment-list is one of comments, a reply-letter a letter.
+    """
+    strong = after = mild = pro = 0.0
     for m in _NAME.finditer(attributes):
         for value in (m[1] or m[2] or m[3] or "").split():
             parts = [x.lower() for x in _PART.findall(value)]
-            ends = {parts[0], parts[-1]} if parts else set()
-            named = WEIGHTS["strong name"] if ends & STRONG else WEIGHTS["mild name"] if ends & MILD else 0.0
-            if ends & CONTENT:
-                pro = WEIGHTS["content name"]
-                if parts[-1] in CONTENT:  # the last part says what it is: a widget-post is a post
-                    named = 0.0
-            against = min(against, named)
-    if pro and against == WEIGHTS["mild name"]:
-        against /= 2  # names that speak for both sides
-    return against, pro
+            if not parts:
+                continue
+            first, last = parts[0], parts[-1]
+            if first in CONTENT or last in CONTENT:
+                pro = 1.0
+            boxed = len(parts) == 1 or last in BOXED or last in STRONG or last in MILD or last.isdigit() or len(last) < 3
+            if len(parts) > 1 and last in CONTENT and last not in BOXED:  # a widget-post is a post
+                continue
+            if last in STRONG or (first in STRONG and boxed):
+                strong = 1.0
+            elif first in STRONG:
+                after = 1.0
+            elif last in MILD or first in MILD:
+                mild = max(mild, 1.0 if last in MILD or boxed else 0.5)
+    if pro:
+        mild /= 2  # names that speak for both sides
+    return strong, after, mild, pro
 
 
 def _open(tag: str, attributes: str, parent: Element | None, serial: int) -> Element:
     e = Element(tag, parent, parent.depth + 1 if parent else 0, serial)
     if parent:
-        e.named, e.furniture, e.container = parent.named, parent.furniture, parent.container
-    against, pro = _named(attributes) if "=" in attributes and tag not in ("html", "body") else (0.0, 0.0)
-    strong = against <= WEIGHTS["strong name"]
-    if against and not strong and e.container:
-        against /= 2  # within the article, doubtful names say less
-    if tag in FURNITURE:
-        against += WEIGHTS["furniture element"]
-        strong = True
-    elif tag == "header" and not e.container:
-        against += WEIGHTS["page header"]
-        strong = True
+        e.strong, e.after, e.mild, e.pro, e.apart, e.header = parent.strong, parent.after, parent.mild, parent.pro, parent.apart, parent.header
+        e.furniture, e.container = parent.furniture, parent.container
+    strong, after, mild, pro = _named(attributes) if "=" in attributes and tag not in ("html", "body") else (0.0,) * 4
+    if e.container:
+        mild /= 2  # within the article, doubtful names say less
+    e.strong, e.after, e.mild, e.pro = max(e.strong, strong), max(e.after, after), min(2.0, e.mild + mild), max(e.pro, pro)
+    apart = tag in FURNITURE
+    header = tag == "header" and not e.container
+    e.apart, e.header = max(e.apart, float(apart)), max(e.header, float(header))
     if tag in ("article", "main") and not strong and not e.furniture:
         e.container = tag
-    e.furniture |= strong
-    e.named = min(NAMED[1], max(NAMED[0], e.named + against + pro))
+    e.furniture |= bool(strong or apart or header)
     return e
 
 
@@ -271,42 +286,48 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def features(b: Block) -> tuple[float, float, float, float]:
-    """What the classifier sees of a block: its text alone."""
-    ends = b.text[-1] in ".!?:;\"”»)…" or ". " in b.text
-    return 1.0, float(np.log1p(b.text.count(" ") + 1)), b.linked / len(b.text), float(ends)
+def features(found: list[Block]) -> np.ndarray:
+    """What the classifier sees of the blocks of a page, a row each (see :data:`FEATURES`)."""
+    plain = [0 if b.element.furniture else len(b.text) - b.linked for b in found]
+    inside = sum(n for n, b in zip(plain, found, strict=True) if b.element.container)
+    apart = bool(inside) and 2 * inside >= sum(plain)  # an article or main element holds most of the page's plain text
+    share = [b.linked / len(b.text) for b in found]
+    rows = []
+    for i, b in enumerate(found):
+        e, words = b.element, b.text.count(" ") + 1
+        notice = 0.0
+        if words <= 60 or "©" in b.text[:80]:
+            said = sum(w.strip(".,;:!?()\"'").lower() in NOTICE for w in b.text.split()[:60]) + b.text.startswith("©")
+            notice = min(1.0, 10.0 * said / words)
+        around = [share[j] for j in (i - 1, i + 1) if 0 <= j < len(found)]
+        rows.append((
+            1.0, np.log1p(words), share[i], float(b.text[-1] in ENDS or ". " in b.text), notice, sum(around) / max(1, len(around)) * max(0.0, 1 - words / 16),
+            e.strong, e.after, e.mild, e.pro, e.apart, e.header, float(e.container == "article"), float(e.container == "main"), float(apart and not e.container),
+            float(e.tag == "p"), float(e.tag in ("h1", "h2", "h3", "h4")), float(e.tag in ("li", "td", "th", "dd", "dt")),
+        ))
+    return np.array(rows).reshape(len(rows), len(FEATURES))
 
 
-def classify(b: Block, weights: tuple[float, ...] = PRIOR) -> float:
-    """Log-odds that a block is content, of its text, element and names."""
-    e, w = b.element, WEIGHTS
-    score = max(-CLIP, min(CLIP, sum(x * y for x, y in zip(weights, features(b), strict=True)))) + e.named
-    if e.container:
-        score += w["in article"] if e.container == "article" else w["in main"]
-    if e.tag == "p":
-        score += w["p"]
-    elif e.tag in ("h1", "h2", "h3", "h4"):
-        score += w["heading"]
-    elif e.tag in ("li", "td", "th"):
-        score += w["item"]
-    return score
+def scores(found: list[Block], weights: tuple[float, ...] = PRIOR) -> list[float]:
+    """Log-odds of all blocks of a page."""
+    x, w = features(found), np.array(weights)
+    text = np.clip(x[:, :MARKS] @ w[:MARKS], *TEXT_BOUND)
+    return (text + np.clip(x[:, MARKS:] @ w[MARKS:], *MARK_BOUND)).tolist()
 
 
-def scores(found: list[Block], weights: tuple[float, ...] = PRIOR) -> list[float]:
-    """Log-odds of all blocks of a page: beside an article or main element that holds most of the page's plain text, little else is content."""
-    plain = [0 if b.element.furniture else len(b.text) - b.linked for b in found]
-    inside = sum(n for n, b in zip(plain, found, strict=True) if b.element.container)
-    apart = WEIGHTS["beside the article"] if inside and 2 * inside >= sum(plain) else 0.0
-    return [classify(b, weights) + (0.0 if b.element.container else apart) for b in found]
+Examples = list[tuple[np.ndarray, bool]]
 
 
-def examples(page: str, most: int = FIT_BLOCKS) -> list[tuple[tuple[float, ...], bool]]:
-    """Features and weak label of up to ``most`` blocks of a page, evenly spread: elements tell what is content, names and texts do not."""
-    found = [(features(b), not b.element.furniture) for b in blocks(page) if b.element.furniture or b.element.container]
-    return found[:: max(1, -(-len(found) // most))]
+def examples(page: str, most: int = FIT_BLOCKS) -> Examples:
+    """Features and weak label of up to ``most`` blocks of a page, evenly spread, with their marks and without: elements and containers tell what is content."""
+    found = blocks(page)
+    told = [(x, not b.element.furniture) for b, x in zip(found, features(found), strict=True) if b.element.furniture or b.element.container]
+    told = told[:: max(1, -(-len(told) // most))]
+    bare = np.arange(len(FEATURES)) < MARKS
+    return told + [(np.where(bare, x, 0.0), y) for x, y in told]
 
 
-def fit(seen: list[tuple[tuple[float, ...], bool]]) -> tuple[float, ...]:
+def fit(seen: Examples) -> tuple[float, ...]:
     """Weights of a logistic classifier, drawn towards the prior; both kinds count alike, and of each kind mostly linked blocks and plain ones."""
     prior = np.array(PRIOR)
     y = np.array([label for _, label in seen], float)
@@ -340,6 +361,16 @@ def _steps(a: Element, b: Element) -> int:
     return n
 
 
+ITEMS = ("li", "td", "th", "dd", "dt")
+
+
+def _whole(e: Element) -> Element | None:
+    """The list or table an element is part of."""
+    while e and e.tag not in ("ul", "ol", "dl", "table", "menu"):
+        e = e.parent
+    return e
+
+
 def connect(found: list[Block]) -> None:
     """Smoothness edges: page neighbours, and the next block under the same parent; weaker between furniture and the rest."""
     last: dict[int, int] = {}
@@ -348,6 +379,8 @@ def connect(found: list[Block]) -> None:
         for j, weight in ((i - 1, SMOOTH), (last.get(parent, -1), FAR)):
             if j >= 0:
                 w = weight / max(1, _steps(found[j].element, b.element) - 1)
+                if b.element.tag in ITEMS and found[j].element.tag in ITEMS and _whole(found[j].element) is _whole(b.element):
+                    w = max(w, TOGETHER / 2)
                 if found[j].element.furniture != b.element.furniture or found[j].element.container != b.element.container:
                     w *= BORDER
                 b.edges[j] = b.edges.get(j, 0.0) + w
@@ -448,8 +481,10 @@ def extract(page: str | None, weights: tuple[float, ...] = PRIOR) -> str:
 
 
 def fit_to(pages: DataFrame) -> tuple[float, ...]:
-    """The classifier fitted to a bounded sample of ``pages`` (column html), read from as few partitions as give it."""
-    sample = pages.select("html").where(F.octet_length("html") <= FIT_BYTES).take(FIT_PAGES)
+    """The classifier fitted to a bounded sample of ``pages`` (columns page_id, html): ids are drawn by their hashes, so the order of files is all one."""
+    ids = [r[0] for r in pages.where("page_id IS NOT NULL").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(FIT_PAGES).collect()]
+    drawn = pages.where(F.col("page_id").isin(ids) & (F.octet_length("html") <= FIT_BYTES)).select("page_id", "html")
+    sample = drawn.orderBy("page_id", "html").limit(FIT_PAGES).collect() if ids else []
     return fit([x for row in sample for x in examples(row["html"])])
 
 

@@ -1,10 +1,12 @@
 import itertools
 import random
+import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from freshet.llm.mincut import PRIOR, blocks, connect, cut, examples, extract, fit, label, op9_html_mincut, scores
+from freshet.llm.mincut import MARKS, PRIOR, blocks, connect, cut, examples, extract, fit, fit_to, label, op9_html_mincut, scores
 
 FILL = "the of and to in is that it was for on with as by at from".split()
 
@@ -153,3 +155,66 @@ def test_broken_markup_takes_time_in_proportion(html):
     began = time.process_time()
     extract(html)
     assert time.process_time() - began < 1.5
+
+
+P1 = "The river rose in the night and the gauge at the old bridge showed more than it had in the ten years before, so the keepers went down to look at it."
+P2 = "Nobody had slept much when the water came over the road by the mill, and those who lived close to it carried what they could up to the church."
+
+
+@pytest.mark.parametrize(
+    ("html", "kept", "gone"),
+    [
+        (f"<body><div><a href=1>Home</a> <a href=2>News</a></div><div>{P1}</div><div>{P2}</div>", [P1, P2], ["Home"]),
+        (f"<body><article><h1>Flood</h1><p>{P2}</p><p class='reply-letter'>{P1}</p></article>", ["Flood", P1, P2], []),
+        (f"<body><article class='cookie-recipe'><h1>Oat biscuits</h1><p>{P1}</p><p>{P2}</p></article>", ["Oat biscuits", P1, P2], []),
+        (f"<body><div id='comments-on-dante'><p>{P1}</p><p>{P2}</p></div>", [P1, P2], []),
+        (
+            f"<body><article><p>{P1}</p><table><tr><th>Gauge<th>Level<tr><td>North<td>3.2</table><p>{P2}</p><ul><li>rain<li>snow and ice</ul><p>{P1}</p></article>",
+            ["Gauge", "Level", "North", "3.2", "rain", "snow and ice", P2], [],
+        ),
+        (f"<body><div>We use cookies to make this page better. By going on you accept that.</div><div><h1>Flood</h1><p>{P1}</p><p>{P2}</p></div>", ["Flood", P1, P2], ["cookies"]),
+        (f"<body><p>Please accept our cookies and the privacy terms.</p><p>{P1}</p><p>{P2}</p>", [P1, P2], ["cookies"]),
+        (f"<body><article><p>{P1}</p><div class='comment-list'><p>{P2}</p></div></article>", [P1], [P2]),
+    ],
+)
+def test_texts_outweigh_doubtful_marks(html, kept, gone):
+    found = extract(html).split("\n\n")
+    assert all(x in found for x in kept) and not any(y in x for x in found for y in gone)
+
+
+def stripped(html, links):
+    """A page without what marks its article: all elements but the roots and formatting become plain divs, attributes go; links stay or become divs, too."""
+    html = re.sub(r"<(script|style|title)\b.*?</\1>", "", html, flags=re.S | re.I)
+    stay = ("html", "head", "body", "meta", "b", "i", "br", *(["a"] if links else []))
+    return re.sub(r"<(/?)(\w+)\b[^>]*>", lambda m: f"<{m[1]}{m[2] if m[2].lower() in stay else 'div'}>", html)
+
+
+@pytest.mark.parametrize("links", [True, False])
+def test_pages_without_marks_keep_their_articles(spark, links):
+    """Ablation on the given pages: with no mark left, classifier and cut tell the article's blocks by their texts and neighbours."""
+    pages = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html").collect()]
+    weights = fit_to(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    kept = total = more = changed = 0
+    for _, html in pages:
+        article = extract(html, weights).split("\n\n")
+        found, costs, labels = label(stripped(html, links), weights)
+        texts = [b.text for b, keep in zip(found, labels, strict=True) if keep]
+        total += len(article)
+        kept += sum(x in texts for x in article)
+        more += len(set(texts) - set(article))
+        changed += sum((c >= 0) != keep for c, keep in zip(costs, labels, strict=True))
+    assert kept >= 0.97 * total and more <= 1.2 * len(pages) and changed > 20
+
+
+def test_classifier_decides(spark):
+    """Without weights the labels of marked pages are others; the weights of texts decide those of pages without marks."""
+    pages = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").limit(40).collect()]
+    share = lambda a, b, made: sum(x != y for p in pages for x, y in zip(label(made(p), a)[2], label(made(p), b)[2], strict=True)) / sum(len(blocks(made(p))) for p in pages)
+    assert share(PRIOR, (0.0,) * len(PRIOR), lambda p: p) > 0.2
+    no_text = (*(0.0,) * MARKS, *PRIOR[MARKS:])
+    assert share(PRIOR, no_text, lambda p: stripped(p, True)) > 0.2
+
+
+def test_order_of_pages_does_not_change_the_fit(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    assert fit_to(pages) == fit_to(pages.orderBy(F.desc("page_id")).repartition(7)) != PRIOR
