@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from freshet.llm import common
 
-#: Vectors in one shard file, in one run with bounds of its own, and in the first run.
-SHARD, RUN, SEED = 32_768, 8_192, 256
+#: Vectors in one shard file at most, in one run with bounds of its own, and in the first run; bytes of a shard's weights (one vector may exceed them alone).
+SHARD, RUN, SEED, SHARD_BYTES = 32_768, 8_192, 256, 8 << 20
 #: Shard files, and query files, that one task pairs up.
 SHARDS_A_TASK, QUERIES_A_TASK = 16, 16
 PROBE = 8
@@ -66,11 +66,12 @@ def write_shards(vectors: DataFrame, root: str, scale: float, every: int, id_col
     """Shard and query files of ``vectors`` below ``root``; one row a shard: shard, queries (file or null), n_queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        n = 0
+        held: dict[int, list[pa.RecordBatch]] = {}  # by the power of two that holds the vectors' length, so padding at most doubles a shard
+        rows: dict[int, int] = {}
 
-        def flush() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held).combine_chunks()
+        def flush(wide: int) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held.pop(wide)).combine_chunks()
+            rows.pop(wide)
             ids = np.asarray(table.column("id"), dtype=np.int64)
             weights = _matrix(table.column("vec").combine_chunks(), scale)
             order = np.argsort(ids, kind="stable")
@@ -82,14 +83,20 @@ def write_shards(vectors: DataFrame, root: str, scale: float, every: int, id_col
             return pa.record_batch({"shard": [shard], "queries": pa.array([queries], pa.string())})
 
         for batch in batches:
-            for i in range(0, batch.num_rows, SHARD // 4):
-                held.append(batch.slice(i, SHARD // 4))
-                n += held[-1].num_rows
-                if n >= SHARD:
-                    yield flush()
-                    held, n = [], 0
-        if n:
-            yield flush()
+            sizes = np.diff(np.asarray(batch.column(1).offsets, dtype=np.int64))
+            classes = np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)
+            for wide in np.unique(classes).tolist():
+                most = max(1, min(SHARD, SHARD_BYTES // (4 << wide)))
+                at = np.flatnonzero(classes == wide)
+                while len(at):
+                    part = at[: most - rows.get(wide, 0)]
+                    at = at[len(part) :]
+                    held.setdefault(wide, []).append(batch.take(pa.array(part)))
+                    rows[wide] = rows.get(wide, 0) + len(part)
+                    if rows[wide] >= most:
+                        yield flush(wide)
+        for wide in list(held):
+            yield flush(wide)
 
     return (
         vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
@@ -108,7 +115,7 @@ class Postings:
         self.ends = np.append(self.starts[1:], self.n)
         self.most = np.maximum.reduceat(weights, self.starts, axis=1).astype(np.float64)
         self.least = np.minimum.reduceat(weights, self.starts, axis=1).astype(np.float64)
-        self.peak = np.abs(weights.astype(np.int64)).max(axis=1, initial=0)
+        self.peak = np.maximum(self.most.max(axis=1, initial=0), -self.least.min(axis=1, initial=0)).astype(np.int64)
         self.raw = weights
         self._as: dict[type, np.ndarray] = {}
 

@@ -67,3 +67,19 @@ def test_very_long_vectors(spark):
     rows = [(i, r.normal(size=6000).tolist()) for i in (0, 1, 2, 50)]
     got = [(x.query_id, x.rank, x.vec_id, x.score) for x in top_k(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
     assert sorted(got) == brute(rows)
+
+
+def test_long_among_short_vectors(spark):
+    """Shards are cut by bytes and by the length of their vectors: one endless vector does not pad the others."""
+    r = topk.np.random.default_rng(7)
+    rows = [(i, r.normal(size=9).tolist()) for i in range(120)] + [(200 + i, r.normal(size=300).tolist()) for i in range(60)] + [(1000, r.normal(size=400_000).tolist()), (1001, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in top_k(spark, df).collect())
+    assert got == brute(rows)
+
+
+def test_wide_vectors_make_small_shards(spark, tmp_path):
+    wide = spark.range(1200).select(topk.F.col("id").alias("vec_id"), topk.F.array_repeat(topk.F.rand(3), 4096).alias("embedding")).coalesce(1)
+    shards = [x.shard for x in topk.write_shards(wide, f"file://{tmp_path}", 256.0, 50, "vec_id", "embedding").collect()]
+    sizes = [topk._read(f)[1].nbytes for f in shards]
+    assert sum(sizes) == 1200 * 4096 * 4 and max(sizes) <= topk.SHARD_BYTES and len(shards) == 3
