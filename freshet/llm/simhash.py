@@ -63,11 +63,13 @@ def _words(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def fingerprint(text: str | None, shingle: int = 3, words: int = 1, distinct: bool = False) -> bytes:
-    """The fingerprint of one text, ``8 * words`` bytes, most significant bit first; ``distinct``: repeated shingles vote once."""
-    h = shingle_hashes(text or "", shingle)
-    if distinct:
-        h = np.unique(h)
+def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> bytes:
+    """The fingerprint of one text, ``8 * words`` bytes, most significant bit first."""
+    return votes(shingle_hashes(text or "", shingle), words)
+
+
+def votes(h: np.ndarray, words: int) -> bytes:
+    """The fingerprint of shingle hashes: a bit is 1 if more than half of them have it."""
     counts = np.zeros(64 * words, np.int64)
     for i in range(0, len(h), 4080):
         bits = np.unpackbits(_words(h[i : i + 4080], words).astype(">u8").view(np.uint8).reshape(-1, 8 * words), axis=1)
@@ -100,51 +102,67 @@ def _quarters(first: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_count((first >> np.uint64(s)) & np.uint64(0xFFFF)) for s in (48, 32, 16, 0)], axis=1).astype(np.int64)
 
 
-TILE_SCHEMA = "tile string, n long, " + ", ".join(f"lo{i} int, hi{i} int" for i in range(5))
+TILE_SCHEMA = "tile string, n long, least long, most long, " + ", ".join(f"lo{i} int, hi{i} int" for i in range(5))
 
 
-def write_tiles(spark: SparkSession, distinct: DataFrame, words: int, root: str) -> DataFrame:
-    """Tile files of the distinct fingerprints and one row a tile: file, size and its ranges of population counts (0: total, 1-4: quarters)."""
+def write_tiles(spark: SparkSession, distinct: DataFrame, words: int, root: str, sized: bool = False) -> DataFrame:
+    """Tile files of the distinct fingerprints and one row a tile: file, number and its ranges of population counts (0: total, 1-4: quarters).
+
+    With ``sized``, fingerprints (columns ``least`` and ``most`` are the sizes of their sets) are ordered by the sizes first, and a tile has their range.
+    """
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0)
             q = _quarters(_load(b"".join(fp.to_pylist()), words)[:, 0])
             key = ((q[:, 0] * 32 + q[:, 1]) * 32 + q[:, 2]) * 32 + q[:, 3]
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), fp], ["key", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), *batch.columns], ["key", "fp", "least", "most"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
+        held: list[tuple[bytes, int, int]] = []
 
-        def flush(part: list[bytes]) -> pa.RecordBatch:
-            first = _load(b"".join(part), words)[:, 0]
+        def flush(part: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
+            fps = b"".join(x[0] for x in part)
+            first = _load(fps, words)[:, 0]
             q = np.concatenate([np.bitwise_count(first).astype(np.int64)[:, None], _quarters(first)], axis=1)
-            common.put(uri := f"{root}/{common.unique_name('.tile')}", b"".join(part))
+            common.put(uri := f"{root}/{common.unique_name('.tile')}", fps)
             row: dict = {"tile": [uri], "n": pa.array([len(part)], pa.int64())}
+            row |= {"least": pa.array([min(x[1] for x in part)], pa.int64()), "most": pa.array([max(x[2] for x in part)], pa.int64())}
             for i in range(5):
                 row |= {f"lo{i}": pa.array([q[:, i].min()], pa.int32()), f"hi{i}": pa.array([q[:, i].max()], pa.int32())}
             return pa.record_batch(row)
 
         for batch in batches:
-            held += batch.column(batch.schema.get_field_index("fp")).to_pylist()
+            held += zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("fp", "least", "most")), strict=True)
             while len(held) >= TILE:
                 yield flush(held[:TILE])
                 held = held[TILE:]
         if held:
             yield flush(held)
 
-    keyed = distinct.select("fp").mapInArrow(order, "key long, fp binary")
-    return keyed.repartitionByRange("key", "fp").sortWithinPartitions("key", "fp").mapInArrow(run, TILE_SCHEMA)
+    sizes = ("least", "most") if sized else (F.lit(0).cast("long").alias("least"), F.lit(0).cast("long").alias("most"))
+    keyed = distinct.select("fp", *sizes).mapInArrow(order, "key long, fp binary, least long, most long")
+    by = ("least", "most", "key", "fp") if sized else ("key", "fp")
+    return keyed.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(run, TILE_SCHEMA)
 
 
-def tile_pairs(tiles: DataFrame, radius: int) -> DataFrame:
-    """Pairs (a, b), a <= b, of tiles that can hold a pair within ``radius``: an equi-join on buckets of the first quarter's count, then the exact skip test."""
-    width = max(1, radius)
-    bucket = lambda lo, hi: F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width)))
-    a = tiles.select("*", bucket(F.col("lo1"), F.col("hi1")).alias("bucket"))
-    b = tiles.select(*[F.col(c).alias(f"o_{c}") for c in tiles.columns], bucket(F.col("lo1") - radius, F.col("hi1") + radius).alias("bucket"))
+def tile_pairs(tiles: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
+    """Pairs (a, b), a <= b, of tiles that can hold a pair within ``radius``: an equi-join on buckets of the first quarter's count, then the exact skip test.
+
+    With ``similarity``, sets of that Jaccard similarity differ in size by no more than that factor: buckets are steps of it, and pairs of tiles beyond it are skipped.
+    """
+    other = [F.col(c).alias(f"o_{c}") for c in tiles.columns]
     gap = lambda i: F.greatest(F.lit(0), F.col(f"o_lo{i}") - F.col(f"hi{i}"), F.col(f"lo{i}") - F.col(f"o_hi{i}"))
     near = (gap(0) <= radius) & (gap(1) + gap(2) + gap(3) + gap(4) <= radius)
+    if similarity is None:
+        width = max(1, radius)
+        bucket = lambda lo, hi: F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width)))
+        mine, theirs = bucket(F.col("lo1"), F.col("hi1")), bucket(F.col("lo1") - radius, F.col("hi1") + radius)
+    else:
+        step = lambda c: F.floor(F.ln(F.greatest(F.col(c), F.lit(1)).cast("double")) / -math.log(similarity)).cast("long")
+        mine, theirs = F.explode(F.sequence(step("least"), step("most"))), F.explode(F.sequence(step("least") - 2, step("most") + 2))
+        near = near & (F.col("o_most") >= similarity * F.col("least") - 1e-6) & (F.col("most") >= similarity * F.col("o_least") - 1e-6)
+    a, b = tiles.select("*", mine.alias("bucket")), tiles.select(*other, theirs.alias("bucket"))
     return a.join(b, "bucket").where((F.col("tile") <= F.col("o_tile")) & near).select(F.col("tile").alias("a"), F.col("o_tile").alias("b")).distinct()
 
 
@@ -234,15 +252,18 @@ def near_duplicates(
     radius: int = 2,
     first_radius: int | None = None,
     check: Callable[[DataFrame], DataFrame] | None = None,
+    similarity: float | None = None,
 ) -> DataFrame:
     """(fp, n, component_id) of every distinct fingerprint of ``prints`` (doc_id, fp): component_id is the smallest doc_id reachable over links.
 
-    With ``check``, what the links join are candidates only: it is given (component, fp, first) of them and returns the edges (a, b) that count.
+    With ``check``, what the links join are candidates only: it is given (component, fp, first) of them and returns the edges (a, b) that count.  With ``similarity``, ``prints`` has the sizes
+    of the sets (column ``size``), and tiles whose sizes rule that Jaccard similarity out are not compared.
     """
-    distinct = common.stage(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), f"{root}/distinct")
-    tiles = common.stage(spark, write_tiles(spark, distinct, words, f"{root}/tiles"), f"{root}/tile-list")
+    sizes = [F.min("size").alias("least"), F.max("size").alias("most")] if similarity is not None else []
+    distinct = common.stage(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), *sizes), f"{root}/distinct")
+    tiles = common.stage(spark, write_tiles(spark, distinct, words, f"{root}/tiles", similarity is not None), f"{root}/tile-list")
     skip = radius if words == 1 else first_radius if first_radius is not None else 64
-    pairs = common.stage(spark, tile_pairs(tiles, skip), f"{root}/pairs")
+    pairs = common.stage(spark, tile_pairs(tiles, skip, similarity), f"{root}/pairs")
     n_pairs = pairs.count()
     work = pairs.repartition(max(1, min(n_pairs, 8 * spark.sparkContext.defaultParallelism)), "a", "b") if n_pairs else pairs
     found = components(spark, links(work, words, skip, radius), f"{root}/components")
@@ -398,7 +419,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float
     """One document of each group of near duplicates: the one with the smallest doc_id (null first; then by fingerprint and place).
 
     Near duplicates are texts whose sets of word five-grams have a Jaccard similarity of 0.8 or more.  Candidates are found by 1024-bit SimHash
-    of the distinct shingles: first words are compared tile by tile, whole fingerprints where these are near, both with a radius of four standard
+    of the distinct shingles: tiles are ordered by the sizes of the sets, and tiles whose sizes rule the similarity out are skipped; in the others first words are compared, whole fingerprints where these are near, both with a radius of four standard
     deviations beyond what that similarity makes expected.  Each link is then checked on the shingle sets of the two texts, and only links that hold form
     groups.  Texts with equal fingerprints are taken for equal.  Documents without a word are no duplicates of one another.
     """
@@ -408,15 +429,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float
     def prints(block: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
         texts = table.column("text").to_pylist()
         n = len(texts)
-        fps = [fingerprint(t, DEDUP_SHINGLE, DEDUP_WORDS, distinct=True) if t and t.strip(WHITE) else None for t in texts]
+        fps, sizes = [None] * n, np.zeros(n, np.int64)
+        for i, t in enumerate(texts):
+            if t and t.strip(WHITE):
+                h = np.unique(shingle_hashes(t, DEDUP_SHINGLE))
+                fps[i], sizes[i] = votes(h, DEDUP_WORDS), len(h)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), table.column("doc_id").cast(pa.int64()).combine_chunks(), pa.array(fps, pa.binary())], ["block", "row", "doc_id", "fp"]
+            [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), table.column("doc_id").cast(pa.int64()).combine_chunks(), pa.array(fps, pa.binary()), pa.array(sizes)],
+            ["block", "row", "doc_id", "fp", "size"],
         )
 
-    rows = common.stage(spark, common.block_pass(docs, f"{root}/blocks", prints, "block long, row int, doc_id long, fp binary"), f"{root}/prints")
+    rows = common.stage(spark, common.block_pass(docs, f"{root}/blocks", prints, "block long, row int, doc_id long, fp binary, size long"), f"{root}/prints")
     shown = rows.where("fp is not null").withColumn("doc_id", F.struct("doc_id", "block", "row"))
     check = lambda asked: checked_links(spark, asked, f"{root}/blocks", root, DEDUP_WORDS, first, radius, similarity)
-    groups = near_duplicates(spark, shown, root, DEDUP_WORDS, radius, first, check)
+    groups = near_duplicates(spark, shown, root, DEDUP_WORDS, radius, first, check, similarity)
     keep = groups.select(F.col("component_id.block").alias("block"), F.col("component_id.row").alias("row")).distinct()
     keep = keep.unionByName(rows.where("fp is null").select("block", "row")).unionByName(rows.select("block", F.lit(None).cast("int").alias("row")).distinct())
 
