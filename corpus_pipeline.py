@@ -39,8 +39,8 @@ def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callabl
     return run
 
 
-#: The rules of op10 without its limit of words: a long text is judged by the same ratios as all others.
-PIPELINE_RULES = tuple(r for r in RULES if r[0] not in ("not one endless text", "some stop words"))
+#: The rules of op10 that all texts are judged by.
+PIPELINE_RULES = tuple(r for r in RULES if r[0] != "some stop words")
 #: The rule that only texts in a language with stop words are judged by, and these languages.
 STOP_RULE = tuple(r for r in RULES if r[0] == "some stop words")
 STOP_LANGUAGES = ("en", "fr", "es", "de")

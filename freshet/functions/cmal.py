@@ -247,7 +247,20 @@ def coverage(df: DataFrame, keys: Sequence[str], obs: str = "obs", samples: str
     return out.groupBy(*keys).agg(*[inside(lo, hi).alias(f"inside_{k}") for k, (lo, hi) in INTERVALS.items()])
 
 
-def reliability(df: DataFrame, keys: Sequence[str] = (), obs: str = "obs", samples: str = "samples", step: int = 5) -> DataFrame:
-    """For q = 0, step .. 100: the share of observations below the q-th percentile of their ensemble."""
+def reliability(df: DataFrame, keys: Sequence[str] = (), obs: str = "obs", samples: str = "samples", step: int = 5, first: int | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """For q = 0, step .. 100: the share of observations below the q-th percentile of their ensemble.
+
+    ``first`` takes only as many observed points, the first by ``order`` (a report over a few hundred points, not over a whole run).
+    """
+    rows = df.where(F.col(obs).isNotNull())
+    if first is not None:
+        if not order:
+            raise ValueError("the first points are the first in some order")
+        rows = rows.orderBy(*order).limit(first)
     points = F.array(*[F.struct(F.lit(q).alias("q"), (F.col(obs) < array_percentile(F.col(samples), q)).cast("double").alias("below")) for q in range(0, 101, step)])
-    return df.where(F.col(obs).isNotNull()).select(*keys, F.inline(points)).groupBy(*keys, "q").agg(F.avg("below").alias("share"))
+    return rows.select(*keys, F.inline(points)).groupBy(*keys, "q").agg(F.avg("below").alias("share"))
+
+
+def last_step(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The last value of arrays over steps: what a report of the last predicted step looks at."""
+    return df.withColumns({c: F.element_at(c, -1) for c in columns})

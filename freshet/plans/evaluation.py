@@ -62,14 +62,16 @@ def undefined(results: DataFrame, keys: Sequence[str] = (BASIN,)) -> DataFrame:
 
 def targets_skill(results: DataFrame, targets: Mapping[str, Iterable[str]] | Sequence[str], keys: Sequence[str] = (BASIN,)) -> DataFrame:
     """Wide table for several targets (columns ``<target>_obs``, ``<target>_sim``), metrics named ``<target>_<metric>`` if there is more than one."""
-    named = targets if isinstance(targets, Mapping) else {t: available() for t in targets}
-    out = None
-    for t, wanted in named.items():
-        one = evaluate(results, keys, wanted, f"{t}_obs", f"{t}_sim").drop("n_pairs")
-        if len(named) > 1:
-            one = one.select(*keys, *[F.col(m).alias(f"{t}_{m}") for m in resolve(wanted)])
-        out = one if out is None else out.join(one, list(keys), "full_outer")
-    return out
+    named = {t: resolve(m) for t, m in (targets if isinstance(targets, Mapping) else {t: available() for t in targets}).items()}
+    keep = lambda t, m: m if len(named) == 1 else f"{t}_{m}"
+    # one row a target, so that all targets share one exchange and one aggregation of each kind
+    pairs = F.array(*[F.struct(F.lit(t).alias("__target"), F.col(f"{t}_obs").cast("double").alias("obs"), F.col(f"{t}_sim").cast("double").alias("sim")) for t in named])
+    others = [c for c in results.columns if c in (*keys, DATE)]
+    long = results.select(*others, F.inline(pairs))
+    wanted = [m for m in available() if any(m in ms for ms in named.values())]
+    table = evaluate(long, [*keys, "__target"], wanted)
+    picked = [F.max(F.when(F.col("__target") == t, F.col(f"`{m}`"))).alias(keep(t, m)) for t, ms in named.items() for m in ms]
+    return table.groupBy(*keys).agg(*picked)
 
 
 def by_frequency(table: DataFrame, metrics: Sequence[str], frequencies: Sequence[str], keys: Sequence[str] = (BASIN,)) -> DataFrame:

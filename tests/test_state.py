@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from freshet.functions import cmal
 from freshet.operators import consecutive, epochs, scaler, scaler_state
 from freshet.operators.align import outer_merge
 from freshet.operators.sequences import per_basin_std
@@ -140,3 +141,13 @@ def test_frequency_suffixes(spark):
     assert sorted(map(tuple, evaluation.by_frequency(t, ["NSE"], ["1D", "1h"]).collect())) == [("a", 1.0, 2.0), ("b", None, 3.0)]
     one = evaluation.by_frequency(t, ["NSE"], ["1h"])
     assert one.columns == ["basin", "NSE"] and sorted(map(tuple, one.collect())) == [("a", 2.0), ("b", 3.0)]
+
+
+def test_curve_of_the_first_points(spark):
+    rows = [(i, None if i == 1 else float(i), [float(i), float(i) + 1.0]) for i in range(10)]
+    df = spark.createDataFrame(rows, "i int, obs double, samples array<double>")
+    share = {r.q: r.share for r in cmal.reliability(df, step=50, first=3, order=["i"]).collect()}
+    assert share == {0: 0.0, 50: 1.0, 100: 1.0}
+    assert cmal.last_step(df, ["samples"]).where("i = 4").first().samples == 5.0
+    with pytest.raises(ValueError, match="order"):
+        cmal.reliability(df, first=3)
