@@ -331,3 +331,27 @@ def test_results_with_frequencies(spark, tmp_path):
     tables.write_results(df.where("basin = 'b'"), f"{run}/test/model_epoch001/results.zarr", "zarr", append=True)
     got = tables.read_results(spark, run).where("flow_obs IS NOT NULL")
     assert sorted(tuple(r) for r in got.select("basin", "freq", "flow_obs").collect()) == [("a", "1D", 1.0), ("a", "1h", 3.0), ("b", "1D", 5.0), ("c", "1D", 5.0)]
+
+
+# --- command line over results --------------------------------------------------------------------------------------
+
+
+def test_evaluate_stored_results(spark, tmp_path):
+    from freshet import cli
+
+    rows = [(b, date(2020, 1, 1 + d), s, None if b == "c" else float(d * (s + 1)), float(d) + 0.5 * s - 1.0) for b in "abc" for d in range(9) for s in range(2)]
+    df = spark.createDataFrame(rows, "basin string, date date, time_step int, flow_obs float, flow_sim float")
+    run = f"file://{tmp_path}/run"
+    tables.write_results(df.where("basin <> 'b'").withColumn("flow_sim", F.lit(0.0).cast("float")), f"{run}/test/model_epoch001/results.zarr", "zarr")
+    tables.write_results(df.where("basin <> 'b'"), f"{run}/test/model_epoch002/results.zarr", "zarr")
+    tables.write_results(df.where("basin = 'b'"), f"{run}/test/model_epoch002/results.zarr", "zarr", append=True)
+    for _ in range(2):
+        found = cli.evaluate(spark, run, f"file://{tmp_path}/out", ["NSE", "RMSE"], target="flow", clipped=True)
+    clipped = evaluation.clip(df.selectExpr("basin", "date", "time_step AS lead_time", "flow_obs AS obs", "flow_sim AS sim"), ["sim"])
+    want = {(r.basin, r.lead_time): (r.NSE, r.RMSE) for r in evaluation.skill(clipped, ["basin", "lead_time"], ["NSE", "RMSE"]).collect()}
+    got = {(r.basin, r.lead_time): (r.NSE, r.RMSE) for r in found["metrics"].collect()}
+    assert got.keys() == want.keys() and len(got) == 6
+    for k, values in want.items():
+        assert got[k] == (values if None in values else pytest.approx(values, rel=1e-6))
+    assert {(r.lead_time, r.NSE) for r in found["summary"].where("statistic = 'basins'").collect()} == {(0, 2.0), (1, 2.0)}
+    assert {(r.basin, r.lead_time) for r in found["undefined"].collect()} == {("c", 0), ("c", 1)}
