@@ -76,7 +76,7 @@ def _(spark, d):
     f"{sql('lines', 'lead', 'two', 'daily', 'statics')}, d AS (SELECT date, a::FLOAT AS a, obs::FLOAT AS q FROM two JOIN daily USING (basin, date) WHERE date BETWEEN DATE '1995-02-01' - 3 AND DATE '1996-12-31' + 2), "
     "f AS (SELECT obs::FLOAT AS f FROM lead_flow WHERE lead_time - 1 BETWEEN 1 AND 2 AND date BETWEEN DATE '1995-02-01' - 3 AND DATE '1996-12-31' + 2) "
     "SELECT 'era5land_p' AS feature, round(avg(a::DOUBLE), 5) AS mean, round(stddev_pop(a::DOUBLE), 5) AS std FROM d UNION ALL SELECT 'q', round(avg(q::DOUBLE), 5), round(stddev_pop(q::DOUBLE), 5) FROM d "
-    "UNION ALL SELECT 'region', round(avg(region::DOUBLE), 5), round(stddev_pop(region::DOUBLE), 5) FROM statics UNION ALL SELECT 'hres_p', round(avg(f::DOUBLE), 5), round(stddev_pop(f::DOUBLE), 5) FROM f",
+    "UNION ALL SELECT 'region', round(avg(region::DOUBLE), 5), round(stddev_pop(region::DOUBLE), 5) FROM statics WHERE basin IN (SELECT basin FROM daily) UNION ALL SELECT 'hres_p', round(avg(f::DOUBLE), 5), round(stddev_pop(f::DOUBLE), 5) FROM f",
 )
 def _(spark, d):
     p = dataset.prepare(spark, _layout(spark, d, "zarr"), work=folder(spark, "prepared"))
