@@ -2,19 +2,19 @@
 
 Each text's set of distinct word shingles gives 256 minima (MinHash).  A tree of the forest orders the sets by a label, a sequence of minima; 16 trees begin at different minima.
 Sets that share a prefix of a label are a region.  The least depth is that at which 16 trees miss hardly a pair (:func:`least_depth`); a region of more than :data:`CROWD` sets is
-looked at one level deeper, and so on (:data:`LEVELS`), so depth follows how crowded a region is.  Candidates:
+also looked at one level deeper, and so on (:data:`LEVELS`), so what is drawn follows how crowded a region is.  Candidates:
 
 1. every set with one of its region, the least by digest, on every level: of these, a likely one for each set is checked first and what holds is joined up;
 2. then the others drawn that are not joined yet;
-3. then, in regions that hold sets of several components, all pairs of a set outside the largest component with a set of another.  A region of more than half :data:`CROWD` such
-   outsiders is left to the next level, but on the deepest level none is: no region is capped.  Distances known from 1 and 2 spare pairs: by the triangle inequality of the Jaccard
-   distance, two sets whose distances to the region's drawn one differ by more than the wanted distance are no link.
+3. then, in regions of the least depth that hold sets of several components, all pairs of a set outside the largest component with a set of another.  Small regions are joined with
+   themselves; crowded ones are dealt to tiles of bounded size, and every pair of tiles is compared in full.  No region is capped or left out.
 
 Unlikely pairs are told by two bits of each minimum, four and a half standard deviations below what the wanted similarity makes expected.  Every link is confirmed on the full sets.
 
 Scale: equal sets are merged first, so copies cost one row a task.  What is shuffled is short rows (a label, an identifier, a sketch); the sets of candidates are made again from block
-files.  A group of near copies costs a row a tree and level and about one check a member, as its members join by what is drawn; joins read staged tables, so adaptive execution splits
-crowded regions.  Nothing is gathered.
+files.  A group of near copies costs a row a tree and level and about one check a member, as its members join by what is drawn.  What no drawn one joins in a crowded region is compared
+pair by pair, which is quadratic in the region's sets outside its largest component: sketches first, full sets for rows that may have a link, each pair in the first tree that brings it
+together, and a pair of tiles returns no more links than it has sets.  Nothing is gathered.
 
 Defined results: null and blank texts have the empty set, are linked with nothing and name themselves.  Fewer words than a shingle has are one shingle.  Repeated rows are rows of
 their own.  Rows with a null doc_id take part but name a component only if all its ids are null; they are kept if so.  Other columns are ignored.  An empty table gives an empty result.
@@ -23,7 +23,7 @@ their own.  Rows with a null doc_id take part but name a component only if all i
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -39,8 +39,12 @@ from freshet.llm.simhash import shingle_hashes
 #: Minima of a set, trees, the minima at which trees begin apart, minima of a label.
 MINIMA, TREES, APART, DEEPEST = 256, 16, 8, 16
 LEVELS = (6, 8, 12, DEEPEST)
-#: Sets of a region beyond which it is looked at one level deeper.
+#: Sets of a region beyond which sets are drawn one level deeper too, and which is compared by tiles.
 CROWD = 64
+#: Sets of a tile, and shingles of its sets, at most; what names a pair of tiles.
+TILE, TILE_SHINGLES = 1024, 1 << 19
+TILED = ("tree", "key", "lband", "ltile", "rband", "rside", "rtile")
+_ROWS = 64
 #: Share of pairs just similar enough that no tree brings together at the least depth.
 MISSED = 2e-5
 _STEP = 2048
@@ -175,37 +179,128 @@ class Forest:
         rest = self.drawn.join(checked, ["a", "b"], "left_anti")
         return common.stage(self.spark, _pairs(_component(_component(rest, joined, "a", "ca"), joined, "b", "cb").where("ca != cb")), f"{self.root}/drawn-apart")
 
-    def regions_apart(self, joined: DataFrame, known: DataFrame) -> DataFrame:
-        """(a, b): sets of one region that ``joined`` does not join and that were not drawn for one another; see the module's third kind of candidates.
+    def regions_apart(self, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What is left to compare of regions of the least depth that hold sets of several components of ``joined``: see the module's third kind of candidates.
 
-        ``known`` (a, b, similarity) are the pairs that were looked at in full.
+        Of regions of at most ``crowd`` sets, pairs (a, b) that were not drawn for one another; of larger ones the rows, by pairs of tiles (:data:`TILED`).
         """
-        known = _pairs_with(known, "similarity")
-        found, upper = [], None
-        for depth, met in self.met:
-            rows = met.where("size > 2").select("tree", "key", "uid", "n", *SKETCH, F.least("uid", "drawn.uid").alias("a"), F.greatest("uid", "drawn.uid").alias("b"))
-            if upper is not None:
-                rows = rows.withColumn("upper", F.expr(f"substring(key, 1, {2 * above})")).join(upper, ["tree", "upper"], "left_semi").drop("upper")
-            rows = rows.join(known, ["a", "b"], "left").withColumn("near", F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(F.col("similarity"))).drop("a", "b", "similarity")
-            rows = common.stage(self.spark, _component(rows, joined, "uid", "comp"), f"{self.root}/rows-{depth}")
-            held = rows.groupBy("tree", "key", "comp").agg(F.count("*").alias("k"))
-            mixed = held.groupBy("tree", "key").agg(F.max(F.struct("k", "comp")).alias("main"), F.sum("k").alias("size"), F.count("*").alias("kinds")).where("kinds > 1")
-            mixed = mixed.select("tree", "key", F.col("main.comp").alias("main"), (F.col("size") - F.col("main.k")).alias("outside"))
-            mixed = common.stage(self.spark, mixed, f"{self.root}/mixed-{depth}")
-            settled = mixed if depth == DEEPEST else mixed.where(F.col("outside") <= self.crowd // 2)
-            here = common.stage(self.spark, rows.join(settled.drop("outside"), ["tree", "key"]), f"{self.root}/here-{depth}")
-            other = here.select("tree", "key", *[F.col(c).alias(f"o_{c}") for c in ("uid", "n", *SKETCH, "comp", "near")])
-            within = F.coalesce(F.abs(F.col("near") - F.col("o_near")) <= 1 - self.percent / 100 + 1e-9, F.lit(True))
-            once = (F.col("o_comp") == F.col("main")) | (F.col("uid") < F.col("o_uid"))
-            near = here.where("comp != main").join(other, ["tree", "key"]).where((F.col("comp") != F.col("o_comp")) & once & within & _likely("", "o_", self.percent))
-            found.append(_pairs(near.select(F.col("uid").alias("a"), F.col("o_uid").alias("b"))))
-            upper, above = mixed.where(F.col("outside") > self.crowd // 2).select("tree", F.col("key").alias("upper")), depth
-            if depth == DEEPEST or upper.isEmpty():
-                break
-        every = found[0]
-        for x in found[1:]:
-            every = every.unionByName(x)
-        return common.stage(self.spark, every.distinct().join(_pairs(self.drawn), ["a", "b"], "left_anti"), f"{self.root}/regions-apart")
+        depth, met = self.met[0]
+        rows = _component(met.where("size > 2").select("tree", "key", "uid", "n", *SKETCH), joined, "uid", "comp")
+        rows = common.stage(self.spark, rows, f"{self.root}/rows")
+        held = rows.groupBy("tree", "key", "comp").agg(F.count("*").alias("k"))
+        mixed = held.groupBy("tree", "key").agg(F.max(F.struct("k", "comp")).alias("main"), F.sum("k").alias("size"), F.count("*").alias("kinds")).where("kinds > 1")
+        mixed = common.stage(self.spark, mixed.select("tree", "key", F.col("main.comp").alias("main"), "size"), f"{self.root}/mixed")
+        here = common.stage(self.spark, rows.join(mixed, ["tree", "key"]), f"{self.root}/here")
+        few = here.where(F.col("size") <= self.crowd)
+        other = few.select("tree", "key", *[F.col(c).alias(f"o_{c}") for c in ("uid", "n", *SKETCH, "comp")])
+        once = (F.col("o_comp") == F.col("main")) | (F.col("uid") < F.col("o_uid"))
+        near = few.where("comp != main").join(other, ["tree", "key"]).where((F.col("comp") != F.col("o_comp")) & once & _likely("", "o_", self.percent))
+        pairs = _pairs(near.select(F.col("uid").alias("a"), F.col("o_uid").alias("b"))).join(_pairs(self.drawn), ["a", "b"], "left_anti")
+        return common.stage(self.spark, pairs, f"{self.root}/regions-apart"), self._tiled(here.where(F.col("size") > self.crowd))
+
+    def _tiled(self, rows: DataFrame) -> DataFrame:
+        """Rows of crowded regions, once for each pair of tiles they take part in.
+
+        Sets outside a region's largest component meet each other and those in it.  Sizes fall in bands so wide that sets of the wanted similarity are of one band or of two next to each other.
+        """
+        band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / (self.percent - 1))).cast("int") if self.percent > 1 else F.lit(0)
+        rows = rows.select("tree", "key", "uid", "n", *SKETCH, "comp", band.alias("band"), (F.col("comp") == F.col("main")).cast("int").alias("side"))
+        cells = rows.groupBy("tree", "key", "band", "side").agg(F.count("*").alias("k"), F.max("n").alias("most"))
+        tiles = F.ceil(F.col("k") / F.least(F.lit(TILE), F.greatest(F.lit(1), F.floor(F.lit(TILE_SHINGLES) / F.col("most"))))).cast("int")
+        cells = common.stage(self.spark, cells.select("tree", "key", "band", "side", tiles.alias("tiles")), f"{self.root}/cells")
+        left = cells.where("side = 0").select("tree", "key", F.col("band").alias("lband"), F.col("tiles").alias("ltiles"))
+        right = cells.select("tree", "key", F.col("band").alias("rband"), F.col("side").alias("rside"), F.col("tiles").alias("rtiles"))
+        beside = (F.abs(F.col("lband") - F.col("rband")) <= 1) & ((F.col("rside") == 1) | (F.col("lband") <= F.col("rband")))
+        work = left.join(right, ["tree", "key"]).where(beside).withColumn("ltile", F.explode(F.sequence(F.lit(0), F.col("ltiles") - 1)))
+        work = work.withColumn("rtile", F.explode(F.sequence(F.lit(0), F.col("rtiles") - 1)))
+        own = (F.col("rside") == 0) & (F.col("lband") == F.col("rband"))
+        work = common.stage(self.spark, work.where(~own | (F.col("ltile") <= F.col("rtile"))).select(*TILED), f"{self.root}/work")
+        dealt = rows.join(cells, ["tree", "key", "band", "side"]).withColumn("tile", F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int")).drop("tiles")
+        dealt = common.stage(self.spark, dealt, f"{self.root}/dealt")
+        ends = []
+        for at, side, place in (("l", F.lit(0), 0), ("r", F.col("rside"), 1)):
+            asked = work if place == 0 else work.where(~(own & (F.col("ltile") == F.col("rtile"))))
+            asked = asked.withColumns({"band": F.col(f"{at}band"), "side": side, "tile": F.col(f"{at}tile")})
+            ends.append(asked.join(dealt, ["tree", "key", "band", "side", "tile"]).select(*TILED, F.lit(place).alias("place"), "uid", "n", *SKETCH, "comp"))
+        return ends[0].unionByName(ends[1])
+
+
+def _told_apart(table: pa.Table, percent: int, depth: int) -> tuple[np.ndarray, np.ndarray, Callable[[int], np.ndarray]]:
+    """Rows on the left and the right of a pair of tiles, and for each on the left which on the right may be a link of two components and share no earlier tree's region."""
+    place, n, tree = np.asarray(table.column("place")), np.asarray(table.column("n")), table.column("tree")[0].as_py()
+    left = np.flatnonzero(place == 0)
+    right = np.flatnonzero(place == 1)
+    alone = not len(right)
+    right = left if alone else right
+    sketch = np.stack([np.asarray(table.column(c)) for c in SKETCH]).view(np.uint64)
+    comp = np.asarray(table.column("comp").combine_chunks().dictionary_encode().indices)
+    labels = np.frombuffer(b"".join(table.column("signature").to_pylist()), ">u2").reshape(-1, TREES, APART)[:, :tree, :depth].astype(np.uint64)
+    # (four values of two bytes each at most make a number)
+    parts = [reduce(lambda x, y: (x << np.uint64(16)) | y, [labels[:, :, k] for k in range(i, min(i + 4, depth))]).T.copy() for i in range(0, depth, 4)]
+    least = least_agreement(percent / 100)
+    s, m, c, r = sketch[:, right], n[right], comp[right], [p[:, right] for p in parts]
+
+    def partners(i: int) -> np.ndarray:
+        x = left[i]
+        fits = (100 * np.minimum(n[x], m) >= percent * np.maximum(n[x], m)) & (comp[x] != c)
+        if alone:
+            fits[: i + 1] = False
+        at = np.flatnonzero(fits)
+        differ = sketch[:, x, None] ^ s[:, at]
+        apart = sum(np.bitwise_count(np.bitwise_or.reduce(differ[w::WORDS])).astype(np.int64) for w in range(WORDS))
+        at = at[MINIMA - apart >= least]
+        if tree and len(at):
+            at = at[~np.logical_and.reduce([p[:, x, None] == q[:, at] for p, q in zip(parts, r, strict=True)]).any(axis=0)]
+        return right[at]
+
+    return left, right, partners
+
+
+def _hopeful(percent: int, depth: int) -> Callable[[pa.Table], pa.Table]:
+    """Of a pair of tiles, the rows that may have a link."""
+
+    def run(table: pa.Table) -> pa.Table:
+        left, _, partners = _told_apart(table, percent, depth)
+        keep = np.zeros(table.num_rows, bool)
+        for i, x in enumerate(left):
+            if len(of := partners(i)):
+                keep[of] = keep[x] = True
+        return table.filter(pa.array(keep))
+
+    return run
+
+
+def _forest_of_links(percent: int, depth: int) -> Callable[[pa.Table], pa.Table]:
+    """Of a pair of tiles with their full sets, links (a, b): as many as it takes to join what the tiles' links join."""
+
+    def run(table: pa.Table) -> pa.Table:
+        left, _, partners = _told_apart(table, percent, depth)
+        uid, n = table.column("uid").to_pylist(), np.asarray(table.column("n"))
+        sets = table.column("set").combine_chunks()
+        sets = sets.combine_chunks() if isinstance(sets, pa.ChunkedArray) else sets
+        ends = np.asarray(sets.offsets) - sets.offsets[0].as_py()
+        _, of, often = np.unique(np.asarray(sets.flatten()), return_inverse=True, return_counts=True)
+        # what only one set holds is in no intersection
+        place = np.cumsum(often > 1) - 1
+        held = often[of] > 1
+        bits = np.zeros((len(n), (int((often > 1).sum()) + 63) // 64), np.uint64)
+        row, col = np.repeat(np.arange(len(n)), np.diff(ends))[held], place[of[held]]
+        np.bitwise_or.at(bits, (row, col >> 6), np.uint64(1) << (col & 63).astype(np.uint64))
+        comp = np.asarray(table.column("comp").combine_chunks().dictionary_encode().indices).copy()
+        a, b = [], []
+        for i, x in enumerate(left):
+            near = partners(i)
+            while len(near := near[comp[near] != comp[x]]):
+                part, near = near[:_ROWS], near[_ROWS:]
+                shared = np.bitwise_count(bits[x] & bits[part]).sum(axis=1, dtype=np.int64)
+                for y in part[100 * shared >= percent * (n[x] + n[part] - shared)].tolist():
+                    if comp[y] != comp[x]:
+                        comp[comp == comp[y]] = comp[x]
+                        a.append(min(uid[x], uid[y]))
+                        b.append(max(uid[x], uid[y]))
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return run
 
 
 def _component(df: DataFrame, joined: DataFrame, uid: str, into: str) -> DataFrame:
@@ -214,35 +309,47 @@ def _component(df: DataFrame, joined: DataFrame, uid: str, into: str) -> DataFra
     return df.join(named, uid, "left").withColumn(into, F.coalesce(f"{into}_", uid)).drop(f"{into}_")
 
 
-def _pairs_with(df: DataFrame, value: str) -> DataFrame:
-    return df.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max(value).alias(value))
-
-
 def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def compared(spark: SparkSession, pairs: DataFrame, distinct: DataFrame, blocks: str, root: str, shingle: int, percent: int) -> DataFrame:
-    """(a, b, linked, similarity) of pairs (a, b) by their full sets, which are made again from the block files, for these pairs only."""
+def _full_sets(spark: SparkSession, uids: DataFrame, distinct: DataFrame, blocks: str, root: str, shingle: int) -> DataFrame:
+    """(uid, set) of these sets only, made again from the block files; staged."""
 
     def sets(block: pa.Table, mine: pa.Table) -> pa.Table:
         text = block.column("text")
         made = [np.unique(shingle_hashes(text[r].as_py() or "", shingle)).view(np.int64) for r in mine.column("row").to_pylist()]
         return pa.table({"uid": mine.column("uid"), "set": pa.array(made, pa.list_(pa.int64()))})
 
-    asked = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    asked = common.stage(spark, asked.join(distinct, "uid").select("uid", "first.block", "first.row"), f"{root}/asked")
+    asked = common.stage(spark, uids.distinct().join(distinct, "uid").select("uid", "first.block", "first.row"), f"{root}/asked")
     found = common.apply_blocks(asked, blocks, sets, "uid binary, set array<long>", asked.select("block").distinct().count())
-    found = common.stage(spark, found, f"{root}/sets")
+    return common.stage(spark, found, f"{root}/sets")
+
+
+def compared(spark: SparkSession, pairs: DataFrame, distinct: DataFrame, blocks: str, root: str, shingle: int, percent: int) -> DataFrame:
+    """(a, b, linked) of pairs (a, b) by their full sets."""
+    found = _full_sets(spark, pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))), distinct, blocks, root, shingle)
     both = pairs.join(found.select(F.col("uid").alias("a"), F.col("set").alias("x")), "a").join(found.select(F.col("uid").alias("b"), F.col("set").alias("y")), "b")
     shared = both.select("a", "b", (F.size("x") + F.size("y")).alias("sizes"), F.size(F.array_intersect("x", "y")).alias("shared"))
-    union = F.col("sizes") - F.col("shared")
-    linked = F.lit(100).cast("long") * F.col("shared") >= F.lit(percent).cast("long") * union
-    out = common.stage(spark, shared.select("a", "b", linked.alias("linked"), (F.col("shared") / union).alias("similarity")), f"{root}/compared")
+    linked = F.lit(100).cast("long") * F.col("shared") >= F.lit(percent).cast("long") * (F.col("sizes") - F.col("shared"))
+    out = common.stage(spark, shared.select("a", "b", linked.alias("linked")), f"{root}/compared")
     common.delete(spark, f"{root}/sets")
     return out
 
 
+def tiles_compared(spark: SparkSession, tiled: DataFrame, depth: int, distinct: DataFrame, blocks: str, root: str, shingle: int, percent: int) -> DataFrame:
+    """(a, b, linked) of links that join what the links of pairs of tiles join; full sets are made for rows that may have one."""
+    tiled = tiled.join(distinct.select("uid", "signature"), "uid")
+    tiled = common.stage(spark, tiled.groupBy(*TILED).applyInArrow(_hopeful(percent, depth), tiled.schema), f"{root}/hopeful")
+    if tiled.isEmpty():
+        return spark.createDataFrame([], "a binary, b binary, linked boolean")
+    whole = tiled.join(_full_sets(spark, tiled.select("uid"), distinct, blocks, root, shingle), "uid")
+    links = whole.groupBy(*TILED).applyInArrow(_forest_of_links(percent, depth), "a binary, b binary")
+    links = common.stage(spark, links.distinct().withColumn("linked", F.lit(True)), f"{root}/links")
+    common.delete(spark, f"{root}/sets")
+    return links
+
+
 def minhash_groups(spark: SparkSession, documents: DataFrame, shingle: int = 5, percent: int = 80, crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row: rows are linked where 100 * intersection >= percent * union of their shingle sets; component_id is the smallest id reachable."""
     root = common.scratch(spark, "forest")
@@ -256,11 +363,17 @@ def minhash_groups(spark: SparkSession, documents: DataFrame, shingle: int = 5,
     seen = compared(spark, likeliest, distinct, f"{root}/blocks", f"{root}/first", shingle, percent)
     joined = lambda turn: common.stage(spark, components(spark, seen.where("linked").select("a", "b"), f"{root}/{turn}/components"), f"{root}/joined-{turn}")
     found = joined("first")
-    for turn, candidates in (("second", lambda: forest.drawn_apart(found, likeliest)), ("third", lambda: forest.regions_apart(found, seen))):
-        apart = candidates()
-        if not apart.isEmpty():
-            seen = seen.unionByName(compared(spark, apart, distinct, f"{root}/blocks", f"{root}/{turn}", shingle, percent))
-            found = joined(turn)
+    apart = forest.drawn_apart(found, likeliest)
+    if not apart.isEmpty():
+        seen = seen.unionByName(compared(spark, apart, distinct, f"{root}/blocks", f"{root}/second", shingle, percent))
+        found = joined("second")
+    apart, tiled = forest.regions_apart(found)
+    more = tiles_compared(spark, tiled, forest.met[0][0], distinct, f"{root}/blocks", f"{root}/tiles", shingle, percent)
+    if not apart.isEmpty():
+        more = more.unionByName(compared(spark, apart, distinct, f"{root}/blocks", f"{root}/third", shingle, percent))
+    if not more.where("linked").isEmpty():
+        seen = seen.unionByName(more)
+        found = joined("third")
     ids = found.join(distinct.select(F.col("uid").alias("node"), F.col("first.doc_id").alias("doc_id")), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = found.join(ids, "component").select(F.col("node").alias("uid"), "component_id")
     groups = distinct.select("uid", "first.doc_id").join(named, "uid", "left").select(F.col("uid").alias("digest"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -91,6 +91,24 @@ def test_crowded_regions(spark, documents, monkeypatch):
     assert seen[0] == 5 and seen[1] >= 2
 
 
+@pytest.mark.parametrize(("crowd", "tile"), [(8, 1024), (8, 16)])
+def test_no_crowded_region_is_left_out(spark, documents, monkeypatch, crowd, tile):
+    """Regions with many sets that nothing drawn joins: their links at the edge of the similarity are found, whatever the crowd and the tiles."""
+    monkeypatch.setattr(forest, "TILE", tile)
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(100):  # a set, and one just similar enough to it; sets of different k hardly ever are
+        one = list(base)
+        for i in rnd.sample(range(0, 108, 4), 3):
+            one[i] = f"x{k}-{i}"
+        texts += [" ".join(one), " ".join([*one[:-9], *(f"y{k}-{i}" for i in range(9))])]
+    rnd.shuffle(texts)
+    want = brute(list(enumerate(texts)))
+    assert len({c for _, _, c in want}) > 80
+    assert plain(minhash_groups(spark, documents(texts), 3, 85, crowd=crowd)) == want
+
+
 def test_other_shingles_and_similarity(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF_MORE}/documents.parquet").select("doc_id", "text").collect()]
     assert plain(minhash_groups(spark, spark.read.parquet(f"{SF_MORE}/documents.parquet"))) == brute(rows, 5, 80)
