@@ -7,6 +7,7 @@ they change places.  Each round is its own inverse on pairs, so the whole is a b
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from freshet.operators.sequences import limit_batches
 from freshet.schema import BASIN
 
 ROUNDS = 24
+#: Samples of a task that finds the places of several epochs.
+ROWS = 100_000
 
 
 def round_keys(seed: int, epoch: int, rounds: int = ROUNDS) -> list[int]:
@@ -41,6 +44,13 @@ def epoch_batches(samples: DataFrame, n: int, size: int, seed: int, epoch: int,
     return limit_batches(out.withColumn("batch", F.floor(F.col("place") / size).cast("long")), most)
 
 
+def places(samples: DataFrame, n: int, seed: int, orders: Sequence[int]) -> DataFrame:
+    """(epoch, place) of each of ``samples`` (with ``sample_id`` 0 .. n-1) in several epochs' orders, in one pass, whose tasks are as many as the samples ask for."""
+    dealt = samples.select("sample_id").repartition(max(1, -(-n // ROWS)), "sample_id")
+    each = [F.struct(F.lit(e).alias("epoch"), permuted(F.col("sample_id"), n, seed, e).alias("place")) for e in orders]
+    return dealt.select(F.explode(F.array(*each)).alias("of")).select("of.epoch", "of.place")
+
+
 def by_basin(samples: DataFrame, n: int, size: int, seed: int, epoch: int) -> DataFrame:
     """As :func:`epoch_batches`, with batches numbered by basin and drawn in the epoch's order within each: a batch never mixes basins."""
     from pyspark.sql import Window

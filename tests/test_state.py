@@ -115,6 +115,15 @@ def test_every_epoch_is_another_bijection(spark, n):
         assert after < 10
 
 
+def test_places_of_several_epochs(spark, monkeypatch):
+    monkeypatch.setattr(epochs, "ROWS", 10)
+    samples = spark.range(95).withColumnRenamed("id", "sample_id")
+    found = epochs.places(samples, 95, 7, (0, 2))
+    assert found.rdd.getNumPartitions() == 10
+    want = [(e, r.p) for e in (0, 2) for r in samples.select(epochs.permuted(F.col("sample_id"), 95, 7, e).alias("p")).collect()]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
 def test_epoch_batches(spark):
     samples = spark.range(100).select(F.col("id").alias("sample_id"), (F.col("id") % 3).alias("basin"))
     assert sorted(r["count"] for r in epochs.epoch_batches(samples, 100, 32, 1, 0).groupBy("batch").count().collect()) == [4, 32, 32, 32]
