@@ -97,6 +97,16 @@ def test_runs_over_range_borders(spark, tmp_path, keys):
     assert got == want and parts >= (3 if n else 0)
 
 
+def test_ranges_of_runs_grow_in_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(consecutive, "ROWS", 50)
+    rows = [(i, i // 7 % 3, 1) for i in range(2000)]
+    df = spark.createDataFrame(rows, "i int, k int, v int")
+    got = consecutive.consecutive(df, ["k"], ["i"], {"total": F.col("v")}, f"file://{tmp_path}/w").orderBy("run").select("run", "k", "first_i", "last_i", "n", "total").collect()
+    assert [tuple(r) for r in got] == [(j, j % 3, 7 * j, min(7 * j + 6, 1999), min(7, 2000 - 7 * j), min(7, 2000 - 7 * j)) for j in range(286)]
+    sizes = [r["count"] for r in spark.read.parquet(f"{tmp_path}/w/rows").groupBy("__part").count().collect()]
+    assert len(sizes) >= 30 and max(sizes) <= 150
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 257, 1000])
 def test_every_epoch_is_another_bijection(spark, n):
     df = spark.range(n)
